@@ -32,10 +32,9 @@ def tile_tokens(width: Column | str, height: Column | str, detail: str = "high")
     if detail == "low":
         return F.lit(TILE_BASE).cast("bigint")
     w, h = as_col(width).cast("double"), as_col(height).cast("double")
-    fit = F.least(F.lit(float(TILE_FIT)), F.greatest(w, h))  # keeps small images as they are
     ratio = F.when(F.greatest(w, h) > TILE_FIT, F.least(TILE_FIT / w, TILE_FIT / h))
-    w1 = F.when(ratio.isNotNull() & fit.isNotNull(), F.floor(w * ratio)).otherwise(w).cast("double")
-    h1 = F.when(ratio.isNotNull() & fit.isNotNull(), F.floor(h * ratio)).otherwise(h).cast("double")
+    w1 = F.coalesce(F.floor(w * ratio).cast("double"), w)
+    h1 = F.coalesce(F.floor(h * ratio).cast("double"), h)
     short, long = F.least(w1, h1), F.greatest(w1, h1)
     over = short > TILE_SHORT
     short2 = F.when(over, F.lit(float(TILE_SHORT))).otherwise(short)

@@ -17,5 +17,6 @@ MAX_LABELS = 5
 def keyword_labels(text: Column | str, words: tuple[str, ...] = KEYWORDS, limit: int = MAX_LABELS) -> Column:
     """Keywords that occur anywhere in the text, the first ``limit`` in list order."""
     folded = F.lower(as_col(text))
-    found = F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(folded, w))
+    none = F.array().cast("array<string>")
+    found = F.concat(*[F.when(folded.contains(w), F.array(F.lit(w))).otherwise(none) for w in words])
     return F.slice(found, 1, limit)
