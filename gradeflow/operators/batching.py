@@ -10,8 +10,6 @@ the blocks then replay the scan with their carry, again in parallel.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -22,49 +20,53 @@ MAX_BATCH_BYTES = 25 * 1024 * 1024
 BLOCK = 50_000
 
 
-def _next_cut(ends: np.ndarray, start: int, carry: int, limit: int) -> int:
-    """First file from ``start`` on that does not fit on top of ``carry`` bytes."""
-    base = int(ends[start - 1]) if start else 0
-    return max(start, int(np.searchsorted(ends, base + limit - carry, side="right")))
-
+def _cuts(ends: np.ndarray, carry: int | None, limit: int) -> list[int]:
+    """Where batches start in a block; ``carry`` is the size of the open batch, None without one.
 
-def _cuts(ends: np.ndarray, carry: int, opened: bool, limit: int) -> list[int]:
-    """Where batches start in a block entered with an open batch of ``carry`` bytes."""
-    cuts, count = [], len(ends)
-    at = _next_cut(ends, 0, carry, limit) if opened else 0
-    while at < count:
+    ``ends`` are the running sizes of the block.
+    """
+    at = 0 if carry is None else int(np.searchsorted(ends, limit - carry, side="right"))
+    cuts = []
+    while at < len(ends):
         cuts.append(at)
-        base = int(ends[at - 1]) if at else 0
-        at = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
+        before = int(ends[at - 1]) if at else 0
+        at = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
     return cuts
 
 
-def _summarize_block(sizes: np.ndarray, limit: int) -> list[tuple[int, int, int]]:
-    """(largest carry, cuts, carry out) per stretch of carries that act alike.
+def _carry_out(ends: np.ndarray, cuts: list[int]) -> int:
+    """Size of the batch that is open after a block with at least one cut."""
+    last = cuts[-1]
+    return int(ends[-1]) - (int(ends[last - 1]) if last else 0)
+
 
-    ``carry out`` of -1 stands for "carry in plus the block", when there is no cut.
+def _stretches(ends: np.ndarray, limit: int) -> list[tuple[int, int, int]]:
+    """How a block acts on the carry: (largest carry, cuts, carry out), by rising carry.
+
+    A carry out of -1 stands for "carry in plus the block": there is no cut.
     """
-    ends = np.cumsum(sizes)
-    count, total = len(ends), int(ends[-1])
-    starts = ends - sizes
-    follow = np.maximum(np.searchsorted(ends, starts + limit, side="right"), np.arange(count) + 1)
-    cuts, out = np.ones(count, dtype=np.int64), total - starts
-    for at in range(count - 1, -1, -1):
-        if follow[at] < count:
-            cuts[at] += cuts[follow[at]]
-            out[at] = out[follow[at]]
-    # A carry c cuts first at file i when ends[i-1] <= limit - c < ends[i].
-    stretches = [(limit - total, 0, -1)]
-    for at in range(count - 1, -1, -1):
-        top = limit - int(ends[at - 1]) if at else np.iinfo(np.int64).max
-        effect = (int(cuts[at]), int(out[at]))
-        if stretches[-1][1:] == effect:
-            stretches[-1] = (top, *effect)
-        elif top > stretches[-1][0]:
-            stretches.append((top, *effect))
-        if top < 0:
-            continue
-    return [s for s in stretches if s[0] >= 0]
+    total = int(ends[-1])
+    # The first cut can only be at a file that starts within the limit.
+    reach = min(len(ends), int(np.searchsorted(ends, limit, side="right")) + 1)
+    found = [(limit - total, 0, -1)]
+    effects: dict[int, tuple[int, int]] = {}
+    for first in range(reach - 1, -1, -1):
+        path, at = [], first
+        while at < len(ends) and at not in effects:
+            path.append(at)
+            before = int(ends[at - 1]) if at else 0
+            at = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        for start in reversed(path):
+            before = int(ends[start - 1]) if start else 0
+            cuts, out = effects[at] if at < len(ends) else (0, total - before)
+            effects[start] = (cuts + 1, out)
+            at = start
+        top = limit - int(ends[first - 1]) if first else np.iinfo(np.int64).max
+        if found[-1][1:] == effects[first]:
+            found[-1] = (top, *effects[first])
+        elif top > found[-1][0]:
+            found.append((top, *effects[first]))
+    return [stretch for stretch in found if stretch[0] >= 0]
 
 
 def size_batches(
@@ -80,62 +82,56 @@ def size_batches(
     placed = placed.withColumn("_block", F.floor((F.col("_position") - 1) / block))
     by_type = files.schema[by].dataType
 
+    def fields(*names: str, kind: T.DataType | None = None) -> list[T.StructField]:
+        return [T.StructField(name, kind or T.LongType()) for name in names]
+
     def summarize(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        sizes = rows.sort_values("_position")["_size"].to_numpy(np.int64)
-        stretches = _summarize_block(sizes, limit)
+        ends = np.cumsum(rows.sort_values("_position")["_size"].to_numpy(np.int64))
+        fresh = _cuts(ends, None, limit)
+        acts = _stretches(ends, limit)
         return pd.DataFrame(
             {
-                by: [key[0]], "_block": [key[1]], "_bytes": [int(sizes.sum())],
-                "_head": [_cuts(np.cumsum(sizes), 0, False, limit)[-1]],
-                "_first_cuts": [len(_cuts(np.cumsum(sizes), 0, False, limit))],
-                "_first_out": [int(sizes[_cuts(np.cumsum(sizes), 0, False, limit)[-1]:].sum())],
-                "_top": [[s[0] for s in stretches]],
-                "_cuts": [[s[1] for s in stretches]],
-                "_out": [[s[2] for s in stretches]],
+                by: [key[0]], "_block": [key[1]], "_bytes": [int(ends[-1])],
+                "_fresh_cuts": [len(fresh)], "_fresh_out": [_carry_out(ends, fresh)],
+                "_top": [[a[0] for a in acts]], "_cuts": [[a[1] for a in acts]], "_out": [[a[2] for a in acts]],
             }
         )
 
     summary_type = T.StructType(
         [T.StructField(by, by_type)]
-        + [T.StructField(c, T.LongType()) for c in ("_block", "_bytes", "_head", "_first_cuts", "_first_out")]
-        + [T.StructField(c, T.ArrayType(T.LongType())) for c in ("_top", "_cuts", "_out")]
+        + fields("_block", "_bytes", "_fresh_cuts", "_fresh_out")
+        + fields("_top", "_cuts", "_out", kind=T.ArrayType(T.LongType()))
     )
     slim = placed.select(by, "_block", "_position", F.col(size).cast("bigint").alias("_size"))
     summaries = slim.groupBy(by, "_block").applyInPandas(summarize, summary_type)
 
+    # One short row per block of files meets here, never the files themselves.
     def chain(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        carry, batches, entry = 0, 0, []
-        for at, row in enumerate(rows.sort_values("_block").itertuples(index=False)):
-            values = row._asdict() if hasattr(row, "_asdict") else {}
-            block_no, total, first_cuts, first_out, tops, cuts, outs = (
-                row[1], row[2], row[4], row[5], row[6], row[7], row[8]
-            )
-            del values
-            entry.append((key[0], block_no, carry, batches))
-            if at == 0:
-                batches, carry = batches + first_cuts, first_out
+        rows = rows.sort_values("_block")
+        carry, batches, entries = None, 0, []
+        for row in rows.to_dict("records"):
+            entries.append((key[0], row["_block"], carry or 0, batches))
+            if carry is None:
+                carry, batches = row["_fresh_out"], row["_fresh_cuts"]
                 continue
-            which = int(np.searchsorted(np.asarray(tops, dtype=np.int64), carry, side="left"))
-            batches += int(cuts[which])
-            carry = carry + total if outs[which] == -1 else int(outs[which])
-        return pd.DataFrame(entry, columns=[by, "_block", "_carry", "_batches"])
+            at = int(np.searchsorted(np.asarray(row["_top"], dtype=np.int64), carry, side="left"))
+            batches += int(row["_cuts"][at])
+            carry = carry + row["_bytes"] if row["_out"][at] == -1 else int(row["_out"][at])
+        return pd.DataFrame(entries, columns=[by, "_block", "_carry", "_batches"])
 
-    entry_type = T.StructType(
-        [T.StructField(by, by_type)] + [T.StructField(c, T.LongType()) for c in ("_block", "_carry", "_batches")]
-    )
+    entry_type = T.StructType([T.StructField(by, by_type)] + fields("_block", "_carry", "_batches"))
     entries = summaries.groupBy(by).applyInPandas(chain, entry_type)
 
-    # Replay: number the batches of a block from its entry state.
+    # Every block numbers its batches from the state it is entered with.
     def replay(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_position")
         ends = np.cumsum(rows["_size"].to_numpy(np.int64))
-        carry, batches = int(rows["_carry"].iloc[0]), int(rows["_batches"].iloc[0])
+        batches = int(rows["_batches"].iloc[0])
+        carry = int(rows["_carry"].iloc[0]) if batches else None
         marks = np.zeros(len(rows), dtype=np.int64)
-        marks[_cuts(ends, carry, batches > 0, limit)] = 1
+        marks[_cuts(ends, carry, limit)] = 1
         return rows.assign(batch_no=batches + np.cumsum(marks))[[by, "_position", "batch_no"]]
 
-    batch_type = T.StructType(
-        [T.StructField(by, by_type), T.StructField("_position", T.LongType()), T.StructField("batch_no", T.LongType())]
-    )
+    batch_type = T.StructType([T.StructField(by, by_type)] + fields("_position", "batch_no"))
     numbered = slim.join(entries, [by, "_block"]).groupBy(by, "_block").applyInPandas(replay, batch_type)
     return placed.join(numbered, [by, "_position"]).drop("_position", "_block")
