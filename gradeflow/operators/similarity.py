@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from gradeflow.operators.joins import first_by
 from gradeflow.session import freeze
 
-PIVOTS = 64
-RING = 0.05  # width of a ring of angles, in radians
+PIVOTS = 16
+RING = 0.25  # width of a ring of angles, in radians
 BLOCK = 4096
 _SLACK = 1e-6
 
