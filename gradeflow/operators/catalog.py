@@ -87,13 +87,15 @@ def dashboard(projects: DataFrame, datasets: DataFrame, evaluations: DataFrame)
     )
     scaled = (F.col("_sum") * F.lit(10**9).cast("decimal(10,0)")).cast("bigint")
     mean = half_up_ratio(scaled, F.col("_done"), scale=0) / F.lit(1e7)
-    one = F.lit(1).alias("_one")
-    parts = [
-        projects.agg(F.count("*").cast("bigint").alias("projects"), F.max(one).alias("_one")),
-        datasets.agg(F.count("*").cast("bigint").alias("datasets"), F.max(one).alias("_one")),
-        numbers.select("evaluations", F.round(F.coalesce(mean, F.lit(0.0)), 1).alias("avg_accuracy"), one),
-    ]
-    return parts[0].join(parts[1], "_one").join(parts[2], "_one").drop("_one")
+    rows = (
+        projects.agg(F.count("*").cast("bigint").alias("projects"))
+        .unionByName(datasets.agg(F.count("*").cast("bigint").alias("datasets")), allowMissingColumns=True)
+        .unionByName(
+            numbers.select("evaluations", F.round(F.coalesce(mean, F.lit(0.0)), 1).alias("avg_accuracy")),
+            allowMissingColumns=True,
+        )
+    )
+    return rows.agg(*[F.max(c).alias(c) for c in ("projects", "datasets", "evaluations", "avg_accuracy")])
 
 
 def dataset_counts(datasets: DataFrame, images: DataFrame) -> DataFrame:

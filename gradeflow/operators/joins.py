@@ -33,11 +33,11 @@ def salted_lookup(
     """
     keys = list(keys)
     hot = F.broadcast(hot_keys(rows, keys, hot_rows).withColumn("_hot", F.lit(True)))
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns if c not in keys] or [F.lit(0)]), F.lit(salts))
-    left = rows.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0)).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = lookup.join(hot, keys, "left").withColumn("_salt", F.explode(copies).cast("bigint")).drop("_hot")
-    left = left.withColumn("_salt", F.col("_salt").cast("bigint"))
+    zero = F.lit(0).cast("bigint")
+    spread = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in keys] or [zero]), F.lit(salts))
+    left = rows.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(zero)).drop("_hot")
+    copies = F.when(F.col("_hot"), F.sequence(zero, F.lit(salts - 1).cast("bigint"))).otherwise(F.array(zero))
+    right = lookup.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 

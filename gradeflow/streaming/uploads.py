@@ -1,38 +1,55 @@
-"""Totals of chunked uploads, kept as state while chunks arrive."""
+"""Totals of chunked uploads, kept up to date while chunks arrive."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from gradeflow.operators.labelling import upload_totals
 
-_OUTPUT = "dataset_id string, total_files bigint, uploaded_files bigint, chunks bigint"
-_STATE = "total_files bigint, uploaded_files bigint, chunks bigint"
+_NUMBERS = ("total_files", "uploaded_files", "chunks")
 
 
-def upload_totals_stream(chunks: DataFrame) -> DataFrame:
-    """Running totals per dataset; a chunk that meets a status other than 'processing' starts anew.
+def combine_totals(before: DataFrame, batch: DataFrame, started: DataFrame) -> DataFrame:
+    """Totals after a batch: a batch that starts an upload replaces, any other adds.
 
-    The state is three numbers per dataset.  The rule is that of the batch
-    form, ``gradeflow.operators.labelling.upload_totals``.
+    All three hold each dataset once; ``started`` lists datasets with a start in
+    the batch.
     """
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        total, uploaded, count = state.get if state.exists else (0, 0, 0)
-        # Chunks of one trigger are applied in their order.
-        rows = pd.concat(list(batches)).sort_values(["uploaded_at", "chunk_id"])
-        for status, announced, done in zip(rows["status_before"], rows["announced"], rows["uploaded"]):
-            if status != "processing":
-                total, uploaded, count = int(done), int(done), 1
-            else:
-                total, uploaded, count = total + int(announced), uploaded + int(done), count + 1
-        state.update((total, uploaded, count))
-        yield pd.DataFrame(
-            {"dataset_id": [key[0]], "total_files": [total], "uploaded_files": [uploaded], "chunks": [count]}
-        )
-
-    return chunks.groupBy("dataset_id").applyInPandasWithState(
-        update, _OUTPUT, _STATE, "update", GroupStateTimeout.NoTimeout
+    marked = batch.join(started.select("dataset_id", F.lit(True).alias("_started")), "dataset_id", "left")
+    old = before.select("dataset_id", *[F.col(c).alias(f"_{c}") for c in _NUMBERS])
+    kept = F.when(F.col("_started"), 0)
+    return old.join(marked, "dataset_id", "full_outer").select(
+        "dataset_id",
+        *[
+            (F.coalesce(F.col(c), F.lit(0)) + F.coalesce(kept, F.col(f"_{c}"), F.lit(0))).cast("bigint").alias(c)
+            for c in _NUMBERS
+        ],
     )
+
+
+def upload_totals_stream(chunks: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
+    """Keep the totals per dataset under ``sink``, one snapshot per micro-batch.
+
+    Chunks are first aggregated by the batch rule, so a dataset with very many
+    chunks costs a few rows per task; the snapshots hold three numbers per
+    dataset.  A repeated batch starts again from the snapshot before it.
+    """
+    spark = chunks.sparkSession
+
+    def one_batch(batch: DataFrame, batch_id: int) -> None:
+        totals = upload_totals(batch)
+        started = batch.filter(F.col("status_before") != "processing").select("dataset_id").distinct()
+        if batch_id > 0:
+            totals = combine_totals(spark.read.parquet(f"{sink}/snapshot={batch_id - 1}"), totals, started)
+        totals.write.mode("overwrite").parquet(f"{sink}/snapshot={batch_id}")
+
+    writer = chunks.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
+def read_totals(spark: SparkSession, sink: str) -> DataFrame:
+    """The latest snapshot."""
+    snapshots = spark.read.parquet(sink)
+    last = snapshots.agg(F.max("snapshot")).first()[0]
+    return snapshots.filter(F.col("snapshot") == last).drop("snapshot")
