@@ -102,7 +102,7 @@ _IMPORT_SQL = with_views("import_rows", "copies", "marks") + """, lookup AS (
                  THEN row_number() OVER (PARTITION BY image_id, value IS NOT NULL ORDER BY row_no) END AS place
   FROM checked
 ), outcomes AS (
-  SELECT row_no, image_id, value,
+  SELECT row_no, image_id, CASE WHEN image_id IS NOT NULL THEN value END AS value,
     CASE WHEN image_id IS NULL THEN 'error' WHEN raw IS NULL OR raw = '' THEN 'skipped' WHEN value IS NULL THEN 'error'
          WHEN NOT annotated AND place = 1 THEN 'created' ELSE 'updated' END AS outcome,
     CASE WHEN image_id IS NULL THEN 'Image not found: ' || name

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gradeflow.plans.tables import Tables
 
-_MODULES = ("annotations", "selection")
+_MODULES = ("files", "prompts", "catalog", "annotations")
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 
