@@ -132,6 +132,7 @@ def nearest_items(
         [queries.schema["query_id"], items.schema["item_id"], T.StructField("similarity", T.DoubleType())]
     )
     keys = ["_cell", "_part", "_group"]
+    left, right = left.select(*keys, "query_id", "embedding"), right.select(*keys, "item_id", "embedding")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, found_type)
     nearest = first_by(found, ["query_id"], [F.col("similarity").desc(), F.col("item_id")], keep=k, rank="place")
     return nearest.withColumn("place", F.col("place").cast("bigint"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gradeflow.plans.tables import Tables
 
-_MODULES = ("files", "prompts", "catalog", "annotations")
+_MODULES = ("scoring", "annotations", "selection", "files", "prompts", "catalog", "jobs", "models")
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 

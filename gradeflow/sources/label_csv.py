@@ -61,16 +61,20 @@ def count_import_rows(spark: SparkSession, path: str, multi_line: bool = False)
     return spark.read.csv(path, header=True, multiLine=multi_line, quote='"', escape='"').count()
 
 
+# Spark's CSV writer would otherwise strip values.
+_WHOLE = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_export(export: DataFrame, path: str) -> None:
     """Annotation export as CSV; files carry no byte order mark."""
-    export.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="", nullValue="")
+    export.write.mode("overwrite").csv(path, header=True, emptyValue="", nullValue="", **_WHOLE)
 
 
 def write_error_report(errors: DataFrame, path: str) -> None:
     """Error report: Row, Error, with every error quoted and quotes doubled."""
     quoted = F.concat(F.lit('"'), F.replace("error", F.lit('"'), F.lit('""')), F.lit('"'))
     lines = errors.select(F.concat_ws(",", F.col("row_no").cast("string"), quoted).alias("Row,Error"))
-    lines.write.mode("overwrite").option("header", True).option("quote", "").option("sep", "\x01").csv(path)
+    lines.write.mode("overwrite").csv(path, **{**_WHOLE, "header": True, "quote": "", "sep": "\x01"})
 
 
 def write_results(results: DataFrame, path: str, fmt: str = "csv") -> None:
@@ -80,4 +84,4 @@ def write_results(results: DataFrame, path: str, fmt: str = "csv") -> None:
         return
     nested = {f.name for f in results.schema.fields if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))}
     flat = results.select(*[F.to_json(c).alias(c) if c in nested else F.col(c) for c in results.columns])
-    flat.write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+    flat.write.mode("overwrite").csv(path, header=True, **_WHOLE)
