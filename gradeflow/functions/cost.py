@@ -1,15 +1,16 @@
 """Token counts and cost rules.
 
-Money is DECIMAL throughout, so that sums do not depend on row order.
-Prices are per million tokens.
+Prices are per million tokens.  Costs are computed in whole units of 10^-12
+dollar on BIGINT and become DECIMAL once, at the end: that is exact, sums do
+not depend on row order, and the generated code stays small.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from gradeflow.functions.text import as_col
-from gradeflow.schemas import MONEY, PRICE
+from gradeflow.functions.text import as_col, whole_div
+from gradeflow.schemas import MONEY
 
 # Fixed values of the provider rules.
 TOKEN_PROVIDERS = ("openai", "anthropic")  # image tokens are part of the input tokens
@@ -61,25 +62,38 @@ def image_tokens(provider: Column | str, width: Column, height: Column) -> Colum
     return F.coalesce(tokens, fallback)
 
 
-def _priced(tokens: Column, price: Column) -> Column:
-    per_million = F.lit("0.000001").cast("decimal(7,6)")
-    return (tokens.cast("decimal(15,0)") * F.coalesce(price.cast(PRICE), F.lit(0).cast(PRICE)) * per_million).cast(
-        MONEY
-    )
+_UNITS_PER_MICRO = 1_000_000  # units of 10^-12 dollar in a millionth of a dollar
+
+
+def _price_units(price: Column) -> Column:
+    """A price as whole millionths of a dollar; times tokens that is units of 10^-12 dollar."""
+    return F.coalesce(F.rint(price.cast("double") * 1e6).cast("bigint"), F.lit(0).cast("bigint"))
 
 
-def _discounted(cost: Column, pricing: Column) -> Column:
-    percent = F.coalesce(pricing["discount_percent"], F.lit(0).cast("decimal(5,2)"))
-    keep = ((F.lit(100).cast("decimal(5,2)") - percent) * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(7,4)")
-    return F.when(percent > 0, (cost * keep).cast(MONEY)).otherwise(cost)
+def _priced(*parts: tuple[Column, Column]) -> Column:
+    """Sum of tokens x price, in units."""
+    units = None
+    for tokens, price in parts:
+        part = tokens.cast("bigint") * _price_units(price)
+        units = part if units is None else units + part
+    return units
 
 
-def _zero() -> Column:
-    return F.lit(0).cast(MONEY)
+def _discounted(units: Column, pricing: Column) -> Column:
+    """Less the discount, to the nearest unit.  Split in two, so that it cannot overflow."""
+    off = F.greatest(F.coalesce(pricing["discount_percent"].cast("double"), F.lit(0.0)), F.lit(0.0))
+    keep = F.lit(10_000).cast("bigint") - F.rint(off * 100).cast("bigint")
+    head = whole_div(units, 10_000) * keep
+    tail = whole_div((units % 10_000) * keep * 2 + 10_000, 20_000)
+    return head + tail
 
 
-def _image_price(pricing: Column) -> Column:
-    return F.coalesce(pricing["image_price_val"].cast(MONEY), _zero())
+def _money(units: Column) -> Column:
+    return (units.cast("decimal(19,0)") * F.lit("0.000000000001").cast("decimal(12,12)")).cast(MONEY)
+
+
+def _image_units(pricing: Column) -> Column:
+    return _price_units(pricing["image_price_val"]) * F.lit(_UNITS_PER_MICRO).cast("bigint")
 
 
 def _per_image(pricing: Column) -> Column:
@@ -97,14 +111,14 @@ def estimate_cost(
     """Expected cost of one request by provider rule; unknown provider gives NULL."""
     provider, pricing = as_col(provider), as_col(pricing)
     in_price, out_price = pricing["input_price_per_1m"], pricing["output_price_per_1m"]
-    output = _priced(output_tokens, out_price)
-    with_tokens = _priced(input_tokens + image_token_total, in_price) + output
-    per_image = (image_count.cast("decimal(10,0)") * pricing["image_price_val"]).cast(MONEY)
-    by_token = _priced(image_count * FALLBACK_IMAGE_TOKENS["gemini"], in_price)
-    images = F.coalesce(F.when(_per_image(pricing), per_image).otherwise(by_token), _zero())
-    apart = _priced(input_tokens, in_price) + output + images
-    cost = F.when(provider.isin(*TOKEN_PROVIDERS), with_tokens).when(provider.isin(*IMAGE_PROVIDERS), apart)
-    return _discounted(cost.cast(MONEY), pricing)
+    apart = provider.isin(*IMAGE_PROVIDERS)
+    # Images are tokens of the input, or a price of their own.
+    as_tokens = F.when(provider.isin(*TOKEN_PROVIDERS), image_token_total).when(
+        apart & ~_per_image(pricing), image_count * FALLBACK_IMAGE_TOKENS["gemini"]
+    ).when(apart, F.lit(0).cast("bigint"))
+    images = F.when(apart & _per_image(pricing), image_count * _image_units(pricing)).otherwise(0)
+    units = _priced((input_tokens + as_tokens, in_price), (output_tokens, out_price)) + images
+    return _money(_discounted(units, pricing))
 
 
 def actual_cost(
@@ -117,16 +131,15 @@ def actual_cost(
     """Cost of one finished request; 0 without pricing or for an unknown provider."""
     provider, pricing = as_col(provider), as_col(pricing)
     has_image = F.lit(has_image) if isinstance(has_image, bool) else has_image
-    base = _priced(prompt_tokens, pricing["input_price_per_1m"]) + _priced(
-        completion_tokens, pricing["output_price_per_1m"]
-    )
-    image = F.when(
-        has_image & provider.isin(*IMAGE_PROVIDERS) & _per_image(pricing), _image_price(pricing)
-    ).otherwise(_zero())
-    cost = _discounted((base + image).cast(MONEY), pricing)
-    cost = F.when(provider == "vertex", F.round(cost, 6).cast(MONEY)).otherwise(cost)
+    by_image = has_image & provider.isin(*IMAGE_PROVIDERS) & _per_image(pricing)
+    units = _priced(
+        (prompt_tokens, pricing["input_price_per_1m"]), (completion_tokens, pricing["output_price_per_1m"])
+    ) + F.when(by_image, _image_units(pricing)).otherwise(0)
+    # One provider rounds every request to a millionth of a dollar.
+    grain = F.when(provider == "vertex", _UNITS_PER_MICRO).otherwise(1).cast("bigint")
+    rounded = whole_div(_discounted(units, pricing) * 2 + grain, grain * 2) * grain
     known = provider.isin(*PROVIDERS) & pricing.isNotNull()
-    return F.coalesce(F.when(known, cost), _zero())
+    return _money(F.when(known, F.coalesce(rounded, F.lit(0))).otherwise(0))
 
 
 def rough_estimate(pricing: Column | str, image_count: Column) -> Column:
@@ -136,13 +149,11 @@ def rough_estimate(pricing: Column | str, image_count: Column) -> Column:
     unlike :func:`actual_cost`.
     """
     pricing = as_col(pricing)
-    image = (_image_price(pricing) * F.lit("0.000001").cast("decimal(7,6)")).cast(MONEY)
-    per_image = (
-        _priced(F.lit(ESTIMATE_INPUT_TOKENS), pricing["input_price_per_1m"])
-        + _priced(F.lit(ESTIMATE_OUTPUT_TOKENS), pricing["output_price_per_1m"])
-        + image
-    ).cast(MONEY)
-    per_image = _discounted(per_image, pricing)
+    units = _priced(
+        (F.lit(ESTIMATE_INPUT_TOKENS), pricing["input_price_per_1m"]),
+        (F.lit(ESTIMATE_OUTPUT_TOKENS), pricing["output_price_per_1m"]),
+    ) + _price_units(pricing["image_price_val"])
+    per_image = _money(_discounted(units, pricing))
     total = (per_image * image_count.cast("decimal(14,0)")).cast("decimal(38,12)")
     return F.struct(
         F.round(total, 6).alias("estimated_cost"),

@@ -26,6 +26,11 @@ def fold(value: Column | str) -> Column:
     return F.lower(strip(value))
 
 
+def whole_div(value: Column, by: Column | int) -> Column:
+    """Whole-number division, cut toward zero."""
+    return F.call_function("div", value, F.lit(by).cast("bigint") if isinstance(by, int) else by)
+
+
 def half_up_ratio(num: Column, den: Column, scale: int, factor: int = 1) -> Column:
     """``round(factor * num / den, scale)`` half-up, in whole-number arithmetic.
 
