@@ -49,12 +49,13 @@ def nearest_items(
     spark = items.sparkSession
     id_type = items.schema["item_id"].dataType
     chosen = items.orderBy(F.md5(F.col("item_id").cast("string")), "item_id").limit(pivot_count)
-    pivots = _unit([row["embedding"] for row in chosen.select("embedding").collect()])  # pivot_count vectors
-    if not len(pivots):
+    picked = [row["embedding"] for row in chosen.select("embedding").collect()]  # pivot_count vectors
+    if not picked:
         return queries.limit(0).select(
             "query_id", F.lit(None).cast(id_type).alias("item_id"),
             F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("bigint").alias("place"),
         )
+    pivots = _unit(picked)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
