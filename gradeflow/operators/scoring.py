@@ -197,14 +197,14 @@ def run_summary(summary: DataFrame, by: Sequence[str] = ("evaluation_id",)) -> D
     )
 
 
-def filter_results(results: DataFrame, which: str = "all") -> DataFrame:
-    """Rows of one class: all, correct, incorrect, tp, tn, fp or fn.
+def result_classes() -> dict[str, Column]:
+    """Condition of each result class.
 
     fp and fn mean "wrong, and answered true / false".  A wrong answer without
     a boolean ground truth is in them, though not in the confusion matrix.
     """
     correct, guess = F.col("is_correct"), F.col("parsed.value_bool")
-    conditions = {
+    return {
         "all": F.lit(True),
         "correct": correct,
         "incorrect": ~correct,
@@ -213,9 +213,22 @@ def filter_results(results: DataFrame, which: str = "all") -> DataFrame:
         "fp": ~correct & guess,
         "fn": ~correct & ~guess,
     }
-    if which not in conditions:
+
+
+def filter_results(results: DataFrame, which: str = "all") -> DataFrame:
+    """Rows of one class: all, correct, incorrect, tp, tn, fp or fn."""
+    classes = result_classes()
+    if which not in classes:
         raise ValueError(f"unknown result filter: {which}")
-    return results.filter(conditions[which])
+    return results.filter(classes[which])
+
+
+def class_sizes(results: DataFrame, by: Sequence[str] = ("evaluation_id",), value: str = "image_id") -> DataFrame:
+    """Rows and sum of ``value`` per run and class, in one pass over the results."""
+    names = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in result_classes().items()]))
+    return results.select(*by, value, F.explode(names).alias("which")).groupBy("which", *by).agg(
+        F.count("*").cast("bigint").alias("results"), F.sum(value).cast("bigint").alias("ids")
+    )
 
 
 def precision_recall_f1(summary: DataFrame) -> DataFrame:

@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from gradeflow.operators.joins import first_by
 from gradeflow.session import freeze
 
-PIVOTS = 16
-RING = 0.25  # width of a ring of angles, in radians
-BLOCK = 4096
+MAX_PIVOTS = 64
+RING = 0.05  # width of the rings angles are counted in, in radians
+BLOCK = 1024  # items, and queries, that meet in one group
 _SLACK = 1e-6
 
 
@@ -33,11 +33,40 @@ def _angles(vectors: Sequence, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(_unit(vectors) @ pivots.T, -1.0, 1.0))
 
 
+def _cells(histogram: Sequence[tuple[int, int, int]], block: int) -> tuple[dict, np.ndarray]:
+    """Join neighbouring rings of a pivot until they hold a block of items.
+
+    ``histogram`` has (pivot, ring, items).  Gives (pivot, ring) -> cell, and
+    per cell its pivot, smallest angle, largest angle and number of items.
+    """
+    cell_of, cells = {}, []
+    for pivot, ring, count in sorted(histogram):
+        if not cells or cells[-1][0] != pivot or cells[-1][3] >= block:
+            cells.append([pivot, ring * RING, 0.0, 0])
+        cells[-1][2] = (ring + 1) * RING
+        cells[-1][3] += count
+        cell_of[pivot, ring] = len(cells) - 1
+    return cell_of, np.asarray(cells, dtype=np.float64)
+
+
+def _wanted_cells(angles: np.ndarray, cells: np.ndarray, k: int) -> np.ndarray:
+    """Which cells can hold one of the ``k`` nearest other items, per query."""
+    to_pivot = angles[:, cells[:, 0].astype(int)]
+    near = np.maximum(0.0, np.maximum(to_pivot - cells[:, 2], cells[:, 1] - to_pivot))
+    far = to_pivot + cells[:, 2]  # no item of the cell is farther
+    order = np.argsort(far, axis=1, kind="stable")
+    # Cells up to this one certainly hold k + 1 items (one may be the query itself).
+    enough = np.cumsum(cells[:, 3][order], axis=1) >= k + 1
+    last = order[np.arange(len(order)), enough.argmax(axis=1)]
+    bound = np.where(enough[:, -1], far[np.arange(len(order)), last], np.inf)
+    return near <= bound[:, None] + _SLACK
+
+
 def nearest_items(
     queries: DataFrame,
     items: DataFrame,
     k: int,
-    pivot_count: int = PIVOTS,
+    pivot_count: int | None = None,
     block: int = BLOCK,
 ) -> DataFrame:
     """The ``k`` nearest other items per query: query_id, item_id, similarity, place.
@@ -48,8 +77,9 @@ def nearest_items(
     """
     spark = items.sparkSession
     id_type = items.schema["item_id"].dataType
-    chosen = items.orderBy(F.md5(F.col("item_id").cast("string")), "item_id").limit(pivot_count)
-    picked = [row["embedding"] for row in chosen.select("embedding").collect()]  # pivot_count vectors
+    wanted_pivots = pivot_count or max(1, min(MAX_PIVOTS, items.count() // block))
+    chosen = items.orderBy(F.md5(F.col("item_id").cast("string")), "item_id").limit(wanted_pivots)
+    picked = [row["embedding"] for row in chosen.select("embedding").collect()]  # at most MAX_PIVOTS vectors
     if not picked:
         return queries.limit(0).select(
             "query_id", F.lit(None).cast(id_type).alias("item_id"),
@@ -64,70 +94,63 @@ def nearest_items(
             ring = np.floor(angles[np.arange(len(batch)), nearest] / RING).astype(np.int64)
             yield batch.assign(_pivot=nearest.astype(np.int64), _ring=ring)
 
-    placed_type = T.StructType(
-        [items.schema["item_id"], items.schema["embedding"]]
-        + [T.StructField("_pivot", T.LongType()), T.StructField("_ring", T.LongType())]
-    )
+    def longs(*names: str) -> list[T.StructField]:
+        return [T.StructField(name, T.LongType()) for name in names]
+
+    placed_type = T.StructType([items.schema["item_id"], items.schema["embedding"]] + longs("_pivot", "_ring"))
     placed = freeze(items.select("item_id", "embedding").mapInPandas(place, placed_type))
-    # At most pivots x rings cells: a table of fixed size, whatever the data.
-    cells = placed.groupBy("_pivot", "_ring").agg(F.count("*").alias("_n")).orderBy("_pivot", "_ring").collect()
-    cell_pivot = np.asarray([c["_pivot"] for c in cells])
-    cell_low = np.asarray([c["_ring"] for c in cells]) * RING
-    cell_size = np.asarray([c["_n"] for c in cells])
-    parts = np.maximum(1, -(-cell_size // block))
+    # At most pivots x rings rows: a table of fixed size, whatever the data.
+    counted = placed.groupBy("_pivot", "_ring").agg(F.count("*").alias("_n")).collect()
+    cell_of, cells = _cells([(r["_pivot"], r["_ring"], r["_n"]) for r in counted], block)
+    parts = np.maximum(1, -(-cells[:, 3].astype(int) // block))
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            to_pivot = _angles(batch["embedding"], pivots)[:, cell_pivot]
-            far = to_pivot + cell_low + RING  # no item of the cell is farther than this
-            near = np.maximum(0.0, np.maximum(to_pivot - cell_low - RING, cell_low - to_pivot))
-            order = np.argsort(far, axis=1, kind="stable")
-            # Within the angle where k + 1 items are certain (one may be the query itself).
-            filled = np.cumsum(cell_size[order], axis=1) >= k + 1
-            last = np.where(filled.any(axis=1), filled.argmax(axis=1), len(cells) - 1)
-            bound = np.take_along_axis(far, order, axis=1)[np.arange(len(batch)), last]
-            bound = np.where(filled.any(axis=1), bound, np.inf)
-            wanted = near <= bound[:, None] + _SLACK
-            for at in range(len(cells)):
-                rows = batch[wanted[:, at]]
+            wanted = _wanted_cells(_angles(batch["embedding"], pivots), cells, k)
+            for cell in range(len(cells)):
+                rows = batch[wanted[:, cell]]
                 if len(rows):
-                    yield rows.assign(_cell=np.int64(at), _parts=np.int64(parts[at]))
-
-    wanted_type = T.StructType(
-        [queries.schema["query_id"], queries.schema["embedding"]]
-        + [T.StructField("_cell", T.LongType()), T.StructField("_parts", T.LongType())]
-    )
-    asked = queries.select("query_id", "embedding").mapInPandas(candidates, wanted_type)
-    # Items of a cell are cut into blocks; the queries of a cell into groups of their own.
-    groups = asked.groupBy("_cell").agg(F.ceil(F.count("*") / block).cast("bigint").alias("_groups"))
-    numbers = spark.createDataFrame(
-        [(int(c["_pivot"]), int(c["_ring"]), i, int(parts[i])) for i, c in enumerate(cells)],
-        "_pivot bigint, _ring bigint, _cell bigint, _parts bigint",
+                    yield rows.assign(_cell=np.int64(cell), _parts=np.int64(parts[cell]))
+
+    asked_type = T.StructType([queries.schema["query_id"], queries.schema["embedding"]] + longs("_cell", "_parts"))
+    asked = queries.select("query_id", "embedding").mapInPandas(candidates, asked_type)
+    # A cell's items are cut into parts and its queries into groups; both stay near a block.
+    groups = F.broadcast(asked.groupBy("_cell").agg(F.ceil(F.count("*") / block).cast("bigint").alias("_groups")))
+    numbers = F.broadcast(
+        spark.createDataFrame(
+            [(p, r, cell, int(parts[cell])) for (p, r), cell in cell_of.items()],
+            T.StructType(longs("_pivot", "_ring", "_cell", "_parts")),
+        )
     )
+    zero = F.lit(0).cast("bigint")
     left = (
-        asked.join(F.broadcast(groups), "_cell")
+        asked.join(groups, "_cell")
         .withColumn("_group", F.pmod(F.xxhash64("query_id"), F.col("_groups")))
-        .withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        .withColumn("_part", F.explode(F.sequence(zero, F.col("_parts") - 1)))
     )
     right = (
-        placed.join(F.broadcast(numbers), ["_pivot", "_ring"]).join(F.broadcast(groups), "_cell")
+        placed.join(numbers, ["_pivot", "_ring"]).join(groups, "_cell")
         .withColumn("_part", F.pmod(F.xxhash64("item_id"), F.col("_parts")))
-        .withColumn("_group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_groups") - 1)))
+        .withColumn("_group", F.explode(F.sequence(zero, F.col("_groups") - 1)))
     )
 
     def best(asking: pd.DataFrame, offered: pd.DataFrame) -> pd.DataFrame:
         if not len(asking) or not len(offered):
             return pd.DataFrame({"query_id": [], "item_id": [], "similarity": []})
+        offered = offered.sort_values("item_id")  # a stable sort by similarity then breaks ties by id
+        item_ids, query_ids = offered["item_id"].to_numpy(), asking["query_id"].to_numpy()
         similarity = np.round(_unit(asking["embedding"]) @ _unit(offered["embedding"]).T, 9)
-        item_ids = offered["item_id"].to_numpy()
-        found = []
-        for row, query_id in enumerate(asking["query_id"].to_numpy()):
-            order = np.lexsort((item_ids, -similarity[row]))
-            order = order[item_ids[order] != query_id][:k]
-            found.append(
-                pd.DataFrame({"query_id": query_id, "item_id": item_ids[order], "similarity": similarity[row][order]})
-            )
-        return pd.concat(found)
+        similarity[query_ids[:, None] == item_ids[None, :]] = -np.inf
+        top = np.argsort(-similarity, axis=1, kind="stable")[:, :k]
+        values = np.take_along_axis(similarity, top, axis=1)
+        found = pd.DataFrame(
+            {
+                "query_id": np.repeat(query_ids, top.shape[1]),
+                "item_id": item_ids[top].ravel(),
+                "similarity": values.ravel(),
+            }
+        )
+        return found[np.isfinite(found["similarity"])]
 
     found_type = T.StructType(
         [queries.schema["query_id"], items.schema["item_id"], T.StructField("similarity", T.DoubleType())]

@@ -229,14 +229,7 @@ GROUP BY which, evaluation_id"""
 )
 def result_filters(t: Tables) -> DataFrame:
     """Size of every result class of every run."""
-    rows = scored(t)
-    parts = None
-    for which in ("all", "correct", "incorrect", "tp", "tn", "fp", "fn"):
-        part = scoring.filter_results(rows, which).groupBy("evaluation_id").agg(
-            F.count("*").alias("results"), F.sum("image_id").alias("ids")
-        ).select(F.lit(which).alias("which"), "*")
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+    return scoring.class_sizes(scored(t))
 
 
 @query(
