@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeflow.functions.cost import PROVIDERS, estimate_cost
 from gradeflow.functions.text import as_col, half_up_ratio
@@ -46,13 +46,18 @@ def newest_first(df: DataFrame, time: str, tie: str) -> DataFrame:
 
 
 def evaluation_groups(listed: DataFrame) -> DataFrame:
-    """Runs per project and dataset with the time of the newest run at both levels."""
+    """Runs per project and dataset with the time of the newest run at both levels, newest first.
+
+    The project level is an aggregate of its own, combined partially like the
+    other, and the listing is a distributed sort: no task holds a project.
+    """
     pairs = listed.groupBy("project_name", "dataset_name").agg(
         F.count("*").cast("bigint").alias("evaluations"), F.max("created_at").alias("dataset_modified")
     )
-    # A second aggregate instead of a window over a project: it combines partially too.
     whole = pairs.groupBy("project_name").agg(F.max("dataset_modified").alias("project_modified"))
-    return salted_lookup(pairs, whole, ["project_name"], "inner")
+    return pairs.join(whole, "project_name").orderBy(
+        F.col("project_modified").desc(), "project_name", F.col("dataset_modified").desc(), "dataset_name"
+    )
 
 
 def latest_group_runs(listed: DataFrame, limit: int = MAX_COMPARED) -> DataFrame:
@@ -112,7 +117,7 @@ def project_counts(projects: DataFrame, datasets: DataFrame) -> DataFrame:
 
 def projects_with_creator(projects: DataFrame, users: DataFrame) -> DataFrame:
     creators = users.select(F.col("user_id").alias("created_by_id"), F.col("name").alias("creator_name"))
-    return salted_lookup(projects, creators, ["created_by_id"], "inner")
+    return projects.join(creators, "created_by_id")
 
 
 def merge_catalogue(configs: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -228,9 +233,3 @@ def project_fault(question_type: Column | str, options: Column | str) -> Column:
 def latest_result_per_job(jobs: DataFrame, results: DataFrame, time: str, tie: str) -> DataFrame:
     """Jobs with their latest result, NULL where there is none."""
     return jobs.join(first_by(results, ["job_id"], [F.col(time).desc(), F.col(tie).desc()]), "job_id", "left")
-
-
-def ranked_groups(groups: DataFrame) -> DataFrame:
-    """Place of each dataset within its project, newest first; groups, not runs, are ranked."""
-    order = Window.partitionBy("project_name").orderBy(F.col("dataset_modified").desc(), F.col("dataset_name"))
-    return groups.withColumn("place", F.row_number().over(order).cast("bigint"))

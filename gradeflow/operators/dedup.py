@@ -17,9 +17,9 @@ def duplicate_groups(images: DataFrame, by: Sequence[str] = GROUP) -> DataFrame:
 
 
 def kept_images(images: DataFrame, by: Sequence[str] = GROUP) -> DataFrame:
-    """The newest image per group, lowest id on a tie; a partial aggregate, no window."""
-    newest = F.max_by("image_id", F.struct(F.col("uploaded_at"), -F.col("image_id")))
-    return images.groupBy(*by).agg(newest.alias("image_id"), F.count("*").cast("bigint").alias("copies"))
+    """The newest image per group, lowest id on a tie; each task sends one per group."""
+    slim = images.select(*by, "image_id", "uploaded_at")
+    return first_by(slim, by, [F.col("uploaded_at").desc(), F.col("image_id")])
 
 
 def cleanup_plan(images: DataFrame, by: Sequence[str] = GROUP) -> DataFrame:
@@ -46,8 +46,3 @@ def check_uploads(uploads: DataFrame, images: DataFrame, order: Column) -> DataF
     clash = F.col("_taken").isNotNull() | (F.col("_place") != F.col("_first"))
     error = F.when(clash, F.lit("Duplicate file (already exists in dataset)"))
     return marked.withColumn("error", error).drop("_taken", "_place", "_first")
-
-
-def newest_per(df: DataFrame, keys: Sequence[str], time: str, tie: str) -> DataFrame:
-    """The newest row per key."""
-    return first_by(df, keys, [F.col(time).desc(), F.col(tie)])

@@ -29,26 +29,28 @@ def sample_exact(
     counted per slice of the hash range, slices wholly below the quota pass
     untouched, and only the slice where the quota ends is ranked.
     """
-    by = list(by)
-    keyed = images.withColumn("_hash", _hash_order(image_id, seed))
+    # A struct key also holds groups whose name is NULL.
+    group = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
+    keyed = images.withColumn("_hash", _hash_order(image_id, seed)).withColumn("_group", group)
     keyed = keyed.withColumn("_slice", F.substring("_hash", 1, _SLICE_DIGITS))
-    slices = keyed.groupBy(*by, "_slice").agg(F.count("*").alias("_n"))
-    group = by or [F.lit(0)]
-    upto = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = keyed.groupBy("_group", "_slice").agg(F.count("*").alias("_n"))
+    # At most 65 536 rows of a group meet in these windows.
+    whole = Window.partitionBy("_group")
+    upto = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     taken = (
-        slices.withColumn("_total", F.sum("_n").over(Window.partitionBy(*group)))
+        slices.withColumn("_total", F.sum("_n").over(whole))
         .withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
         .withColumn("_take", F.least(F.col("_n"), quota - F.col("_before")))
         .filter(F.col("_take") > 0)
     )
-    # A hot group meets the join as up to 65 536 keys, never as one.
-    whole = taken.filter(F.col("_take") == F.col("_n")).select(*by, "_slice")
-    partial = taken.filter(F.col("_take") < F.col("_n")).select(*by, "_slice", "_take")
-    rank = F.row_number().over(Window.partitionBy(*by, "_slice").orderBy("_hash", image_id))
-    edge = keyed.join(partial, [*by, "_slice"]).withColumn("_rank", rank).filter(F.col("_rank") <= F.col("_take"))
-    return (
-        keyed.join(whole, [*by, "_slice"], "left_semi").select(*images.columns).unionByName(edge.select(*images.columns))
-    )
+    # A hot group meets the joins as up to 65 536 keys, never as one.
+    keys = ["_group", "_slice"]
+    full = taken.filter(F.col("_take") == F.col("_n")).select(*keys)
+    partial = taken.filter(F.col("_take") < F.col("_n")).select(*keys, "_take")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_hash", image_id))
+    edge = keyed.join(partial, keys).withColumn("_rank", rank).filter(F.col("_rank") <= F.col("_take"))
+    columns = images.columns
+    return keyed.join(full, keys, "left_semi").select(*columns).unionByName(edge.select(*columns))
 
 
 def select_random_count(images: DataFrame, count: int, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:

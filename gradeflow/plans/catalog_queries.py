@@ -45,15 +45,14 @@ def eval_list_newest(t: Tables) -> DataFrame:
 @query(
     _LISTED + """, groups AS (SELECT project_name, dataset_name, count(*) AS evaluations, max(created_at) AS dataset_modified FROM listed GROUP BY ALL)
 SELECT project_name, dataset_name, evaluations, CAST(dataset_modified AS VARCHAR) AS dataset_modified,
-  CAST(max(dataset_modified) OVER (PARTITION BY project_name) AS VARCHAR) AS project_modified,
-  row_number() OVER (PARTITION BY project_name ORDER BY groups.dataset_modified DESC, dataset_name) AS place FROM groups"""
+  CAST(max(dataset_modified) OVER (PARTITION BY project_name) AS VARCHAR) AS project_modified FROM groups"""
 )
 def eval_groups(t: Tables) -> DataFrame:
     """Runs per project and dataset, newest first."""
-    groups = catalog.ranked_groups(catalog.evaluation_groups(_listed(t)))
+    groups = catalog.evaluation_groups(_listed(t))
     return groups.select(
         "project_name", "dataset_name", "evaluations", F.col("dataset_modified").cast("string").alias("dataset_modified"),
-        F.col("project_modified").cast("string").alias("project_modified"), "place",
+        F.col("project_modified").cast("string").alias("project_modified"),
     )
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from gradeflow.functions.paths import basename
-from gradeflow.operators import dedup, labelling, progress
+from gradeflow.operators import labelling, progress
 from gradeflow.operators.catalog import latest_result_per_job
 from gradeflow.operators.inference import Reply, Retry
+from gradeflow.operators.joins import first_by
 from gradeflow.plans.registry import query
 from gradeflow.plans.scoring_queries import results
 from gradeflow.plans.tables import Tables, with_views
@@ -57,8 +58,7 @@ FROM found AS f LEFT JOIN taken AS t USING (event_type, name)"""
 )
 def take_up_files(t: Tables) -> DataFrame:
     """Image rows for found files, renamed where the name is taken."""
-    found = dedup.newest_per(_found(t).withColumn("_age", -F.unix_micros(F.col("time_created").cast("timestamp"))),
-                             ["full_path"], "_age", "file_id").drop("_age")
+    found = first_by(_found(t), ["full_path"], ["time_created", "file_id"])
     found = found.select("full_path", "filename", "time_created", F.col("event_type").alias("dataset_id"), F.lit("p").alias("project_id"))
     before = F.expr("TIMESTAMP_NTZ '2024-01-05 00:00:00'")
     images = t.view("files").filter(F.col("time_created") < before).select(

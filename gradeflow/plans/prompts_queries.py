@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from gradeflow.functions import prompts as pr
+from gradeflow.operators.joins import first_by
 from gradeflow.plans.registry import query
 from gradeflow.plans.tables import Tables
 from gradeflow.schemas import PROMPT_CHAIN
@@ -65,6 +66,8 @@ def chain_validate(t: Tables) -> DataFrame:
         (F.col("turn") + 1).cast("int").alias("step_number"), F.lit(None).cast("string").alias("system_message"),
         F.col("text").alias("prompt"),
     )
+    # One step more than a chain may have settles the case, however long the conversation is.
+    steps = first_by(steps, ["conv_id"], ["turn"], keep=pr.MAX_STEPS + 1)
     chains = steps.groupBy("conv_id").agg(F.array_sort(F.collect_list(step)).cast(PROMPT_CHAIN).alias("chain"))
     everyone = t.given("conversations").select("conv_id").distinct()
     empty = F.array().cast(PROMPT_CHAIN)

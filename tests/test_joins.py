@@ -120,6 +120,12 @@ def test_slices_of_the_hash_range_are_ranked_exactly(spark, images, monkeypatch)
     assert got == set(by_hash([r["image_id"] for r in images.collect()], 9)[:333])
 
 
+def test_groups_without_a_name_are_sampled(spark, images):
+    named = images.withColumn("dataset_id", F.when(F.col("dataset_id") != "cold", F.col("dataset_id")))
+    got = sel.select_random_percent(named, 50, by=["dataset_id"])
+    assert got.filter("dataset_id IS NULL").count() == math.ceil(named.filter("dataset_id IS NULL").count() / 2)
+
+
 def test_empty_choices_mean_all(spark, images):
     for chosen in (
         sel.select_random_count(images, 0), sel.select_random_percent(images, 0), sel.select_manual(images, []),
