@@ -88,10 +88,19 @@ def _discounted(units: Column, pricing: Column) -> Column:
     return head + tail
 
 
-def _money(units: Column) -> Column:
+def money(units: Column) -> Column:
+    """Units of 10^-12 dollar as DECIMAL dollars."""
     return (units.cast("decimal(19,0)") * F.lit("0.000000000001").cast("decimal(12,12)")).cast(MONEY)
 
 
+def sum_money(units: Column) -> Column:
+    """Exact sum of units as DECIMAL dollars: two BIGINT sums, joined once per group."""
+    high = F.sum(whole_div(units, _UNITS_PER_MICRO)).cast("decimal(19,0)")
+    low = F.sum(units % _UNITS_PER_MICRO).cast("decimal(19,0)")
+    total = (high * F.lit(_UNITS_PER_MICRO).cast("decimal(7,0)") + low).cast("decimal(25,0)")
+    return (total * F.lit("0.000000000001").cast("decimal(12,12)")).cast("decimal(38,12)")
+
+
 def _image_units(pricing: Column) -> Column:
     return _price_units(pricing["image_price_val"]) * F.lit(_UNITS_PER_MICRO).cast("bigint")
 
@@ -118,17 +127,17 @@ def estimate_cost(
     ).when(apart, F.lit(0).cast("bigint"))
     images = F.when(apart & _per_image(pricing), image_count * _image_units(pricing)).otherwise(0)
     units = _priced((input_tokens + as_tokens, in_price), (output_tokens, out_price)) + images
-    return _money(_discounted(units, pricing))
+    return money(_discounted(units, pricing))
 
 
-def actual_cost(
+def actual_cost_units(
     provider: Column | str,
     prompt_tokens: Column,
     completion_tokens: Column,
     pricing: Column | str,
     has_image: Column | bool = False,
 ) -> Column:
-    """Cost of one finished request; 0 without pricing or for an unknown provider."""
+    """Cost of one finished request in units of 10^-12 dollar, as BIGINT."""
     provider, pricing = as_col(provider), as_col(pricing)
     has_image = F.lit(has_image) if isinstance(has_image, bool) else has_image
     by_image = has_image & provider.isin(*IMAGE_PROVIDERS) & _per_image(pricing)
@@ -139,7 +148,18 @@ def actual_cost(
     grain = F.when(provider == "vertex", _UNITS_PER_MICRO).otherwise(1).cast("bigint")
     rounded = whole_div(_discounted(units, pricing) * 2 + grain, grain * 2) * grain
     known = provider.isin(*PROVIDERS) & pricing.isNotNull()
-    return _money(F.when(known, F.coalesce(rounded, F.lit(0))).otherwise(0))
+    return F.when(known, F.coalesce(rounded, F.lit(0))).otherwise(0).cast("bigint")
+
+
+def actual_cost(
+    provider: Column | str,
+    prompt_tokens: Column,
+    completion_tokens: Column,
+    pricing: Column | str,
+    has_image: Column | bool = False,
+) -> Column:
+    """Cost of one finished request; 0 without pricing or for an unknown provider."""
+    return money(actual_cost_units(provider, prompt_tokens, completion_tokens, pricing, has_image))
 
 
 def rough_estimate(pricing: Column | str, image_count: Column) -> Column:
@@ -153,7 +173,7 @@ def rough_estimate(pricing: Column | str, image_count: Column) -> Column:
         (F.lit(ESTIMATE_INPUT_TOKENS), pricing["input_price_per_1m"]),
         (F.lit(ESTIMATE_OUTPUT_TOKENS), pricing["output_price_per_1m"]),
     ) + _price_units(pricing["image_price_val"])
-    per_image = _money(_discounted(units, pricing))
+    per_image = money(_discounted(units, pricing))
     total = (per_image * image_count.cast("decimal(14,0)")).cast("decimal(38,12)")
     return F.struct(
         F.round(total, 6).alias("estimated_cost"),

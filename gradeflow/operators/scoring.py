@@ -11,10 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeflow.functions.answers import check_answer, parse_answer
-from gradeflow.functions.cost import actual_cost
+from gradeflow.functions.cost import actual_cost_units, money, sum_money
 from gradeflow.functions.text import as_col, half_up_ratio
 from gradeflow.operators.joins import first_by
-from gradeflow.schemas import MONEY
 
 FAILURE_THRESHOLD_PERCENT = 50  # a run fails above this, not at it
 SHOWN_ERRORS = 3
@@ -41,19 +40,20 @@ def step_total(steps: Column | str, field: str) -> Column:
 def steps_cost(steps: Column | str, provider: Column | str, pricing: Column | str, has_image: bool = True) -> Column:
     """Cost of the finished steps of one row; each step is priced by itself."""
     provider, pricing = as_col(provider), as_col(pricing)
-    return F.aggregate(
-        F.coalesce(as_col(steps), F.array()),
-        F.lit(0).cast(MONEY),
-        lambda total, step: (
-            total
-            + F.when(
-                step["error"].isNull(),
-                actual_cost(provider, step["prompt_tokens"], step["completion_tokens"], pricing, has_image),
-            ).otherwise(F.lit(0).cast(MONEY))
-        ).cast(MONEY),
+    return money(
+        F.aggregate(
+            F.coalesce(as_col(steps), F.array()),
+            F.lit(0).cast("bigint"),
+            lambda total, step: total + _step_units(step, provider, pricing, has_image),
+        )
     )
 
 
+def _step_units(step: Column, provider: Column, pricing: Column, has_image: bool) -> Column:
+    units = actual_cost_units(provider, step["prompt_tokens"], step["completion_tokens"], pricing, has_image)
+    return F.when(step["error"].isNull(), units).otherwise(F.lit(0).cast("bigint"))
+
+
 def add_usage(results: DataFrame, has_image: bool = True) -> DataFrame:
     """Add prompt_tokens, completion_tokens, latency_ms and cost per row, from its steps."""
     return results.select(
@@ -65,12 +65,8 @@ def add_usage(results: DataFrame, has_image: bool = True) -> DataFrame:
     )
 
 
-def _count_if(condition: Column) -> Column:
-    return F.count_if(condition).cast("bigint")
-
-
-def outcome_counts() -> list[Column]:
-    """total, failed, successful, correct and unparsed as aggregates."""
+def _outcomes() -> dict[str, Column]:
+    """Conditions behind total, failed, successful, correct and unparsed."""
     fine = F.col("error").isNull()
     unread = fine & ~F.coalesce(
         F.col("parsed.value_bool").isNotNull()
@@ -78,27 +74,38 @@ def outcome_counts() -> list[Column]:
         | F.col("parsed.value_str").isNotNull(),
         F.lit(False),
     )
-    return [
-        F.count("*").cast("bigint").alias("total"),
-        _count_if(~fine).alias("failed"),
-        _count_if(fine).alias("successful"),
-        _count_if(F.col("is_correct")).alias("correct"),
-        _count_if(unread).alias("unparsed"),
-    ]
+    return {
+        "total": F.lit(True), "failed": ~fine, "successful": fine, "correct": F.col("is_correct"), "unparsed": unread
+    }
 
 
-def confusion_counts() -> list[Column]:
-    """tp, tn, fp, fn as aggregates; scored rows with two real booleans only."""
+def _matrix() -> dict[str, Column]:
+    """Conditions behind tp, tn, fp and fn: scored rows with two real booleans only."""
     truth, guess = F.col("ground_truth.value_bool"), F.col("parsed.value_bool")
     scored = F.col("is_correct").isNotNull() & (F.col("question_type") == "binary")
+    return {
+        "tp": scored & truth & guess, "tn": scored & ~truth & ~guess,
+        "fp": scored & ~truth & guess, "fn": scored & truth & ~guess,
+    }
+
+
+def _counts(conditions: dict[str, Column], only: Column | None = None) -> list[Column]:
+    """Counting aggregates; ``only`` marks the rows that count."""
     return [
-        _count_if(scored & truth & guess).alias("tp"),
-        _count_if(scored & ~truth & ~guess).alias("tn"),
-        _count_if(scored & ~truth & guess).alias("fp"),
-        _count_if(scored & truth & ~guess).alias("fn"),
+        F.count_if(c if only is None else c & only).cast("bigint").alias(name) for name, c in conditions.items()
     ]
 
 
+def outcome_counts() -> list[Column]:
+    """total, failed, successful, correct and unparsed as aggregates."""
+    return _counts(_outcomes())
+
+
+def confusion_counts() -> list[Column]:
+    """tp, tn, fp and fn as aggregates."""
+    return _counts(_matrix())
+
+
 def accuracy(correct: Column | str, successful: Column | str) -> Column:
     correct, successful = as_col(correct), as_col(successful)
     return F.coalesce(F.try_divide(correct, successful), F.lit(0.0)).cast("double")
@@ -114,20 +121,30 @@ def percent_2dp(part: Column | str, whole: Column | str) -> Column:
     return half_up_ratio(as_col(part), as_col(whole), scale=2, factor=100)
 
 
-def summarize(results: DataFrame, by: Sequence[str] = ("evaluation_id",), usage: bool = False) -> DataFrame:
+def summarize(
+    results: DataFrame, by: Sequence[str] = ("evaluation_id",), usage: str | None = None, has_image: bool = True
+) -> DataFrame:
     """One row per run: counts, accuracy, status, confusion matrix, and usage on request.
 
-    A single grouped aggregation; partial counts are taken before the shuffle,
-    so a run with a third of all results costs one row per task.
+    ``usage`` is "columns" when rows carry prompt_tokens, completion_tokens and
+    cost, or "steps" to take them from the steps.  Either way it is a single
+    grouped aggregation; partial results are formed before the shuffle, so a run
+    with a third of all rows costs one row per task.
     """
-    measures = outcome_counts() + confusion_counts()
-    if usage:
-        measures += [
-            F.sum("prompt_tokens").cast("bigint").alias("prompt_tokens"),
-            F.sum("completion_tokens").cast("bigint").alias("completion_tokens"),
-            F.round(F.sum("cost"), 4).cast("decimal(20,4)").alias("actual_cost"),
-        ]
-    out = results.groupBy(*by).agg(*measures)
+    by, conditions = list(by), {**_outcomes(), **_matrix()}
+    if usage == "steps":
+        # Steps are laid out as rows, and a result is counted at its first step.
+        needed = [*by, "question_type", "error", "parsed", "is_correct", "ground_truth", "provider", "pricing"]
+        rows = results.select(*dict.fromkeys(needed), F.posexplode_outer("steps").alias("_at", "_step"))
+        first = F.coalesce(F.col("_at") == 0, F.lit(True))
+        step = F.col("_step")
+        units = F.when(step.isNotNull(), _step_units(step, F.col("provider"), F.col("pricing"), has_image))
+        measures = _counts(conditions, first) + _usage(step["prompt_tokens"], step["completion_tokens"], sum_money(units))
+    else:
+        rows, measures = results, _counts(conditions)
+        if usage == "columns":
+            measures += _usage(F.col("prompt_tokens"), F.col("completion_tokens"), F.sum("cost"))
+    out = rows.groupBy(*by).agg(*measures)
     out = out.select(
         "*",
         accuracy("correct", "successful").alias("accuracy"),
@@ -146,6 +163,16 @@ def summarize(results: DataFrame, by: Sequence[str] = ("evaluation_id",), usage:
     return out
 
 
+def _usage(prompt: Column, completion: Column, cost: Column) -> list[Column]:
+    def total(tokens: Column) -> Column:
+        return F.coalesce(F.sum(tokens), F.lit(0)).cast("bigint")
+
+    actual = F.coalesce(F.round(cost, 4), F.lit(0)).cast("decimal(20,4)")
+    return [
+        total(prompt).alias("prompt_tokens"), total(completion).alias("completion_tokens"), actual.alias("actual_cost")
+    ]
+
+
 def first_errors(results: DataFrame, by: Sequence[str] = ("evaluation_id",), shown: int = SHOWN_ERRORS) -> DataFrame:
     """First error messages per run, joined by "; ", with the number left out."""
     by = list(by)
@@ -173,7 +200,7 @@ def failure_messages(results: DataFrame, by: Sequence[str] = ("evaluation_id",))
     """Message of every run that failed: rate, counts and its first errors."""
     by = list(by)
     counts = results.groupBy(*by).agg(
-        F.count("*").cast("bigint").alias("total"), _count_if(F.col("error").isNotNull()).alias("failed")
+        F.count("*").cast("bigint").alias("total"), F.count_if(F.col("error").isNotNull()).alias("failed")
     )
     failed = counts.filter(run_status("failed", "total") == "failed")
     rate = F.format_string("%.1f", half_up_ratio(F.col("failed"), F.col("total"), scale=1, factor=100))
@@ -258,8 +285,8 @@ def accuracy_trend(results: DataFrame, time: str, unit: str = "day", by: Sequenc
         results.withColumn("period", F.date_trunc(unit, F.col(time)))
         .groupBy(*by, "period")
         .agg(
-            _count_if(F.col("error").isNull()).alias("successful"),
-            _count_if(F.col("is_correct")).alias("correct"),
+            F.count_if(F.col("error").isNull()).alias("successful"),
+            F.count_if(F.col("is_correct")).alias("correct"),
         )
     )
     daily = daily.withColumn("accuracy_percent", percent_2dp("correct", "successful"))
@@ -273,6 +300,6 @@ def confidence_histogram(results: DataFrame, confidence: str, bins: int = 10, by
     bucket = F.least(F.width_bucket(F.col(confidence), F.lit(0.0), F.lit(1.0), F.lit(bins)), F.lit(bins))
     counts = results.filter(F.col(confidence).isNotNull()).groupBy(*by, bucket.cast("bigint").alias("bin")).agg(
         F.count("*").cast("bigint").alias("total"),
-        _count_if(F.col("is_correct")).alias("correct"),
+        F.count_if(F.col("is_correct")).alias("correct"),
     )
     return counts.withColumn("accuracy_percent", percent_2dp("correct", "total"))

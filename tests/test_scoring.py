@@ -25,8 +25,15 @@ def run(spark, rows):
     return scoring.score(spark.createDataFrame(data, SCHEMA))
 
 
+def both_ways(results):
+    """The summary from the steps, which must equal the one from per-row columns."""
+    steps = scoring.summarize(results, usage="steps").first()
+    assert steps == scoring.summarize(scoring.add_usage(results), usage="columns").first()
+    return steps
+
+
 def summary(spark, rows):
-    return scoring.summarize(scoring.add_usage(run(spark, rows)), usage=True).first()
+    return both_ways(run(spark, rows))
 
 
 def test_all_correct(spark):
@@ -83,7 +90,7 @@ def test_matrix_is_null_unless_binary(spark):
 
 def test_steps_finished_before_a_failure_are_paid(spark):
     rows = [("a", 1, "f", "binary", None, (True, None, None), [(1, "x", 5, 1_000_000, 0, 1, None)], "step 2", "openai", PRICES)]
-    got = scoring.summarize(scoring.add_usage(scoring.score(spark.createDataFrame(rows, SCHEMA))), usage=True).first()
+    got = both_ways(scoring.score(spark.createDataFrame(rows, SCHEMA)))
     assert (got["failed"], got["actual_cost"], got["prompt_tokens"]) == (1, Decimal("1.0000"), 1_000_000)
 
 
