@@ -89,6 +89,22 @@ def substitute_text(prompt: str, outputs: dict[int, str]) -> str:
     return prompt
 
 
+def replay_prompts(chain: Column | str, steps: Column | str) -> Column:
+    """The prompts that were sent, out of a stored chain and the outputs of its steps.
+
+    Step n sees the outputs of steps 1 to n-1; a step after a failed one was
+    never sent and gives no prompt.
+    """
+    chain, steps = as_col(chain), as_col(steps)
+    sent = []
+    for number in range(1, MAX_STEPS + 1):
+        before = [(m, F.get(steps, F.lit(m - 1))["raw_output"]) for m in range(1, number)]
+        prompt = substitute(F.get(chain, F.lit(number - 1))["prompt"], before)
+        reached = (F.size(steps) >= number - 1) & (F.size(chain) >= number)
+        sent.append(F.when(reached, prompt))
+    return F.array_compact(F.array(*sent))
+
+
 def chain_error(chain: Column | str) -> Column:
     """First fault of a prompt chain as a message, else NULL.  NULL chains are fine."""
     chain = as_col(chain)

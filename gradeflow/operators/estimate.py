@@ -1,25 +1,71 @@
-"""Estimates from a small sample of a dataset."""
+"""Cost of a run before it starts, and against what it did cost."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Sequence
 
-from gradeflow.functions.text import half_up_ratio
+from pyspark.sql import Column, DataFrame, functions as F
+
+from gradeflow.functions.cost import estimate_cost, image_tokens, text_tokens
+from gradeflow.functions.text import as_col
 from gradeflow.operators.joins import first_by
 
 SAMPLE_SIZE = 5
+EXPECTED_OUTPUT_TOKENS = 100
+
+
+def chain_input_text(chain: Column | str, system_message: Column, question: Column) -> Column:
+    """All prompt text of a run: the chain's system messages and prompts, or the single prompt."""
+    chain = as_col(chain)
 
+    def lines(field: str) -> Column:
+        return F.array_join(F.transform(chain, lambda step: F.concat(F.coalesce(step[field], F.lit("")), F.lit("\n"))), "")
 
-def sampled_mean(images: DataFrame, by: str, order: str, value: str, size: int = SAMPLE_SIZE) -> DataFrame:
-    """Mean of ``value`` over the first images of a group, times the size of the group.
+    question = F.coalesce(question, F.lit(""))
+    single = F.concat(F.coalesce(system_message, F.lit("")), F.lit("\n"), question)
+    return F.when(F.size(chain) > 0, F.concat(lines("system_message"), lines("prompt"), question)).otherwise(single)
 
-    Images without a value (they could not be read) leave the sample smaller.
-    The sample is cut in every task before it is shuffled.
+
+def sampled_estimate(
+    images: DataFrame, by: Sequence[str], input_text: Column, size: int = SAMPLE_SIZE, order: str = "image_id"
+) -> DataFrame:
+    """Estimated cost per group: text cost plus the mean image cost of its first images, times its size.
+
+    ``images`` has provider and pricing, width and height (NULL where an image
+    cannot be read, which leaves it at the provider's fallback) and ``readable``,
+    false where it could not be fetched, which leaves it out of the sample.
+    Groups are keyed by run or dataset; the sample is cut in every task before
+    it is shuffled.
     """
-    counts = images.groupBy(by).agg(F.count("*").cast("bigint").alias("image_count"))
-    sample = first_by(images.select(by, order, value), [by], [F.col(order)], keep=size)
-    sums = sample.groupBy(by).agg(
-        F.count(value).cast("bigint").alias("sampled"), F.sum(value).cast("bigint").alias("_sum")
+    by = list(by)
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    provider, pricing = F.col("provider"), F.col("pricing")
+    text = estimate_cost(provider, text_tokens(input_text), F.lit(EXPECTED_OUTPUT_TOKENS).cast("bigint"), none, none, pricing)
+    image = estimate_cost(provider, none, none, image_tokens(provider, F.col("width"), F.col("height")), one, pricing)
+    counts = images.groupBy(*by).agg(
+        F.count("*").cast("bigint").alias("image_count"), F.any_value(text).alias("text_cost_per_request")
+    )
+    head = first_by(
+        images.select(*by, order, "provider", "pricing", "width", "height", "readable"), by, [F.col(order)], keep=size
+    )
+    sample = head.filter("readable").groupBy(*by).agg(
+        F.count("*").cast("bigint").alias("sampled_images"), F.sum(image).alias("_cost")
+    )
+    mean = F.coalesce(F.try_divide(F.col("_cost"), F.col("sampled_images")), F.lit(0)).cast("decimal(24,12)")
+    total = (F.col("text_cost_per_request") + mean).cast("decimal(24,12)") * F.col("image_count").cast("decimal(12,0)")
+    return counts.join(sample, by, "left").select(
+        *by,
+        "image_count",
+        F.coalesce("sampled_images", F.lit(0)).cast("bigint").alias("sampled_images"),
+        F.round(F.col("text_cost_per_request"), 6).alias("text_cost_per_request"),
+        F.round(mean, 6).alias("avg_cost_per_image"),
+        F.round(total, 4).alias("estimated_cost"),
+    )
+
+
+def estimate_against_actual(estimates: DataFrame, summaries: DataFrame, by: Sequence[str] = ("evaluation_id",)) -> DataFrame:
+    """Estimated and actual cost per run, and their difference; a run without results has no actual cost."""
+    actual = summaries.select(*by, "actual_cost")
+    return estimates.join(actual, list(by), "left").withColumn(
+        "difference", F.round(F.col("actual_cost") - F.col("estimated_cost"), 4)
     )
-    estimate = half_up_ratio(F.col("_sum") * F.col("image_count"), F.col("sampled"), scale=0).cast("bigint")
-    return counts.join(sums, by).select(by, "image_count", "sampled", estimate.alias("estimated_tokens"))

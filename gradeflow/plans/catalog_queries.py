@@ -68,8 +68,13 @@ def latest_group(t: Tables) -> DataFrame:
 
 @query(
     with_views("answers") + PARSED_SQL
-    + """, s AS (SELECT evaluation_id, count(*) AS total, count(*) FILTER (is_correct) AS correct, count(error) AS failed FROM judged GROUP BY ALL)
-SELECT r.evaluation_id, total, correct, failed, m.provider AS provider, m.model_name AS model_name
+    + """, s AS (SELECT evaluation_id, count(*) AS total, count(*) FILTER (is_correct) AS correct, count(error) AS failed,
+    CASE WHEN 2 * count(error) > count(*) THEN 'failed' ELSE 'completed' END AS status,
+    count(*) FILTER (is_correct IS NOT NULL AND truth_bool AND p_bool) AS tp, count(*) FILTER (is_correct IS NOT NULL AND NOT truth_bool AND p_bool) AS fp,
+    CAST(sum(CASE WHEN has_step1 THEN prompt1 + completion1 ELSE 0 END + CASE WHEN has_step2 THEN prompt2 + completion2 ELSE 0 END) AS BIGINT) AS total_tokens
+  FROM judged GROUP BY ALL)
+SELECT r.evaluation_id, status, total, correct, failed, tp, fp, total_tokens, 'Is it so?' AS prompt, m.provider AS provider, m.model_name AS model_name,
+  CASE WHEN m.provider IS NOT NULL THEN CAST(0.5 AS DOUBLE) END AS temperature
 FROM (SELECT DISTINCT evaluation_id, split_part(evaluation_id, '@', 1) AS model_id FROM answers WHERE project_id = 'en') AS r
 JOIN s USING (evaluation_id) LEFT JOIN (SELECT * FROM models WHERE provider <> 'openai') AS m USING (model_id)"""
 )
@@ -77,13 +82,16 @@ def eval_compare(t: Tables) -> DataFrame:
     """Six runs of one project side by side; one has lost its model configuration."""
     runs = t.view("answers").select(
         "evaluation_id", F.substring_index("evaluation_id", "@", 1).alias("model_config_id"), "project_id"
-    ).distinct()
+    ).distinct().withColumn("prompt", F.lit("Is it so?"))
     models = t.view("models").filter(F.col("provider") != "openai").select(
-        F.col("model_id").alias("model_config_id"), "provider", "model_name"
+        F.col("model_id").alias("model_config_id"), "provider", "model_name", F.lit(0.5).alias("temperature")
     )
     chosen = runs.filter(F.col("project_id") == "en").select("evaluation_id")
-    compared = catalog.compare_runs(scoring.summarize(scored(t)), runs, models, chosen)
-    return compared.select("evaluation_id", "total", "correct", "failed", "provider", "model_name")
+    compared = catalog.compare_runs(scoring.summarize(scored(t), usage="steps"), runs, models, chosen)
+    return compared.select(
+        "evaluation_id", "status", "total", "correct", "failed", "tp", "fp", "total_tokens", "prompt", "provider",
+        "model_name", "temperature",
+    )
 
 
 @query(

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from gradeflow.functions import prompts as pr
 from gradeflow.operators.joins import first_by
 from gradeflow.plans.registry import query
-from gradeflow.plans.tables import Tables
+from gradeflow.plans.scoring_queries import results
+from gradeflow.plans.tables import Tables, with_views
 from gradeflow.schemas import PROMPT_CHAIN
 
 _TYPES = (
@@ -114,3 +115,20 @@ def resolve_chains(t: Tables) -> DataFrame:
         "doc_id", size.alias("steps"), F.get("chain", F.lit(0))["system_message"].alias("system_message"),
         F.get("chain", size - 1)["prompt"].alias("last_prompt"),
     )
+
+
+@query(
+    with_views("answers")
+    + """SELECT evaluation_id, image_id, CASE WHEN has_step1 THEN 'Describe it. | Given step one, is it ' || project_id || '?' ELSE 'Describe it.' END AS prompts
+FROM answers"""
+)
+def replay_prompts(t: Tables) -> DataFrame:
+    """The prompts every stored result was asked, out of its chain and step outputs."""
+    chain = F.array(
+        F.struct(F.lit("Describe it.").alias("prompt")),
+        F.struct(F.concat(F.lit("Given {output1}, is it "), F.col("project_id"), F.lit("?")).alias("prompt")),
+    )
+    rows = results(t).withColumn("chain", chain)
+    return rows.select(
+        "evaluation_id", "image_id", F.array_join(pr.replay_prompts("chain", "steps"), " | ").alias("prompts")
+    )

@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeflow.functions import answers as fa, cost as fc
 from gradeflow.functions.text import strip
-from gradeflow.operators import scoring
+from gradeflow.operators import estimate, scoring
 from gradeflow.operators.ordering import page
 from gradeflow.plans.registry import query
 from gradeflow.plans.tables import Tables, with_views
 from gradeflow.schemas import ANSWER, PRICING, STEPS
+from gradeflow.session import new_work_path
+from gradeflow.sources.label_csv import write_results
 
 
 def pricing_struct() -> Column:
@@ -385,20 +387,86 @@ def rough_estimate(t: Tables) -> DataFrame:
     )
 
 
+# Sizes out of the file size; one image in nine cannot be read, one in seven not be fetched.
+_SIZED = (
+    "CASE WHEN file_size % 9 <> 0 THEN file_size % 3000 + 1 END AS width",
+    "CASE WHEN file_size % 9 <> 0 THEN file_size % 1700 + 1 END AS height", "file_size % 7 <> 0 AS readable",
+)
+
+
 @query(
     with_views("images", "models")
-    + """SELECT dataset_id, count(*) AS image_count, CAST(count(*) FILTER (place <= 5) AS BIGINT) AS sampled,
-       CAST(((2 * count(*) * sum(area) FILTER (place <= 5) + count(*) FILTER (place <= 5)) // (2 * count(*) FILTER (place <= 5))) AS BIGINT) AS estimated_tokens
-FROM (SELECT dataset_id, (file_size + 749) // 750 AS area,
-             row_number() OVER (PARTITION BY dataset_id ORDER BY image_id) AS place FROM images) AS s
-GROUP BY dataset_id"""
+    + f""", sized AS (SELECT *, {", ".join(_SIZED)}, row_number() OVER (PARTITION BY dataset_id ORDER BY image_id) AS place,
+    count(*) OVER (PARTITION BY dataset_id) AS n FROM images),
+fitted AS (SELECT *, CASE WHEN greatest(width, height) > 2048 THEN floor(width * least(2048.0::DOUBLE / width, 2048.0::DOUBLE / height)) ELSE width END AS w1,
+                  CASE WHEN greatest(width, height) > 2048 THEN floor(height * least(2048.0::DOUBLE / width, 2048.0::DOUBLE / height)) ELSE height END AS h1 FROM sized WHERE place <= 5),
+short AS (SELECT *, least(w1, h1) AS s, greatest(w1, h1) AS l FROM fitted),
+tiled AS (SELECT *, CAST(ceil(least(s, 768) / 512) * ceil(CASE WHEN s > 768 THEN floor(l * (768.0::DOUBLE / s)) ELSE l END / 512) * 170 + 85 AS BIGINT) AS tiles FROM short),
+asked AS (SELECT t.*, m.*, CAST(0 AS HUGEINT) AS tokens_in, CAST(0 AS HUGEINT) AS tokens_out, CAST(1 AS HUGEINT) AS images,
+    CAST(CASE provider WHEN 'openai' THEN coalesce(tiles, 765) WHEN 'anthropic' THEN coalesce((width * height + 749) // 750, 1600) ELSE 258 END AS HUGEINT) AS image_tokens
+  FROM tiled AS t CROSS JOIN models AS m WHERE readable),
+sampled AS (SELECT dataset_id, model_id, count(*) AS sampled_images, sum({_ESTIMATE_SQL}) AS cost FROM asked GROUP BY ALL),
+texts AS (SELECT d.dataset_id, d.n, model_id, {_ESTIMATE_SQL} AS text_cost
+  FROM (SELECT DISTINCT dataset_id, n FROM sized) AS d
+  CROSS JOIN (SELECT *, CAST(13 AS HUGEINT) AS tokens_in, CAST(100 AS HUGEINT) AS tokens_out, CAST(0 AS HUGEINT) AS images, CAST(0 AS HUGEINT) AS image_tokens FROM models) AS m),
+means AS (SELECT dataset_id, model_id, n, coalesce(sampled_images, 0) AS sampled_images, text_cost,
+    coalesce((2 * cost + sampled_images) // (2 * sampled_images), 0) AS mean FROM texts LEFT JOIN sampled USING (dataset_id, model_id))
+SELECT dataset_id, model_id, n AS image_count, CAST(sampled_images AS BIGINT) AS sampled_images,
+  ((text_cost + 500000) // 1000000) / CAST(1000000 AS DOUBLE) AS text_cost_per_request, ((mean + 500000) // 1000000) / CAST(1000000 AS DOUBLE) AS avg_cost_per_image,
+  (((text_cost + mean) * n + 50000000) // 100000000) / CAST(10000 AS DOUBLE) AS estimated_cost FROM means"""
 )
 def sampled_estimate(t: Tables) -> DataFrame:
-    """Image tokens of a dataset from the mean of its first five images."""
-    from gradeflow.operators.estimate import sampled_mean
+    """Estimate per dataset and model, from the first five images of each dataset."""
+    images = t.per_model(t.view("images").selectExpr("dataset_id", "image_id", *_SIZED))
+    images = images.withColumn("pricing", pricing_struct())
+    text = estimate.chain_input_text(
+        F.lit(None).cast("array<struct<system_message: string, prompt: string>>"), F.lit("Reply only true or false."),
+        F.lit("Is there a dog in the image?"),
+    )
+    estimates = estimate.sampled_estimate(images, ["dataset_id", "model_id"], text)
+    numbers = ("text_cost_per_request", "avg_cost_per_image", "estimated_cost")
+    return estimates.withColumns({c: F.col(c).cast("double") for c in numbers})
+
+
+@query(
+    with_views("answers", "images")
+    + f""", sizes AS (SELECT project_id, count(*) AS n FROM images GROUP BY project_id),
+estimates AS (SELECT model_id || '@' || project_id AS evaluation_id, ((({_ROUGH_SQL} * n) + 500000) // 1000000) / CAST(1000000 AS DOUBLE) AS estimated_cost
+  FROM sizes CROSS JOIN models),
+actual AS (SELECT evaluation_id, ((sum(CASE WHEN has_step1 THEN {cost_sql("prompt1", "completion1")} ELSE 0 END
+    + CASE WHEN has_step2 THEN {cost_sql("prompt2", "completion2")} ELSE 0 END) + 50000000) // 100000000) / CAST(10000 AS DOUBLE) AS actual_cost
+  FROM answers GROUP BY evaluation_id)
+SELECT evaluation_id, estimated_cost, actual_cost, round(actual_cost - estimated_cost, 4) AS difference FROM estimates LEFT JOIN actual USING (evaluation_id)"""
+)
+def estimate_vs_actual(t: Tables) -> DataFrame:
+    """What every run was to cost, and what it did cost."""
+    counts = t.view("images").groupBy("project_id").agg(F.count("*").alias("n"))
+    priced = t.per_model(counts).withColumn("pricing", pricing_struct())
+    run = F.concat_ws("@", "model_id", "project_id").alias("evaluation_id")
+    estimates = priced.select(run, fc.rough_estimate("pricing", F.col("n"))["estimated_cost"].alias("estimated_cost"))
+    compared = estimate.estimate_against_actual(estimates, scoring.summarize(scored(t), usage="steps"))
+    return compared.withColumns(
+        {
+            "estimated_cost": F.col("estimated_cost").cast("double"), "actual_cost": F.col("actual_cost").cast("double"),
+            "difference": F.round(F.col("actual_cost").cast("double") - F.col("estimated_cost").cast("double"), 4),
+        }
+    )
+
 
-    images = t.view("images").withColumn("tokens", fc.area_tokens("file_size", F.lit(1)))
-    return sampled_mean(images, "dataset_id", "image_id", "tokens")
+@query(
+    with_views("answers") + PARSED_SQL
+    + """SELECT evaluation_id, CAST(image_id AS VARCHAR) AS image_id, model_response, CAST(is_correct AS VARCHAR) AS is_correct, error FROM judged"""
+)
+def results_export(t: Tables) -> DataFrame:
+    """Results written as CSV and read back."""
+    path = new_work_path(t.spark, "results")
+    rows = scored(t).select("evaluation_id", "image_id", "model_response", "is_correct", "error", "steps")
+    write_results(rows, path)
+    back = t.spark.read.csv(
+        path, header=True, quote='"', escape='"',
+        schema="evaluation_id string, image_id string, model_response string, is_correct string, error string, steps string",
+    )
+    return back.drop("steps")
 
 
 _RAW = {

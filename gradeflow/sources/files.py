@@ -30,6 +30,14 @@ def read_bytes(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", "content")
 
 
+def with_bytes(images: DataFrame, stored: DataFrame) -> DataFrame:
+    """Images with their content, joined by storage path; absent files give NULL.
+
+    Paths are unique on both sides, so the bytes are shuffled evenly, once.
+    """
+    return images.join(stored.withColumnRenamed("path", "storage_path"), "storage_path", "left")
+
+
 def stream_folder(spark: SparkSession, folder: str, max_files: int = 10_000) -> DataFrame:
     """Arriving files as a stream of listing rows."""
     schema = T.StructType.fromDDL("path string, modificationTime timestamp, length bigint, content binary")
