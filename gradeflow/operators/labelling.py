@@ -31,6 +31,11 @@ def scan_files(
     return found
 
 
+def by_arrival(found: DataFrame) -> DataFrame:
+    """Found files in the order they came, oldest first."""
+    return found.orderBy("time_created", "full_path")
+
+
 def new_paths_only(found: DataFrame, known_paths: DataFrame) -> DataFrame:
     """Drop files that the overlap finds again, and repeats within a scan."""
     fresh = found.join(known_paths.select("full_path"), "full_path", "left_anti")

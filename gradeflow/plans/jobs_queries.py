@@ -67,6 +67,15 @@ def take_up_files(t: Tables) -> DataFrame:
     return labelling.take_up(found, images).select("full_path", "original_name", "storage_path")
 
 
+@query(
+    with_views("files")
+    + f"""SELECT file_id, object_name FROM files WHERE {_SCANNED} ORDER BY time_created, object_name LIMIT 50"""
+)
+def scan_oldest(t: Tables) -> DataFrame:
+    """The fifty files that came first after the mark."""
+    return labelling.by_arrival(_found(t)).limit(50).select("file_id", "object_name")
+
+
 _RUNS = """, per_run AS (
   SELECT job_id, date_trunc('day', time_created)::VARCHAR AS run_id, count(*) AS images_discovered,
     count(*) FILTER (size >= 1000) AS images_ingested, count(*) FILTER (size >= 1000 AND event_type <> 'error') AS images_labeled,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from gradeflow.operators import imaging, inference as inf, similarity as sim
+from gradeflow.plans.annotations_queries import _IMPORT_SQL, _import, _truth_answers
 from gradeflow.plans.registry import query
 from gradeflow.plans.tables import Tables, with_views
 from gradeflow.session import new_work_path
@@ -183,20 +184,60 @@ def few_shot_prompts(t: Tables) -> DataFrame:
 # --- files on disk ---------------------------------------------------------
 
 
+def _write_import_files(t: Tables) -> str:
+    """Import rows as CSV files, in row order; the third column holds each row's number in its file."""
+    path = new_work_path(t.spark, "import")
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + label_csv.FIRST_ROW
+    rows = t.view("import_rows").select("row_no", "image_filename", "annotation_value")
+    rows.repartitionByRange(8, "row_no").sortWithinPartitions("row_no").select(
+        "image_filename", "annotation_value", place.alias("dataset_name")
+    ).write.csv(
+        path, header=True, quote='"', escape='"', emptyValue="", nullValue="",
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    )
+    return path
+
+
 @query(
     with_views("import_rows")
-    + """SELECT row_no, image_filename, CASE WHEN annotation_value <> '' THEN annotation_value END AS annotation_value
+    + """SELECT image_filename, CASE WHEN annotation_value <> '' THEN annotation_value END AS annotation_value, TRUE AS in_place
 FROM import_rows"""
 )
 def csv_import_rows(t: Tables) -> DataFrame:
-    """Import rows written as one CSV file and read back with their row numbers."""
-    path = new_work_path(t.spark, "import")
-    rows = t.view("import_rows").select("row_no", "image_filename", "annotation_value", "dataset_name")
-    rows.coalesce(1).sortWithinPartitions("row_no").drop("row_no").write.csv(
-        path, header=True, quote='"', escape='"', emptyValue="", nullValue="",
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    """Import rows read from CSV files, each with its row number in its file."""
+    rows = label_csv.read_import_rows(t.spark, _write_import_files(t))
+    return rows.select(
+        "image_filename", "annotation_value", (F.col("row_no") == F.col("dataset_name").cast("bigint")).alias("in_place")
+    )
+
+
+@query("SELECT count(*) AS rows FROM documents")
+def csv_row_count(t: Tables) -> DataFrame:
+    """Data rows of the import files."""
+    return label_csv.count_rows(t.spark, _write_import_files(t))
+
+
+@query(_IMPORT_SQL + "SELECT row_no, error FROM outcomes WHERE outcome = 'error'")
+def csv_error_report(t: Tables) -> DataFrame:
+    """The error report of an import, written and read back."""
+    path = new_work_path(t.spark, "errors")
+    label_csv.write_error_report(_import(t).errors(), path)
+    return t.spark.read.csv(path, header=True, quote='"', escape='"', schema="row_no bigint, error string")
+
+
+@query("SELECT 'c' || s_suppkey AS model_config_id, s_name AS name, CAST(s_nationkey AS DOUBLE) AS price FROM supplier")
+def json_config_export(t: Tables) -> DataFrame:
+    """Model configurations exported without their keys, and read back."""
+    path = new_work_path(t.spark, "configs")
+    configs = t.given("supplier").select(
+        F.expr("'c' || s_suppkey").alias("model_config_id"), F.col("s_name").alias("name"), F.lit("secret").alias("api_key"),
+        F.struct(F.col("s_nationkey").alias("input_price_per_1m")).alias("pricing"),
+    )
+    sc.write_model_configs(configs, path)
+    back = t.spark.read.json(path)
+    return back.select(
+        *[c for c in back.columns if c != "pricing"], F.col("pricing.input_price_per_1m").cast("double").alias("price")
     )
-    return label_csv.read_import_rows(t.spark, path).select("row_no", "image_filename", "annotation_value")
 
 
 @query(
@@ -208,7 +249,6 @@ FROM images LEFT JOIN truths USING (image_id)"""
 def csv_export(t: Tables) -> DataFrame:
     """The annotation export as CSV files, read back."""
     from gradeflow.operators.annotations import export_annotations
-    from gradeflow.plans.annotations_queries import _truth_answers
 
     path = new_work_path(t.spark, "export")
     label_csv.write_export(export_annotations(t.view("images"), _truth_answers(t), F.col("question_type")), path)

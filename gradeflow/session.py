@@ -53,14 +53,14 @@ def new_work_path(spark: SparkSession, name: str) -> str:
     return f"{durable_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def freeze(df: DataFrame) -> DataFrame:
+def freeze(df: DataFrame, name: str = "frozen") -> DataFrame:
     """Write ``df`` once to the durable folder and go on from the copy.
 
     Needed where rows get an attribute that a recomputation could assign
     differently (range boundaries, partition ids) and that is then read twice.
-    The copy outlives lost executors.
+    The copy is a columnar table: it is written in one pass, outlives lost
+    executors, and later reads take only the columns they use.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(durable_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    path = new_work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

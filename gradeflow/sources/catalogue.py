@@ -33,8 +33,8 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
 
 def read_model_configs(spark: SparkSession, path: str) -> DataFrame:
     """Items of a configuration export, ready for the import."""
-    head = spark.read.text(path, wholetext=True).select(F.substring(F.ltrim("value", F.lit(" \t\r\n﻿")), 1, 1))
-    if any(row[0] != "[" for row in head.collect()):  # one character per file
+    first = F.substring(F.ltrim("value", F.lit(" \t\r\n\ufeff")), 1, 1)
+    if spark.read.text(path, wholetext=True).filter(first != "[").limit(1).count():
         raise CatalogueFormatError("JSON root must be a list of model objects")
     items = spark.read.json(path, schema=CONFIGS, multiLine=True).drop("_corrupt_record")
     return items.withColumnsRenamed({"id": "model_config_id", "pricing_config": "pricing"})

@@ -56,9 +56,10 @@ def read_import_rows(
     return placed.join(offsets, ["_file", "_start"]).select(row_no.cast("bigint").alias("row_no"), *kept)
 
 
-def count_import_rows(spark: SparkSession, path: str, multi_line: bool = False) -> int:
-    """Records of the file, header excluded; line breaks inside quotes do not count."""
-    return spark.read.csv(path, header=True, multiLine=multi_line, quote='"', escape='"').count()
+def count_rows(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Records of the file, header excluded, as one row; line breaks inside quotes do not count."""
+    records = spark.read.csv(path, header=True, multiLine=multi_line, quote='"', escape='"')
+    return records.agg(F.count("*").cast("bigint").alias("rows"))
 
 
 # Spark's CSV writer would otherwise strip values.

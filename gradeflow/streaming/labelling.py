@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gradeflow.functions.answers import parse_answer
 from gradeflow.operators.inference import Predictor, Retry, run_inference
-from gradeflow.operators.labelling import run_counters
+from gradeflow.operators.labelling import high_water_mark, run_counters
 
 RESULTS, RUNS, FILES = "results", "runs", "files"
 DEFAULT_INTERVAL = "15 minutes"
@@ -23,12 +24,13 @@ def label_batch(
     question_type: str,
     predictor: Callable[[], Predictor],
     retry: Retry = Retry(),
+    parallel_calls: int | None = None,
 ) -> DataFrame:
     """One prompt per file; a failing row has response "", no answer and its error."""
     chain = F.array(
         F.struct(F.lit(1).alias("step_number"), system_message.alias("system_message"), question.alias("prompt"))
     )
-    answered = run_inference(files, chain, predictor, payload=["full_path"], retry=retry)
+    answered = run_inference(files, chain, predictor, ["full_path"], retry, parallel_calls)
     step = F.get("steps", F.lit(0))
     return answered.select(
         *files.columns,
@@ -40,10 +42,13 @@ def label_batch(
 
 
 def _existing(spark: SparkSession, path: str, columns: list[str]) -> DataFrame | None:
-    """A table another batch may not have written yet."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return spark.read.parquet(path).select(*columns) if system.exists(hadoop_path) else None
+    """A table that no batch may have written yet."""
+    try:
+        return spark.read.parquet(path).select(*columns)
+    except AnalysisException as problem:
+        if problem.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def label_stream(
@@ -56,6 +61,7 @@ def label_stream(
     system_message: str | None = None,
     retry: Retry = Retry(),
     every: str | None = None,
+    parallel_calls: int | None = None,
 ) -> StreamingQuery:
     """Label every discovered file once and keep results and run counters under ``sink``.
 
@@ -74,18 +80,15 @@ def label_stream(
         if done is not None:
             earlier = done.filter(F.col("batch") != batch_id).select(*RESULT_KEY)
             fresh = fresh.join(earlier, list(RESULT_KEY), "left_anti")
-        labelled = label_batch(fresh, question_column, message, question_type, predictor, retry)
+        labelled = label_batch(fresh, question_column, message, question_type, predictor, retry, parallel_calls)
         target = f"{sink}/{RESULTS}/batch={batch_id}"
         labelled.write.mode("overwrite").parquet(target)
         written = spark.read.parquet(target)  # the model is not asked again for the counters
-        batch.select("job_id", "full_path", "time_created").write.mode("overwrite").parquet(
-            f"{sink}/{FILES}/batch={batch_id}"
-        )
-        counters = run_counters(spark.read.parquet(f"{sink}/{FILES}/batch={batch_id}"), written, written, by="job_id")
-        mark = spark.read.parquet(f"{sink}/{FILES}/batch={batch_id}").groupBy("job_id").agg(
-            F.max("time_created").alias("last_processed_timestamp")
-        )
-        counters.join(mark, "job_id").write.mode("overwrite").parquet(f"{sink}/{RUNS}/batch={batch_id}")
+        seen = f"{sink}/{FILES}/batch={batch_id}"
+        batch.select("job_id", "full_path", "time_created").write.mode("overwrite").parquet(seen)
+        discovered = spark.read.parquet(seen)
+        counters = run_counters(discovered, written, written, by="job_id").join(high_water_mark(discovered), "job_id")
+        counters.write.mode("overwrite").parquet(f"{sink}/{RUNS}/batch={batch_id}")
 
     writer = files.writeStream.foreachBatch(one_run).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def live_counters(results: DataFrame, by: str = "evaluation_id") -> DataFrame:
@@ -15,10 +15,12 @@ def live_counters(results: DataFrame, by: str = "evaluation_id") -> DataFrame:
     )
 
 
-def with_observed_counters(results: DataFrame, name: str = "progress") -> DataFrame:
-    """Attach counters that a listener reads while the rows pass, at no extra cost."""
-    return results.observe(
-        name,
+def counters() -> list[Column]:
+    """Counters to observe while rows pass, at no extra cost: ``df.observe(name, *counters())``.
+
+    A batch job reads them from an Observation, a stream from its listener.
+    """
+    return [
         F.count(F.lit(1)).alias("completed"),
         F.count_if(F.col("error").isNotNull()).alias("failed"),
-    )
+    ]

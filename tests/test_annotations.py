@@ -112,7 +112,7 @@ def test_csv_rows_and_numbers(spark, tmp_path):
         for key, setting in old.items():
             spark.conf.set(key, setting)
     assert got == [(i + 2, f"f{i}.jpg", None if i % 5 == 0 else str(i)) for i in range(2000)]
-    assert label_csv.count_import_rows(spark, str(path)) == 2000
+    assert label_csv.count_rows(spark, str(path)).first()[0] == 2000
 
 
 def test_csv_quotes_line_breaks_and_bom(spark, tmp_path):
@@ -121,7 +121,7 @@ def test_csv_quotes_line_breaks_and_bom(spark, tmp_path):
     path.write_text(text, encoding="utf-8-sig")
     rows = sorted(map(tuple, label_csv.read_import_rows(spark, str(path), multi_line=True).collect()))
     assert rows == [(2, 'a "b".jpg', "two\nlines", "d"), (3, "007.jpg", "1.0", None)]
-    assert label_csv.count_import_rows(spark, str(path), multi_line=True) == 2
+    assert label_csv.count_rows(spark, str(path), multi_line=True).first()[0] == 2
     bad = tmp_path / "bad.csv"
     bad.write_text("wrong_col\nx\n")
     with pytest.raises(label_csv.ImportFormatError, match="Missing columns"):

@@ -3,7 +3,7 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from gradeflow.operators.inference import Reply, Retry
 from gradeflow.operators.labelling import upload_totals
@@ -95,6 +95,13 @@ def test_live_counters(spark, tmp_path):
     assert got == {"a": (2, 1, 1, 5), "b": (1, 0, 0, 7)}
 
 
+def test_observed_counters(spark):
+    rows = spark.createDataFrame([(None,), ("x",), (None,)], "error string")
+    seen = Observation("run")
+    counted = rows.observe(seen, *sp.counters())
+    assert counted.count() == 3 and seen.get == {"completed": 3, "failed": 1}
+
+
 CHUNKS = "chunk_id bigint, dataset_id string, uploaded_at timestamp, status_before string, announced bigint, uploaded bigint"
 STORY = [
     (1, "d", at(0), "ready", 10, 9), (2, "d", at(1), "processing", 5, 5), (3, "e", at(1), "processing", 2, 1),
