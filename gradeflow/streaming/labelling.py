@@ -75,18 +75,21 @@ def label_stream(
     question_column, message = F.lit(question), F.lit(system_message).cast("string")
 
     def one_run(batch: DataFrame, batch_id: int) -> None:
+        # The stream is read once; everything after starts from the table written here.
+        seen = f"{sink}/{FILES}/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(seen)
+        discovered = spark.read.schema(batch.schema).parquet(seen)
+        fresh = discovered.dropDuplicates(list(RESULT_KEY))
         done = _existing(spark, f"{sink}/{RESULTS}", [*RESULT_KEY, "batch"])
-        fresh = batch.dropDuplicates(list(RESULT_KEY))
         if done is not None:
             earlier = done.filter(F.col("batch") != batch_id).select(*RESULT_KEY)
             fresh = fresh.join(earlier, list(RESULT_KEY), "left_anti")
-        labelled = label_batch(fresh, question_column, message, question_type, predictor, retry, parallel_calls)
+        labelled = label_batch(
+            fresh, question_column, message, question_type, predictor, retry, parallel_calls
+        )
         target = f"{sink}/{RESULTS}/batch={batch_id}"
         labelled.write.mode("overwrite").parquet(target)
-        written = spark.read.parquet(target)  # the model is not asked again for the counters
-        seen = f"{sink}/{FILES}/batch={batch_id}"
-        batch.select("job_id", "full_path", "time_created").write.mode("overwrite").parquet(seen)
-        discovered = spark.read.parquet(seen)
+        written = spark.read.schema(labelled.schema).parquet(target)  # the model is not asked again
         counters = run_counters(discovered, written, written, by="job_id").join(high_water_mark(discovered), "job_id")
         counters.write.mode("overwrite").parquet(f"{sink}/{RUNS}/batch={batch_id}")
 

@@ -38,11 +38,13 @@ def upload_totals_stream(chunks: DataFrame, sink: str, checkpoint: str) -> Strea
     spark = chunks.sparkSession
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()  # used twice below
         totals = upload_totals(batch)
         started = batch.filter(F.col("status_before") != "processing").select("dataset_id").distinct()
         if batch_id > 0:
             totals = combine_totals(spark.read.parquet(f"{sink}/snapshot={batch_id - 1}"), totals, started)
         totals.write.mode("overwrite").parquet(f"{sink}/snapshot={batch_id}")
+        batch.unpersist()
 
     writer = chunks.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
