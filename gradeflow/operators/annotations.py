@@ -11,6 +11,7 @@ from gradeflow.functions.answers import answer_text, is_blank_label, validate_la
 from gradeflow.functions.text import strip
 from gradeflow.operators.joins import merge_by_key, salted_lookup
 from gradeflow.schemas import ANSWER, READY_STATES
+from gradeflow.session import freeze
 
 REQUIRED_COLUMNS = ("image_filename", "annotation_value")
 MAX_STORED_ERRORS = 1000
@@ -99,6 +100,8 @@ def import_annotations(
         F.when(kind == "valid", F.col("_check.answer")).alias("answer"),
         F.coalesce("_annotated", F.lit(False)).alias("_annotated"),
     )
+    # Counters, errors and the upsert all start from here: look up and check once.
+    checked = freeze(checked, "import")
     # Partial aggregates per image, so a file named in a third of the rows is no burden.
     valid = checked.filter(F.col("_kind") == "valid")
     per_image = valid.groupBy("image_id").agg(

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gradeflow.operators.joins import HOT_ROWS, hot_keys
+
 _SLICE_DIGITS = 4  # 65 536 slices of the hash range
 
 
@@ -20,19 +22,27 @@ def _hash_order(image_id: str, seed: int) -> Column:
 
 
 def sample_exact(
-    images: DataFrame, quota: Column, seed: int, by: Sequence[str] = (), image_id: str = "image_id"
+    images: DataFrame,
+    quota: Column,
+    seed: int,
+    by: Sequence[str] = (),
+    image_id: str = "image_id",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Exactly ``quota`` random images per group, the same ones for the same seed.
 
     ``quota`` may use ``_total``, the number of images in the group.  Images are
-    ordered by a hash of seed and id.  Nothing is sorted as a whole: rows are
-    counted per slice of the hash range, slices wholly below the quota pass
-    untouched, and only the slice where the quota ends is ranked.
+    ordered by a hash of seed and id.  A group of up to ``hot_rows`` images is
+    ranked as it is.  A larger one is counted per slice of the hash range: slices
+    wholly below the quota pass untouched, and only the slice where the quota
+    ends is ranked, so it is never sorted as a whole.
     """
     # A struct key also holds groups whose name is NULL.
     group = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
-    keyed = images.withColumn("_hash", _hash_order(image_id, seed)).withColumn("_group", group)
-    keyed = keyed.withColumn("_slice", F.substring("_hash", 1, _SLICE_DIGITS))
+    grouped = images.withColumn("_group", group)
+    hot = F.broadcast(hot_keys(grouped, ["_group"], hot_rows).withColumn("_hot", F.lit(True)))
+    keyed = grouped.join(hot, "_group", "left").withColumn("_hash", _hash_order(image_id, seed))
+    keyed = keyed.withColumn("_slice", F.when(F.col("_hot"), F.substring("_hash", 1, _SLICE_DIGITS)).otherwise(""))
     slices = keyed.groupBy("_group", "_slice").agg(F.count("*").alias("_n"))
     # At most 65 536 rows of a group meet in these windows.
     whole = Window.partitionBy("_group")

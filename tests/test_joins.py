@@ -116,8 +116,14 @@ def test_random_percent(spark, images):
 
 def test_slices_of_the_hash_range_are_ranked_exactly(spark, images, monkeypatch):
     monkeypatch.setattr(sel, "_SLICE_DIGITS", 1)  # few, large slices
-    got = {r["image_id"] for r in sel.select_random_count(images, 333, seed=9).collect()}
-    assert got == set(by_hash([r["image_id"] for r in images.collect()], 9)[:333])
+    everyone = images.collect()
+    got = {r["image_id"] for r in sel.sample_exact(images, F.lit(333), 9, hot_rows=50).collect()}
+    assert got == set(by_hash([r["image_id"] for r in everyone], 9)[:333])
+    # One group is hot and sliced, the others are ranked whole.
+    got = sel.sample_exact(images, F.ceil(F.col("_total") / 3), 9, ["dataset_id"], hot_rows=300).collect()
+    for name in ("hot", "cold", "seven"):
+        ids = by_hash([r["image_id"] for r in everyone if r["dataset_id"] == name], 9)
+        assert {r["image_id"] for r in got if r["dataset_id"] == name} == set(ids[: math.ceil(len(ids) / 3)])
 
 
 def test_groups_without_a_name_are_sampled(spark, images):
