@@ -343,11 +343,9 @@ def stream_runs(t: Tables) -> DataFrame:
 @query(_TOTALS)
 def stream_upload_totals(t: Tables) -> DataFrame:
     """Totals of chunked uploads, kept by a stream."""
-    work = new_work_path(t.spark, "uploads")
-    su.upload_totals_stream(
-        _event_stream(t).selectExpr(*_CHUNKS), f"{work}/sink", f"{work}/checkpoint"
-    ).awaitTermination()
-    return su.read_totals(t.spark, f"{work}/sink")
+    checkpoint = new_work_path(t.spark, "uploads")
+    su.upload_totals_stream(_event_stream(t).selectExpr(*_CHUNKS), checkpoint).awaitTermination()
+    return su.read_totals(t.spark, checkpoint)
 
 
 @query("""

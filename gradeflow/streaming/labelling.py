@@ -51,6 +51,11 @@ def _existing(spark: SparkSession, path: str, columns: list[str]) -> DataFrame |
         raise
 
 
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id Spark gave the stream of this checkpoint; it is the same after a restart."""
+    return spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
+
+
 def label_stream(
     files: DataFrame,
     question: str,
@@ -67,31 +72,33 @@ def label_stream(
 
     ``files`` has job_id and full_path.  Without ``every`` the query takes what
     is there and stops, to be started again by the scheduler at hand.  Each
-    micro-batch is one run.  It overwrites its own ``batch`` folder, so a batch
-    that is repeated after a failure leaves the same rows; results of other
-    batches are left out by (job, path).
+    micro-batch is one run.  It overwrites its own folder, named by stream and
+    batch, so a batch that is repeated after a failure leaves the same rows, and
+    a new checkpoint touches nothing that is there.  Files with a result in
+    another folder are left out by (job, path).
     """
     spark = files.sparkSession
     question_column, message = F.lit(question), F.lit(system_message).cast("string")
 
     def one_run(batch: DataFrame, batch_id: int) -> None:
         # The stream is read once; everything after starts from the table written here.
-        seen = f"{sink}/{FILES}/batch={batch_id}"
+        name = f"{_stream_id(spark, checkpoint)}-{batch_id}"
+        seen = f"{sink}/{FILES}/batch={name}"
         batch.write.mode("overwrite").parquet(seen)
         discovered = spark.read.schema(batch.schema).parquet(seen)
         fresh = discovered.dropDuplicates(list(RESULT_KEY))
         done = _existing(spark, f"{sink}/{RESULTS}", [*RESULT_KEY, "batch"])
         if done is not None:
-            earlier = done.filter(F.col("batch") != batch_id).select(*RESULT_KEY)
+            earlier = done.filter(F.col("batch") != name).select(*RESULT_KEY)
             fresh = fresh.join(earlier, list(RESULT_KEY), "left_anti")
         labelled = label_batch(
             fresh, question_column, message, question_type, predictor, retry, parallel_calls
         )
-        target = f"{sink}/{RESULTS}/batch={batch_id}"
+        target = f"{sink}/{RESULTS}/batch={name}"
         labelled.write.mode("overwrite").parquet(target)
         written = spark.read.schema(labelled.schema).parquet(target)  # the model is not asked again
         counters = run_counters(discovered, written, written, by="job_id").join(high_water_mark(discovered), "job_id")
-        counters.write.mode("overwrite").parquet(f"{sink}/{RUNS}/batch={batch_id}")
+        counters.write.mode("overwrite").parquet(f"{sink}/{RUNS}/batch={name}")
 
     writer = files.writeStream.foreachBatch(one_run).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

@@ -28,8 +28,12 @@ def combine_totals(before: DataFrame, batch: DataFrame, started: DataFrame) -> D
     )
 
 
-def upload_totals_stream(chunks: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
-    """Keep the totals per dataset under ``sink``, one snapshot per micro-batch.
+def _snapshot(checkpoint: str, batch_id: int) -> str:
+    return f"{checkpoint}/totals/snapshot={batch_id}"
+
+
+def upload_totals_stream(chunks: DataFrame, checkpoint: str) -> StreamingQuery:
+    """Keep the totals per dataset, one snapshot per micro-batch, next to the checkpoint they belong to.
 
     Chunks are first aggregated by the batch rule, so a dataset with very many
     chunks costs a few rows per task; the snapshots hold three numbers per
@@ -42,16 +46,16 @@ def upload_totals_stream(chunks: DataFrame, sink: str, checkpoint: str) -> Strea
         totals = upload_totals(batch)
         started = batch.filter(F.col("status_before") != "processing").select("dataset_id").distinct()
         if batch_id > 0:
-            totals = combine_totals(spark.read.parquet(f"{sink}/snapshot={batch_id - 1}"), totals, started)
-        totals.write.mode("overwrite").parquet(f"{sink}/snapshot={batch_id}")
+            totals = combine_totals(spark.read.parquet(_snapshot(checkpoint, batch_id - 1)), totals, started)
+        totals.write.mode("overwrite").parquet(_snapshot(checkpoint, batch_id))
         batch.unpersist()
 
     writer = chunks.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
 
 
-def read_totals(spark: SparkSession, sink: str) -> DataFrame:
+def read_totals(spark: SparkSession, checkpoint: str) -> DataFrame:
     """The latest snapshot."""
-    snapshots = spark.read.parquet(sink)
+    snapshots = spark.read.parquet(f"{checkpoint}/totals")
     last = snapshots.agg(F.max("snapshot")).first()[0]
     return snapshots.filter(F.col("snapshot") == last).drop("snapshot")

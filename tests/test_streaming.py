@@ -77,9 +77,16 @@ def test_labelling_runs_are_idempotent(spark, tmp_path):
     put(spark, source, [(1, "dog.jpg", at(400), 1), (1, "dog2.jpg", at(401), 1)], FILES)
     second, count = run("cp")  # dog.jpg comes back after its state is gone
     assert count == 4 and second["dog2.jpg"] == ("yes", True, None)
-    # A lost checkpoint starts over at batch 0, which is written again; nothing doubles.
+    # A lost checkpoint starts over at batch 0: nothing doubles, and nothing is overwritten.
     third, count = run("other")
     assert third == second and count == 4
+    # A batch that failed after its results were written is repeated with the same outcome.
+    commits = sorted((tmp_path / "cp" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last = commits[-1]
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    fourth, count = run("cp")
+    assert fourth == second and count == 4
 
 
 def test_live_counters(spark, tmp_path):
@@ -120,15 +127,15 @@ def plain_totals(story):
 
 @pytest.mark.parametrize("cuts", [[7], [2, 5, 7], [1, 2, 3, 4, 5, 6, 7]])
 def test_upload_totals(spark, tmp_path, cuts):
-    source, sink = str(tmp_path / "in"), str(tmp_path / "sink")
+    source, checkpoint = str(tmp_path / "in"), str(tmp_path / "cp")
     begin = 0
     for end in cuts:
         put(spark, source, STORY[begin:end], CHUNKS)
         begin = end
         stream = spark.readStream.schema(CHUNKS).parquet(source)
-        su.upload_totals_stream(stream, sink, str(tmp_path / "cp")).awaitTermination()
+        su.upload_totals_stream(stream, checkpoint).awaitTermination()
         names = ("total_files", "uploaded_files", "chunks")
-        got = {r["dataset_id"]: tuple(r[n] for n in names) for r in su.read_totals(spark, sink).collect()}
+        got = {r["dataset_id"]: tuple(r[n] for n in names) for r in su.read_totals(spark, checkpoint).collect()}
         assert got == plain_totals(STORY[:end])
     batch = upload_totals(spark.createDataFrame(STORY, CHUNKS))
     assert {r["dataset_id"]: (r["total_files"], r["uploaded_files"], r["chunks"]) for r in batch.collect()} == plain_totals(STORY)
