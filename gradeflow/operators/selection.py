@@ -37,15 +37,21 @@ def sample_exact(
     wholly below the quota pass untouched, and only the slice where the quota
     ends is ranked, so it is never sorted as a whole.
     """
-    # A struct key also holds groups whose name is NULL.
-    group = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
-    grouped = images.withColumn("_group", group)
-    hot = F.broadcast(hot_keys(grouped, ["_group"], hot_rows).withColumn("_hot", F.lit(True)))
-    keyed = grouped.join(hot, "_group", "left").withColumn("_hash", _hash_order(image_id, seed))
-    keyed = keyed.withColumn("_slice", F.when(F.col("_hot"), F.substring("_hash", 1, _SLICE_DIGITS)).otherwise(""))
-    slices = keyed.groupBy("_group", "_slice").agg(F.count("*").alias("_n"))
+    keyed = images.withColumn("_hash", _hash_order(image_id, seed))
+    head = F.substring("_hash", 1, _SLICE_DIGITS)
+    if by:
+        # A struct key also holds groups whose name is NULL.
+        keys = ["_group", "_slice"]
+        keyed = keyed.withColumn("_group", F.struct(*by))
+        hot = F.broadcast(hot_keys(keyed, ["_group"], hot_rows).withColumn("_hot", F.lit(True)))
+        keyed = keyed.join(hot, "_group", "left").withColumn("_slice", F.when(F.col("_hot"), head).otherwise(""))
+        whole = Window.partitionBy("_group")
+    else:
+        keys = ["_slice"]
+        keyed = keyed.withColumn("_slice", head)
+        whole = Window.partitionBy(F.lit(0))
+    slices = keyed.groupBy(*keys).agg(F.count("*").alias("_n"))
     # At most 65 536 rows of a group meet in these windows.
-    whole = Window.partitionBy("_group")
     upto = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     taken = (
         slices.withColumn("_total", F.sum("_n").over(whole))
@@ -54,7 +60,6 @@ def sample_exact(
         .filter(F.col("_take") > 0)
     )
     # A hot group meets the joins as up to 65 536 keys, never as one.
-    keys = ["_group", "_slice"]
     full = taken.filter(F.col("_take") == F.col("_n")).select(*keys)
     partial = taken.filter(F.col("_take") < F.col("_n")).select(*keys, "_take")
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_hash", image_id))
