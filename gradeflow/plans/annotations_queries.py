@@ -13,7 +13,7 @@ from gradeflow.schemas import ANSWER
 
 _COUNT_TEXTS = (
     "CASE n_chars % 8 WHEN 0 THEN '3.7' WHEN 1 THEN '1e3' WHEN 2 THEN '-1' WHEN 3 THEN '-0.5' WHEN 4 THEN 'abc'"
-    " WHEN 5 THEN ' 12 ' WHEN 6 THEN 'inf' ELSE CAST(n_chars AS VARCHAR(20)) END"
+    " WHEN 5 THEN ' 12 ' WHEN 6 THEN 'inf' ELSE CAST(n_chars AS STRING) END"
 )
 _CHOICE_TEXTS = (
     "CASE n_chars % 5 WHEN 0 THEN 'Cat' WHEN 1 THEN 'dog' WHEN 2 THEN 'Bird' WHEN 3 THEN ' DOG ' ELSE lang END"

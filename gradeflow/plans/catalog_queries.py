@@ -125,7 +125,7 @@ def project_counts(t: Tables) -> DataFrame:
 
 # A model catalogue out of parts: brand and type name a model, some fields are absent.
 _CATALOGUE = (
-    "CASE WHEN p_size = 1 THEN NULL ELSE CAST(p_partkey % 1700 AS VARCHAR(20)) END AS id",
+    "CASE WHEN p_size = 1 THEN NULL ELSE CAST(p_partkey % 1700 AS STRING) END AS id",
     "CASE p_size % 5 WHEN 0 THEN 'openai' WHEN 1 THEN 'anthropic' WHEN 2 THEN 'gemini' WHEN 3 THEN 'vertex' ELSE 'elsewhere' END AS provider",
     "p_name AS model_name",
     "CASE WHEN p_size = 2 THEN NULL ELSE p_brand END AS display_name",

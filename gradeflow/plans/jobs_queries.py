@@ -234,7 +234,7 @@ def processing_outcome(t: Tables) -> DataFrame:
 
 
 _CHUNKS = (
-    "event_id AS chunk_id", "CAST(user_id AS VARCHAR(20)) AS dataset_id", "ts AS uploaded_at",
+    "event_id AS chunk_id", "CAST(user_id AS STRING) AS dataset_id", "ts AS uploaded_at",
     "CASE WHEN event_type = 'signup' THEN 'ready' WHEN event_type = 'error' AND value > 100 THEN 'failed' ELSE 'processing' END AS status_before",
     "CAST(ceil(value) AS BIGINT) AS announced", "CAST(floor(value) AS BIGINT) AS uploaded",
 )
@@ -261,7 +261,7 @@ def _event_stream(t: Tables) -> DataFrame:
 
 def _file_stream(t: Tables) -> DataFrame:
     """The events as arriving files."""
-    name = """event_type || '/' || CAST(user_id AS VARCHAR(20)) || '/f' || CAST(event_id % 1500 AS VARCHAR(20)) ||
+    name = """event_type || '/' || CAST(user_id AS STRING) || '/f' || CAST(event_id % 1500 AS STRING) ||
               CASE event_id % 7 WHEN 0 THEN '.jpg' WHEN 1 THEN '.PNG' WHEN 2 THEN '.tiff' WHEN 3 THEN '.txt'
               WHEN 4 THEN '/' WHEN 5 THEN '.webp' ELSE '' END AS object_name"""
     return _event_stream(t).selectExpr(

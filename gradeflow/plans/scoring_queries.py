@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeflow.functions import answers as fa, cost as fc
-from gradeflow.functions.text import strip
 from gradeflow.operators import estimate, scoring
 from gradeflow.operators.ordering import page
 from gradeflow.plans.registry import query

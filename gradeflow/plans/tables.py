@@ -23,7 +23,7 @@ MODELS = (
 
 
 def _text(value: str | None) -> str:
-    return "CAST(NULL AS VARCHAR(40))" if value is None else f"'{value}'"
+    return "CAST(NULL AS STRING)" if value is None else f"'{value}'"
 
 
 def _price(value: str | None) -> str:
@@ -68,7 +68,7 @@ def view_sql(engine: str) -> dict[str, str]:
         # Images: documents; project = language, dataset = language and source.
         "images": f"""
             SELECT doc_id AS image_id, lang AS project_id, lang || '/' || source AS dataset_id,
-                   'img_' || CAST(doc_id AS VARCHAR(20)) || {_EXTENSION} AS filename, n_chars * 1000 AS file_size,
+                   'img_' || CAST(doc_id AS STRING) || {_EXTENSION} AS filename, n_chars * 1000 AS file_size,
                    CASE WHEN n_chars < 300 THEN 'failed' WHEN n_chars < 600 THEN 'pending' ELSE 'completed' END
                      AS processing_status,
                    {at("doc_id")} AS uploaded_at, {_QUESTION_TYPE} AS question_type
@@ -108,7 +108,7 @@ def view_sql(engine: str) -> dict[str, str]:
                             WHEN (n_chars + idx) % 3 = 0 THEN 'No.' ELSE '  Yes, it is TRUE' END
                      WHEN question_type = 'count' THEN
                        CASE WHEN h % 9 = 0 THEN 'none visible'
-                            ELSE 'About ' || CAST(hundreds + CASE WHEN h % 4 = 0 THEN 1 ELSE 0 END AS VARCHAR(20))
+                            ELSE 'About ' || CAST(hundreds + CASE WHEN h % 4 = 0 THEN 1 ELSE 0 END AS STRING)
                                  || '.5 items, maybe 7' END
                      WHEN question_type = 'multiple_choice' THEN
                        CASE h % 4 WHEN 0 THEN ' Good' WHEN 1 THEN 'good ' WHEN 2 THEN 'BAD' ELSE 'unsure' END
@@ -120,14 +120,14 @@ def view_sql(engine: str) -> dict[str, str]:
                    {at("image_id * 10 + idx", "SECOND", "2024-02-01 00:00:00")} AS completed_at,
                    h * 37 % 101 AS confidence
             FROM (SELECT truths.*, lang AS project_id, lang || '/' || source AS dataset_id,
-                         'img_' || CAST(doc_id AS VARCHAR(20)) || {_EXTENSION} AS filename,
+                         'img_' || CAST(doc_id AS STRING) || {_EXTENSION} AS filename,
                          n_chars, {_HUNDREDS} AS hundreds, models.*,
                          (doc_id * 7 + idx * 13 + n_chars) % 100 AS h,
                          CASE WHEN idx = 5 THEN 60 ELSE 4 * idx + 2 END AS thr
                   FROM truths JOIN documents ON truths.image_id = documents.doc_id CROSS JOIN models) AS a""",
         # Answers at the size of the largest table: one per order line, runs by supplier.
         "line_answers": """
-            SELECT 'supplier-' || CAST(l_suppkey AS VARCHAR(20)) AS evaluation_id,
+            SELECT 'supplier-' || CAST(l_suppkey AS STRING) AS evaluation_id,
                    l_orderkey * 8 + l_linenumber AS image_id,
                    CASE WHEN l_tax > 0.075 THEN 'timeout' END AS error,
                    CASE WHEN l_tax > 0.075 THEN NULL WHEN l_returnflag = 'R' THEN 'Yes.'
@@ -139,7 +139,7 @@ def view_sql(engine: str) -> dict[str, str]:
         # Import rows: one per document, naming it by content.
         "import_rows": """
             SELECT doc_id + 2 AS row_no,
-                   CASE WHEN n_chars % 13 = 0 THEN 'missing_' || CAST(doc_id AS VARCHAR(20)) || '.jpg'
+                   CASE WHEN n_chars % 13 = 0 THEN 'missing_' || CAST(doc_id AS STRING) || '.jpg'
                         ELSE '  ' || md5(text) || '.jpg ' END AS image_filename,
                    CASE n_chars % 8 WHEN 0 THEN 'yes' WHEN 1 THEN ' NO ' WHEN 2 THEN 'TRUE' WHEN 3 THEN '0'
                         WHEN 4 THEN 'maybe' WHEN 5 THEN '' WHEN 6 THEN NULL ELSE '1.0' END AS annotation_value,
@@ -153,7 +153,7 @@ def view_sql(engine: str) -> dict[str, str]:
                    CASE WHEN o_orderkey % 9 = 0 THEN NULL
                         ELSE CAST(CAST(round(o_totalprice * 100) AS BIGINT) % 1000 AS DECIMAL(18,9)) * CAST(0.001 AS DECIMAL(4,3))
                    END AS accuracy,
-                   'order ' || CAST(o_orderkey AS VARCHAR(20)) AS activity
+                   'order ' || CAST(o_orderkey AS STRING) AS activity
             FROM orders JOIN customer ON o_custkey = c_custkey""",
         "run_projects": "SELECT n_nationkey AS project_id, n_name AS name, n_regionkey AS created_by_id FROM nation",
         "run_datasets": "SELECT c_custkey AS dataset_id, c_name AS name, c_nationkey AS project_id FROM customer",
@@ -164,7 +164,7 @@ def view_sql(engine: str) -> dict[str, str]:
         # Found files: events; a job is a user, a folder an event type.  A path comes back now and then.
         "files": """
             SELECT event_id AS file_id, user_id AS job_id, ts AS time_created,
-                   event_type || '/' || CAST(user_id AS VARCHAR(20)) || '/f' || CAST(event_id % 1500 AS VARCHAR(20)) ||
+                   event_type || '/' || CAST(user_id AS STRING) || '/f' || CAST(event_id % 1500 AS STRING) ||
                    CASE event_id % 7 WHEN 0 THEN '.jpg' WHEN 1 THEN '.PNG' WHEN 2 THEN '.tiff' WHEN 3 THEN '.txt'
                         WHEN 4 THEN '/' WHEN 5 THEN '.webp' ELSE '' END AS object_name,
                    CAST(round(value * 1000) AS BIGINT) AS size, event_type, value
@@ -206,7 +206,7 @@ class Tables:
         outer, _, _ = inner.partition("FROM (SELECT truths.*")
         added = spread.selectExpr(
             "*", "lang AS project_id", "lang || '/' || source AS dataset_id",
-            f"'img_' || CAST(doc_id AS VARCHAR(20)) || {_EXTENSION} AS filename", f"{_HUNDREDS} AS hundreds",
+            f"'img_' || CAST(doc_id AS STRING) || {_EXTENSION} AS filename", f"{_HUNDREDS} AS hundreds",
             "(doc_id * 7 + idx * 13 + n_chars) % 100 AS h", "CASE WHEN idx = 5 THEN 60 ELSE 4 * idx + 2 END AS thr",
         )
         answers = self.spark.sql(outer + "FROM {added}", added=added)

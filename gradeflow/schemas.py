@@ -8,7 +8,6 @@ ANSWER = "struct<value_bool: boolean, value_count: decimal(38,0), value_str: str
 PARSED = "struct<value_bool: boolean, value_count: decimal(38,0), value_str: string, raw: string>"
 
 MONEY = "decimal(24,12)"
-PRICE = "decimal(12,6)"
 
 PRICING = (
     "struct<input_price_per_1m: decimal(12,6), output_price_per_1m: decimal(12,6),"
