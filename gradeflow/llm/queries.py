@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeflow.llm import chat, decontaminate, language, secrets, sentencepiece_codec
+from gradeflow.llm import chat, decontaminate, language, secrets, sentencepiece_codec, weighted_minhash
 from gradeflow.llm.common import held_out
 
 
@@ -43,8 +43,12 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), F.col("lang").alias("lang_pred"), "score")
 
 
+def op10_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_minhash.classes(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_decontaminate, op3_sentencepiece, op4_chat, op8_secrets, op9_language)
+    f.__name__: f for f in (op2_decontaminate, op3_sentencepiece, op4_chat, op8_secrets, op9_language, op10_weighted_minhash)
 }
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 ORACLE_SQL: dict[str, str] = {
