@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeflow.llm import chat, decontaminate, language, secrets, sentencepiece_codec, weighted_minhash
+from gradeflow.llm import chat, decontaminate, language, line_dedup, secrets, sentencepiece_codec, weighted_minhash
 from gradeflow.llm.common import held_out
 
 
@@ -33,6 +33,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chat(turns))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.links(_read(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_read(spark, sf_dir, "documents")))
 
@@ -48,7 +52,7 @@ def op10_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_decontaminate, op3_sentencepiece, op4_chat, op8_secrets, op9_language, op10_weighted_minhash)
+    f.__name__: f for f in (op2_decontaminate, op3_sentencepiece, op4_chat, op7_line_dedup, op8_secrets, op9_language, op10_weighted_minhash)
 }
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 ORACLE_SQL: dict[str, str] = {
@@ -77,4 +81,17 @@ ORACLE_SQL: dict[str, str] = {
             sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
             CAST(sum(length('<|turn|>') + length(role) + role_marks + 1 + length(text) + marks + length('<|end|>') + 1) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op7_line_dedup": f"""
+        WITH raw AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS text, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no FROM documents),
+        l AS (SELECT doc_id, line_no, list_sort(list_distinct({_WORDS})) AS s FROM raw),
+        c AS (SELECT s, len(s) AS n, count(*) AS copies, min((doc_id, line_no)) AS first, row_number() OVER (ORDER BY min((doc_id, line_no))) AS id FROM l WHERE len(s) > 0 GROUP BY s),
+        w AS (SELECT id, n, unnest(s) AS t FROM c), f AS (SELECT t, count(*) AS df FROM w GROUP BY t),
+        o AS (SELECT id, n, t, row_number() OVER (PARTITION BY id ORDER BY df, t) AS k FROM w JOIN f USING (t)),
+        p AS (SELECT * FROM o WHERE k <= n - ceil(n * 4 / 5.0) + 1),
+        pairs AS (SELECT DISTINCT a.id AS a, b.id AS b FROM p a JOIN p b ON a.t = b.t AND a.id <> b.id AND a.n * 5 >= b.n * 4 AND b.n * 5 >= a.n * 4),
+        j AS (SELECT a, b, len(list_intersect(x.s, y.s)) AS shared, x.n + y.n AS total, y.copies AS copies, y.first AS first FROM pairs JOIN c x ON x.id = a JOIN c y ON y.id = b),
+        m AS (SELECT a, sum(copies) AS links, min(first) AS partner FROM j WHERE shared * 9 >= total * 4 GROUP BY a)
+        SELECT l.doc_id, l.line_no, c.first[1] AS class_doc, c.first[2] AS class_line, CAST(c.copies - 1 + coalesce(m.links, 0) AS BIGINT) AS n_links,
+            c.first < (l.doc_id, l.line_no) OR coalesce(m.partner < (l.doc_id, l.line_no), false) AS removed
+        FROM l JOIN c USING (s) LEFT JOIN m ON m.a = c.id""",
 }
