@@ -172,6 +172,25 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     to the language that is first in the alphabet; repeated rows repeat.
     """
     kind = docs.schema[key].dataType.simpleString()
+    rows = as_bytes(docs, key, text).mapInArrow(_labeller(model, key, switch), f"`{key}` {kind}, text binary, lang string, score double, spans array<struct<lang:string,start:bigint,end:bigint>>")
+    return rows.drop("text")
+
+
+def of_one_language(docs: DataFrame, model: Model, least: float, text: str = "text", switch: float = SWITCH) -> DataFrame:
+    """The documents whose main language has at least ``least`` of their words; 'und' goes.
+
+    The whole row passes through the task, so nothing is joined; columns stay.
+    """
+    others = [c for c in docs.columns if c != text]
+    packed = docs.select(F.struct(*others).alias("row"), F.col(text).cast("string").cast("binary").alias("text"))
+    row = docs.select(F.struct(*others).alias("row")).schema["row"].dataType.simpleString()
+    found = packed.mapInArrow(_labeller(model, "row", switch), f"row {row}, text binary, lang string, score double, spans array<struct<lang:string,start:bigint,end:bigint>>")
+    kept = found.where((F.col("lang") != UNKNOWN) & (F.col("score") >= least))
+    return kept.select(*(F.col("text").cast("string").alias(text) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns))
+
+
+def _labeller(model: Model, key: str, switch: float):
+    """The work of a task: languages of its rows; column ``key`` and the text pass through."""
     langs = model.langs
     span = pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
@@ -206,7 +225,8 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
                 rows.append((langs[share.argmax()], float(share.max()), spans(whole, path)))
             columns = list(zip(*rows))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.list_(span))], names=[key, "lang", "score", "spans"]
+                [batch.column(0), batch.column(1), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.list_(span))],
+                names=[key, "text", "lang", "score", "spans"],
             )
 
-    return as_bytes(docs, key, text).mapInArrow(run, f"`{key}` {kind}, lang string, score double, spans array<struct<lang:string,start:bigint,end:bigint>>")
+    return run

@@ -17,15 +17,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeflow.llm.common import Hashes, as_bytes, folded_lines, mix, steps, stored
+from gradeflow.llm.common import Hashes, as_bytes, folded_lines, mix, sieved, steps, stored
 
 SIMILARITY = 0.8
 #: Hashed counters of word frequency: the order of words needs no more than a fixed table.
 COUNTERS = 1 << 20
 #: Lines of one prefix word that meet in one cell; more are spread over pairs of blocks.
 BLOCK = 512
-#: Buckets of class ids that are broadcast at most.
-ID_BUCKETS = 1 << 20
 _COLUMNS = 4096
 _LOWEST = -(1 << 63)
 
@@ -318,9 +316,7 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     grouped = stored(lines.groupBy("same").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")), "line_classes")
 
     candidates = stored(_candidates(sets, rule), "line_candidates")
-    bucket = F.pmod(F.xxhash64("short"), F.lit(ID_BUCKETS))
-    used = candidates.select(bucket.alias("bucket")).distinct()
-    near = sets.withColumn("short", _short_column("same")).withColumn("bucket", bucket).join(F.broadcast(used), "bucket", "left_semi")
+    near = sieved(sets.withColumn("short", _short_column("same")), "short", candidates.select("short"))
     near = near.join(candidates, "short").groupBy("same").agg(F.first("words").alias("words"), F.first("meets").alias("meets"))
     near = near.join(grouped, "same").select("same", "words", "meets", "n", F.col("first.id").alias("id"), F.col("first.line").alias("line"))
     similar = stored(_linked(near, rule), "line_links")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeflow.llm import chat, decontaminate, language, line_dedup, secrets, sentencepiece_codec, weighted_minhash
+from gradeflow.llm import chat, decontaminate, language, line_dedup, secrets, sentencepiece_codec, toxicity, weighted_minhash
 from gradeflow.llm.common import held_out
 
 
@@ -33,6 +34,12 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chat(turns))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.links(_read(spark, sf_dir, "documents"))
 
@@ -52,8 +59,8 @@ def op10_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_decontaminate, op3_sentencepiece, op4_chat, op7_line_dedup, op8_secrets, op9_language, op10_weighted_minhash)
-}
+    f.__name__: f for f in (op2_decontaminate, op3_sentencepiece, op4_chat, op6_toxicity, op7_line_dedup, op8_secrets, op9_language, op10_weighted_minhash)
+} | {"pipeline": corpus_pipeline.run}
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": f"""

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeflow.llm.common import Hashes, as_bytes, mix, steps, stored, words
+from gradeflow.llm.common import Hashes, as_bytes, mix, sieved, steps, stored, words
 from gradeflow.llm.graph import components
 
 SHINGLE = 5
@@ -30,8 +30,6 @@ COUNTERS = 1 << 18
 #: How far rare shingles outweigh common ones: weights lie in [1, 1 + RARITY].  Small, so that
 #: a large group of copies, which makes its own shingles common, keeps its similarity.
 RARITY = 0.1
-#: Buckets of document ids that are broadcast at most.
-ID_BUCKETS = 1 << 20
 _PLACES = 1 << 16
 
 
@@ -162,10 +160,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, weights: Weights, threshold: fl
     a broadcast set of id buckets, of a fixed size at most.
     """
     pairs = stored(pairs, "pairs")
-    bucket = F.pmod(F.xxhash64("id"), F.lit(ID_BUCKETS))
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-    used = ids.select(bucket.alias("bucket")).distinct()
-    texts = docs.withColumn("bucket", bucket).join(F.broadcast(used), "bucket", "left_semi").select("id", "text")
+    texts = sieved(docs, "id", ids)
     # Ids of repeated rows hold one text here: the smallest.
     texts = texts.groupBy("id").agg(F.min("text").alias("text"))
     joined = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
