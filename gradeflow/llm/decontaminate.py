@@ -190,8 +190,8 @@ def phrases(benchmark: DataFrame, item: str = "item_id", text: str = "text", win
     return as_bytes(items, "item", "text").mapInArrow(run, "item string, phrase string").groupBy("phrase").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-def _mark(batches: Iterator[pa.RecordBatch], block: Phrases, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Add the occurrences of one block to the rows of a task."""
+def _mark(batches: Iterator[pa.RecordBatch], block: Phrases, names: list[str], cutting: bool) -> Iterator[pa.RecordBatch]:
+    """Add the occurrences of one block to the rows of a task; ``cutting``: and cut all spans so far from the texts."""
     get = block.vocabulary.get
     for batch in batches:
         texts = batch.column("text").to_pylist()
@@ -234,6 +234,8 @@ def _mark(batches: Iterator[pa.RecordBatch], block: Phrases, names: list[str]) -
                 spans.append([{"start": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(own == 1), np.flatnonzero(own == -1))])
                 items.append(sorted(met[d] | set(old_items)))
             new = {"n_words": pa.array(counts), "spans": pa.array(spans, pa.list_(_SPAN)), "items": pa.array(items, pa.list_(pa.string()))}
+            if cutting:
+                new["text"] = pa.array([cut(t.decode(), own).encode() if own else t for t, own in zip(texts[lo:hi], spans)], pa.binary())
             yield pa.RecordBatch.from_arrays([new.get(n, part.column(n) if n not in new else None) for n in names], names=names)
 
 
@@ -242,7 +244,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
     Returns ``key``, n_words, spans array<struct<start,end>> (merged ranges of hit
     words) and items array<string> (items of occurring windows, sorted as
-    strings), and the columns of ``keep``.  A null text has no words; a null item
+    strings), and with ``keep`` those columns and the text without the spans, as ``_cut``.  A null text has no words; a null item
     id is ''; items without words have no windows; with an empty benchmark all
     rows are clean.  Repeated rows repeat.
     """
@@ -261,11 +263,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     for k in range(blocks):
         block = Phrases([(r["phrase"], r["items"]) for r in distinct.where(F.col("block") == k).select("phrase", "items").toLocalIterator()])
 
-        def run(batches, block=block):
-            return _mark(batches, block, names)
+        def run(batches, block=block, cutting=bool(keep) and k == blocks - 1):
+            return _mark(batches, block, names, cutting)
 
         rows = rows.mapInArrow(run, schema)
-    return rows.select(key, *(F.col(f"kept_{k}").alias(c) for k, c in enumerate(extra)), "n_words", "spans", "items", *([F.col("text").alias("_bytes")] if keep else []))
+    return rows.select(key, *(F.col(f"kept_{k}").alias(c) for k, c in enumerate(extra)), "n_words", "spans", "items", *([F.col("text").cast("string").alias("_cut")] if keep else []))
 
 
 def summary(found: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -292,15 +294,10 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
     Columns stay; ``length`` (where it exists) becomes the new length of a cut text.
     """
-    found = contamination(docs, benchmark, key, text, keep=docs.columns)
-
-    @F.udf("string")
-    def cleaned(whole: str, spans: list) -> str:
-        return cut(whole, spans)
-
+    found = contamination(docs, benchmark, key, text, keep=[c for c in docs.columns if c != text])
     hit = F.size("spans") > 0
     left = F.aggregate("spans", F.col("n_words"), lambda a, s: a - (s["end"] - s["start"]))
-    found = found.where(~hit | (left > 0)).withColumn("_cut", F.when(hit, cleaned(text, "spans")).otherwise(F.col(text)))
+    found = found.where(~hit | (left > 0))
 
     def column(c: str) -> Column:
         if c == text:
