@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeflow.llm import chat, decontaminate, language, line_dedup, secrets, sentencepiece_codec, toxicity, weighted_minhash
+from gradeflow.llm import chat, decontaminate, html, language, line_dedup, secrets, sentencepiece_codec, toxicity, weighted_minhash
 from gradeflow.llm.common import held_out
 
 
@@ -34,6 +34,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chat(turns))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(_read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     found = toxicity.score(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
@@ -59,7 +63,7 @@ def op10_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_decontaminate, op3_sentencepiece, op4_chat, op6_toxicity, op7_line_dedup, op8_secrets, op9_language, op10_weighted_minhash)
+    f.__name__: f for f in (op2_decontaminate, op3_sentencepiece, op4_chat, op5_html, op6_toxicity, op7_line_dedup, op8_secrets, op9_language, op10_weighted_minhash)
 } | {"pipeline": corpus_pipeline.run}
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 ORACLE_SQL: dict[str, str] = {
