@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeflow.llm import chat, decontaminate, html, language, line_dedup, secrets, sentencepiece_codec, toxicity, weighted_minhash
+from gradeflow.llm import ann, chat, decontaminate, html, language, line_dedup, secrets, sentencepiece_codec, toxicity, weighted_minhash
 from gradeflow.llm.common import held_out
 
 
@@ -17,6 +17,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_read(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.summary(decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")))
 
@@ -63,7 +67,7 @@ def op10_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_decontaminate, op3_sentencepiece, op4_chat, op5_html, op6_toxicity, op7_line_dedup, op8_secrets, op9_language, op10_weighted_minhash)
+    f.__name__: f for f in (op1_ann, op2_decontaminate, op3_sentencepiece, op4_chat, op5_html, op6_toxicity, op7_line_dedup, op8_secrets, op9_language, op10_weighted_minhash)
 } | {"pipeline": corpus_pipeline.run}
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 ORACLE_SQL: dict[str, str] = {
