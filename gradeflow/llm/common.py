@@ -88,7 +88,7 @@ def in_training(doc_id: int | str | None) -> bool:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and go on from it: lineage ends there."""
     path = new_work_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,9 +2,10 @@
 
 A line is the set of its words.  Equal sets are one class.  Words are ordered by
 rarity; two similar lines share a word in their prefixes, so lines meet by prefix
-words, pass the length, positional and bitmap filters, and their Jaccard
-similarity is computed from the whole sets.  Pairs are counted where they meet
-and never written: a line gets its number of links and its earliest partner.
+words, pass the length, positional and parity filters, and their Jaccard
+similarity is computed from the whole sets.  What leaves a meeting is a link per
+line; the components of the links meet once more, in full, where pairs are
+counted and never written: a line gets its number of links and earliest partner.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeflow.llm.common import Hashes, as_bytes, folded_lines, mix, sieved, steps, stored
+from gradeflow.llm.graph import components
 
 SIMILARITY = 0.8
 #: Hashed counters of word frequency: the order of words needs no more than a fixed table.
@@ -122,15 +124,16 @@ class Rule:
         return -(-self.crowd[_place(word)] // BLOCK)
 
 
-def _bitmaps(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits per line: which of 128 buckets its words fall in."""
+def _parities(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits per line: whether an odd number of its words falls in each of 128 buckets.
+
+    Two sets differ by at least as many words as their bits differ, and unlike
+    marks of presence the bits of long lines don't fill up.
+    """
     sizes, flat = _flat(column)
-    bit = flat >> np.uint64(57)
-    starts = np.cumsum(sizes) - sizes
+    starts, bit = np.cumsum(sizes) - sizes, flat >> np.uint64(57)
     one = np.uint64(1) << (bit & np.uint64(63))
-    low = np.bitwise_or.reduceat(np.where(bit < 64, one, np.uint64(0)), starts)
-    high = np.bitwise_or.reduceat(np.where(bit >= 64, one, np.uint64(0)), starts)
-    return low, high
+    return tuple(np.bitwise_xor.reduceat(np.where(half, one, np.uint64(0)), starts) for half in (bit < 64, bit >= 64))
 
 
 def _short(column: pa.Array) -> np.ndarray:
@@ -138,17 +141,21 @@ def _short(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py()[:8] for x in column), np.uint64)
 
 
-def _spread(rule: Rule, word: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Copies of each prefix row for the pairs of blocks it takes part in: (row, low block, high block)."""
-    blocks = rule.blocks(word)
+def _pairs_of_blocks(blocks: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Copies of each row for the pairs of blocks it takes part in: (row, its block, low block, high block)."""
     own = (mix(short) % blocks.astype(np.uint64)).astype(np.int64)
-    row = np.repeat(np.arange(len(word)), blocks)
+    row = np.repeat(np.arange(len(blocks)), blocks)
     other = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    return row, np.minimum(own[row], other), np.maximum(own[row], other)
+    return row, own[row], np.minimum(own[row], other), np.maximum(own[row], other)
 
 
 def _candidates(sets: DataFrame, rule: Rule) -> DataFrame:
-    """(short, word) of lines that meet a line they may be similar to, by prefix word."""
+    """Links (a, b) of class numbers that join all lines that may be similar: at most one per line and cell.
+
+    Lines meet in the cells of their prefix words.  Which pairs pass the filters
+    is seen in the cell alone; what leaves it is a link from each line to the
+    smallest line it is joined with there.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,43 +163,40 @@ def _candidates(sets: DataFrame, rule: Rule) -> DataFrame:
                 part = batch.slice(at, 8192)
                 short = _short(part.column("same"))
                 owner, word, position, sizes = rule.prefixes(part.column("words"))
-                low, high = _bitmaps(part.column("words"))
+                low, high = _parities(part.column("words"))
                 paired = rule.crowd[_place(word)] > 1
                 owner, word, position = owner[paired], word[paired], position[paired]
-                row, a, b = _spread(rule, word, short[owner])
+                row, _, a, b = _pairs_of_blocks(rule.blocks(word), short[owner])
                 own = owner[row]
-                shape = sizes[own] << 32 | position[row]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (word[row].view(np.int64), a << 32 | b, short[own].view(np.int64), shape, low[own].view(np.int64), high[own].view(np.int64))],
+                    [pa.array(x) for x in (word[row].view(np.int64), a << 32 | b, short[own].view(np.int64), sizes[own] << 32 | position[row], low[own].view(np.int64), high[own].view(np.int64))],
                     names=["word", "pair", "short", "shape", "low", "high"],
                 )
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("word", "pair", "short", "shape", "low", "high")
         left = None
         for batch in batches:
-            now = [batch.column(c).to_numpy() for c in names]
+            now = [batch.column(c).to_numpy() for c in ("word", "pair", "short", "shape", "low", "high")]
+            if not len(now[0]):
+                continue
             if left is not None:
                 now = [np.concatenate(x) for x in zip(left, now)]
-            same = (now[0] == now[0][-1]) & (now[1] == now[1][-1])
-            cut = int(np.argmax(same))  # the last cell may go on in the next batch
+            cut = int(np.argmax((now[0] == now[0][-1]) & (now[1] == now[1][-1])))  # the last cell may go on in the next batch
             left = [x[cut:] for x in now]
             if cut:
-                yield from found([x[:cut] for x in now])
+                yield found(*(x[:cut] for x in now))
         if left is not None:
-            yield from found(left)
+            yield found(*left)
 
-    def found(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        word, pair, short, shape, low, high = rows
+    def found(word, pair, short, shape, low, high) -> pa.RecordBatch:
         once = np.r_[True, (short[1:] != short[:-1]) | (pair[1:] != pair[:-1]) | (word[1:] != word[:-1])]
         word, pair, short, shape, low, high = (x[once] for x in (word, pair, short, shape, low, high))
         cell = np.cumsum(np.r_[0, (pair[1:] != pair[:-1]) | (word[1:] != word[:-1])])
         size, position = shape >> 32, shape & 0xFFFFFFFF
         across = pair >> 32 != pair & 0xFFFFFFFF
         own = (mix(short.view(np.uint64)) % np.maximum(rule.blocks(word.view(np.uint64)), 1).astype(np.uint64)).astype(np.int64)
-        marked = np.zeros(len(word), bool)
-        at = np.arange(len(word))
-        step = 1
+        at, step, root = np.arange(len(word)), 1, np.arange(len(word))
+        pairs, waiting = [], 0
         while True:
             at = at[at + step < len(word)]
             at = at[cell[at] == cell[at + step]]
@@ -201,100 +205,121 @@ def _candidates(sets: DataFrame, rule: Rule) -> DataFrame:
             to = at + step
             total = size[at] + size[to]
             need = rule.least(total)
-            ok = need <= np.minimum(size[at], size[to])
-            ok &= need <= np.minimum(size[at] - position[at], size[to] - position[to])  # the shared word and what follows it
+            ok = need <= np.minimum(size[at] - position[at], size[to] - position[to])  # the shared word and what follows it
             ok &= ~across[at] | (own[at] != own[to])
-            apart = np.bitwise_count((low[at] ^ low[to]).view(np.uint64)).astype(np.int64) + np.bitwise_count((high[at] ^ high[to]).view(np.uint64))
+            apart = sum(np.bitwise_count((x[at] ^ x[to]).view(np.uint64)).astype(np.int64) for x in (low, high))
             ok &= apart <= total - 2 * need
-            marked[at[ok]] = True
-            marked[to[ok]] = True
+            pairs.append((at[ok], to[ok]))
+            waiting += len(pairs[-1][0])
+            if waiting > 1 << 19:
+                _join(root, *map(np.concatenate, zip(*pairs)))
+                pairs, waiting = [], 0
             step += 1
-        yield pa.RecordBatch.from_arrays([pa.array(short[marked]), pa.array(word[marked])], names=["short", "word"])
+        if waiting:
+            _join(root, *map(np.concatenate, zip(*pairs)))
+        root = _roots(root)
+        linked = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([pa.array(short[linked]), pa.array(short[root[linked]])], names=["a", "b"])
 
     rows = sets.select("same", "words").mapInArrow(emit, "word bigint, pair bigint, short bigint, shape bigint, low bigint, high bigint")
     cells = rows.repartition("word", "pair").sortWithinPartitions("word", "pair", "short")
-    return cells.mapInArrow(meet, "short bigint, word bigint").groupBy("short").agg(F.collect_set("word").alias("meets"))
+    return cells.mapInArrow(meet, "a bigint, b bigint").distinct()
+
+
+def _roots(root: np.ndarray) -> np.ndarray:
+    while True:
+        up = root[root]
+        if (up == root).all():
+            return root
+        root = up
+
+
+def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the trees of all pairs (a, b) in place: the smaller root leads."""
+    while len(a):
+        top = _roots(root)
+        root[:] = top
+        x, y = top[a], top[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
 
 
 def _linked(met: DataFrame, rule: Rule) -> DataFrame:
-    """Per class: number of lines similar to it (its own class apart) and the earliest of them."""
+    """Per class: number of lines similar to it (its own class apart) and the earliest of them.
+
+    Rows of one component meet: in one cell, or in cells of pairs of blocks if
+    they are many.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                meets = part.column("meets")
-                sizes, word = _flat(meets)
-                owner = np.repeat(np.arange(len(sizes)), sizes)
-                row, a, b = _spread(rule, word, _short(part.column("same"))[owner])
-                taken = pa.array(owner[row])
+                blocks = -(-part.column("members").to_numpy() // BLOCK)
+                row, own, a, b = _pairs_of_blocks(blocks, _short(part.column("same")))
+                taken = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(word[row].view(np.int64)), pa.array(a << 32 | b), *(part.column(c).take(taken) for c in ("same", "words", "n", "id", "line"))],
-                    names=["word", "pair", "same", "words", "n", "id", "line"],
+                    [part.column("root").take(taken), pa.array(a << 32 | b), pa.array(own), *(part.column(c).take(taken) for c in ("same", "words", "n", "id", "line"))],
+                    names=["root", "pair", "block", "same", "words", "n", "id", "line"],
                 )
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, rows = None, []
-        out: list[tuple] = []
+        cell, rows, out = None, [], []
         for batch in batches:
-            words, pairs = batch.column("word").to_pylist(), batch.column("pair").to_pylist()
+            keys = zip(batch.column("root").to_pylist(), batch.column("pair").to_pylist())
             sizes, flat = _flat(batch.column("words"))
             ends = np.cumsum(sizes).tolist()
-            rest = list(zip(*(batch.column(c).to_pylist() for c in ("same", "n", "id", "line"))))
-            for k, key in enumerate(zip(words, pairs)):
+            rest = list(zip(*(batch.column(c).to_pylist() for c in ("same", "n", "id", "line", "block"))))
+            for k, key in enumerate(keys):
                 if key != cell:
-                    out += compare(cell, rows)
+                    out += compare(rows)
                     cell, rows = key, []
                     if len(out) > 20_000:
                         yield told(out)
                         out = []
                 if not rows or rows[-1][1][0] != rest[k][0]:
-                    rows.append((flat[ends[k] - sizes[k] : ends[k]].copy(), rest[k]))
-        out += compare(cell, rows)
+                    rows.append((flat[ends[k] - sizes[k] : ends[k]], rest[k]))
+        out += compare(rows)
         yield told(out)
 
     def told(out: list[tuple]) -> pa.RecordBatch:
         kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int32()]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["same", "links", "id", "line"])
 
-    def compare(cell, rows: list) -> list[tuple]:
-        """Links of a cell's lines, each pair counted only where its first common word is the cell's."""
+    def compare(rows: list) -> list[tuple]:
+        """Links of a cell's lines, from their whole word sets."""
         if len(rows) < 2:
             return []
+        if len(rows) == 2:
+            (one, a), (two, b) = rows
+            overlap = len(set(one.tolist()) & set(two.tolist()))
+            similar = overlap >= rule.least(len(one) + len(two))
+            return [(a[0], b[1], b[2], b[3]), (b[0], a[1], a[2], a[3])] if similar else []
         sizes = np.array([len(w) for w, _ in rows])
-        flat = np.concatenate([w for w, _ in rows])
+        words, column = np.unique(np.concatenate([w for w, _ in rows]), return_inverse=True)
         owner = np.repeat(np.arange(len(rows)), sizes)
-        words, column = np.unique(flat, return_inverse=True)
-        own_word = np.array([cell[0]], np.int64).view(np.uint64)[0]
-        frequency = rule.frequency[_place(words)]
-        own_frequency = rule.frequency[_place(np.array([own_word]))][0]
-        rarer = (frequency < own_frequency) | ((frequency == own_frequency) & (words < own_word))
         overlap = np.zeros((len(rows), len(rows)), np.float32)
-        earlier = np.zeros_like(overlap)
         for at in range(0, len(words), _COLUMNS):
             here = (column >= at) & (column < at + _COLUMNS)
             table = np.zeros((len(rows), min(_COLUMNS, len(words) - at)), np.float32)
             table[owner[here], column[here] - at] = 1
             overlap += table @ table.T
-            before = table[:, rarer[at : at + _COLUMNS]]
-            earlier += before @ before.T
-        similar = (overlap >= rule.least(sizes[:, None] + sizes[None, :])) & (earlier == 0)
+        similar = overlap >= rule.least(sizes[:, None] + sizes[None, :])
         np.fill_diagonal(similar, False)
-        low, high = cell[1] >> 32, cell[1] & 0xFFFFFFFF
-        if low != high:
-            short = np.frombuffer(b"".join(r[1][0][:8] for r in rows), np.uint64)
-            block = mix(short) % np.uint64(rule.blocks(np.array([own_word]))[0])
+        block = np.array([r[1][4] for r in rows])
+        if len(set(block.tolist())) > 1:
             similar &= block[:, None] != block[None, :]
         counts = np.array([r[1][1] for r in rows])
-        order = sorted(range(len(rows)), key=lambda k: rows[k][1][2:])
+        order = sorted(range(len(rows)), key=lambda k: rows[k][1][2:4])
         out = []
         for k in np.flatnonzero(similar.any(1)).tolist():
             first = order[int(np.argmax(similar[k][order]))]
-            out.append((rows[k][1][0], int(counts[similar[k]].sum()), *rows[first][1][2:]))
+            out.append((rows[k][1][0], int(counts[similar[k]].sum()), *rows[first][1][2:4]))
         return out
 
-    rows = met.mapInArrow(emit, "word bigint, pair bigint, same binary, words array<bigint>, n bigint, id bigint, line int")
-    cells = rows.repartition("word", "pair").sortWithinPartitions("word", "pair", "same")
+    rows = met.mapInArrow(emit, "root bigint, pair bigint, block bigint, same binary, words array<bigint>, n bigint, id bigint, line int")
+    cells = rows.repartition("root", "pair").sortWithinPartitions("root", "pair", "same")
     return cells.mapInArrow(verify, "same binary, links bigint, id bigint, line int").groupBy("same").agg(F.sum("links").alias("links"), F.min(F.struct("id", "line")).alias("partner"))
 
 
@@ -315,10 +340,11 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     rule.crowd = _count(sets.select("words"), lambda batch: _place(rule.prefixes(batch.column("words"))[1]))
     grouped = stored(lines.groupBy("same").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")), "line_classes")
 
-    candidates = stored(_candidates(sets, rule), "line_candidates")
-    near = sieved(sets.withColumn("short", _short_column("same")), "short", candidates.select("short"))
-    near = near.join(candidates, "short").groupBy("same").agg(F.first("words").alias("words"), F.first("meets").alias("meets"))
-    near = near.join(grouped, "same").select("same", "words", "meets", "n", F.col("first.id").alias("id"), F.col("first.line").alias("line"))
+    roots = components(stored(_candidates(sets, rule), "line_candidates")).withColumnRenamed("node", "short")
+    members = roots.groupBy("root").agg(F.count("*").alias("members"))
+    told = grouped.select("same", _short_column("same").alias("short"), "n", F.col("first.id").alias("id"), F.col("first.line").alias("line"))
+    told = told.join(roots.join(members, "root"), "short").drop("short")
+    near = sieved(sets.select("same", "words"), "same", told.select("same")).join(told, "same")
     similar = stored(_linked(near, rule), "line_links")
 
     place = F.struct("id", "line")
