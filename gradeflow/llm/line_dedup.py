@@ -23,7 +23,7 @@ from gradeflow.llm.graph import components
 
 SIMILARITY = 0.8
 #: Hashed counters of word frequency: the order of words needs no more than a fixed table.
-COUNTERS = 1 << 20
+COUNTERS = 1 << 18
 #: Lines of one prefix word that meet in one cell; more are spread over pairs of blocks.
 BLOCK = 512
 _COLUMNS = 4096
@@ -102,7 +102,11 @@ class Rule:
 
     def __init__(self, threshold: float, frequency: np.ndarray):
         self.threshold, self.frequency = threshold, np.minimum(frequency, (1 << 31) - 1).astype(np.int32)
-        self.crowd = None
+        self.crowd, self.usual = np.zeros(COUNTERS, np.int32), 0
+
+    def gather(self, crowd: np.ndarray) -> None:
+        """Take in the number of prefixes that hold each counter's words."""
+        self.crowd, self.usual = np.minimum(crowd, (1 << 31) - 1).astype(np.int32), int(np.median(crowd))
 
     def prefixes(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Per prefix word: the row of its line, the word, its position, and per line its size."""
@@ -120,8 +124,11 @@ class Rule:
         return np.ceil(self.threshold / (1 + self.threshold) * total - 1e-9)
 
     def blocks(self, word: np.ndarray) -> np.ndarray:
-        """Blocks that the lines of each prefix word are spread over."""
-        return -(-self.crowd[_place(word)] // BLOCK)
+        """Blocks that the lines of each prefix word are spread over.
+
+        A counter also holds words that share it; their usual number is taken off.
+        """
+        return -(-np.maximum(self.crowd[_place(word)] - self.usual, 1) // BLOCK)
 
 
 def _parities(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -337,7 +344,7 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     lines = stored(_lines(source), "lines")
     sets = lines.where(F.col("words").isNotNull())
     rule = Rule(threshold, _count(sets.select("words"), lambda batch: _place(_flat(batch.column("words"))[1])))
-    rule.crowd = _count(sets.select("words"), lambda batch: _place(rule.prefixes(batch.column("words"))[1]))
+    rule.gather(_count(sets.select("words"), lambda batch: _place(rule.prefixes(batch.column("words"))[1])))
     grouped = stored(lines.groupBy("same").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")), "line_classes")
 
     roots = components(stored(_candidates(sets, rule), "line_candidates")).withColumnRenamed("node", "short")
