@@ -6,7 +6,7 @@ bands of samples give candidates, and the exact similarity decides.
 
 Equal texts are one class from the start.  In a band every class meets the
 smallest class first; what is then one component needs no further pairs, and the
-pairs left between different components of a band are compared in full.
+documents of different components that still meet in a band are all compared there.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ COUNTERS = 1 << 18
 #: How far rare shingles outweigh common ones: weights lie in [1, 1 + RARITY].  Small, so that
 #: a large group of copies, which makes its own shingles common, keeps its similarity.
 RARITY = 0.1
+#: Documents of one band that meet in one cell; more are spread over pairs of blocks.
+BLOCK = 256
 _PLACES = 1 << 16
 
 
@@ -187,6 +189,75 @@ def _verified(pairs: DataFrame, docs: DataFrame, weights: Weights, threshold: fl
     return stored(joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint"), "verified")
 
 
+def _across(placed: DataFrame, reps: DataFrame, docs: DataFrame, weights: Weights, threshold: float) -> DataFrame:
+    """Links between different components that meet in a band: every such pair is compared where it meets.
+
+    Pairs are never rows: what leaves a cell is the links that join components.
+    A large band is spread over pairs of blocks, and a pair that shares several
+    bands is compared in the first.
+    """
+    sizes = placed.groupBy("band").agg(F.count("*").alias("n"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
+    rows = placed.join(sizes, "band").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    ids = placed.select("rep").distinct()
+    known = sieved(docs, "id", ids).groupBy("id").agg(F.min("text").alias("text")).join(reps.select(F.col("rep").alias("id"), "bands"), "id")
+    rows = rows.join(known.withColumnRenamed("id", "rep"), "rep").select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "root", "bands", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        cell, members, found = None, [], []
+        for batch in batches:
+            for row in zip(*(batch.column(c) for c in ("band", "low", "high", "own", "rep", "root", "bands", "text"))):
+                band, low, high, own, rep, root = (x.as_py() for x in row[:6])
+                if (band, low, high) != cell:
+                    found += compare(cell, members)
+                    cell, members = (band, low, high), []
+                _, code, times, _ = shingles([row[7].as_py()], hashes)
+                members.append((own, rep, root, row[6].as_py(), code, weights(code, times)))
+        found += compare(cell, members)
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    def compare(cell: tuple, members: list[tuple]) -> list[tuple[int, int]]:
+        if len({m[2] for m in members}) < 2:
+            return []
+        own, root, bands = (np.array([m[i] for m in members]) for i in (0, 2, 3))
+        totals = np.array([m[5].sum(dtype=np.float64) for m in members])
+        equal = bands[:, None, :] == bands[None, :, :]
+        here = int(np.argmax(bands[0] == cell[0]))
+        wanted = np.triu(equal.argmax(2) == here, 1) & (root[:, None] != root[None, :])
+        if cell[1] != cell[2]:
+            wanted &= own[:, None] != own[None, :]
+        # The weight of common shingles, as either document has them, bounds the similarity from above.
+        codes, column = np.unique(np.concatenate([m[4] for m in members]), return_inverse=True)
+        owner = np.repeat(np.arange(len(members)), [len(m[4]) for m in members])
+        value = np.concatenate([m[5] for m in members])
+        common = np.zeros(wanted.shape, np.float32)
+        for at in range(0, len(codes), 4096):
+            part = (column >= at) & (column < at + 4096)
+            table = np.zeros((len(members), min(4096, len(codes) - at)), np.float32)
+            table[owner[part], column[part] - at] = value[part]
+            common += table @ (table > 0).astype(np.float32).T
+        bound = np.minimum(common, common.T) * (1 + 1e-4)
+        wanted &= bound >= threshold * (totals[:, None] + totals[None, :] - bound)
+        leader, links = {}, []
+
+        def lead(r: int) -> int:
+            while r in leader:
+                r = leader[r]
+            return r
+
+        for i, j in zip(*np.nonzero(wanted)):
+            one, two = lead(members[i][2]), lead(members[j][2])
+            if one != two and similarity(members[i][4:], members[j][4:]) >= threshold:
+                leader[max(one, two)] = min(one, two)
+                links.append((members[i][1], members[j][1]))
+        return links
+
+    cells = rows.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "rep")
+    return stored(cells.mapInArrow(run, "a bigint, b bigint"), "links_across")
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """One row per document: ``key`` and class_id, the smallest id of its group of near duplicates.
 
@@ -212,13 +283,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     placed = met.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "weight", F.coalesce("root", "rep").alias("root"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band")
     placed = stored(placed.join(mixed, "band", "left_semi"), "mixed_bands")
-    left, right = (placed.select("band", *(F.col(c).alias(f"{c}_{side}") for c in ("rep", "weight", "root"))) for side in "ab")
-    cross = left.join(right, "band").where(
-        (F.col("root_a") < F.col("root_b")) & (F.least("weight_a", "weight_b") >= F.greatest("weight_a", "weight_b") * (threshold - 1e-6))
-    )
-    cross = cross.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
-    done = first.select(F.col("leader").alias("a"), F.col("rep").alias("b"))
-    more = _verified(cross.join(done, ["a", "b"], "left_anti"), source, weights, threshold)
+    more = _across(placed, reps, source, weights, threshold)
     roots = components(links.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))).unionByName(more))
     named = reps.select("same", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("root", "rep").alias("root"))
     return signed.join(named, "same", "left").select(
