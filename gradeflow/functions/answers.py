@@ -49,7 +49,7 @@ def parse_binary(response: Column | str, strict: bool = False) -> Column:
 
 def parse_count(response: Column | str) -> Column:
     """The first run of ASCII digits as a number ("3.5" is 3, "1,200" is 1), or NULL."""
-    digits = F.regexp_extract(as_col(response), "([0-9]+)", 1)
+    digits = F.regexp_extract(as_col(response), "0*([0-9]+)", 1)  # leading zeros don't make a number long
     return digits.try_cast("decimal(38,0)")
 
 
@@ -61,7 +61,7 @@ def parse_answer(response: Column | str, question_type: Column | str, strict: bo
     as_text = F.when(~qtype.isin("binary", "count"), strip(text))
     # One test each, apart from the parsing: generated code stays small enough to be compiled.
     unread = ((qtype == "binary") & ~_any_word(F.lower(text), TRUE_WORDS + FALSE_WORDS, strict)) | (
-        (qtype == "count") & text.rlike("^[^0-9]*([0-9]{39}|$)")
+        (qtype == "count") & text.rlike("^[^0-9]*(0*[1-9][0-9]{38}|$)")
     )
     return F.struct(
         as_bool.alias("value_bool"),

@@ -69,9 +69,27 @@ def latest_group_runs(listed: DataFrame, limit: int = MAX_COMPARED) -> DataFrame
     return runs.orderBy(F.col("created_at").desc(), F.col("evaluation_id")).limit(limit)
 
 
-def compare_runs(summaries: DataFrame, evaluations: DataFrame, models: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Two to six chosen runs side by side; a run whose model is gone keeps its row."""
-    picked = evaluations.join(F.broadcast(chosen.select("evaluation_id").limit(MAX_COMPARED)), "evaluation_id", "left_semi")
+def chosen_runs(evaluations: DataFrame, chosen: DataFrame) -> list:
+    """Ids of the runs to compare; ValueError for other than two to six runs of one project.
+
+    At most one id more than may be compared is read, which settles the case.
+    """
+    picked = evaluations.join(chosen.select("evaluation_id"), "evaluation_id", "left_semi").select("evaluation_id", "project_id").distinct()
+    rows = picked.limit(MAX_COMPARED + 1).collect()
+    problem = comparison_error(len(rows), len({r["project_id"] for r in rows}))
+    if problem:
+        raise ValueError(problem)
+    return sorted(r["evaluation_id"] for r in rows)
+
+
+def compare_runs(results: DataFrame, evaluations: DataFrame, models: DataFrame, chosen: DataFrame, summarize) -> DataFrame:
+    """Two to six chosen runs side by side; a run whose model is gone keeps its row.
+
+    Only results of the chosen runs are given to ``summarize``.
+    """
+    ids = chosen_runs(evaluations, chosen)
+    picked = evaluations.filter(F.col("evaluation_id").isin(ids))
+    summaries = summarize(results.filter(F.col("evaluation_id").isin(ids)))
     return picked.join(summaries, "evaluation_id", "left").join(models, "model_config_id", "left")
 
 

@@ -37,9 +37,14 @@ def by_arrival(found: DataFrame) -> DataFrame:
 
 
 def new_paths_only(found: DataFrame, known_paths: DataFrame) -> DataFrame:
-    """Drop files that the overlap finds again, and repeats within a scan."""
-    fresh = found.join(known_paths.select("full_path"), "full_path", "left_anti")
-    return first_by(fresh, ["full_path"], ["time_created"])
+    """Drop files that the overlap finds again, and repeats within a scan.
+
+    Where files carry a job, every job keeps its own: the key is job and path.
+    """
+    keys = [c for c in ("job_id", "full_path") if c in found.columns and c in known_paths.columns] or ["full_path"]
+    fresh = found.join(known_paths.select(*keys), keys, "left_anti")
+    own = ["job_id", "full_path"] if "job_id" in found.columns else ["full_path"]
+    return first_by(fresh, own, ["time_created"])
 
 
 def take_up(files: DataFrame, images: DataFrame) -> DataFrame:

@@ -269,10 +269,14 @@ def precision_recall_f1(summary: DataFrame) -> DataFrame:
     )
 
 
-def accuracy_by_question(results: DataFrame, by: Sequence[str] = ("question_type",)) -> DataFrame:
-    """Accuracy per question and, in a row with NULL keys, over all."""
-    grouped = results.rollup(*by) if len(by) == 1 else results.groupBy(*by)
-    counts = grouped.agg(*outcome_counts())
+def accuracy_by_question(results: DataFrame, by: Sequence[str] = ("question_type",), overall: str | None = None) -> DataFrame:
+    """Accuracy per question and, in one row with NULL keys, over all.
+
+    ``overall`` names a column that marks this row, as a question may be NULL too.
+    """
+    keys = [F.col(c) for c in by]
+    mark = [(F.grouping(by[0]) == 1).alias(overall)] if overall else []
+    counts = results.groupingSets([keys, []], *keys).agg(*mark, *outcome_counts())
     return counts.withColumn("accuracy_percent", percent_2dp("correct", "successful"))
 
 

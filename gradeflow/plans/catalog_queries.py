@@ -33,12 +33,11 @@ def eval_list(t: Tables) -> DataFrame:
 
 
 @query(
-    _LISTED + """SELECT evaluation_id, project_name, model, CAST(created_at AS VARCHAR) AS created_at FROM listed WHERE project_id = 3
-ORDER BY listed.created_at DESC, evaluation_id LIMIT 100"""
+    _LISTED + """SELECT evaluation_id, project_name, model, CAST(created_at AS VARCHAR) AS created_at FROM listed WHERE project_id = 3"""
 )
 def eval_list_newest(t: Tables) -> DataFrame:
-    """Newest runs of one project."""
-    newest = catalog.newest_first(_listed(t, project_id=3), "created_at", "evaluation_id").limit(100)
+    """All runs of one project, newest first."""
+    newest = catalog.newest_first(_listed(t, project_id=3), "created_at", "evaluation_id")
     return newest.select("evaluation_id", "project_name", "model", F.col("created_at").cast("string").alias("created_at"))
 
 
@@ -87,7 +86,7 @@ def eval_compare(t: Tables) -> DataFrame:
         F.col("model_id").alias("model_config_id"), "provider", "model_name", F.lit(0.5).alias("temperature")
     )
     chosen = runs.filter(F.col("project_id") == "en").select("evaluation_id")
-    compared = catalog.compare_runs(scoring.summarize(scored(t), usage="steps"), runs, models, chosen)
+    compared = catalog.compare_runs(scored(t), runs, models, chosen, lambda rows: scoring.summarize(rows, usage="steps"))
     return compared.select(
         "evaluation_id", "status", "total", "correct", "failed", "tp", "fp", "total_tokens", "prompt", "provider",
         "model_name", "temperature",
@@ -172,7 +171,7 @@ def _pricing(price: str) -> Column:
 
 @query("""
 WITH configs AS (SELECT 'p' || (s_suppkey % 4) AS provider, 'm' || s_suppkey AS model_name, s_name AS name, 'old' AS auth_type, s_nationkey AS price, s_suppkey % 7 + 1 AS concurrency FROM supplier),
-fresh AS (SELECT 'p' || (c_custkey % 4) AS provider, 'm' || c_custkey AS model_name, c_name AS name, c_nationkey + 100 AS price FROM customer WHERE c_acctbal > 0)
+fresh AS (SELECT 'p' || (c_custkey % 4) AS provider, 'm' || c_custkey AS model_name, c_name AS name, c_nationkey + 100 AS price FROM customer)
 SELECT provider, model_name, CASE WHEN f.name IS NOT NULL THEN f.name ELSE c.name END AS name,
   CASE WHEN f.name IS NOT NULL THEN 'api_key' ELSE 'old' END AS auth_type, CAST(coalesce(f.price, c.price) AS DOUBLE) AS price,
   CAST(coalesce(c.concurrency, 3) AS BIGINT) AS concurrency,
@@ -185,7 +184,7 @@ def catalogue_merge(t: Tables) -> DataFrame:
         F.col("s_name").alias("name"), F.lit("old").alias("auth_type"), _pricing("s_nationkey").alias("pricing"),
         F.expr("s_suppkey % 7 + 1").alias("concurrency"), F.lit(True).alias("is_active"),
     )
-    catalogue = t.given("customer").filter(F.col("c_acctbal") > 0).select(
+    catalogue = t.given("customer").select(
         F.expr("'p' || (c_custkey % 4)").alias("provider"), F.expr("'m' || c_custkey").alias("model_name"),
         F.col("c_name").alias("display_name"), F.lit(None).cast("string").alias("auth_type"),
         _pricing("c_nationkey + 100").alias("pricing"),

@@ -69,11 +69,11 @@ def take_up_files(t: Tables) -> DataFrame:
 
 @query(
     with_views("files")
-    + f"""SELECT file_id, object_name FROM files WHERE {_SCANNED} ORDER BY time_created, object_name LIMIT 50"""
+    + f"""SELECT file_id, object_name FROM files WHERE {_SCANNED}"""
 )
 def scan_oldest(t: Tables) -> DataFrame:
-    """The fifty files that came first after the mark."""
-    return labelling.by_arrival(_found(t)).limit(50).select("file_id", "object_name")
+    """All files after the mark, in the order they came."""
+    return labelling.by_arrival(_found(t)).select("file_id", "object_name")
 
 
 _RUNS = """, per_run AS (

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from gradeflow.functions import prompts as pr
-from gradeflow.operators.joins import first_by
 from gradeflow.plans.registry import query
 from gradeflow.plans.scoring_queries import results
 from gradeflow.plans.tables import Tables, with_views
@@ -67,10 +66,12 @@ def chain_validate(t: Tables) -> DataFrame:
         (F.col("turn") + 1).cast("int").alias("step_number"), F.lit(None).cast("string").alias("system_message"),
         F.col("text").alias("prompt"),
     )
-    # One step more than a chain may have settles the case, however long the conversation is.
-    steps = first_by(steps, ["conv_id"], ["turn"], keep=pr.MAX_STEPS + 1)
-    chains = steps.groupBy("conv_id").agg(F.array_sort(F.collect_list(step)).cast(PROMPT_CHAIN).alias("chain"))
+    # All steps are counted; only chains that may be valid, of at most MAX_STEPS, are gathered.
+    counts = steps.groupBy("conv_id").agg(F.count("*").alias("n"))
+    short = steps.join(counts.where(F.col("n") <= pr.MAX_STEPS), "conv_id", "left_semi")
+    chains = short.groupBy("conv_id").agg(F.array_sort(F.collect_list(step)).cast(PROMPT_CHAIN).alias("chain"))
     everyone = t.given("conversations").select("conv_id").distinct()
+    # Without a chain there are no steps or too many, which is one error.
     empty = F.array().cast(PROMPT_CHAIN)
     return everyone.join(chains, "conv_id", "left").select(
         "conv_id", pr.chain_error(F.coalesce("chain", empty)).alias("error")

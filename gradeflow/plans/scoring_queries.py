@@ -188,10 +188,10 @@ SELECT conv_id, turn,
        WHEN regexp_matches(lower(text), 'no|false|0') THEN FALSE END AS value,
   CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9])(yes|true|1)([^a-z0-9]|$)') THEN TRUE
        WHEN regexp_matches(lower(text), '(^|[^a-z0-9])(no|false|0)([^a-z0-9]|$)') THEN FALSE END AS strict_value
-FROM conversations WHERE role = 'assistant'""")
+FROM conversations""")
 def parse_binary(t: Tables) -> DataFrame:
-    """Yes/no out of assistant turns, by substring and by whole word."""
-    turns = t.given("conversations").filter(F.col("role") == "assistant")
+    """Yes/no out of all turns, by substring and by whole word."""
+    turns = t.given("conversations")
     return turns.select(
         "conv_id", "turn", fa.parse_binary("text").alias("value"), fa.parse_binary("text", strict=True).alias("strict_value")
     )
@@ -303,7 +303,7 @@ def run_summary(t: Tables) -> DataFrame:
 @query(
     with_views("answers")
     + f"""SELECT provider, model_name, step_number, count(*) AS steps, CAST(sum(p) AS BIGINT) AS prompt_tokens,
-       CAST(sum(c) AS BIGINT) AS completion_tokens, CAST(sum(cost) AS DOUBLE) / 1000000000000 AS cost
+       CAST(sum(c) AS BIGINT) AS completion_tokens, CAST(CAST(sum(cost) AS DECIMAL(26, 0)) * 0.000000000001::DECIMAL(12, 12) AS DOUBLE) AS cost
 FROM (SELECT provider, model_name, 1 AS step_number, prompt1 AS p, completion1 AS c, {cost_sql("prompt1", "completion1")} AS cost
       FROM answers WHERE has_step1
       UNION ALL
@@ -317,7 +317,7 @@ def cost_by_provider(t: Tables) -> DataFrame:
     return steps.groupBy("provider", "model_name", F.col("step.step_number").alias("step_number")).agg(
         F.count("*").alias("steps"), F.sum("step.prompt_tokens").alias("prompt_tokens"),
         F.sum("step.completion_tokens").alias("completion_tokens"),
-        (F.sum(units).cast("double") / F.lit(1e12)).alias("cost"),
+        fc.sum_money(units).cast("double").alias("cost"),
     )
 
 
@@ -521,6 +521,16 @@ def accuracy_by_question(t: Tables) -> DataFrame:
     return scoring.accuracy_by_question(scored(t))
 
 
+@query(
+    with_views("answers") + PARSED_SQL
+    + f"""SELECT evaluation_id, question_type, overall, total, failed, successful, correct, unparsed, {percent_sql("correct", "successful")} AS accuracy_percent
+FROM (SELECT evaluation_id, question_type, grouping(evaluation_id) = 1 AS overall, {_COUNTS_SQL} FROM judged GROUP BY GROUPING SETS ((evaluation_id, question_type), ())) AS s"""
+)
+def accuracy_by_run_and_question(t: Tables) -> DataFrame:
+    """Accuracy per run and question type, and one marked row over all."""
+    return scoring.accuracy_by_question(scored(t), ["evaluation_id", "question_type"], overall="overall")
+
+
 @query(
     with_views("answers") + PARSED_SQL
     + f""", daily AS (SELECT evaluation_id, date_trunc('hour', completed_at) AS period, count(*) - count(error) AS successful,

@@ -24,13 +24,14 @@ def _header(spark: SparkSession, path: str, encoding: str) -> list[str]:
 
 
 def read_import_rows(
-    spark: SparkSession, path: str, multi_line: bool = False, encoding: str = "UTF-8"
+    spark: SparkSession, path: str, multi_line: bool = True, encoding: str = "UTF-8"
 ) -> DataFrame:
     """Import rows with their row number in the file; further columns are left out.
 
     Numbers follow the order of the file without sorting it: a row's place in
-    its split plus the rows of the splits before it.  ``multi_line`` admits line
-    breaks inside quotes; such a file is read by one task per file.
+    its split plus the rows of the splits before it.  Line breaks inside
+    quotes are admitted, which reads a file in one task; ``multi_line=False``
+    splits large files that are known to have none.
     """
     names = _header(spark, path, encoding)
     problem = missing_columns_error(names)
@@ -56,7 +57,7 @@ def read_import_rows(
     return placed.join(offsets, ["_file", "_start"]).select(row_no.cast("bigint").alias("row_no"), *kept)
 
 
-def count_rows(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def count_rows(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Records of the file, header excluded, as one row; line breaks inside quotes do not count."""
     records = spark.read.csv(path, header=True, multiLine=multi_line, quote='"', escape='"')
     return records.agg(F.count("*").cast("bigint").alias("rows"))

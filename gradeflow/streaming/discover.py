@@ -16,14 +16,14 @@ def discover(
     delay: str = DELAY,
     extensions: tuple[str, ...] = SCAN_EXTENSIONS,
 ) -> DataFrame:
-    """New files of a stream of listings, each ``full_path`` once.
+    """New files of a stream of listings, each ``full_path`` once per job.
 
     A path seen again within ``delay`` is dropped; a file that is later than
     the delay behind the newest one is missed, as a scan from the last mark
     would miss it.  State per path lives only as long as the delay.
     """
     found = scan_files(files, prefix, extensions=extensions)
-    return found.withWatermark("time_created", delay).dropDuplicatesWithinWatermark(["full_path"])
+    return found.withWatermark("time_created", delay).dropDuplicatesWithinWatermark([c for c in ("job_id", "full_path") if c in found.columns])
 
 
 def arrivals(files: DataFrame, every: str = "15 minutes", delay: str = DELAY) -> DataFrame:

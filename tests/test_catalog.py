@@ -98,13 +98,20 @@ def test_latest_group(spark):
 
 
 def test_compare_keeps_runs_without_model(spark):
-    runs = spark.createDataFrame([(1, 1), (2, 9)], "evaluation_id int, model_config_id int")
+    runs = spark.createDataFrame([(1, 1, 5), (2, 9, 5)], "evaluation_id int, model_config_id int, project_id int")
     models = spark.createDataFrame([(1, "openai")], "model_config_id int, provider string")
     sums = spark.createDataFrame([(1, 0.5), (2, 0.7)], "evaluation_id int, accuracy double")
-    got = {r["evaluation_id"]: r["provider"] for r in catalog.compare_runs(sums, runs, models, runs).collect()}
+    got = {r["evaluation_id"]: r["provider"] for r in catalog.compare_runs(sums, runs, models, runs, lambda rows: rows).collect()}
     assert got == {1: "openai", 2: None}
 
 
+@pytest.mark.parametrize("rows", [[(i, 1, 5) for i in range(9)], [(1, 1, 5)], [(1, 1, 5), (2, 1, 6)]])
+def test_compare_refuses_other_choices(spark, rows):
+    runs = spark.createDataFrame(rows, "evaluation_id int, model_config_id int, project_id int")
+    with pytest.raises(ValueError):
+        catalog.chosen_runs(runs, runs)
+
+
 def test_empty_dashboard(spark):
     none = spark.createDataFrame([], "project_id int, dataset_id int, status string, accuracy double")
     row = catalog.dashboard(none, none, none).first()

@@ -31,7 +31,7 @@ def test_only_needed_columns_are_read(spark, name, absent):
 
 @pytest.mark.parametrize(
     "name, pushed",
-    [("scan_incremental", "GreaterThan(ts,2024-01-14T23:59"), ("job_result_page", "EqualTo(user_id,7)"),
+    [("scan_incremental", "GreaterThan(ts,2024-01-14T23:59"), ("job_result_page", "EqualTo(user_id,7)"), ("select_manual", "EqualTo(toxic,1)")],
      ("parse_binary", "EqualTo(role,assistant)"), ("select_manual", "EqualTo(toxic,1)")],
 )
 def test_filters_reach_the_scan(spark, name, pushed):
