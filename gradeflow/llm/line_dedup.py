@@ -22,6 +22,8 @@ from gradeflow.llm.common import Hashes, as_bytes, folded_lines, mix, sieved, st
 from gradeflow.llm.graph import components
 
 SIMILARITY = 0.8
+#: Words are known by 48 bits of their hash: enough to tell the words of two lines apart, and smaller to write.
+WORD_BITS = (1 << 48) - 1
 #: Hashed counters of word frequency: the order of words needs no more than a fixed table.
 COUNTERS = 1 << 18
 #: Lines of one prefix word that meet in one cell; more are spread over pairs of blocks.
@@ -45,7 +47,7 @@ def _lines(docs: DataFrame) -> DataFrame:
                         ids.append(key)
                         found.append(own)
             sizes = np.fromiter(map(len, found), np.int64, len(found))
-            flat = hashes([w for own in found for w in own])
+            flat = hashes([w for own in found for w in own]) & np.uint64(WORD_BITS)
             owner = np.repeat(np.arange(len(found)), sizes)
             order = np.lexsort((flat, owner))
             flat, owner = flat[order], owner[order]
@@ -138,7 +140,7 @@ def _parities(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     marks of presence the bits of long lines don't fill up.
     """
     sizes, flat = _flat(column)
-    starts, bit = np.cumsum(sizes) - sizes, flat >> np.uint64(57)
+    starts, bit = np.cumsum(sizes) - sizes, flat >> np.uint64(41)
     one = np.uint64(1) << (bit & np.uint64(63))
     return tuple(np.bitwise_xor.reduceat(np.where(half, one, np.uint64(0)), starts) for half in (bit < 64, bit >= 64))
 
