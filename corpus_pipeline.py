@@ -9,7 +9,7 @@ from gradeflow.llm import decontaminate, language, line_dedup, sentencepiece_cod
 from gradeflow.llm.common import stored
 
 #: Documents below this share of words in their main language are rejected.
-LEAST_LANGUAGE_SHARE = 0.5
+LEAST_LANGUAGE_SHARE = 0.25
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
