@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeflow.functions.answers import answer_text, is_blank_label, validate_label
 from gradeflow.functions.text import strip
-from gradeflow.operators.joins import merge_by_key, salted_lookup
+from gradeflow.operators.joins import merge_by_key
 from gradeflow.schemas import ANSWER, READY_STATES
 from gradeflow.session import freeze
 
@@ -27,7 +27,7 @@ def missing_columns_error(columns: Iterable[str]) -> str | None:
 class ImportResult:
     """Outcome of an import; every part is derived from ``outcomes``."""
 
-    outcomes: DataFrame  # row_no, image_id, outcome, error, answer
+    outcomes: DataFrame  # (file,) row_no, image_id, outcome, error, answer
     latest: DataFrame  # image_id, answer: the last valid row per image
 
     def counters(self) -> DataFrame:
@@ -39,11 +39,13 @@ class ImportResult:
         )
 
     def errors(self) -> DataFrame:
-        return self.outcomes.filter(F.col("outcome") == "error").select("row_no", "error")
+        place = [c for c in ("file", "row_no") if c in self.outcomes.columns]
+        return self.outcomes.filter(F.col("outcome") == "error").select(*place, "error")
 
     def stored_errors(self, limit: int = MAX_STORED_ERRORS) -> DataFrame:
-        """The first errors by row number, at most ``limit``."""
-        return self.errors().orderBy("row_no").limit(limit)
+        """The first errors by file and row number, at most ``limit``."""
+        errors = self.errors()
+        return errors.orderBy(*errors.columns[:-1]).limit(limit)
 
     def applied(self, annotations: DataFrame, annotator_id: str) -> DataFrame:
         """Annotations after the import; an update leaves the skipped and flagged marks."""
@@ -74,17 +76,20 @@ def import_annotations(
 ) -> ImportResult:
     """Check import rows against the images of a dataset.
 
-    ``rows`` has a unique row_no, image_filename and annotation_value.  Of several
+    ``rows`` has image_filename, annotation_value and a row_no that is unique,
+    or unique within ``file`` where rows carry one; files apply in the order of
+    their names.  Of several
     images with one file name the one with the lowest id is meant.  The image is
     looked up before the value, so a blank value for an unknown image is an
     error.  Rows that name the same image apply in row order, the last one wins.
     """
+    place = [c for c in ("file", "row_no") if c in rows.columns]
     known = images.groupBy("filename").agg(F.min("image_id").alias("image_id"))
     has_annotation = annotations.select("image_id", F.lit(True).alias("_annotated"))
     known = known.join(has_annotation, "image_id", "left")
 
     named = rows.withColumn("filename", strip("image_filename"))
-    found = salted_lookup(named, known, ["filename"], "left")
+    found = named.join(known, "filename", "left")  # grouped by image next, so a hot name can be split
     checked = found.withColumn("_check", validate_label("annotation_value", question_type, options))
     missing = F.col("image_id").isNull()
     blank = is_blank_label("annotation_value")
@@ -96,7 +101,7 @@ def import_annotations(
         missing, F.concat(F.lit("Image not found: "), F.coalesce(F.col("filename"), F.lit("nan")))
     ).when(~blank, F.col("_check.error"))
     checked = checked.select(
-        "row_no", "image_id", kind.alias("_kind"), error.alias("error"),
+        *place, "image_id", kind.alias("_kind"), error.alias("error"),
         F.when(kind == "valid", F.col("_check.answer")).alias("answer"),
         F.coalesce("_annotated", F.lit(False)).alias("_annotated"),
     )
@@ -105,19 +110,19 @@ def import_annotations(
     # Partial aggregates per image, so a file named in a third of the rows is no burden.
     valid = checked.filter(F.col("_kind") == "valid")
     per_image = valid.groupBy("image_id").agg(
-        F.min("row_no").alias("_first_row"),
-        F.max_by("answer", "row_no").alias("answer"),
+        F.min(F.struct(*place)).alias("_first"),
+        F.max_by("answer", F.struct(*place)).alias("answer"),
         F.any_value("_annotated").alias("_annotated"),
     )
-    # Only the first valid row of a new image creates; join on the unique row number.
+    # Only the first valid row of a new image creates; join on its unique place.
     creators = per_image.filter(~F.col("_annotated")).select(
-        F.col("_first_row").alias("row_no"), F.lit(True).alias("_creates")
+        "_first.*", F.lit(True).alias("_creates")
     )
     outcome = F.when(F.col("_kind") != "valid", F.col("_kind")).otherwise(
         F.when(F.col("_creates"), "created").otherwise("updated")
     )
-    outcomes = checked.join(creators, "row_no", "left").select(
-        "row_no", "image_id", outcome.alias("outcome"), "error", "answer"
+    outcomes = checked.join(creators, place, "left").select(
+        *place, "image_id", outcome.alias("outcome"), "error", "answer"
     )
     return ImportResult(outcomes, per_image.select("image_id", "answer"))
 

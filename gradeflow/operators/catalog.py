@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeflow.functions.cost import PROVIDERS, estimate_cost
 from gradeflow.functions.text import as_col, half_up_ratio
-from gradeflow.operators.joins import first_by, salted_lookup
+from gradeflow.operators.joins import first_by
 from gradeflow.schemas import QUESTION_TYPES
 
 MAX_COMPARED = 6
@@ -24,16 +26,15 @@ def evaluation_list(
 ) -> DataFrame:
     """Runs with project, dataset and model label; activity is shown for running runs only.
 
-    The joins are on unique dimension keys.  Datasets may be many, and one
-    dataset may own very many runs, so that join spreads hot keys.
+    The joins are on unique dimension keys; small dimensions are broadcast by
+    their size, and of large ones adaptive execution splits a hot key.
     """
     if project_id is not None:
         evaluations = evaluations.filter(F.col("project_id") == project_id)
     named_datasets = datasets.select("dataset_id", F.col("name").alias("dataset_name"))
     named_projects = projects.select("project_id", F.col("name").alias("project_name"))
     label = F.concat_ws("/", "provider", "model_name")
-    listed = salted_lookup(evaluations, named_datasets, ["dataset_id"], "inner")
-    listed = listed.join(named_projects, "project_id").join(
+    listed = evaluations.join(named_datasets, "dataset_id").join(named_projects, "project_id").join(
         models.select("model_config_id", label.alias("model")), "model_config_id"
     )
     if "activity" in evaluations.columns:
@@ -138,60 +139,89 @@ def projects_with_creator(projects: DataFrame, users: DataFrame) -> DataFrame:
     return projects.join(creators, "created_by_id")
 
 
-def merge_catalogue(configs: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Take up a model catalogue: known (provider, model_name) get new fields, others are added.
+def last_of(items: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One item per key: the last by ``position`` where items have one, else the greatest by its fields."""
+    fields = [c for c in items.columns if c not in keys]
+    order = F.col("position") if "position" in fields else F.to_json(F.struct(*fields))
+    last = items.groupBy(*keys).agg(F.max_by(F.struct(*fields), order).alias("_last"))
+    return last.select(*keys, "_last.*").select(*items.columns)
+
+
+def merge_catalogue(configs: DataFrame, catalogue: DataFrame, owner: str) -> DataFrame:
+    """Take up a model catalogue for one owner.
 
-    Existing configurations keep their concurrency, key and active mark.
+    A configuration of the owner with the same (provider, model_name) gets the
+    new name, access, temperature and token limit, and the new prices if there
+    are any; it keeps its id, key, concurrency and active mark.  Of several such
+    configurations the one with the lowest id is meant, of several catalogue rows
+    the last counts.  Other models are added under an id derived from the key.
     """
-    keys = ["provider", "model_name"]
-    fresh = catalogue.select(
-        *keys,
+    keys = ["owner_id", "provider", "model_name"]
+    defaults = {"temperature": F.lit(DEFAULT_TEMPERATURE), "max_tokens": F.lit(DEFAULT_MAX_TOKENS)}
+    given = {c: F.coalesce(c, v) if c in catalogue.columns else v for c, v in defaults.items()}
+    fresh = last_of(catalogue, keys[1:]).select(
+        F.lit(owner).alias("owner_id"),
+        *keys[1:],
         F.coalesce("display_name", "model_name").alias("_name"),
         F.coalesce("auth_type", F.lit("api_key")).alias("_auth_type"),
         F.col("pricing").alias("_pricing"),
+        *[v.alias(f"_{c}") for c, v in given.items()],
         F.lit(True).alias("_listed"),
     )
-    merged = configs.withColumn("_known", F.lit(True)).join(fresh, keys, "full_outer")
-    listed, known = F.col("_listed").isNotNull(), F.col("_known").isNotNull()
-    return merged.select(
-        *keys,
-        F.when(listed, F.col("_name")).otherwise(F.col("name")).alias("name"),
-        F.when(listed, F.col("_auth_type")).otherwise(F.col("auth_type")).alias("auth_type"),
-        F.coalesce("_pricing", "pricing").alias("pricing"),
-        F.when(known, F.col("concurrency")).otherwise(F.lit(DEFAULT_CONCURRENCY)).alias("concurrency"),
-        F.when(known, F.col("is_active")).otherwise(F.lit(True)).alias("is_active"),
-        F.when(listed & known, "updated").when(listed, "imported").otherwise("unchanged").alias("outcome"),
+    meant = configs.filter(F.col("owner_id") == owner).groupBy(*keys).agg(F.min("model_config_id").alias("model_config_id"))
+    target = fresh.join(meant, keys, "left")
+    updates = target.filter(F.col("model_config_id").isNotNull()).drop(*keys)
+    replaced = ("name", "auth_type", *defaults)
+    kept = configs.join(updates, "model_config_id", "left")
+    columns = ["model_config_id", *keys, *replaced, "api_key", "pricing", "concurrency", "is_active"]
+    old = kept.select(
+        "model_config_id", *keys,
+        *[F.when(F.col("_listed"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in replaced],
+        "api_key", F.coalesce("_pricing", "pricing").alias("pricing"), "concurrency", "is_active",
+        F.when(F.col("_listed"), "updated").otherwise("unchanged").alias("outcome"),
     )
+    added = target.filter(F.col("model_config_id").isNull()).select(
+        F.md5(F.to_json(F.struct(*keys))).alias("model_config_id"), *keys, F.col("_name").alias("name"), F.col("_auth_type").alias("auth_type"),
+        # New rows start from the defaults; only an update takes the listed numbers.
+        *[v.alias(c) for c, v in defaults.items()],
+        F.lit("sk-placeholder").alias("api_key"), F.col("_pricing").alias("pricing"),
+        F.lit(DEFAULT_CONCURRENCY).alias("concurrency"), F.lit(True).alias("is_active"), F.lit("imported").alias("outcome"),
+    )
+    return old.unionByName(added).select(*columns, "outcome")
 
 
 def import_model_configs(configs: DataFrame, items: DataFrame) -> DataFrame:
     """Import model configurations by id.
 
     Items without name, provider or model_name are passed over.  A known id is
-    updated field by field; anything else is added under a new id, a digest of
-    the item.  ``items`` has at most one row per known id.
+    updated field by field, by its items in turn: the last one that holds a field
+    wins.  Anything else is added under a new id, a digest of the item and its
+    ``position`` where items have one.
     """
     fields = [c for c in configs.columns if c not in ("model_config_id", "api_key")]
     needed = F.col("name").isNotNull() & F.col("provider").isNotNull() & F.col("model_name").isNotNull()
     usable = items.filter(needed)
     known = usable.join(configs.select("model_config_id"), "model_config_id", "left_semi")
     new = usable.join(configs.select("model_config_id"), "model_config_id", "left_anti")
-    updates = known.select("model_config_id", *[F.col(c).alias(f"_{c}") for c in [*fields, "api_key"]])
+    place = F.col("position") if "position" in items.columns else F.to_json(F.struct(*fields))
+    given = [F.when(F.col("api_key") != "", F.col("api_key")).alias("api_key") if c == "api_key" else F.col(c) for c in [*fields, "api_key"]]
+    updates = known.select("model_config_id", place.alias("_place"), *given).groupBy("model_config_id").agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_place"))).alias(f"_{c}") for c in [*fields, "api_key"]]
+    )
     updated = configs.join(updates.withColumn("_hit", F.lit(True)), "model_config_id", "left").select(
         "model_config_id",
-        *[F.coalesce(f"_{c}", c).alias(c) for c in fields],
-        F.coalesce(F.when(F.col("_api_key") != "", F.col("_api_key")), F.col("api_key")).alias("api_key"),
+        *[F.coalesce(f"_{c}", c).alias(c) for c in [*fields, "api_key"]],
         F.when(F.col("_hit"), "updated").otherwise("unchanged").alias("outcome"),
     )
     defaults = {
         "auth_type": F.lit("api_key"), "temperature": F.lit(DEFAULT_TEMPERATURE),
         "max_tokens": F.lit(DEFAULT_MAX_TOKENS), "concurrency": F.lit(DEFAULT_CONCURRENCY), "is_active": F.lit(True),
     }
-    digest = F.md5(F.to_json(F.struct("model_config_id", *fields)))
+    digest = F.md5(F.to_json(F.struct("model_config_id", *[c for c in items.columns if c == "position"], *fields)))
     added = new.select(
         digest.alias("model_config_id"),
         *[(F.coalesce(F.col(c), defaults[c]) if c in defaults else F.col(c)).alias(c) for c in fields],
-        F.coalesce("api_key", F.lit("sk-placeholder")).alias("api_key"),
+        F.coalesce(F.when(F.col("api_key") != "", F.col("api_key")), F.lit("sk-placeholder")).alias("api_key"),
         F.lit("imported").alias("outcome"),
     )
     return updated.unionByName(added)

@@ -6,15 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-# A key with more rows than this is split.  A table of N rows has at most
-# N / HOT_ROWS such keys, so the list of them is small enough to broadcast.
-HOT_ROWS = 1_000_000
+# So many of the most frequent keys are split: a list of fixed length at every size.
+SPLIT_KEYS = 256
 SALTS = 64
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows; counts are partial before the shuffle."""
-    return df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select(*keys)
+def hot_keys(df: DataFrame, keys: Sequence[str], split_keys: int = SPLIT_KEYS) -> DataFrame:
+    """The ``split_keys`` most frequent keys; counts are partial before the shuffle."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    return counts.orderBy(F.col("_n").desc(), *keys).limit(split_keys).select(*keys)
 
 
 def salted_lookup(
@@ -22,19 +22,21 @@ def salted_lookup(
     lookup: DataFrame,
     keys: Sequence[str],
     how: str = "left",
-    hot_rows: int = HOT_ROWS,
+    split_keys: int = SPLIT_KEYS,
     salts: int = SALTS,
 ) -> DataFrame:
     """Join many ``rows`` to a ``lookup`` that holds each key once.
 
-    Rows of a hot key are spread over ``salts`` tasks and only the lookup rows
-    of hot keys are repeated; every other key joins as usual.  ``how`` is inner
-    or left.  A small lookup is broadcast by Spark, which knows its size.
+    For joins whose result is used by the same keys again, where adaptive
+    execution does not split a hot key.  Rows of the most frequent keys are
+    spread over ``salts`` tasks by their other columns, and only the lookup
+    rows of those keys are repeated.  ``how`` is inner or left.
     """
     keys = list(keys)
-    hot = F.broadcast(hot_keys(rows, keys, hot_rows).withColumn("_hot", F.lit(True)))
+    hot = F.broadcast(hot_keys(rows, keys, split_keys).withColumn("_hot", F.lit(True)))  # split_keys rows
     zero = F.lit(0).cast("bigint")
-    spread = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in keys] or [zero]), F.lit(salts))
+    others = [f.name for f in rows.schema.fields if f.name not in keys and "map<" not in f.dataType.simpleString()]
+    spread = F.pmod(F.xxhash64(*others or [zero]), F.lit(salts))
     left = rows.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(zero)).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(zero, F.lit(salts - 1).cast("bigint"))).otherwise(F.array(zero))
     right = lookup.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")

@@ -56,7 +56,7 @@ def take_up(files: DataFrame, images: DataFrame) -> DataFrame:
     taken = images.select(*keys).distinct().withColumn("_taken", F.lit(True))
     first = files.groupBy(*keys).agg(F.min(F.struct("time_created", "full_path")).alias("_first"))
     known = first.join(taken, keys, "left").select(*keys, "_taken", F.col("_first.full_path").alias("_first_path"))
-    marked = salted_lookup(files, known, keys, "left")
+    marked = files.join(known, keys, "left")
     clash = F.col("_taken").isNotNull() | (F.col("full_path") != F.col("_first_path"))
     name = F.when(clash, clash_name("filename", "full_path")).otherwise(F.col("filename"))
     return marked.withColumn("original_name", F.col("filename")).withColumn("filename", name).withColumn(
@@ -64,17 +64,27 @@ def take_up(files: DataFrame, images: DataFrame) -> DataFrame:
     ).drop("_taken", "_first_path")
 
 
-def run_counters(discovered: DataFrame, ingested: DataFrame, results: DataFrame, by: str = "run_id") -> DataFrame:
-    """Per run: discovered, ingested, labelled, and failures counted apart by stage."""
-    found = discovered.groupBy(by).agg(F.count("*").cast("bigint").alias("images_discovered"))
-    taken = ingested.groupBy(by).agg(F.count("*").cast("bigint").alias("images_ingested"))
+def run_counters(
+    discovered: DataFrame, ingested: DataFrame, results: DataFrame, by: str = "run_id", known: DataFrame | None = None
+) -> DataFrame:
+    """Per run: discovered, already known, ingested, labelled, and failures counted apart by stage.
+
+    ``known`` holds the discovered files that need no work: repeats within the
+    scan and files with a result of an earlier run.
+    """
+    def count(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(by).agg(F.count("*").cast("bigint").alias(name))
+
     labelled = results.groupBy(by).agg(
         F.count_if(F.col("error").isNull()).cast("bigint").alias("images_labeled"),
         F.count_if(F.col("error").isNotNull()).cast("bigint").alias("images_failed"),
     )
-    numbers = ["images_discovered", "images_ingested", "images_labeled", "images_failed"]
-    counts = found.join(taken, by, "left").join(labelled, by, "left").fillna(0, numbers)
-    return counts.withColumn("ingest_failed", F.col("images_discovered") - F.col("images_ingested"))
+    counts = count(discovered, "images_discovered").join(count(ingested, "images_ingested"), by, "left").join(labelled, by, "left")
+    if known is not None:
+        counts = counts.join(count(known, "already_known"), by, "left")
+    counts = counts.fillna(0, [c for c in counts.columns if c != by])
+    spared = F.col("already_known") if known is not None else F.lit(0)
+    return counts.withColumn("ingest_failed", F.col("images_discovered") - spared - F.col("images_ingested"))
 
 
 def job_totals(runs: DataFrame, by: str = "job_id") -> DataFrame:

@@ -6,9 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gradeflow.operators.joins import HOT_ROWS, hot_keys
-
-_SLICE_DIGITS = 4  # 65 536 slices of the hash range
+_HEAD_DIGITS = 3
+_SLICES = 16**_HEAD_DIGITS  # of the hash range
 
 
 def evaluable_images(images: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -22,50 +21,38 @@ def _hash_order(image_id: str, seed: int) -> Column:
 
 
 def sample_exact(
-    images: DataFrame,
-    quota: Column,
-    seed: int,
-    by: Sequence[str] = (),
-    image_id: str = "image_id",
-    hot_rows: int = HOT_ROWS,
+    images: DataFrame, quota: Column, seed: int, by: Sequence[str] = (), image_id: str = "image_id"
 ) -> DataFrame:
     """Exactly ``quota`` random images per group, the same ones for the same seed.
 
     ``quota`` may use ``_total``, the number of images in the group.  Images are
-    ordered by a hash of seed and id.  A group of up to ``hot_rows`` images is
-    ranked as it is.  A larger one is counted per slice of the hash range: slices
-    wholly below the quota pass untouched, and only the slice where the quota
-    ends is ranked, so it is never sorted as a whole.
+    ordered by a hash of seed and id, and a group is cut at its threshold: the
+    hash and id at which its quota ends.  Counts per leading digits of the hash
+    tell in which slice that is; only this slice is ranked; then one filter
+    takes the images up to the threshold.  No group is sorted as a whole, and
+    at most ``_SLICES`` counts of a group meet in a window.
     """
-    keyed = images.withColumn("_hash", _hash_order(image_id, seed))
-    head = F.substring("_hash", 1, _SLICE_DIGITS)
-    if by:
-        # A struct key also holds groups whose name is NULL.
-        keys = ["_group", "_slice"]
-        keyed = keyed.withColumn("_group", F.struct(*by))
-        hot = F.broadcast(hot_keys(keyed, ["_group"], hot_rows).withColumn("_hot", F.lit(True)))
-        keyed = keyed.join(hot, "_group", "left").withColumn("_slice", F.when(F.col("_hot"), head).otherwise(""))
-        whole = Window.partitionBy("_group")
-    else:
-        keys = ["_slice"]
-        keyed = keyed.withColumn("_slice", head)
-        whole = Window.partitionBy(F.lit(0))
-    slices = keyed.groupBy(*keys).agg(F.count("*").alias("_n"))
-    # At most 65 536 rows of a group meet in these windows.
-    upto = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    taken = (
-        slices.withColumn("_total", F.sum("_n").over(whole))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
-        .withColumn("_take", F.least(F.col("_n"), quota - F.col("_before")))
-        .filter(F.col("_take") > 0)
+    # A struct key also holds groups whose name is NULL.
+    group = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
+    keyed = images.withColumn("_hash", _hash_order(image_id, seed)).withColumn("_group", group)
+    head = F.conv(F.substring("_hash", 1, _HEAD_DIGITS), 16, 10).cast("int")
+    counts = keyed.groupBy("_group", head.alias("_slice")).agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy("_group")
+    upto = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counts.withColumn("_total", F.sum("_n").over(whole)).withColumn("_upto", F.sum("_n").over(upto))
+    # The slice in which the quota ends; a quota of the whole group or more ends in its last one.
+    wanted = F.least(quota, F.col("_total"))
+    ends = placed.filter((F.col("_upto") >= wanted) & (F.col("_upto") - F.col("_n") < wanted)).select(
+        "_group", "_slice", (wanted - F.col("_upto") + F.col("_n")).alias("_take")
+    )
+    edge = keyed.select("_group", head.alias("_slice"), "_hash", F.col(image_id).alias("_id")).join(ends, ["_group", "_slice"])
+    rank = F.row_number().over(Window.partitionBy("_group").orderBy("_hash", "_id"))
+    last = edge.withColumn("_rank", rank).filter(F.col("_rank") == F.col("_take")).select(
+        "_group", F.struct("_hash", "_id").alias("_last")
     )
-    # A hot group meets the joins as up to 65 536 keys, never as one.
-    full = taken.filter(F.col("_take") == F.col("_n")).select(*keys)
-    partial = taken.filter(F.col("_take") < F.col("_n")).select(*keys, "_take")
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_hash", image_id))
-    edge = keyed.join(partial, keys).withColumn("_rank", rank).filter(F.col("_rank") <= F.col("_take"))
-    columns = images.columns
-    return keyed.join(full, keys, "left_semi").select(*columns).unionByName(edge.select(*columns))
+    # One row per group; where groups are many, adaptive execution splits the rows of a hot one.
+    chosen = keyed.join(last, "_group").filter(F.struct(F.col("_hash"), F.col(image_id).alias("_id")) <= F.col("_last"))
+    return chosen.select(*images.columns)
 
 
 def select_random_count(images: DataFrame, count: int, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:

@@ -140,7 +140,7 @@ def import_errors(t: Tables) -> DataFrame:
     return _import(t).stored_errors()
 
 
-@query(
+_UPSERT_SQL = (
     _IMPORT_SQL + """, latest AS (
   SELECT image_id, arg_max(value, row_no) AS value FROM outcomes WHERE outcome IN ('created', 'updated') GROUP BY image_id
 ), old AS (SELECT doc_id AS image_id, CASE WHEN NOT (quality = 0 AND toxic = 1) THEN quality = 1 END AS value,
@@ -150,8 +150,9 @@ SELECT image_id, CASE WHEN l.image_id IS NOT NULL THEN l.value ELSE o.value END
        CASE WHEN l.image_id IS NOT NULL THEN 'importer' ELSE 'u1' END AS annotator_id
 FROM old AS o FULL JOIN latest AS l USING (image_id)"""
 )
-def import_upsert(t: Tables) -> DataFrame:
-    """Annotations after an import."""
+
+
+def _upserted(t: Tables, result: oa.ImportResult) -> DataFrame:
     labels = t.given("labels").selectExpr(
         "doc_id AS image_id", "quality = 0 AND toxic = 1 AS is_skipped", "toxic = 1 AS is_flagged", "quality"
     )
@@ -160,11 +161,17 @@ def import_upsert(t: Tables) -> DataFrame:
         value.alias("value_bool"), F.lit(None).alias("value_count"), F.lit(None).alias("value_str")
     ).cast(ANSWER)
     old = labels.select("image_id", answer.alias("answer"), "is_skipped", "is_flagged", F.lit("u1").alias("annotator_id"))
-    return _import(t).applied(old, "importer").select(
+    return result.applied(old, "importer").select(
         "image_id", F.col("answer.value_bool").alias("value"), "is_skipped", "is_flagged", "annotator_id"
     )
 
 
+@query(_UPSERT_SQL)
+def import_upsert(t: Tables) -> DataFrame:
+    """Annotations after an import."""
+    return _upserted(t, _import(t))
+
+
 @query(
     _IMPORT_SQL + """SELECT count(*) AS total, count(*) FILTER (outcome IN ('created', 'updated')) AS valid,
   count(*) FILTER (outcome = 'skipped') AS skipped, count(*) FILTER (outcome = 'error') AS errors,

@@ -10,6 +10,8 @@ from gradeflow.plans.registry import query
 from gradeflow.plans.scoring_queries import PARSED_SQL, scored
 from gradeflow.plans.tables import Tables, with_views
 from gradeflow.schemas import PRICING
+from gradeflow.session import new_work_path
+from gradeflow.sources import catalogue as sc
 
 _RUN_VIEWS = with_views("runs", "run_projects", "run_datasets", "run_models")
 _LISTED = _RUN_VIEWS + """, listed AS (
@@ -169,53 +171,78 @@ def _pricing(price: str) -> Column:
     ).cast(PRICING)
 
 
+def write_json_lists(t: Tables, items: DataFrame, key: str, order: str) -> str:
+    """Items as JSON files, each a list in order; the items of a key are in one file."""
+    path = new_work_path(t.spark, "lists")
+    fields = [c for c in items.columns if c != order]
+    lists = items.groupBy(F.pmod(F.xxhash64(key), F.lit(16)).alias("part")).agg(
+        F.sort_array(F.collect_list(F.struct(order, *fields))).alias("items")
+    )
+    text = F.to_json(F.transform("items", lambda i: F.struct(*[i[c].alias(c) for c in fields])))
+    lists.select("part", text.alias("value")).repartition(16, "part").write.partitionBy("part").text(path)
+    return path
+
+
 @query("""
-WITH configs AS (SELECT 'p' || (s_suppkey % 4) AS provider, 'm' || s_suppkey AS model_name, s_name AS name, 'old' AS auth_type, s_nationkey AS price, s_suppkey % 7 + 1 AS concurrency FROM supplier),
-fresh AS (SELECT 'p' || (c_custkey % 4) AS provider, 'm' || c_custkey AS model_name, c_name AS name, c_nationkey + 100 AS price FROM customer)
-SELECT provider, model_name, CASE WHEN f.name IS NOT NULL THEN f.name ELSE c.name END AS name,
-  CASE WHEN f.name IS NOT NULL THEN 'api_key' ELSE 'old' END AS auth_type, CAST(coalesce(f.price, c.price) AS DOUBLE) AS price,
-  CAST(coalesce(c.concurrency, 3) AS BIGINT) AS concurrency,
-  CASE WHEN f.name IS NOT NULL AND c.name IS NOT NULL THEN 'updated' WHEN f.name IS NOT NULL THEN 'imported' ELSE 'unchanged' END AS outcome
-FROM configs AS c FULL JOIN fresh AS f USING (provider, model_name)""")
+WITH configs AS (SELECT 'c' || s_suppkey AS model_config_id, CASE WHEN s_suppkey % 5 = 0 THEN 'other' ELSE 'me' END AS owner_id,
+  'p' || (s_suppkey // 2 % 4) AS provider, 'm' || (s_suppkey // 2) AS model_name, s_name AS name, s_nationkey AS price, s_suppkey % 7 + 1 AS concurrency FROM supplier),
+fresh AS (SELECT 'p' || (c_custkey // 3 % 4) AS provider, 'm' || (c_custkey // 3) AS model_name, arg_max(c_name, c_custkey) AS name,
+  arg_max(c_nationkey + 100, c_custkey) AS price, arg_max(c_nationkey * 10 + 1, c_custkey) AS max_tokens FROM customer GROUP BY ALL),
+meant AS (SELECT min(model_config_id) AS model_config_id, provider, model_name FROM configs WHERE owner_id = 'me' GROUP BY provider, model_name),
+target AS (SELECT f.*, m.model_config_id FROM fresh AS f LEFT JOIN meant AS m USING (provider, model_name))
+SELECT c.model_config_id, owner_id, c.provider, c.model_name, coalesce(t.name, c.name) AS name, CASE WHEN t.name IS NULL THEN 'old' ELSE 'api_key' END AS auth_type,
+  CASE WHEN t.name IS NULL THEN 0.5::DOUBLE ELSE 0::DOUBLE END AS temperature, CAST(coalesce(t.max_tokens, 7) AS BIGINT) AS max_tokens, 'secret' AS api_key,
+  CAST(coalesce(t.price, c.price) AS DOUBLE) AS price, CAST(c.concurrency AS BIGINT) AS concurrency, CASE WHEN t.name IS NULL THEN 'unchanged' ELSE 'updated' END AS outcome
+FROM configs AS c LEFT JOIN target AS t ON t.model_config_id = c.model_config_id
+UNION ALL
+SELECT 'new', 'me', provider, model_name, name, 'api_key', 0, 1024, 'sk-placeholder', CAST(price AS DOUBLE), 3, 'imported' FROM target WHERE model_config_id IS NULL""")
 def catalogue_merge(t: Tables) -> DataFrame:
-    """A catalogue merged into existing configurations by provider and model."""
+    """A catalogue file merged into the configurations of its owner; both name some models twice."""
     configs = t.given("supplier").select(
-        F.expr("'p' || (s_suppkey % 4)").alias("provider"), F.expr("'m' || s_suppkey").alias("model_name"),
-        F.col("s_name").alias("name"), F.lit("old").alias("auth_type"), _pricing("s_nationkey").alias("pricing"),
-        F.expr("s_suppkey % 7 + 1").alias("concurrency"), F.lit(True).alias("is_active"),
+        F.expr("'c' || s_suppkey").alias("model_config_id"), F.expr("CASE WHEN s_suppkey % 5 = 0 THEN 'other' ELSE 'me' END").alias("owner_id"),
+        F.expr("'p' || (s_suppkey div 2 % 4)").alias("provider"), F.expr("'m' || (s_suppkey div 2)").alias("model_name"),
+        F.col("s_name").alias("name"), F.lit("old").alias("auth_type"), F.lit(0.5).alias("temperature"), F.lit(7).alias("max_tokens"),
+        F.lit("secret").alias("api_key"), _pricing("s_nationkey").alias("pricing"), F.expr("s_suppkey % 7 + 1").alias("concurrency"), F.lit(True).alias("is_active"),
     )
-    catalogue = t.given("customer").select(
-        F.expr("'p' || (c_custkey % 4)").alias("provider"), F.expr("'m' || c_custkey").alias("model_name"),
-        F.col("c_name").alias("display_name"), F.lit(None).cast("string").alias("auth_type"),
-        _pricing("c_nationkey + 100").alias("pricing"),
+    items = t.given("customer").select(
+        "c_custkey", F.expr("'p' || (c_custkey div 3 % 4)").alias("provider"), F.expr("'m' || (c_custkey div 3)").alias("model_name"),
+        F.col("c_name").alias("display_name"), F.expr("c_nationkey * 10 + 1").alias("max_tokens"),
+        F.struct(F.expr("c_nationkey + 100").alias("input_price_per_1m")).alias("pricing_config"),
     )
-    return catalog.merge_catalogue(configs, catalogue).select(
-        "provider", "model_name", "name", "auth_type", F.col("pricing.input_price_per_1m").cast("double").alias("price"),
-        F.col("concurrency").cast("bigint").alias("concurrency"), "outcome",
+    catalogue = sc.read_catalogue(t.spark, write_json_lists(t, items, "model_name", "c_custkey"))
+    merged = catalog.merge_catalogue(configs, catalogue, "me")
+    return merged.select(
+        F.when(F.col("outcome") == "imported", "new").otherwise(F.col("model_config_id")).alias("model_config_id"),
+        "owner_id", "provider", "model_name", "name", "auth_type", "temperature", F.col("max_tokens").cast("bigint").alias("max_tokens"), "api_key",
+        F.col("pricing.input_price_per_1m").cast("double").alias("price"), F.col("concurrency").cast("bigint").alias("concurrency"), "outcome",
     )
 
 
 @query("""
 WITH configs AS (SELECT 'c' || s_suppkey AS id, s_name AS name, s_nationkey % 5 AS concurrency FROM supplier),
-items AS (SELECT 'c' || c_custkey AS id, c_name AS name, CASE WHEN c_nationkey % 2 = 0 THEN c_nationkey END AS concurrency
-          FROM customer WHERE c_mktsegment <> 'MACHINERY')
-SELECT coalesce(i.name, c.name) AS name, CAST(coalesce(i.concurrency, c.concurrency, 3) AS BIGINT) AS concurrency,
-  CASE WHEN c.id IS NULL THEN 'sk-placeholder' WHEN i.id IS NOT NULL THEN 'new key' ELSE 'old key' END AS api_key,
-  CASE WHEN c.id IS NULL THEN 'imported' WHEN i.id IS NOT NULL THEN 'updated' ELSE 'unchanged' END AS outcome
-FROM configs AS c FULL JOIN items AS i USING (id)""")
+items AS (SELECT 'c' || (c_custkey // 2) AS id, c_custkey AS place, c_name AS name, CASE WHEN c_nationkey % 2 = 0 THEN c_nationkey END AS concurrency,
+  CASE WHEN c_nationkey % 3 = 0 THEN 'key ' || c_custkey ELSE '' END AS api_key FROM customer WHERE c_mktsegment <> 'MACHINERY'),
+given AS (SELECT id, arg_max(name, place) AS name, arg_max(concurrency, place) FILTER (concurrency IS NOT NULL) AS concurrency,
+  arg_max(api_key, place) FILTER (api_key <> '') AS api_key FROM items GROUP BY id)
+SELECT coalesce(g.name, c.name) AS name, CAST(coalesce(g.concurrency, c.concurrency) AS BIGINT) AS concurrency, coalesce(g.api_key, 'old key') AS api_key,
+  CASE WHEN g.id IS NULL THEN 'unchanged' ELSE 'updated' END AS outcome FROM configs AS c LEFT JOIN given AS g USING (id)
+UNION ALL
+SELECT name, coalesce(concurrency, 3), CASE WHEN api_key = '' THEN 'sk-placeholder' ELSE api_key END, 'imported'
+FROM items WHERE id NOT IN (SELECT id FROM configs)""")
 def model_config_import(t: Tables) -> DataFrame:
-    """Model configurations imported by id."""
-    configs = t.given("supplier").selectExpr(
-        "'c' || s_suppkey AS model_config_id", "s_name AS name", "'p' AS provider", "'m' AS model_name",
-        "s_nationkey % 5 AS concurrency", "'old key' AS api_key",
-    )
-    known = t.given("supplier").select(F.expr("'c' || s_suppkey").alias("model_config_id"), F.lit("new key").alias("api_key"))
+    """Model configurations imported by id from a file that names some ids twice."""
     items = t.given("customer").selectExpr(
-        "'c' || c_custkey AS model_config_id", "c_name AS name", "'p' AS provider",
+        "c_custkey", "'c' || (c_custkey div 2) AS id", "c_name AS name", "'p' AS provider",
         "CASE WHEN c_mktsegment = 'MACHINERY' THEN NULL ELSE 'm' END AS model_name",
         "CASE WHEN c_nationkey % 2 = 0 THEN c_nationkey END AS concurrency",
-    ).join(known, "model_config_id", "left")
-    return catalog.import_model_configs(configs, items).select(
+        "CASE WHEN c_nationkey % 3 = 0 THEN 'key ' || c_custkey ELSE '' END AS api_key",
+    )
+    read = sc.read_model_configs(t.spark, write_json_lists(t, items, "id", "c_custkey"))
+    configs = t.given("supplier").selectExpr(
+        "'c' || s_suppkey AS model_config_id", "s_name AS name", "'p' AS provider", "'m' AS model_name",
+        "CAST(s_nationkey % 5 AS INT) AS concurrency", "'old key' AS api_key",
+    )
+    return catalog.import_model_configs(configs, read).select(
         "name", F.col("concurrency").cast("bigint").alias("concurrency"), "api_key", "outcome"
     )
 

@@ -259,12 +259,22 @@ def _event_stream(t: Tables) -> DataFrame:
     return t.spark.readStream.schema(t.given("events").schema).parquet(f"{t.sf_dir}/event[s].parquet")
 
 
+def _event_batches(t: Tables, batches: int = 6) -> DataFrame:
+    """The events as a stream of several micro-batches, each a share of the ids: paths repeat, and files come late."""
+    folder = new_work_path(t.spark, "events")
+    events = t.given("events")
+    events.withColumn("_batch", F.pmod(F.xxhash64("event_id"), F.lit(batches))).repartition(batches, "_batch").sortWithinPartitions(
+        "_batch"
+    ).write.partitionBy("_batch").parquet(folder)
+    return t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+
+
 def _file_stream(t: Tables) -> DataFrame:
     """The events as arriving files."""
     name = """event_type || '/' || CAST(user_id AS STRING) || '/f' || CAST(event_id % 1500 AS STRING) ||
               CASE event_id % 7 WHEN 0 THEN '.jpg' WHEN 1 THEN '.PNG' WHEN 2 THEN '.tiff' WHEN 3 THEN '.txt'
               WHEN 4 THEN '/' WHEN 5 THEN '.webp' ELSE '' END AS object_name"""
-    return _event_stream(t).selectExpr(
+    return _event_batches(t).selectExpr(
         "event_id AS file_id", "user_id AS job_id", "CAST(ts AS TIMESTAMP) AS time_created", name,
         "CAST(round(value * 1000) AS BIGINT) AS size",
     ).withColumn("full_path", F.concat(F.lit("gs://bucket/"), F.col("object_name")))
@@ -309,9 +319,8 @@ _STREAM_SQL = with_views("files") + """, found AS (
 
 def _label_stream(t: Tables) -> str:
     work = new_work_path(t.spark, "labels")
-    found = sd.discover(_file_stream(t))
     sl.label_stream(
-        found, "Is it so?", "binary", rule_model, f"{work}/sink", f"{work}/checkpoint", retry=Retry(max_attempts=1)
+        labelling.scan_files(_file_stream(t)), "Is it so?", "binary", rule_model, f"{work}/sink", f"{work}/checkpoint", retry=Retry(max_attempts=1)
     ).awaitTermination()
     return f"{work}/sink"
 
@@ -329,15 +338,18 @@ def stream_labels(t: Tables) -> DataFrame:
 
 
 @query(
-    _STREAM_SQL + """SELECT job_id, count(*) AS images_discovered, count(*) FILTER (full_path NOT LIKE 'gs://bucket/error/%') AS images_labeled,
-  count(*) FILTER (full_path LIKE 'gs://bucket/error/%') AS images_failed FROM found GROUP BY job_id"""
+    _STREAM_SQL + """SELECT job_id, l.listed AS images_discovered, l.listed - count(*) AS already_known, count(*) AS images_ingested,
+  count(*) FILTER (full_path NOT LIKE 'gs://bucket/error/%') AS images_labeled,
+  count(*) FILTER (full_path LIKE 'gs://bucket/error/%') AS images_failed, CAST(0 AS BIGINT) AS ingest_failed, CAST(l.mark AS VARCHAR) AS mark
+FROM found JOIN (SELECT job_id, count(*) AS listed, max(time_created) AS mark FROM files
+  WHERE regexp_matches(lower(object_name), '\\.(jpg|jpeg|png|gif|bmp|webp|tiff)$') GROUP BY job_id) AS l USING (job_id) GROUP BY job_id, l.listed, l.mark"""
 )
 def stream_runs(t: Tables) -> DataFrame:
-    """Counters kept by the labelling stream."""
+    """Counters and marks kept by the labelling stream, over its runs."""
     runs = sl.read_runs(t.spark, _label_stream(t))
-    return runs.groupBy("job_id").agg(
-        *[F.sum(c).alias(c) for c in ("images_discovered", "images_labeled", "images_failed")]
-    )
+    counters = ("images_discovered", "already_known", "images_ingested", "images_labeled", "images_failed", "ingest_failed")
+    mark = F.max("last_processed_timestamp").cast("timestamp_ntz").cast("string")
+    return runs.groupBy("job_id").agg(*[F.sum(c).alias(c) for c in counters], mark.alias("mark"))
 
 
 @query(_TOTALS)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from gradeflow.operators import imaging, inference as inf, similarity as sim
-from gradeflow.plans.annotations_queries import _IMPORT_SQL, _import, _truth_answers
+from gradeflow.operators import annotations as oa, imaging, inference as inf, similarity as sim
+from gradeflow.plans.annotations_queries import _IMPORT_SQL, _UPSERT_SQL, _import, _truth_answers, _upserted
+from gradeflow.plans.catalog_queries import write_json_lists
 from gradeflow.plans.registry import query
 from gradeflow.plans.tables import Tables, with_views
 from gradeflow.session import new_work_path
@@ -217,6 +218,24 @@ def csv_row_count(t: Tables) -> DataFrame:
     return label_csv.count_rows(t.spark, _write_import_files(t))
 
 
+@query(_UPSERT_SQL)
+def csv_import_upsert(t: Tables) -> DataFrame:
+    """Annotations after an import of several files, some with swapped columns and line breaks in quotes."""
+    path = new_work_path(t.spark, "import")
+    rows = t.view("import_rows").repartitionByRange(8, "row_no").sortWithinPartitions("row_no")
+    # The rows of an image are in files of one kind, whose names keep their order.
+    swapped = F.xxhash64(F.trim("image_filename")) % 2 == 0
+    plain = rows.filter(~swapped).select("image_filename", "annotation_value")
+    other = rows.filter(swapped).select("annotation_value", F.lit('a "note"\nin two lines').alias("note"), "image_filename")
+    for name, part in (("plain", plain), ("swapped", other)):
+        part.write.csv(
+            f"{path}/{name}", header=True, quote='"', escape='"', emptyValue="", nullValue="",
+            ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+        )
+    read = label_csv.read_import_rows(t.spark, f"{path}/*")
+    return _upserted(t, oa.import_annotations(read, t.view("copies"), t.view("marks"), "binary"))
+
+
 @query(_IMPORT_SQL + "SELECT row_no, error FROM outcomes WHERE outcome = 'error'")
 def csv_error_report(t: Tables) -> DataFrame:
     """The error report of an import, written and read back."""
@@ -260,11 +279,9 @@ def csv_export(t: Tables) -> DataFrame:
 SELECT 's' || s_suppkey AS id, s_name AS display_name, CAST(s_nationkey AS DOUBLE) AS price, CAST(NULL AS VARCHAR) AS description FROM supplier""")
 def json_catalogue(t: Tables) -> DataFrame:
     """A model catalogue written as JSON and read back by its schema."""
-    path = new_work_path(t.spark, "catalogue")
     models = t.given("supplier").select(
-        F.expr("'s' || s_suppkey").alias("id"), F.col("s_name").alias("display_name"),
+        "s_suppkey", F.expr("'s' || s_suppkey").alias("id"), F.col("s_name").alias("display_name"),
         F.struct(F.lit("token_based").alias("mode"), F.col("s_nationkey").alias("input_price_per_1m")).alias("pricing_config"),
     )
-    models.write.json(path)
-    back = t.spark.read.json(path, schema=sc.CATALOGUE)
-    return back.select("id", "display_name", F.col("pricing_config.input_price_per_1m").cast("double").alias("price"), "description")
+    back = sc.read_catalogue(t.spark, write_json_lists(t, models, "id", "s_suppkey"))
+    return back.select("id", "display_name", F.col("pricing.input_price_per_1m").cast("double").alias("price"), "description")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CATALOGUE = (
     "id string, provider string, model_name string, display_name string, description string, endpoint string,"
-    " auth_type string, pricing_config struct<mode: string, input_price_per_1m: decimal(12,6),"
+    " auth_type string, temperature double, max_tokens int, pricing_config struct<mode: string, input_price_per_1m: decimal(12,6),"
     " output_price_per_1m: decimal(12,6), image_price_mode: string, image_price_val: decimal(12,6),"
     " image_token_calc: string, discount_percent: decimal(5,2)>"
 )
@@ -23,21 +23,25 @@ class CatalogueFormatError(ValueError):
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """Models of a catalogue file, a JSON list of objects; absent fields are NULL."""
+    """Models of a catalogue file, a JSON list of objects; absent fields are NULL.
+
+    ``position`` is the place in the list.  A catalogue is a small file and is
+    read as one.
+    """
     models = spark.read.json(path, schema=CATALOGUE, multiLine=True)
-    return models.withColumn("pricing", F.struct(*[
+    return models.withColumn("position", F.monotonically_increasing_id()).withColumn("pricing", F.struct(*[
         F.col(f"pricing_config.{c}").alias(c)
         for c in ("input_price_per_1m", "output_price_per_1m", "image_price_mode", "image_price_val", "discount_percent")
     ]))
 
 
 def read_model_configs(spark: SparkSession, path: str) -> DataFrame:
-    """Items of a configuration export, ready for the import."""
+    """Items of a configuration export, ready for the import, with their ``position``."""
     first = F.substring(F.ltrim("value", F.lit(" \t\r\n\ufeff")), 1, 1)
     if spark.read.text(path, wholetext=True).filter(first != "[").limit(1).count():
         raise CatalogueFormatError("JSON root must be a list of model objects")
     items = spark.read.json(path, schema=CONFIGS, multiLine=True).drop("_corrupt_record")
-    return items.withColumnsRenamed({"id": "model_config_id", "pricing_config": "pricing"})
+    return items.withColumn("position", F.monotonically_increasing_id()).withColumnsRenamed({"id": "model_config_id", "pricing_config": "pricing"})
 
 
 def write_model_configs(configs: DataFrame, path: str) -> None:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+import csv
 
-from gradeflow.operators.annotations import missing_columns_error
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+
+from gradeflow.operators.annotations import REQUIRED_COLUMNS, missing_columns_error
 
 # Texts that mean "no value" in an annotation file.
 NA_STRINGS = (
@@ -12,49 +14,72 @@ NA_STRINGS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 FIRST_ROW = 2  # the header is row 1
+IMPORT_COLUMNS = ("image_filename", "annotation_value", "dataset_name")
 
 
 class ImportFormatError(ValueError):
     """An import file without its required columns."""
 
 
-def _header(spark: SparkSession, path: str, encoding: str) -> list[str]:
-    head = spark.read.csv(path, header=True, inferSchema=False, encoding=encoding, multiLine=False)
-    return [name.lstrip("﻿") for name in head.columns]
+def _headers(spark: SparkSession, path: str, encoding: str) -> list[str]:
+    """The different header lines of the files, one per column order in use."""
+    lines = spark.read.csv(path, schema="header string", sep="\x01", quote="", encoding=encoding).select(
+        "header", F.monotonically_increasing_id().alias("_id"),
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+    )
+    first = lines.filter(F.col("_start") == 0).groupBy("_file").agg(F.min_by("header", "_id").alias("header"))
+    return [r["header"] for r in first.select("header").distinct().collect()]
+
+
+def _names(header: str) -> list[str]:
+    return next(csv.reader([header.lstrip("\ufeff")]))
 
 
 def read_import_rows(
     spark: SparkSession, path: str, multi_line: bool = True, encoding: str = "UTF-8"
 ) -> DataFrame:
-    """Import rows with their row number in the file; further columns are left out.
+    """Import rows with their file and row number in it; further columns are left out.
 
+    Columns go by the names in each file's own header, so files may order them
+    differently; a file without the required ones raises ImportFormatError.
     Numbers follow the order of the file without sorting it: a row's place in
     its split plus the rows of the splits before it.  Line breaks inside
     quotes are admitted, which reads a file in one task; ``multi_line=False``
-    splits large files that are known to have none.
+    splits large files that are known to have none.  A header is one line.
     """
-    names = _header(spark, path, encoding)
-    problem = missing_columns_error(names)
-    if problem:
-        raise ImportFormatError(problem)
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
-    kept = [c for c in ("image_filename", "annotation_value", "dataset_name") if c in names]
+    kinds = [_names(header) for header in _headers(spark, path, encoding)]
+    for names in kinds:
+        problem = missing_columns_error(names)
+        if problem:
+            raise ImportFormatError(problem)
+    width = max(map(len, kinds), default=len(REQUIRED_COLUMNS))
+    kept = [c for c in IMPORT_COLUMNS if c in REQUIRED_COLUMNS or any(c in names for names in kinds)]
+    schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(width)])
     raw = spark.read.csv(
-        path, schema=schema, header=True, enforceSchema=True, multiLine=multi_line, encoding=encoding,
-        quote='"', escape='"', mode="PERMISSIVE",
-    )
-    placed = raw.select(
-        *[F.when(~F.col(c).isin(*NA_STRINGS), F.col(c)).alias(c) for c in kept],
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_start"),
+        path, schema=schema, header=False, multiLine=multi_line, encoding=encoding, quote='"', escape='"', mode="PERMISSIVE",
+    ).select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_id"),
     )
-    # One row per split of a file.
-    splits = placed.groupBy("_file", "_start").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
-    before = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    row_no = F.col("_before") + F.col("_id") - F.col("_first") + FIRST_ROW
-    return placed.join(offsets, ["_file", "_start"]).select(row_no.cast("bigint").alias("row_no"), *kept)
+    fields = F.array(*schema.names)
+    # One row per split of a file; its first row is the header of the file.
+    splits = raw.groupBy("_file", "_start").agg(
+        F.count("*").alias("_n"), F.min("_id").alias("_first"), F.min_by(fields, "_id").alias("_header")
+    )
+    whole = Window.partitionBy("_file").orderBy("_start")
+    before = whole.rowsBetween(Window.unboundedPreceding, -1)
+    header = F.transform(F.first("_header").over(whole), lambda name: F.ltrim(name, F.lit("\ufeff")))
+    offsets = splits.select(
+        "_file", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), header.alias("_header")
+    )
+
+    def named(name: str) -> Column:
+        value = F.try_element_at(fields, F.nullif(F.array_position("_header", name), F.lit(0)).cast("int"))
+        return F.when(~value.isin(*NA_STRINGS), value).alias(name)
+
+    row_no = F.col("_before") + F.col("_id") - F.col("_first") + 1
+    placed = raw.join(offsets, ["_file", "_start"]).withColumn("row_no", row_no.cast("bigint"))
+    return placed.filter(F.col("row_no") >= FIRST_ROW).select(F.col("_file").alias("file"), "row_no", *[named(c) for c in kept])
 
 
 def count_rows(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -73,7 +98,7 @@ def write_export(export: DataFrame, path: str) -> None:
 
 
 def write_error_report(errors: DataFrame, path: str) -> None:
-    """Error report: Row, Error, with every error quoted and quotes doubled."""
+    """Error report: Row, Error (numbers within their file), with every error quoted and quotes doubled."""
     quoted = F.concat(F.lit('"'), F.replace("error", F.lit('"'), F.lit('""')), F.lit('"'))
     lines = errors.select(F.concat_ws(",", F.col("row_no").cast("string"), quoted).alias("Row,Error"))
     lines.write.mode("overwrite").csv(path, **{**_WHOLE, "header": True, "quote": "", "sep": "\x01"})

@@ -1,4 +1,4 @@
-"""Arriving files: each path once, late files within a delay."""
+"""Arriving files: each path once, late files included unless a delay is set."""
 
 from __future__ import annotations
 
@@ -13,17 +13,22 @@ DELAY = "1 minute"
 def discover(
     files: DataFrame,
     prefix: str | None = None,
-    delay: str = DELAY,
+    delay: str | None = None,
     extensions: tuple[str, ...] = SCAN_EXTENSIONS,
 ) -> DataFrame:
     """New files of a stream of listings, each ``full_path`` once per job.
 
-    A path seen again within ``delay`` is dropped; a file that is later than
-    the delay behind the newest one is missed, as a scan from the last mark
-    would miss it.  State per path lives only as long as the delay.
+    Every file is found, however late, for which the state keeps every path
+    (use the RocksDB state store on a cluster).  With a ``delay``, state per path
+    lives only as long: a file later than that behind the newest one is missed,
+    as a scan from the last mark would miss it, and a path seen again after the
+    delay is found again.
     """
     found = scan_files(files, prefix, extensions=extensions)
-    return found.withWatermark("time_created", delay).dropDuplicatesWithinWatermark([c for c in ("job_id", "full_path") if c in found.columns])
+    keys = [c for c in ("job_id", "full_path") if c in found.columns]
+    if delay is None:
+        return found.dropDuplicates(keys)
+    return found.withWatermark("time_created", delay).dropDuplicatesWithinWatermark(keys)
 
 
 def arrivals(files: DataFrame, every: str = "15 minutes", delay: str = DELAY) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gradeflow.functions.answers import parse_answer
@@ -70,7 +70,9 @@ def label_stream(
 ) -> StreamingQuery:
     """Label every discovered file once and keep results and run counters under ``sink``.
 
-    ``files`` has job_id and full_path.  Without ``every`` the query takes what
+    ``files`` has job_id, full_path and time_created, one row per listing; repeats
+    are left out here, after they were counted and the mark was taken, so the
+    listing goes in as :func:`scan_files` gives it.  Without ``every`` the query takes what
     is there and stops, to be started again by the scheduler at hand.  Each
     micro-batch is one run.  It overwrites its own folder, named by stream and
     batch, so a batch that is repeated after a failure leaves the same rows, and
@@ -86,10 +88,14 @@ def label_stream(
         seen = f"{sink}/{FILES}/batch={name}"
         batch.write.mode("overwrite").parquet(seen)
         discovered = spark.read.schema(batch.schema).parquet(seen)
-        fresh = discovered.dropDuplicates(list(RESULT_KEY))
+        place = F.row_number().over(Window.partitionBy(*RESULT_KEY).orderBy("time_created"))
+        ranked = discovered.withColumn("_repeat", place > 1)
+        fresh = ranked.filter(~F.col("_repeat")).drop("_repeat")
+        known = ranked.filter("_repeat").select("job_id")
         done = _existing(spark, f"{sink}/{RESULTS}", [*RESULT_KEY, "batch"])
         if done is not None:
             earlier = done.filter(F.col("batch") != name).select(*RESULT_KEY)
+            known = known.unionByName(fresh.join(earlier, list(RESULT_KEY), "left_semi").select("job_id"))
             fresh = fresh.join(earlier, list(RESULT_KEY), "left_anti")
         labelled = label_batch(
             fresh, question_column, message, question_type, predictor, retry, parallel_calls
@@ -97,7 +103,7 @@ def label_stream(
         target = f"{sink}/{RESULTS}/batch={name}"
         labelled.write.mode("overwrite").parquet(target)
         written = spark.read.schema(labelled.schema).parquet(target)  # the model is not asked again
-        counters = run_counters(discovered, written, written, by="job_id").join(high_water_mark(discovered), "job_id")
+        counters = run_counters(discovered, written, written, "job_id", known).join(high_water_mark(discovered), "job_id")
         counters.write.mode("overwrite").parquet(f"{sink}/{RUNS}/batch={name}")
 
     writer = files.writeStream.foreachBatch(one_run).option("checkpointLocation", checkpoint)

@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeflow.operators import annotations as oa
-from gradeflow.operators.joins import salted_lookup
 from gradeflow.schemas import ANSWER
 from gradeflow.sources import label_csv
 
@@ -82,18 +81,38 @@ def test_all_or_nothing(spark):
     assert (preview["total"], preview["valid"], preview["errors"], preview["can_confirm"]) == (2, 1, 1, False)
 
 
-def test_hot_file_name(spark, monkeypatch):
-    """A third of the rows name one image: the result is that of the plain join."""
+def test_hot_file_name(spark):
+    """A third of the rows name one image."""
     rows = spark.createDataFrame(
         [(i + 2, "hot.jpg" if i % 3 == 0 else f"f{i}.jpg", "yes" if i % 2 else "no") for i in range(900)], ROWS
     )
     pictures = images(spark, "hot.jpg", *[f"f{i}.jpg" for i in range(0, 900, 2)])
-    plain = oa.import_annotations(rows, pictures, marks(spark), "binary").outcomes.collect()
-    monkeypatch.setattr(
-        oa, "salted_lookup", lambda r, l, k, how: salted_lookup(r, l, k, how, hot_rows=50, salts=4)
+    outcomes = oa.import_annotations(rows, pictures, marks(spark), "binary").outcomes.groupBy("outcome").count().collect()
+    # 300 rows for the hot image, one of which creates; 300 even and 300 odd others by number.
+    assert {r["outcome"]: r["count"] for r in outcomes} == {"created": 301, "updated": 299, "error": 300}
+
+
+def test_row_numbers_repeat_over_files(spark):
+    rows = spark.createDataFrame(
+        [("f1", 2, "a", "yes"), ("f1", 3, "b", "maybe"), ("f2", 2, "b", "no"), ("f2", 3, "a", "no")], "file string, " + ROWS
     )
-    salted = oa.import_annotations(rows, pictures, marks(spark), "binary").outcomes.collect()
-    assert sorted(map(str, plain)) == sorted(map(str, salted))
+    result = oa.import_annotations(rows, images(spark, "a", "b"), marks(spark), "binary")
+    kinds = {(r["file"], r["row_no"]): r["outcome"] for r in result.outcomes.collect()}
+    assert kinds == {("f1", 2): "created", ("f1", 3): "error", ("f2", 2): "created", ("f2", 3): "updated"}
+    assert {r["answer"]["value_bool"] for r in result.latest.collect()} == {False}
+    assert [(r["file"], r["row_no"]) for r in result.stored_errors().collect()] == [("f1", 3)]
+
+
+def test_csv_files_with_their_own_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('image_filename,annotation_value\na.jpg,yes\n"b.jpg","two\nlines"\nc.jpg,no\n')
+    (tmp_path / "b.csv").write_text('extra,annotation_value,"image_filename"\n1,yes,c.jpg\n2,,d.jpg\n')
+    rows = label_csv.read_import_rows(spark, str(tmp_path))
+    got = sorted((r["file"].rsplit("/")[-1], r["row_no"], r["image_filename"], r["annotation_value"]) for r in rows.collect())
+    assert got == [
+        ("a.csv", 2, "a.jpg", "yes"), ("a.csv", 3, "b.jpg", "two\nlines"), ("a.csv", 4, "c.jpg", "no"),
+        ("b.csv", 2, "c.jpg", "yes"), ("b.csv", 3, "d.jpg", None),
+    ]
+    assert label_csv.count_rows(spark, str(tmp_path)).first()[0] == 5
 
 
 def test_csv_rows_and_numbers(spark, tmp_path):
@@ -107,7 +126,7 @@ def test_csv_rows_and_numbers(spark, tmp_path):
     try:
         rows = label_csv.read_import_rows(spark, str(path), multi_line=False)
         assert rows.rdd.getNumPartitions() > 3
-        got = sorted(map(tuple, rows.collect()))
+        got = sorted(map(tuple, rows.drop("file").collect()))
     finally:
         for key, setting in old.items():
             spark.conf.set(key, setting)
@@ -119,7 +138,7 @@ def test_csv_quotes_line_breaks_and_bom(spark, tmp_path):
     path = tmp_path / "labels.csv"
     text = 'image_filename,annotation_value,dataset_name\n"a ""b"".jpg","two\nlines",d\n007.jpg,1.0,\n'
     path.write_text(text, encoding="utf-8-sig")
-    rows = sorted(map(tuple, label_csv.read_import_rows(spark, str(path), multi_line=True).collect()))
+    rows = sorted(map(tuple, label_csv.read_import_rows(spark, str(path), multi_line=True).drop("file").collect()))
     assert rows == [(2, 'a "b".jpg', "two\nlines", "d"), (3, "007.jpg", "1.0", None)]
     assert label_csv.count_rows(spark, str(path), multi_line=True).first()[0] == 2
     bad = tmp_path / "bad.csv"

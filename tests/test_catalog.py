@@ -176,3 +176,28 @@ def test_tables_are_written_for_skipping(spark, tmp_path):
     back = st.read_table(spark, str(tmp_path / "t"), ["image_id", "evaluation_id"]).filter("evaluation_id = 'r1'")
     plan = back._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(evaluation_id" in plan and back.count() == 2
+
+
+def test_catalogue_merge_by_owner(spark):
+    configs = spark.createDataFrame(
+        [("1", "me", "p", "m", "a", "k", 0.5, 5, "s", None, 2, True), ("2", "me", "p", "m", "b", "k", 0.5, 5, "s", None, 2, True),
+         ("3", "you", "p", "m", "c", "k", 0.5, 5, "s", None, 2, True)],
+        "model_config_id string, owner_id string, provider string, model_name string, name string, auth_type string, temperature double,"
+        " max_tokens int, api_key string, pricing struct<p: int>, concurrency int, is_active boolean",
+    )
+    listed = spark.createDataFrame(
+        [("p", "m", "first", None, None, None, 0), ("p", "m", "last", None, (4,), 0.25, 1), ("p", "n", None, "key", None, 0.75, 2)],
+        "provider string, model_name string, display_name string, auth_type string, pricing struct<p: int>, temperature double, position int",
+    )
+    rows = {(r["owner_id"], r["model_name"], r["name"]): r for r in catalog.merge_catalogue(configs, listed, "me").collect()}
+    assert set(rows) == {("me", "m", "last"), ("me", "m", "b"), ("you", "m", "c"), ("me", "n", "n")}
+    hit = rows["me", "m", "last"]
+    assert (hit["model_config_id"], hit["temperature"], hit["max_tokens"], hit["api_key"], hit["pricing"]["p"]) == ("1", 0.25, 1024, "s", 4)
+    assert (rows["me", "n", "n"]["temperature"], rows["me", "n", "n"]["api_key"]) == (0.0, "sk-placeholder")
+
+
+def test_the_last_item_of_an_id_wins(spark, tmp_path):
+    item = {"id": "a", "name": "one", "provider": "p", "model_name": "x", "max_tokens": 9}
+    read = sc.read_model_configs(spark, write(tmp_path / "i.json", [item, {**item, "name": "two", "max_tokens": None}]))
+    configs = read.filter("name = 'one'").drop("position")
+    assert [(r["name"], r["max_tokens"]) for r in catalog.import_model_configs(configs, read).collect()] == [("two", 9)]

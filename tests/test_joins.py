@@ -21,21 +21,21 @@ def skewed(spark):
 @pytest.mark.parametrize("how", ["left", "inner"])
 def test_salted_lookup_equals_join(spark, skewed, how):
     lookup = spark.createDataFrame([("hot", 1), ("k1", 2), ("k7", 3), ("unused", 4)], "key string, value int")
-    salted = joins.salted_lookup(skewed, lookup, ["key"], how, hot_rows=100, salts=8)
+    salted = joins.salted_lookup(skewed, lookup, ["key"], how, split_keys=1, salts=8)
     plain = skewed.join(lookup, "key", how)
     assert sorted(map(str, salted.select("row_no", "key", "value").collect())) == sorted(
         map(str, plain.select("row_no", "key", "value").collect())
     )
 
 
-def test_hot_rows_are_spread(spark, skewed):
+def test_hot_key_is_spread(spark, skewed):
     lookup = spark.createDataFrame([("hot", 1)], "key string, value int")
     conf = "spark.sql.autoBroadcastJoinThreshold"
     before = spark.conf.get(conf)
     spark.conf.set(conf, "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        salted = joins.salted_lookup(skewed, lookup, ["key"], "inner", hot_rows=100, salts=8)
+        salted = joins.salted_lookup(skewed, lookup, ["key"], "inner", split_keys=1, salts=8)
         sizes = salted.groupBy(F.spark_partition_id()).count().collect()
         assert len(sizes) > 1 and sum(r["count"] for r in sizes) == 1000
     finally:
@@ -115,12 +115,11 @@ def test_random_percent(spark, images):
 
 
 def test_slices_of_the_hash_range_are_ranked_exactly(spark, images, monkeypatch):
-    monkeypatch.setattr(sel, "_SLICE_DIGITS", 1)  # few, large slices
+    monkeypatch.setattr(sel, "_HEAD_DIGITS", 1)  # few, large slices
     everyone = images.collect()
-    got = {r["image_id"] for r in sel.sample_exact(images, F.lit(333), 9, hot_rows=50).collect()}
+    got = {r["image_id"] for r in sel.sample_exact(images, F.lit(333), 9).collect()}
     assert got == set(by_hash([r["image_id"] for r in everyone], 9)[:333])
-    # One group is hot and sliced, the others are ranked whole.
-    got = sel.sample_exact(images, F.ceil(F.col("_total") / 3), 9, ["dataset_id"], hot_rows=300).collect()
+    got = sel.sample_exact(images, F.ceil(F.col("_total") / 3), 9, ["dataset_id"]).collect()
     for name in ("hot", "cold", "seven"):
         ids = by_hash([r["image_id"] for r in everyone if r["dataset_id"] == name], 9)
         assert {r["image_id"] for r in got if r["dataset_id"] == name} == set(ids[: math.ceil(len(ids) / 3)])
@@ -146,3 +145,11 @@ def test_resume_equals_fresh_run(spark, images):
     done = images.filter("image_id % 2 = 0")
     left = sel.remaining_images(images, done)
     assert left.count() + done.count() == images.count() and left.join(done, "image_id").count() == 0
+
+
+def test_quotas_at_and_beyond_the_ends(spark, images):
+    everyone = images.count()
+    assert sel.sample_exact(images, F.lit(0), 1).count() == 0
+    assert sel.sample_exact(images, F.lit(everyone), 1).count() == everyone
+    assert sel.sample_exact(images, F.lit(everyone + 5), 1).count() == everyone
+    assert sel.sample_exact(images.limit(0), F.lit(3), 1).count() == 0

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Observation, functions as F
 
 from gradeflow.operators.inference import Reply, Retry
-from gradeflow.operators.labelling import upload_totals
+from gradeflow.operators.labelling import scan_files, upload_totals
 from gradeflow.streaming import discover as sd, labelling as sl, progress as sp, uploads as su
 
 START = dt.datetime(2024, 1, 1, 12, 0, 0)
@@ -36,11 +36,12 @@ def model():
     return answer
 
 
-def test_each_path_once_and_late_files(spark, tmp_path):
+@pytest.mark.parametrize("delay", ["1 minute", None])
+def test_each_path_once_and_late_files(spark, tmp_path, delay):
     source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
 
     def run():
-        found = sd.discover(files_stream(spark, source), prefix="in/").select("object_name")
+        found = sd.discover(files_stream(spark, source), prefix="in/", delay=delay).select("object_name")
         found.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(
             availableNow=True
         ).start().awaitTermination()
@@ -51,16 +52,37 @@ def test_each_path_once_and_late_files(spark, tmp_path):
     assert run() == ["in/a.jpg", "in/top.JPG"]
     # Again, 30 s behind the mark, and five minutes behind it.
     put(spark, source, [(1, "in/top.JPG", at(610), 1), (1, "in/late.png", at(570), 1), (1, "in/lost.png", at(300), 1)], FILES)
-    assert run() == ["in/a.jpg", "in/late.png", "in/top.JPG"]
+    lost = [] if delay else ["in/lost.png"]  # found all the same where no delay is set
+    assert run() == sorted(["in/a.jpg", "in/late.png", "in/top.JPG", *lost])
     put(spark, source, [(1, "in/late.png", at(590), 1), (1, "in/new.gif", at(700), 1)], FILES)
-    assert run() == ["in/a.jpg", "in/late.png", "in/new.gif", "in/top.JPG"]
+    assert run() == sorted(["in/a.jpg", "in/late.png", "in/new.gif", "in/top.JPG", *lost])
+
+
+def test_marks_repeats_and_one_path_in_two_jobs(spark, tmp_path):
+    source, sink = str(tmp_path / "in"), str(tmp_path / "sink")
+
+    def run(checkpoint):
+        listing = scan_files(files_stream(spark, source))
+        sl.label_stream(
+            listing, "A dog?", "binary", model, sink, str(tmp_path / checkpoint), retry=Retry(max_attempts=1)
+        ).awaitTermination()
+        rows = [r.asDict() for r in sl.read_runs(spark, sink).collect()]
+        names = ("images_discovered", "already_known", "images_ingested", "ingest_failed")
+        return sorted((r["job_id"], r["last_processed_timestamp"], *[r[n] for n in names]) for r in rows)
+
+    put(spark, source, [(1, "dog.jpg", at(0), 1), (1, "cat.jpg", at(3), 1), (1, "dog.jpg", at(50), 1), (2, "dog.jpg", at(1), 1)], FILES)
+    first = [(1, at(50), 3, 1, 2, 0), (2, at(1), 1, 0, 1, 0)]
+    assert run("cp") == first
+    # A lost checkpoint finds nothing new, and no known file is a failure.
+    assert run("other") == sorted([*first, (1, at(50), 3, 3, 0, 0), (2, at(1), 1, 1, 0, 0)])
+    assert sl.read_results(spark, sink).count() == 3
 
 
 def test_labelling_runs_are_idempotent(spark, tmp_path):
     source, sink = str(tmp_path / "in"), str(tmp_path / "sink")
 
     def run(checkpoint):
-        found = sd.discover(files_stream(spark, source))
+        found = sd.discover(files_stream(spark, source), delay="1 minute")
         sl.label_stream(
             found, "A dog?", "binary", model, sink, str(tmp_path / checkpoint), retry=Retry(max_attempts=1)
         ).awaitTermination()
