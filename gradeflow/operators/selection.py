@@ -32,8 +32,9 @@ def sample_exact(
     takes the images up to the threshold.  No group is sorted as a whole, and
     at most ``_SLICES`` counts of a group meet in a window.
     """
-    # A struct key also holds groups whose name is NULL.
-    group = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
+    # A struct key also holds groups whose name is NULL.  Without groups the key is
+    # empty text, but no literal: a constant key would turn the join into a product.
+    group = F.struct(*by) if by else F.substring("_hash", 33, 1)
     keyed = images.withColumn("_hash", _hash_order(image_id, seed)).withColumn("_group", group)
     head = F.conv(F.substring("_hash", 1, _HEAD_DIGITS), 16, 10).cast("int")
     counts = keyed.groupBy("_group", head.alias("_slice")).agg(F.count("*").alias("_n"))
@@ -51,6 +52,7 @@ def sample_exact(
         "_group", F.struct("_hash", "_id").alias("_last")
     )
     # One row per group; where groups are many, adaptive execution splits the rows of a hot one.
+    last = last if by else F.broadcast(last)  # a single row
     chosen = keyed.join(last, "_group").filter(F.struct(F.col("_hash"), F.col(image_id).alias("_id")) <= F.col("_last"))
     return chosen.select(*images.columns)
 

@@ -31,8 +31,8 @@ def test_only_needed_columns_are_read(spark, name, absent):
 
 @pytest.mark.parametrize(
     "name, pushed",
-    [("scan_incremental", "GreaterThan(ts,2024-01-14T23:59"), ("job_result_page", "EqualTo(user_id,7)"), ("select_manual", "EqualTo(toxic,1)")],
-     ("parse_binary", "EqualTo(role,assistant)"), ("select_manual", "EqualTo(toxic,1)")],
+    [("scan_incremental", "GreaterThan(ts,2024-01-14T23:59"), ("job_result_page", "EqualTo(user_id,7)"),
+     ("select_manual", "EqualTo(toxic,1)")],
 )
 def test_filters_reach_the_scan(spark, name, pushed):
     assert any(pushed in line for line in plan(spark, name).splitlines() if "PushedFilters" in line)
@@ -46,3 +46,10 @@ def test_summaries_shuffle_once(spark, name):
 @pytest.mark.parametrize("name", ["first_errors", "dup_keep_latest", "latest_per_job", "nearest_examples"])
 def test_first_rows_are_cut_before_the_shuffle(spark, name):
     assert "WindowGroupLimit" in plan(spark, name)
+
+
+@pytest.mark.parametrize("name", ["select_random_count", "select_random_percent", "select_percent_lines"])
+def test_samples_read_their_table_three_times_at_most(spark, name):
+    text = plan(spark, name)
+    table = "lineitem" if name == "select_percent_lines" else "documents"
+    assert sum(f"/{table}.parquet" in line for line in text.splitlines() if "FileScan" in line) <= 3
