@@ -92,14 +92,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hashed_bucket(key, buckets: int = 1 << 20) -> F.Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets))
+
+
 def sieved(rows: DataFrame, key, ids: DataFrame, buckets: int = 1 << 20) -> DataFrame:
     """``rows`` less those whose key is surely not in the one column of ``ids``, before a join shuffles them.
 
     What is broadcast is the set of hash buckets of the ids: ``buckets`` numbers at most.
     """
-    bucket = F.pmod(F.xxhash64(key), F.lit(buckets))
-    used = ids.select(F.pmod(F.xxhash64(ids.columns[0]), F.lit(buckets)).alias("_bucket")).distinct()
-    return rows.withColumn("_bucket", bucket).join(F.broadcast(used), "_bucket", "left_semi").drop("_bucket")
+    used = ids.select(hashed_bucket(ids.columns[0], buckets).alias("_bucket")).distinct()
+    return rows.withColumn("_bucket", hashed_bucket(key, buckets)).join(F.broadcast(used), "_bucket", "left_semi").drop("_bucket")
 
 
 HAS_LETTER = re.compile(r"[^\W\d_]")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeflow.llm.common import Hashes, as_bytes, folded_lines, mix, sieved, steps, stored
+from gradeflow.llm.common import Hashes, as_bytes, folded_lines, hashed_bucket, mix, sieved, steps, stored
 from gradeflow.llm.graph import components
 
 SIMILARITY = 0.8
@@ -33,18 +33,19 @@ _LOWEST = -(1 << 63)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Every line with words: document, number, class (digest of its word set) and, once per task, the words."""
+    """Every line with words: document (id and tag), number, class (digest of its word set) and, once per task, the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, told = Hashes(), set()
         for batch in steps(batches):
-            numbers, ids, found = [], [], []
-            for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
+            numbers, ids, tags, found = [], [], [], []
+            for key, tag, text in zip(*(batch.column(c).to_pylist() for c in ("id", "tag", "text"))):
                 for k, line in enumerate(folded_lines(text)):
                     own = line.split()
                     if own:
                         numbers.append(k)
                         ids.append(key)
+                        tags.append(tag)
                         found.append(own)
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             flat = hashes([w for own in found for w in own]) & np.uint64(WORD_BITS)
@@ -68,9 +69,9 @@ def _lines(docs: DataFrame) -> DataFrame:
             counts = np.diff(np.r_[0, ends])
             offsets = np.r_[0, np.cumsum(np.where(first, counts, 0))]
             sets = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[first[owner]].view(np.int64)), mask=pa.array(~first)) if len(found) else pa.array([], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(same, pa.binary()), sets], names=["id", "line", "same", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(numbers, pa.int32()), pa.array(same, pa.binary()), sets], names=["id", "tag", "line", "same", "words"])
 
-    return docs.mapInArrow(run, "id bigint, line int, same binary, words array<bigint>")
+    return docs.mapInArrow(run, "id bigint, tag bigint, line int, same binary, words array<bigint>")
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -269,8 +270,8 @@ def _linked(met: DataFrame, rule: Rule) -> DataFrame:
                 row, own, a, b = _pairs_of_blocks(blocks, _short(part.column("same")))
                 taken = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("root").take(taken), pa.array(a << 32 | b), pa.array(own), *(part.column(c).take(taken) for c in ("same", "words", "n", "id", "line"))],
-                    names=["root", "pair", "block", "same", "words", "n", "id", "line"],
+                    [part.column("root").take(taken), pa.array(a << 32 | b), pa.array(own), *(part.column(c).take(taken) for c in ("same", "words", "n", "id", "line", "tag"))],
+                    names=["root", "pair", "block", "same", "words", "n", "id", "line", "tag"],
                 )
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +280,7 @@ def _linked(met: DataFrame, rule: Rule) -> DataFrame:
             keys = zip(batch.column("root").to_pylist(), batch.column("pair").to_pylist())
             sizes, flat = _flat(batch.column("words"))
             ends = np.cumsum(sizes).tolist()
-            rest = list(zip(*(batch.column(c).to_pylist() for c in ("same", "n", "id", "line", "block"))))
+            rest = list(zip(*(batch.column(c).to_pylist() for c in ("same", "n", "id", "line", "tag", "block"))))
             for k, key in enumerate(keys):
                 if key != cell:
                     out += compare(rows)
@@ -293,8 +294,8 @@ def _linked(met: DataFrame, rule: Rule) -> DataFrame:
         yield told(out)
 
     def told(out: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["same", "links", "id", "line"])
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["same", "links", "id", "line", "tag"])
 
     def compare(rows: list) -> list[tuple]:
         """Links of a cell's lines, from their whole word sets."""
@@ -304,7 +305,7 @@ def _linked(met: DataFrame, rule: Rule) -> DataFrame:
             (one, a), (two, b) = rows
             overlap = len(set(one.tolist()) & set(two.tolist()))
             similar = overlap >= rule.least(len(one) + len(two))
-            return [(a[0], b[1], b[2], b[3]), (b[0], a[1], a[2], a[3])] if similar else []
+            return [(a[0], *b[1:5]), (b[0], *a[1:5])] if similar else []
         sizes = np.array([len(w) for w, _ in rows])
         words, column = np.unique(np.concatenate([w for w, _ in rows]), return_inverse=True)
         owner = np.repeat(np.arange(len(rows)), sizes)
@@ -316,20 +317,20 @@ def _linked(met: DataFrame, rule: Rule) -> DataFrame:
             overlap += table @ table.T
         similar = overlap >= rule.least(sizes[:, None] + sizes[None, :])
         np.fill_diagonal(similar, False)
-        block = np.array([r[1][4] for r in rows])
+        block = np.array([r[1][5] for r in rows])
         if len(set(block.tolist())) > 1:
             similar &= block[:, None] != block[None, :]
         counts = np.array([r[1][1] for r in rows])
-        order = sorted(range(len(rows)), key=lambda k: rows[k][1][2:4])
+        order = sorted(range(len(rows)), key=lambda k: rows[k][1][2:5])
         out = []
         for k in np.flatnonzero(similar.any(1)).tolist():
             first = order[int(np.argmax(similar[k][order]))]
-            out.append((rows[k][1][0], int(counts[similar[k]].sum()), *rows[first][1][2:4]))
+            out.append((rows[k][1][0], int(counts[similar[k]].sum()), *rows[first][1][2:5]))
         return out
 
-    rows = met.mapInArrow(emit, "root bigint, pair bigint, block bigint, same binary, words array<bigint>, n bigint, id bigint, line int")
+    rows = met.mapInArrow(emit, "root bigint, pair bigint, block bigint, same binary, words array<bigint>, n bigint, id bigint, line int, tag bigint")
     cells = rows.repartition("root", "pair").sortWithinPartitions("root", "pair", "same")
-    return cells.mapInArrow(verify, "same binary, links bigint, id bigint, line int").groupBy("same").agg(F.sum("links").alias("links"), F.min(F.struct("id", "line")).alias("partner"))
+    return cells.mapInArrow(verify, "same binary, links bigint, id bigint, line int, tag bigint").groupBy("same").agg(F.sum("links").alias("links"), F.min(F.struct("id", "line", "tag")).alias("partner"))
 
 
 def links(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
@@ -342,27 +343,45 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     lines without words have no row; rows that repeat an id share places, so
     neither is later.
     """
-    source = as_bytes(docs, key, text).select(F.coalesce(F.col(key).cast("long"), F.lit(_LOWEST)).alias("id"), "text")
+    found = _links(as_bytes(docs, key, text).select(_place_id(key).alias("id"), F.lit(0).cast("long").alias("tag"), "text"), threshold)
+    own = docs.schema[key].dataType
+    return found.select(
+        _given_id("id").cast(own).alias(key), F.col("line").cast("long").alias("line_no"), _given_id("first.id").cast(own).alias("class_doc"),
+        F.col("first.line").cast("long").alias("class_line"), "n_links", F.col("later").alias("removed"),
+    )
+
+
+def _place_id(key: str) -> F.Column:
+    return F.coalesce(F.col(key).cast("long"), F.lit(_LOWEST))
+
+
+def _given_id(id_: str) -> F.Column:
+    return F.when(F.col(id_) != _LOWEST, F.col(id_))
+
+
+def _links(source: DataFrame, threshold: float) -> DataFrame:
+    """Per line of the rows (id, tag, text): id, tag, line, first (id, line, tag), n_links and later.
+
+    Later means that a similar line has a smaller place (id, line, tag).
+    """
     lines = stored(_lines(source), "lines")
     sets = lines.where(F.col("words").isNotNull())
     rule = Rule(threshold, _count(sets.select("words"), lambda batch: _place(_flat(batch.column("words"))[1])))
     rule.gather(_count(sets.select("words"), lambda batch: _place(rule.prefixes(batch.column("words"))[1])))
-    grouped = stored(lines.groupBy("same").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")), "line_classes")
+    grouped = stored(lines.groupBy("same").agg(F.min(F.struct("id", "line", "tag")).alias("first"), F.count("*").alias("n")), "line_classes")
 
     roots = components(stored(_candidates(sets, rule), "line_candidates")).withColumnRenamed("node", "short")
     members = roots.groupBy("root").agg(F.count("*").alias("members"))
-    told = grouped.select("same", _short_column("same").alias("short"), "n", F.col("first.id").alias("id"), F.col("first.line").alias("line"))
+    told = grouped.select("same", _short_column("same").alias("short"), "n", F.col("first.id").alias("id"), F.col("first.line").alias("line"), F.col("first.tag").alias("tag"))
     told = told.join(roots.join(members, "root"), "short").drop("short")
     near = sieved(sets.select("same", "words"), "same", told.select("same")).join(told, "same")
     similar = stored(_linked(near, rule), "line_links")
 
-    place = F.struct("id", "line")
-    joined = lines.select("id", "line", "same").join(grouped.join(similar, "same", "left"), "same")
+    place = F.struct("id", "line", "tag")
+    joined = lines.select("id", "line", "tag", "same").join(grouped.join(similar, "same", "left"), "same")
     return joined.select(
-        F.when(F.col("id") != _LOWEST, F.col("id")).cast(docs.schema[key].dataType).alias(key), F.col("line").cast("long").alias("line_no"),
-        F.when(F.col("first.id") != _LOWEST, F.col("first.id")).cast(docs.schema[key].dataType).alias("class_doc"), F.col("first.line").cast("long").alias("class_line"),
-        (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-        ((F.col("first") < place) | F.coalesce(F.col("partner") < place, F.lit(False))).alias("removed"),
+        "id", "tag", "line", "first", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+        ((F.col("first") < place) | F.coalesce(F.col("partner") < place, F.lit(False))).alias("later"),
     )
 
 
@@ -376,12 +395,23 @@ def _short_column(same: str) -> F.Column:
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = "n_chars", threshold: float = SIMILARITY) -> DataFrame:
     """The documents less every line that has a similar earlier line.
 
-    A document all of whose lines with words go, goes too; documents without
-    words stay as they are.  ``length`` becomes the new length of a changed text.
+    Every row is a document of its own: rows of a null id, and rows that repeat an
+    id with another text, are told apart by a tag from their text, which also
+    orders lines of equal id and number.  Only rows equal in id and text share
+    their places, so neither is later.  A document all of whose lines with words
+    go, goes too; documents without words stay as they are.  ``length`` becomes
+    the new length of a changed text.
     """
-    found = links(docs, key, text, threshold)
-    gone = found.groupBy(key).agg(F.collect_set(F.when(F.col("removed"), F.col("line_no").cast("int"))).alias("_gone"), F.bool_and("removed").alias("_all")).where(F.size("_gone") > 0)
-    matched = docs.join(gone.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key")), "left").where(~F.coalesce("_all", F.lit(False)))
+    bucket = hashed_bucket(F.col(key).cast("long"))
+    repeated = docs.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("id")).agg(F.count("*").alias("n")).where("n > 1")
+    repeated = stored(repeated.select(hashed_bucket("id").alias("_id_bucket")).distinct(), "repeated_ids").withColumn("_repeated", F.lit(True))
+    # Ids that share a bucket with a repeated one are tagged too, which changes nothing.
+    tagged = docs.withColumn("_id_bucket", bucket).join(F.broadcast(repeated), "_id_bucket", "left")
+    alone = F.col(key).cast("long").isNotNull() & F.col("_repeated").isNull()
+    tagged = tagged.withColumn("_tag", F.when(alone, F.lit(0).cast("long")).otherwise(F.xxhash64(F.col(text).cast("string").cast("binary"))))
+    found = _links(tagged.select(_place_id(key).alias("id"), F.col("_tag").alias("tag"), F.col(text).cast("string").cast("binary").alias("text")), threshold)
+    gone = found.groupBy(F.col("id").alias("_key"), F.col("tag").alias("_key_tag")).agg(F.collect_set(F.when(F.col("later"), F.col("line"))).alias("_gone"), F.bool_and("later").alias("_all")).where(F.size("_gone") > 0)
+    matched = tagged.join(gone, (_place_id(key) == F.col("_key")) & (F.col("_tag") == F.col("_key_tag")), "left").where(~F.coalesce("_all", F.lit(False)))
     changed = F.col("_gone").isNotNull()
     left = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda _, k: ~F.array_contains("_gone", k)), "\n")
     out = matched.withColumn("_text", F.when(changed, left).otherwise(F.col(text)))

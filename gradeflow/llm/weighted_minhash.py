@@ -33,6 +33,8 @@ RARITY = 0.1
 #: Documents of one band that meet in one cell; more are spread over pairs of blocks.
 BLOCK = 256
 _PLACES = 1 << 16
+#: What :func:`words` finds a word in.
+HAS_WORD = "[0-9A-Za-z]|[^\\x00-\\x7F]"
 
 
 def shingles(texts: list[bytes | None], hashes: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
@@ -143,9 +145,9 @@ def _signatures(docs: DataFrame, weights: Weights) -> DataFrame:
                 for d, row in zip(owner[starts].tolist(), keys.view(np.int64)):
                     bands[d] = row
             same = [xxhash.xxh3_128_hexdigest(b" ".join(own)) if own else None for own in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.string()), pa.array(totals), pa.array(bands, pa.list_(pa.int64()))], names=["id", "same", "weight", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("own"), pa.array(same, pa.string()), pa.array(totals), pa.array(bands, pa.list_(pa.int64()))], names=["id", "own", "same", "weight", "bands"])
 
-    return docs.mapInArrow(run, "id bigint, same string, weight double, bands array<bigint>")
+    return docs.mapInArrow(run, "id bigint, own bigint, same string, weight double, bands array<bigint>")
 
 
 def similarity(one: tuple, two: tuple) -> float:
@@ -258,19 +260,19 @@ def _across(placed: DataFrame, reps: DataFrame, docs: DataFrame, weights: Weight
     return stored(cells.mapInArrow(run, "a bigint, b bigint"), "links_across")
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """One row per document: ``key`` and class_id, the smallest id of its group of near duplicates.
+def _row(key: str, text: str) -> F.Column:
+    """Key of a row: 64 bits from its id and text, so rows of a null or repeated id are told apart."""
+    return F.xxhash64(F.col(key).cast("long"), F.col(text).cast("string").cast("binary"))
 
-    Similar means a weighted Jaccard similarity of at least ``threshold``; groups
-    are the connected components.  Ids are integers.  A document without words
-    (null or empty text) and one with a null id is a class of its own (class_id
-    is its id); rows that repeat an id keep a row each, in one class.
-    """
-    source = as_bytes(docs, key, text).select(F.col(key).cast("long").alias("id"), "text")
+
+def _groups(docs: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
+    """Per row: id (its key), own (its doc id) and first (nameless, own, id), the first row of its group; null without words."""
+    source = as_bytes(docs, key, text).select(F.col(key).cast("long").alias("own"), _row(key, "text").alias("id"), "text")
     weights = Weights(*_frequencies(source))
     signed = stored(_signatures(source, weights), "signatures")
-    usable = signed.where(F.col("same").isNotNull() & F.col("id").isNotNull())
-    reps = stored(usable.groupBy("same").agg(F.min("id").alias("rep"), F.first("weight").alias("weight"), F.first("bands").alias("bands")), "representatives")
+    usable = signed.where(F.col("same").isNotNull())
+    place = F.struct(F.col("own").isNull().alias("nameless"), "own", "id")
+    reps = stored(usable.groupBy("same").agg(F.min(place).alias("first"), F.min("id").alias("rep"), F.first("weight").alias("weight"), F.first("bands").alias("bands")), "representatives")
     banded = reps.select("rep", "weight", F.explode("bands").alias("band"))
     leaders = banded.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     met = stored(banded.join(leaders, "band"), "bands")
@@ -285,14 +287,33 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     placed = stored(placed.join(mixed, "band", "left_semi"), "mixed_bands")
     more = _across(placed, reps, source, weights, threshold)
     roots = components(links.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))).unionByName(more))
-    named = reps.select("same", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("root", "rep").alias("root"))
-    return signed.join(named, "same", "left").select(
-        F.col("id").cast(docs.schema[key].dataType).alias(key), F.when(F.col("id").isNull(), None).otherwise(F.coalesce("root", "id")).cast(docs.schema[key].dataType).alias("class_id")
-    )
+    placed = reps.select("same", "rep", "first").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("same", "first", F.coalesce("root", "rep").alias("root"))
+    placed = stored(placed, "groups")
+    named = placed.select("same", "root").join(placed.groupBy("root").agg(F.min("first").alias("first")), "root").select("same", "first")
+    return signed.select("id", "own", "same").join(named, "same", "left")
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
+    """One row per document: ``key`` and class_id, the smallest id of its group of near duplicates.
+
+    Similar means a weighted Jaccard similarity of at least ``threshold``; groups
+    are the connected components.  Ids are integers.  Every row is a document by
+    its own text, with a null or repeated id as well; class_id is null where no
+    row of the group has an id.  A document without words (null or empty text) is
+    a class of its own (class_id is its id).
+    """
+    own = docs.schema[key].dataType
+    found = _groups(docs, key, text, threshold)
+    return found.select(F.col("own").cast(own).alias(key), F.when(F.col("first").isNull(), F.col("own")).otherwise(F.col("first.own")).cast(own).alias("class_id"))
 
 
 def first_of_class(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """The documents less near duplicates: the smallest id of each group stays (once), and every row of a null id."""
-    kept = classes(docs, key, text, threshold).where(F.col(key) == F.col("class_id")).select(key).distinct()
-    single = docs.join(kept, key, "left_semi").dropDuplicates([key])
-    return single.unionByName(docs.where(F.col(key).isNull())).select(docs.columns)
+    """The documents less near duplicates: of each group the row of the smallest id stays (once).
+
+    A group without ids keeps one row.  Rows without words and without an id all stay.
+    """
+    bare = F.col(key).isNull() & ~F.coalesce(F.col(text).cast("string").rlike(HAS_WORD), F.lit(False))
+    found = _groups(docs.where(~bare), key, text, threshold)
+    kept = found.where(F.col("first").isNull() | (F.col("first.id") == F.col("id"))).select(F.col("id").alias("_row")).distinct()
+    single = docs.where(~bare).withColumn("_row", _row(key, text)).join(kept, "_row", "left_semi").dropDuplicates(["_row"])
+    return single.select(docs.columns).unionByName(docs.where(bare))

@@ -324,6 +324,19 @@ def test_near_duplicates(spark, monkeypatch):
     assert weighted_minhash.classes(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_rows_of_null_and_repeated_ids_are_documents_of_their_own(spark):
+    x, y, z, w = "a line that comes twice here", "one more line of nothing else", "quite another text stands there", "some words found nowhere otherwise"
+    rows = [(None, f"{x}\n{y}"), (None, f"{z}\n{x}"), (None, f"{w}\nlast of all of these"), (5, f"five has its own words\n{y}"), (5, f"other five of other words\nthat nobody else will say")]
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in line_dedup.without_repeats(docs(spark, rows)).collect())
+    assert kept == sorted([(0, f"{x}\n{y}"), (0, z), (0, rows[2][1]), (5, "five has its own words"), (5, rows[4][1])])
+    long = [" ".join(t) for t in zip(made_texts(4, 71), made_texts(4, 72))]
+    rows = [(5, long[0]), (5, long[1]), (9, long[1]), (9, long[2]), (None, long[2]), (None, long[3]), (None, long[3]), (None, ""), (None, "")]
+    got = weighted_minhash.classes(docs(spark, rows)).collect()
+    assert sorted((r["doc_id"] or 0, r["class_id"] or 0) for r in got) == [(0, 0)] * 4 + [(0, 9), (5, 5), (5, 5), (9, 5), (9, 9)]
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in weighted_minhash.first_of_class(docs(spark, rows)).collect())
+    assert kept == sorted([(5, long[0]), (5, long[1]), (9, long[2]), (0, long[3]), (0, ""), (0, "")])
+
+
 def test_weighted_samples_agree_with_similarity():
     rng = np.random.default_rng(2)
     code = rng.integers(0, 1 << 63, 600, dtype=np.uint64)
