@@ -48,8 +48,8 @@ def _mixed(run: str) -> bool:
     return len(set(run)) >= 12 and any(c.isdigit() for c in run) and run != run.lower() and run != run.upper()
 
 
-def linked_spans(text: str, base: list[tuple[int, int, int]], reach: int) -> list[tuple[int, int, int]]:
-    """Weak parts with a complementary part in their scope and within ``reach`` characters.
+def linked_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Weak parts with a complementary part in their scope, at any distance.
 
     Complementary: a secret to an access identifier or endpoint; an endpoint to
     an access identifier or secret (base or weak).  Parts are sorted, so each
@@ -68,8 +68,7 @@ def linked_spans(text: str, base: list[tuple[int, int, int]], reach: int) -> lis
 
     def meets(at: tuple[int, int], parts: list[tuple[int, int]]) -> bool:
         scope = bisect_right(breaks, at[0])
-        low = max(at[0] - reach, breaks[scope - 1] if scope else 0)
-        high = min(at[1] + reach, breaks[scope] if scope < len(breaks) else len(text))
+        low, high = breaks[scope - 1] if scope else 0, breaks[scope] if scope < len(breaks) else len(text)
         k = bisect_left(parts, (low, -1))
         return any(low <= p[0] < high and p != at for p in parts[k : k + 2])
 
@@ -78,7 +77,7 @@ def linked_spans(text: str, base: list[tuple[int, int, int]], reach: int) -> lis
     return found + [(s, 4, e) for s, e in ends if meets((s, e), access) or meets((s, e), all_secrets)]
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = 400) -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Spans of secrets per document; one pass over whole texts, no shuffle.
 
     Returns ``key`` and spans array<struct<kind, start, end>> in code points, by
@@ -93,7 +92,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int =
             rows = []
             for t in batch.column("text").to_pylist():
                 base = base_spans(t or "")
-                every = sorted(base + linked_spans(t or "", base, reach))
+                every = sorted(base + linked_spans(t or "", base))
                 rows.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in every])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(span))], names=[key, "spans"])
 

@@ -277,6 +277,14 @@ def test_secret_spans(spark):
     assert got[1]["base_sha256"] == hashlib.sha256(b"access:2:22").hexdigest()
 
 
+def test_parts_link_over_a_whole_paragraph(spark):
+    key, weak = "AKIA" + "Q7" * 8, "aB3" + "xY9zK2mN4pQ8rS6tU1vW5" * 2
+    gap = " word" * 2000
+    texts = [f"{key}{gap} {weak}", f"{weak}{gap} https://x.org {gap}", f"{key}{gap}\n\n{weak}"]
+    got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secrets.scan(docs(spark, list(enumerate(texts)))).collect()}
+    assert got == {0: ["access", "weak_secret"], 1: ["weak_secret", "weak_endpoint"], 2: ["access"]}
+
+
 # Line dedup and near duplicates
 
 
