@@ -6,15 +6,18 @@ import math
 import os
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import xxhash
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as spec
 
 from gradeflow.llm import ann, chat, decontaminate, html, language, line_dedup, secrets, sentencepiece_codec, toxicity, weighted_minhash
+from gradeflow.llm.common import mix
 from gradeflow.llm.graph import components
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -234,6 +237,22 @@ def test_toxicity_learns_from_labels(spark):
     assert toxicity.score(source, toxicity.train(source, known.limit(0))).where("predicted = 1").count() == 0
 
 
+def test_toxic_words_count_each_for_itself_and_in_every_fold(spark):
+    place = lambda w: int(mix(np.array([xxhash.xxh3_64_intdigest(w.encode())], np.uint64))[0] % np.uint64(1 << 19))
+    own = place("common")
+    met = next(w for w in (f"w{i}" for i in itertools.count()) if place(w) == own)  # meets an ordinary word in 2^19 counters
+    fold = lambda i: zlib.crc32(str(i).encode()) % 4
+    rows, labels = [], []
+    for i, t in enumerate(made_texts(1600, 5)):
+        bad = i % 10 == 0
+        rows.append((i, t + (f" {met} vile" + (" scum" if fold(i) == 3 else "") if bad else " common")))
+        labels.append((i, 1, int(bad)))
+    model = toxicity.train(docs(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    probes = [(i, f"{rows[1][1]} {w}") for i, w in enumerate(["vile", met, "scum", "on"])]
+    vile, other, late, none = (r["score"] for r in toxicity.score(docs(spark, probes), model).orderBy("doc_id").collect())
+    assert other > none + 0.2 and late > none + 0.2 and vile > none + 0.2
+
+
 def test_language_spans_and_unknown(spark):
     rng = random.Random(6)
     stems = {"aa": ["thing", "the", "ough", "wha"], "bb": ["zció", "ñado", "que", "llo"], "cc": ["ждеш", "при", "вет"]}
