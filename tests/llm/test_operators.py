@@ -217,6 +217,19 @@ def test_main_text(spark):
     assert html.main_text(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_hints_of_furniture_never_take_the_whole_page_and_trees_may_be_deep(spark):
+    text = "<h1>Title {i}</h1><p>Long story number {i} about many things that vary from page to page</p>"
+    whole = {
+        "a": "<body class='no-sidebar'><nav>menu</nav>" + text + "</body>",
+        "b": "<body><form action='/'><nav>menu</nav>" + text + "<div class='share'>x</div></form></body>",
+        "c": "<body><div class='banner'>ad</div><main class='with-sidebar'>" + text + "</main><div class='comments'><p>nice one</p></div></body>",
+        "d": "<body>" + "<div>" * 3000 + text + "</div>" * 3000 + "</body>",
+    }
+    rows = [(i, f"http://{h}.org/{i}", t.replace("{i}", str(i))) for h, t in whole.items() for i in range(2)]
+    got = {(r["url"][7], r["page_id"]): r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {(h, i): f"Title {i}\nLong story number {i} about many things that vary from page to page" for h in whole for i in range(2)}
+
+
 # Toxicity and language
 
 
