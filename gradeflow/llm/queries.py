@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeflow.llm import ann, chat, decontaminate, html, language, line_dedup, secrets, sentencepiece_codec, toxicity, weighted_minhash
+from gradeflow.llm import ann, chat, collocations, decontaminate, hard_negatives, html, language, lattice, line_dedup, secrets, sentencepiece_codec, toxicity, weighted_minhash
 from gradeflow.llm.common import held_out
 
 
@@ -66,8 +66,22 @@ def op10_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_minhash.classes(_read(spark, sf_dir, "documents"))
 
 
+def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return lattice.score(docs, lattice.train(docs, public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_read(spark, sf_dir, "embeddings").withColumn("label", label), lambda vec_id: vec_id % 100 == 0)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ann, op2_decontaminate, op3_sentencepiece, op4_chat, op5_html, op6_toxicity, op7_line_dedup, op8_secrets, op9_language, op10_weighted_minhash)
+    f.__name__: f for f in (op1_ann, op2_decontaminate, op3_sentencepiece, op4_chat, op5_html, op6_toxicity, op7_line_dedup, op8_secrets, op9_language, op10_weighted_minhash, op11_lm_score, op12_hard_negatives, op13_collocations)
 } | {"pipeline": corpus_pipeline.run}
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 ORACLE_SQL: dict[str, str] = {
@@ -109,4 +123,25 @@ ORACLE_SQL: dict[str, str] = {
         SELECT l.doc_id, l.line_no, c.first[1] AS class_doc, c.first[2] AS class_line, CAST(c.copies - 1 + coalesce(m.links, 0) AS BIGINT) AS n_links,
             c.first < (l.doc_id, l.line_no) OR coalesce(m.partner < (l.doc_id, l.line_no), false) AS removed
         FROM l JOIN c USING (s) LEFT JOIN m ON m.a = c.id""",
+    "op12_hard_negatives": """
+        WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.id AS anchor, r.id, a.label = r.label AS same, CAST(list_dot_product(a.v, r.v) AS BIGINT) AS score FROM e a JOIN e r ON a.id % 100 = 0 AND a.id <> r.id),
+        p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) AS z FROM s WHERE same) WHERE z <= 5)
+        SELECT * FROM (SELECT p.anchor AS anchor_id, p.id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank,
+            s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+          FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score) WHERE rank <= 10""",
+    "op13_collocations": r"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS p FROM documents),
+        w AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w FROM (SELECT lang, unnest(p) AS piece FROM d)),
+        g AS (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS k))),
+        f AS (SELECT lang, phrase, k, count(*) AS f FROM g GROUP BY ALL),
+        n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+        c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 100),
+        cut AS (SELECT c.lang, c.phrase, c.k AS words, c.f AS a, j, l.f AS l, r.f AS r, CAST(n.n AS HUGEINT) AS n, (1000 * CAST(c.f AS HUGEINT) * CAST(n.n AS HUGEINT)) // (CAST(l.f AS HUGEINT) * r.f) AS score
+            FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c JOIN n USING (lang)
+            JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[:j], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[j + 1:], ' ')),
+        best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS z FROM cut),
+        kept AS (SELECT * FROM best b WHERE z = 1 AND NOT EXISTS (SELECT 1 FROM c x WHERE x.lang = b.lang AND x.f >= b.a AND x.k > b.words AND contains(' ' || x.phrase || ' ', ' ' || b.phrase || ' ')))
+        SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM kept) WHERE rank <= 2000""",
 }
