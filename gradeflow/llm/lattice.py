@@ -21,6 +21,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import exp, log
 
 import numpy as np
 import pyarrow as pa
@@ -75,39 +76,33 @@ def existing_weights(model: bytes) -> dict[bytes, float]:
     return {p: w / total for p, w in found.items()}
 
 
-def _log_sum(terms: list[float]) -> float:
-    if len(terms) == 1:
-        return terms[0]
-    top = max(terms)
-    return top + math.log(sum([math.exp(t - top) for t in terms]))
-
-
 class Lattice:
     """All segmentations of a string into pieces."""
 
     def __init__(self, weights: dict[bytes, float]):
         self.log = {p: math.log(w) for p, w in weights.items() if w > 0}
         self.end = self.log[END]
-        # The lengths of pieces by their last byte: no other substrings are looked up.
-        lengths: dict[int, set[int]] = {}
-        for p in self.log:
-            if p:
-                lengths.setdefault(p[-1], set()).add(len(p))
-        self.lengths = {b: sorted(own) for b, own in lengths.items()}
-
-    def forward(self, text: bytes) -> tuple[list[float], list[list[tuple[int, float]]]]:
-        """Log probability of every beginning of the text, and the pieces that end there as (start, log)."""
-        get, alpha, arcs = self.log.get, [0.0], [[]]
+        # Ends of pieces that are no pieces themselves: 1, which is no log probability.
+        self.known = {p[k:]: 1.0 for p in self.log for k in range(1, len(p))} | self.log
+
+    def forward(self, text: bytes) -> tuple[list[float], list[tuple[list[int], list[float], float]]]:
+        """Log probability of every beginning of the text, and where the pieces that end it start, with their shares and these' sum."""
+        get, alpha, arcs = self.known.get, [0.0], [([], [], 1.0)]
         for end in range(1, len(text) + 1):
-            own = []
-            for size in self.lengths[text[end - 1]]:
-                if size > end:
+            starts, terms, at = [], [], end
+            while at:
+                at -= 1
+                found = get(text[at:end])
+                if found is None:  # no piece ends so, nor does a longer one
                     break
-                found = get(text[end - size : end])
-                if found is not None:
-                    own.append((end - size, found))
-            arcs.append(own)
-            alpha.append(_log_sum([alpha[at] + w for at, w in own]))
+                if found <= 0:
+                    starts.append(at)
+                    terms.append(alpha[at] + found)
+            top = max(terms)
+            shares = [exp(t - top) for t in terms]
+            total = sum(shares)
+            alpha.append(top + log(total))
+            arcs.append((starts, shares, total))
         return alpha, arcs
 
     def marginal(self, word: bytes) -> float:
@@ -120,16 +115,19 @@ class Lattice:
             into[END] = into.get(END, 0.0) + 1
             return
         text = MARK + word
-        alpha, arcs = self.forward(text)
-        share = [0.0] * (len(text) + 1)  # probability that a segmentation passes here
-        share[-1] = 1.0
+        _, arcs = self.forward(text)
+        passed, get = [0.0] * (len(text) + 1), into.get  # probability that a segmentation has a bound here
+        passed[-1] = 1.0
         for end in range(len(text), 0, -1):
-            if share[end] > 1e-12:
-                for at, w in arcs[end]:
-                    passing = share[end] * math.exp(alpha[at] + w - alpha[end])
-                    share[at] += passing
+            here = passed[end]
+            if here > 1e-9:
+                starts, shares, total = arcs[end]
+                here /= total
+                for at, share in zip(starts, shares):
+                    share *= here
+                    passed[at] += share
                     piece = text[at:end]
-                    into[piece] = into.get(piece, 0.0) + passing
+                    into[piece] = get(piece, 0.0) + share
 
 
 def in_training(doc_id: str, parts: int, out: int) -> F.Column:
