@@ -1,7 +1,8 @@
 """Collocations by a multikey quicksort of suffix pointers, cut at a maximum depth.
 
-Every word of a piece starts a suffix of at most ``most_words`` words.  Suffixes are
-counted where they are found, routed by their leading words (a range partitioning, so
+Every word of a piece starts a suffix of at most ``most_words`` words.  Words are counted
+first, then pairs of frequent words: a suffix ends before the first pair that is rare, as no
+frequent phrase holds one.  Suffixes are counted where they are found, routed by their leading words (a range partitioning, so
 that a frequent beginning is spread over several tasks), and sorted in each task by a
 three-way quicksort of pointers, one word at a time.  The pointers equal to a pivot are
 all suffixes with one beginning, so their number is the count of that phrase; a
@@ -23,13 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeflow.llm.common import steps, stored
+from gradeflow.llm.common import mix, steps, stored
 
 LEAST, MOST_WORDS, TOP = 100, 5, 2000
-#: Bits of the mark of words that may be frequent: what tasks are sent has this bound.
-MARK_BITS = 1 << 23
-#: Words a task counts before it hands its counts on, and words whose suffixes it merges.
-_WORDS, _CHUNK = 500_000, 1_000_000
+#: Bits of the marks of words and of pairs that may be frequent: what tasks are sent has this bound.
+MARK_BITS = 1 << 24
+#: Words a task counts before it hands its counts on, and words whose pairs or suffixes it merges.
+_WORDS, _CHUNK = 500_000, 600_000
 #: Distinct suffixes sorted by one task, on average.
 SORTED = 600_000
 #: Copies of each single word's count, so that candidates with one common word meet it in many tasks.
@@ -72,25 +73,78 @@ def word_counts(source: DataFrame) -> DataFrame:
     return counts.groupBy("lang", F.col("word").cast("string").alias("word")).agg(F.sum("n").alias("n"))
 
 
-def _place(lang: str, word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(lang.encode() + b"\0" + word) % MARK_BITS
+def _hashed(lang: str, words: list[bytes]) -> np.ndarray:
+    start = lang.encode() + b"\0"
+    return np.fromiter((xxhash.xxh3_64_intdigest(start + w) for w in words), np.uint64, len(words))
 
 
-def _marks(frequent: DataFrame) -> np.ndarray:
-    """One bit per hash of a frequent word; at most ``MARK_BITS`` whatever the number of words."""
+class Marks:
+    """A bit per hash of what may be frequent; what is frequent always has its bit."""
 
+    def __init__(self, hashes: DataFrame):
+        place = F.col("h").bitwiseAND(MARK_BITS - 1)
+        bits = hashes.groupBy(F.shiftright(place, 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 AS INT)))").alias("bits")).toArrow()
+        self.bits = np.zeros(MARK_BITS // 64, np.uint64)  # rows: MARK_BITS / 64 at most
+        self.bits[bits.column("at").to_numpy()] = bits.column("bits").to_numpy().view(np.uint64)
+
+    def __getitem__(self, hashes: np.ndarray) -> np.ndarray:
+        place = hashes & np.uint64(MARK_BITS - 1)
+        return (self.bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _word_hashes(counts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark = np.zeros(MARK_BITS, bool)
         for batch in batches:
-            mark[[_place(lang, word) for lang, word in zip(batch.column("lang").to_pylist(), batch.column("word").cast(pa.binary()).to_pylist())]] = True
-        bits = np.packbits(mark).view(np.uint64)
-        used = np.flatnonzero(bits)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(bits[used].view(np.int64))], names=["at", "bits"])
+            found = [_hashed(lang, [word]) for lang, word in zip(batch.column("lang").to_pylist(), batch.column("word").cast(pa.binary()).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())], names=["h"])
+
+    return counts.select("lang", "word").mapInArrow(run, "h bigint")
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
+    """Words of one language and their breaks, many texts at once."""
+    waiting: dict[str, list[bytes]] = {}
+    for batch in steps(batches):
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+            own = waiting.setdefault(lang, [])
+            own += pieces(text)
+            own.append(_BREAK)
+            if len(own) > _CHUNK:
+                yield lang, waiting.pop(lang)
+        if sum(map(len, waiting.values())) > 2 * _CHUNK:
+            for lang in list(waiting):
+                yield lang, waiting.pop(lang)
+    yield from waiting.items()
+
+
+class Chunk:
+    """Words as numbers from 1; the numbers' hashes; which words, and pairs of a word and its next, may be frequent."""
+
+    def __init__(self, lang: str, words: list[bytes], mark: Marks):
+        coded = pa.array(words, pa.binary()).dictionary_encode()
+        self.known = coded.dictionary.to_pylist()
+        self.ids = coded.indices.to_numpy().astype(np.int64) + 1
+        self.hashes = np.r_[np.uint64(0), _hashed(lang, self.known)]
+        usual = np.r_[False, mark[self.hashes[1:]] & np.array([w != _BREAK for w in self.known], bool)]
+        self.usual = usual[self.ids]
+        self.usual_pair = np.r_[self.usual[:-1] & self.usual[1:], False]
 
-    rows = frequent.select("lang", "word").mapInArrow(run, "at bigint, bits bigint").groupBy("at").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
-    bits = np.zeros(MARK_BITS // 64, np.uint64)
-    bits[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
-    return np.unpackbits(bits.view(np.uint8)).astype(bool)
+    def pair_hashes(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        return mix(mix(self.hashes[first]) + self.hashes[second])
+
+
+def _pairs(source: DataFrame, mark) -> DataFrame:
+    """(h, n): pairs of words that may be frequent, by 64 bits of their hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, words in _chunks(batches):
+            own = Chunk(lang, words, mark.value)
+            at, wide = np.flatnonzero(own.usual_pair), len(own.known) + 1
+            code, n = np.unique(own.ids[at] * wide + own.ids[np.minimum(at + 1, len(own.ids) - 1)], return_counts=True)
+            if len(code):
+                yield pa.RecordBatch.from_arrays([pa.array(own.pair_hashes(code // wide, code % wide).view(np.int64)), pa.array(n, pa.int64())], names=["h", "n"])
+
+    return source.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def merged(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,42 +160,27 @@ def merged(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return table[order[at]], np.diff(np.r_[at, len(order)])
 
 
-def _suffixes(source: DataFrame, mark, depth: int) -> DataFrame:
-    """(lang, suffix, n): the suffixes of two or more words, each cut before the first word that is surely rare."""
-
-    def told(lang: str, words: list[bytes]) -> Iterator[pa.RecordBatch]:
-        coded = pa.array(words, pa.binary()).dictionary_encode()
-        known = coded.dictionary.to_pylist()
-        usual = np.zeros(len(known) + 1, bool)
-        usual[1:] = mark.value[[_place(lang, w) for w in known]]
-        usual[1:] &= np.array([w != _BREAK for w in known], bool)
-        ids = np.r_[coded.indices.to_numpy() + 1, np.zeros(depth, np.int64)]
-        whole, size = usual[ids], len(words)
-        table, alive = np.zeros((size, depth), np.int64), np.ones(size, bool)
-        for k in range(depth):
-            alive = alive & whole[k : k + size]
-            table[:, k] = np.where(alive, ids[k : k + size], 0)
-        rows, n = merged(table[table[:, 1] > 0])
-        text = pa.array([None, *(w if w != _BREAK else None for w in known)], pa.binary()).cast(pa.string())
-        for at in range(0, len(rows), 50_000):
-            own = rows[at : at + 50_000]
-            joined = pc.binary_join_element_wise(*(text.take(pa.array(c)) for c in own.T), " ", null_handling="skip")
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), joined, pa.array(n[at : at + 50_000], pa.int64())], names=["lang", "suffix", "n"])
+def _suffixes(source: DataFrame, mark, pair_mark, depth: int) -> DataFrame:
+    """(lang, suffix, n): the suffixes of two or more words, each cut before the first pair that is surely rare."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[str, list[bytes]] = {}
-        for batch in steps(batches):
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                own = waiting.setdefault(lang, [])
-                own += pieces(text)
-                own.append(_BREAK)
-                if len(own) > _CHUNK:
-                    yield from told(lang, waiting.pop(lang))
-            if sum(map(len, waiting.values())) > 2 * _CHUNK:
-                for lang in list(waiting):
-                    yield from told(lang, waiting.pop(lang))
-        for lang, own in waiting.items():
-            yield from told(lang, own)
+        for lang, words in _chunks(batches):
+            own, size = Chunk(lang, words, mark.value), len(words)
+            at = np.flatnonzero(own.usual_pair)
+            goes_on = np.zeros(size + depth, bool)
+            goes_on[at] = pair_mark.value[own.pair_hashes(own.ids[at], own.ids[np.minimum(at + 1, size - 1)])]
+            starts, ids = np.flatnonzero(goes_on), np.r_[own.ids, np.zeros(depth, np.int64)].astype(np.int32)
+            table, alive = np.zeros((len(starts), depth), np.int32), np.ones(len(starts), bool)
+            table[:, 0] = ids[starts]
+            for k in range(1, depth):
+                alive &= goes_on[starts + k - 1]
+                table[:, k] = np.where(alive, ids[starts + k], 0)
+            rows, n = merged(table)
+            text = pa.array([None, *(w if w != _BREAK else None for w in own.known)], pa.binary()).cast(pa.string())
+            for lo in range(0, len(rows), 50_000):
+                part = rows[lo : lo + 50_000]
+                joined = pc.binary_join_element_wise(*(text.take(pa.array(c)) for c in part.T), " ", null_handling="skip")
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), joined, pa.array(n[lo : lo + 50_000], pa.int64())], names=["lang", "suffix", "n"])
 
     return source.mapInArrow(run, "lang string, suffix string, n bigint")
 
@@ -182,8 +221,8 @@ def frequent_beginnings(table: np.ndarray, n: np.ndarray, least: int) -> list[tu
     return out
 
 
-def _sorted(suffixes: DataFrame, least: int, depth: int) -> DataFrame:
-    """(lang, phrase, words, f) of all phrases of two or more words that occur ``least`` times."""
+def _sorted(suffixes: DataFrame, rows: int, least: int, depth: int) -> DataFrame:
+    """(lang, phrase, words, f) of all phrases of two or more words that occur ``least`` times; about ``rows`` suffixes are given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given = [b for b in batches if b.num_rows]
@@ -211,7 +250,7 @@ def _sorted(suffixes: DataFrame, least: int, depth: int) -> DataFrame:
             told = [(lang_names[table[r, 0]], " ".join(names[w] for w in table[r, 1:d]), d - 1, c) for r, d, c in found]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*told), (pa.string(), pa.string(), pa.int32(), pa.int64()))], names=["lang", "phrase", "words", "f"])
 
-    parts = max(int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-suffixes.count() // SORTED))
+    parts = max(int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // SORTED))
     routed = suffixes.repartitionByRange(parts, "lang", F.split("suffix", " "))
     counted = routed.mapInArrow(run, "lang string, phrase string, words int, f bigint")
     return counted.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
@@ -226,9 +265,12 @@ def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
         raise ValueError("phrases have two or more words and occur at least once")
     source = _source(docs, text, lang)
     counts = stored(word_counts(source), "word_counts")
-    mark = docs.sparkSession.sparkContext.broadcast(_marks(counts.where(F.col("n") >= least)))
-    suffixes = stored(_suffixes(source, mark, most_words), "suffixes")
-    return stored(_sorted(suffixes, least, most_words), "phrases"), counts
+    send = docs.sparkSession.sparkContext.broadcast
+    mark = send(Marks(_word_hashes(counts.where(F.col("n") >= least))))
+    pairs = stored(_pairs(source, mark).where(F.col("n") >= least), "pairs")
+    pair_mark = send(Marks(pairs.select("h")))
+    starts = pairs.agg(F.sum("n")).first()[0] or 0
+    return stored(_sorted(_suffixes(source, mark, pair_mark, most_words), starts, least, most_words), "phrases"), counts
 
 
 def _split_scores(found: DataFrame, counts: DataFrame, total: DataFrame) -> DataFrame:
