@@ -30,7 +30,7 @@ LEAST, MOST_WORDS, TOP = 100, 5, 2000
 #: Bits of the marks of words and of pairs that may be frequent: what tasks are sent has this bound.
 MARK_BITS = 1 << 24
 #: Words a task counts before it hands its counts on, and words whose pairs or suffixes it merges.
-_WORDS, _CHUNK = 500_000, 600_000
+_WORDS, _CHUNK = 500_000, 3_000_000
 #: Distinct suffixes sorted by one task, on average.
 SORTED = 600_000
 #: Copies of each single word's count, so that candidates with one common word meet it in many tasks.
@@ -101,33 +101,46 @@ def _word_hashes(counts: DataFrame) -> DataFrame:
     return counts.select("lang", "word").mapInArrow(run, "h bigint")
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
+class Coded:
+    """Words of one language as numbers from 1, texts added one after the other."""
+
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+        self.parts: list[np.ndarray] = []
+
+    def add(self, words: list[bytes]) -> None:
+        coded, known = pa.array(words, pa.binary()).dictionary_encode(), self.known
+        place = np.array([known.setdefault(w, len(known) + 1) for w in coded.dictionary.to_pylist()], np.int32)
+        self.parts.append(place[coded.indices.to_numpy()])
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Coded]]:
     """Words of one language and their breaks, many texts at once."""
-    waiting: dict[str, list[bytes]] = {}
+    waiting: dict[str, Coded] = {}
+    held = 0
     for batch in steps(batches):
+        found: dict[str, list[bytes]] = {}
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            own = waiting.setdefault(lang, [])
+            own = found.setdefault(lang, [])
             own += pieces(text)
             own.append(_BREAK)
-            if len(own) > _CHUNK:
-                yield lang, waiting.pop(lang)
-        if sum(map(len, waiting.values())) > 2 * _CHUNK:
-            for lang in list(waiting):
-                yield lang, waiting.pop(lang)
+        for lang, own in found.items():
+            waiting.setdefault(lang, Coded()).add(own)
+            held += len(own)
+        if held > _CHUNK:
+            yield from waiting.items()
+            waiting, held = {}, 0
     yield from waiting.items()
 
 
 class Chunk:
-    """Words as numbers from 1; the numbers' hashes; which words, and pairs of a word and its next, may be frequent."""
+    """Coded words with the hashes of their numbers; which words, and pairs of a word and its next, may be frequent."""
 
-    def __init__(self, lang: str, words: list[bytes], mark: Marks):
-        coded = pa.array(words, pa.binary()).dictionary_encode()
-        self.known = coded.dictionary.to_pylist()
-        self.ids = coded.indices.to_numpy().astype(np.int64) + 1
+    def __init__(self, lang: str, coded: Coded, mark: Marks):
+        self.known, self.ids = list(coded.known), np.concatenate(coded.parts)
         self.hashes = np.r_[np.uint64(0), _hashed(lang, self.known)]
-        usual = np.r_[False, mark[self.hashes[1:]] & np.array([w != _BREAK for w in self.known], bool)]
-        self.usual = usual[self.ids]
-        self.usual_pair = np.r_[self.usual[:-1] & self.usual[1:], False]
+        usual = np.r_[False, mark[self.hashes[1:]] & np.array([w != _BREAK for w in self.known], bool)][self.ids]
+        self.pairs = np.flatnonzero(usual[:-1] & usual[1:])  # where they start
 
     def pair_hashes(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         return mix(mix(self.hashes[first]) + self.hashes[second])
@@ -137,10 +150,10 @@ def _pairs(source: DataFrame, mark) -> DataFrame:
     """(h, n): pairs of words that may be frequent, by 64 bits of their hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, words in _chunks(batches):
-            own = Chunk(lang, words, mark.value)
-            at, wide = np.flatnonzero(own.usual_pair), len(own.known) + 1
-            code, n = np.unique(own.ids[at] * wide + own.ids[np.minimum(at + 1, len(own.ids) - 1)], return_counts=True)
+        for lang, coded in _chunks(batches):
+            own = Chunk(lang, coded, mark.value)
+            wide = len(own.known) + 1
+            code, n = np.unique(own.ids[own.pairs].astype(np.int64) * wide + own.ids[own.pairs + 1], return_counts=True)
             if len(code):
                 yield pa.RecordBatch.from_arrays([pa.array(own.pair_hashes(code // wide, code % wide).view(np.int64)), pa.array(n, pa.int64())], names=["h", "n"])
 
@@ -164,12 +177,11 @@ def _suffixes(source: DataFrame, mark, pair_mark, depth: int) -> DataFrame:
     """(lang, suffix, n): the suffixes of two or more words, each cut before the first pair that is surely rare."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, words in _chunks(batches):
-            own, size = Chunk(lang, words, mark.value), len(words)
-            at = np.flatnonzero(own.usual_pair)
-            goes_on = np.zeros(size + depth, bool)
-            goes_on[at] = pair_mark.value[own.pair_hashes(own.ids[at], own.ids[np.minimum(at + 1, size - 1)])]
-            starts, ids = np.flatnonzero(goes_on), np.r_[own.ids, np.zeros(depth, np.int64)].astype(np.int32)
+        for lang, coded in _chunks(batches):
+            own = Chunk(lang, coded, mark.value)
+            goes_on = np.zeros(len(own.ids) + depth, bool)
+            goes_on[own.pairs] = pair_mark.value[own.pair_hashes(own.ids[own.pairs], own.ids[own.pairs + 1])]
+            starts, ids = np.flatnonzero(goes_on), np.r_[own.ids, np.zeros(depth, np.int32)]
             table, alive = np.zeros((len(starts), depth), np.int32), np.ones(len(starts), bool)
             table[:, 0] = ids[starts]
             for k in range(1, depth):
