@@ -1,61 +1,97 @@
-"""Totals of chunked uploads, kept up to date while chunks arrive."""
+"""Totals of chunked uploads, kept as state per dataset while chunks arrive in any order."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from collections.abc import Iterator
 
-from gradeflow.operators.labelling import upload_totals
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-_NUMBERS = ("total_files", "uploaded_files", "chunks")
+#: Parts that the state of one dataset is spread over, so that no task holds all chunks of a large one.
+PARTS = 8
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PLACE = "at bigint, id string"
+_TOTALS = f"{_PLACE}, total_files bigint, uploaded_files bigint, chunks bigint"
+_OLDEST = (-(2**63), "")
 
 
-def combine_totals(before: DataFrame, batch: DataFrame, started: DataFrame) -> DataFrame:
-    """Totals after a batch: a batch that starts an upload replaces, any other adds.
+class _Uploads(StatefulProcessor):
+    """Per key: the newest start with the totals from there on, and the chunks after it.
 
-    All three hold each dataset once; ``started`` lists datasets with a start in
-    the batch.
+    A chunk older than the newest start never counts again, as starts only get newer; it is
+    dropped.  A start that arrives late and is older than the kept one changes nothing, and a
+    newer one takes over the chunks behind it, which are kept one by one for that.
     """
-    marked = batch.join(started.select("dataset_id", F.lit(True).alias("_started")), "dataset_id", "left")
-    old = before.select("dataset_id", *[F.col(c).alias(f"_{c}") for c in _NUMBERS])
-    kept = F.when(F.col("_started"), 0)
-    return old.join(marked, "dataset_id", "full_outer").select(
-        "dataset_id",
-        *[
-            (F.coalesce(F.col(c), F.lit(0)) + F.coalesce(kept, F.col(f"_{c}"), F.lit(0))).cast("bigint").alias(c)
-            for c in _NUMBERS
-        ],
-    )
-
 
-def _snapshot(checkpoint: str, batch_id: int) -> str:
-    return f"{checkpoint}/totals/snapshot={batch_id}"
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.totals = handle.getValueState("totals", _TOTALS)
+        self.chunks = handle.getListState("chunks", f"{_PLACE}, counted bigint, uploaded bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        kept = self.totals.get() if self.totals.exists() else None
+        begins, sums = ((kept[0], kept[1]), list(kept[2:])) if kept else (_OLDEST, [0, 0, 0])
+        given = [r for part in rows for r in part[["at", "id", "start", "own", "counted", "uploaded"]].itertuples(index=False, name=None)]
+        newest = max([(at, id_) for at, id_, start, *_ in given if start], default=_OLDEST)
+        fresh = [(at, id_, counted, uploaded) for at, id_, _, own, counted, uploaded in given if own and (at, id_) >= max(newest, begins)]
+        if newest > begins:
+            begins = newest
+            fresh += [tuple(c) for c in self.chunks.get() if (c[0], c[1]) >= begins]
+            self.chunks.clear()
+            sums = [0, 0, 0]
+        if fresh:
+            self.chunks.appendList(fresh)
+        for _, _, counted, uploaded in fresh:
+            sums = [sums[0] + counted, sums[1] + uploaded, sums[2] + 1]
+        sums = [int(s) for s in sums]
+        self.totals.update((*begins, *sums))
+        yield pd.DataFrame([(*key, *begins, *sums)], columns=["dataset_id", "part", "at", "id", "total_files", "uploaded_files", "chunks"])
+
+    def close(self) -> None:
+        pass
+
+
+def _placed(chunks: DataFrame, parts: int) -> DataFrame:
+    """Chunks with their place in time and a part; a start goes to every part, and counts in one."""
+    start = F.coalesce(F.col("status_before") != "processing", F.lit(False))
+    counted = F.when(F.col("status_before") == "processing", F.col("announced")).otherwise(F.col("uploaded"))
+    own = F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int")
+    # Ids compare as numbers where they are numbers: digits are padded to one width.
+    place = F.lpad(F.col("chunk_id").cast("string"), 20, "0") if "int" in chunks.schema["chunk_id"].dataType.simpleString() else F.col("chunk_id").cast("string")
+    rows = chunks.select(
+        F.col("dataset_id").cast("string").alias("dataset_id"), F.coalesce(F.unix_micros(F.col("uploaded_at").cast("timestamp")), F.lit(_OLDEST[0])).alias("at"),
+        F.coalesce(place, F.lit("")).alias("id"), start.alias("start"), own.alias("_own"),
+        F.coalesce(counted, F.lit(0)).cast("bigint").alias("counted"), F.coalesce("uploaded", F.lit(0)).cast("bigint").alias("uploaded"),
+    )
+    everywhere = F.when(F.col("start"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array("_own"))
+    return rows.withColumn("part", F.explode(everywhere)).withColumn("own", F.col("part") == F.col("_own")).drop("_own")
 
 
-def upload_totals_stream(chunks: DataFrame, checkpoint: str) -> StreamingQuery:
-    """Keep the totals per dataset, one snapshot per micro-batch, next to the checkpoint they belong to.
+def upload_totals_stream(chunks: DataFrame, checkpoint: str, parts: int = PARTS) -> StreamingQuery:
+    """Keep the totals of every dataset in the state of the stream; nothing else is written.
 
-    Chunks are first aggregated by the batch rule, so a dataset with very many
-    chunks costs a few rows per task; the snapshots hold three numbers per
-    dataset.  A repeated batch starts again from the snapshot before it.
+    Chunks may come in any order and any cut into batches; the totals are those of
+    :func:`~gradeflow.operators.labelling.upload_totals` over all that has arrived.  The
+    state holds the chunks from the newest start on, spread over ``parts`` keys a
+    dataset.  Missing numbers count as 0.  Chunk ids of no whole-number type compare as text.
     """
     spark = chunks.sparkSession
-
-    def one_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()  # used twice below
-        totals = upload_totals(batch)
-        started = batch.filter(F.col("status_before") != "processing").select("dataset_id").distinct()
-        if batch_id > 0:
-            totals = combine_totals(spark.read.parquet(_snapshot(checkpoint, batch_id - 1)), totals, started)
-        totals.write.mode("overwrite").parquet(_snapshot(checkpoint, batch_id))
-        batch.unpersist()
-
-    writer = chunks.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start()
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, ROCKSDB)  # read when the stream starts
+    try:
+        totals = _placed(chunks, parts).groupBy("dataset_id", "part").transformWithStateInPandas(
+            _Uploads(), f"dataset_id string, part int, {_TOTALS}", "Update", "None"
+        )
+        return totals.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(setting, before)
 
 
 def read_totals(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """The latest snapshot."""
-    snapshots = spark.read.parquet(f"{checkpoint}/totals")
-    last = snapshots.agg(F.max("snapshot")).first()[0]
-    return snapshots.filter(F.col("snapshot") == last).drop("snapshot")
+    """The totals of every dataset, read from the state of the last batch."""
+    state = spark.read.format("statestore").option("stateVarName", "totals").load(checkpoint).select("key.dataset_id", "value.*")
+    # Every part has seen every start, but a part may not have had a batch since: it then lags behind the newest.
+    newest = state.groupBy("dataset_id").agg(F.max(F.struct("at", "id")).alias("newest"))
+    live = state.join(newest, "dataset_id").where(F.struct("at", "id") == F.col("newest"))
+    return live.groupBy("dataset_id").agg(*(F.sum(c).alias(c) for c in ("total_files", "uploaded_files", "chunks")))

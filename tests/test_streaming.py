@@ -1,6 +1,7 @@
 """Streams restarted with duplicate, late and repeated input."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import Observation, functions as F
@@ -161,3 +162,28 @@ def test_upload_totals(spark, tmp_path, cuts):
         assert got == plain_totals(STORY[:end])
     batch = upload_totals(spark.createDataFrame(STORY, CHUNKS))
     assert {r["dataset_id"]: (r["total_files"], r["uploaded_files"], r["chunks"]) for r in batch.collect()} == plain_totals(STORY)
+
+
+LATE = [
+    (21, "d", at(60), "processing", 4, 3), (20, "d", at(50), "ready", 9, 8), (5, "d", at(5), "ready", 99, 99), (6, "d", at(6), "processing", 7, 7),
+    (22, "d", at(70), "processing", 2, None), (9, "d", at(50), "failed", 1, 1), (30, "f", at(9), None, 3, 2), (31, "f", at(1), "processing", 1, 1),
+    (40, "g", at(2), "ready", 5, 5), (100, "g", at(2), "processing", 6, 6), (41, "g", at(2), "processing", 1, 1),
+]
+
+
+@pytest.mark.parametrize("cuts", [2, 6])
+def test_uploads_in_any_order(spark, tmp_path, cuts):
+    """A start that is older than the kept one comes late, chunks come before their start, and starts share a time."""
+    rng = random.Random(cuts)
+    for trial in range(2):
+        source, checkpoint = str(tmp_path / f"in{trial}"), str(tmp_path / f"cp{trial}")
+        story = LATE if trial == 0 else rng.sample(LATE, len(LATE))
+        step = -(-len(story) // cuts)
+        for begin in range(0, len(story), step):
+            put(spark, source, story[begin : begin + step], CHUNKS)
+        stream = spark.readStream.schema(CHUNKS).option("maxFilesPerTrigger", 1).parquet(source)
+        su.upload_totals_stream(stream, checkpoint, parts=3).awaitTermination()
+        names = ("dataset_id", "total_files", "uploaded_files", "chunks")
+        want = sorted(tuple(r[n] for n in names) for r in upload_totals(spark.createDataFrame(LATE, CHUNKS)).collect())
+        assert sorted(tuple(r[n] for n in names) for r in su.read_totals(spark, checkpoint).collect()) == want
+        assert not list((tmp_path / f"cp{trial}").glob("totals*"))
