@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import csv
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from gradeflow.operators.annotations import REQUIRED_COLUMNS, missing_columns_error
+from gradeflow.sources.csv_records import read_records
 
 # Texts that mean "no value" in an annotation file.
 NA_STRINGS = (
@@ -21,18 +22,8 @@ class ImportFormatError(ValueError):
     """An import file without its required columns."""
 
 
-def _headers(spark: SparkSession, path: str, encoding: str) -> list[str]:
-    """The different header lines of the files, one per column order in use."""
-    lines = spark.read.csv(path, schema="header string", sep="\x01", quote="", encoding=encoding).select(
-        "header", F.monotonically_increasing_id().alias("_id"),
-        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
-    )
-    first = lines.filter(F.col("_start") == 0).groupBy("_file").agg(F.min_by("header", "_id").alias("header"))
-    return [r["header"] for r in first.select("header").distinct().collect()]
-
-
 def _names(header: str) -> list[str]:
-    return next(csv.reader([header.lstrip("\ufeff")]))
+    return next(csv.reader([header.lstrip("\ufeff")], strict=False), [])
 
 
 def read_import_rows(
@@ -42,50 +33,36 @@ def read_import_rows(
 
     Columns go by the names in each file's own header, so files may order them
     differently; a file without the required ones raises ImportFormatError.
-    Numbers follow the order of the file without sorting it: a row's place in
-    its split plus the rows of the splits before it.  Line breaks inside
-    quotes are admitted, which reads a file in one task; ``multi_line=False``
-    splits large files that are known to have none.  A header is one line.
+    Files are read in parallel splits, line breaks inside quotes included, in
+    the header too (see :func:`~gradeflow.sources.csv_records.read_records`).
     """
-    kinds = [_names(header) for header in _headers(spark, path, encoding)]
+    records, splits = read_records(spark, path, multi_line, encoding)
+    kinds = [_names(r["first"]) for r in splits.filter(F.col("first").isNotNull()).select("first").distinct().collect()]
     for names in kinds:
         problem = missing_columns_error(names)
         if problem:
             raise ImportFormatError(problem)
     width = max(map(len, kinds), default=len(REQUIRED_COLUMNS))
     kept = [c for c in IMPORT_COLUMNS if c in REQUIRED_COLUMNS or any(c in names for names in kinds)]
-    schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(width)])
-    raw = spark.read.csv(
-        path, schema=schema, header=False, multiLine=multi_line, encoding=encoding, quote='"', escape='"', mode="PERMISSIVE",
-    ).select(
-        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_id"),
-    )
-    fields = F.array(*schema.names)
-    # One row per split of a file; its first row is the header of the file.
-    splits = raw.groupBy("_file", "_start").agg(
-        F.count("*").alias("_n"), F.min("_id").alias("_first"), F.min_by(fields, "_id").alias("_header")
-    )
-    whole = Window.partitionBy("_file").orderBy("_start")
-    before = whole.rowsBetween(Window.unboundedPreceding, -1)
-    header = F.transform(F.first("_header").over(whole), lambda name: F.ltrim(name, F.lit("\ufeff")))
-    offsets = splits.select(
-        "_file", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), header.alias("_header")
-    )
+    schema = ", ".join(f"_{i} string" for i in range(width))
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "multiLine": "true"}
+    parsed = lambda c: F.from_csv(F.col(c), schema, options)
+    fields = lambda c: F.array(*(F.col(c)[f"_{i}"] for i in range(width)))
+    rows = records.filter(F.col("record") >= FIRST_ROW).withColumn("_own", parsed("value")).withColumn("_head", parsed("first"))
+    rows = rows.select("file", F.col("record").alias("row_no"), fields("_own").alias("_fields"), fields("_head").alias("_header"))
 
     def named(name: str) -> Column:
-        value = F.try_element_at(fields, F.nullif(F.array_position("_header", name), F.lit(0)).cast("int"))
+        value = F.try_element_at("_fields", F.nullif(F.array_position("_header", name), F.lit(0)).cast("int"))
         return F.when(~value.isin(*NA_STRINGS), value).alias(name)
 
-    row_no = F.col("_before") + F.col("_id") - F.col("_first") + 1
-    placed = raw.join(offsets, ["_file", "_start"]).withColumn("row_no", row_no.cast("bigint"))
-    return placed.filter(F.col("row_no") >= FIRST_ROW).select(F.col("_file").alias("file"), "row_no", *[named(c) for c in kept])
+    return rows.select("file", "row_no", *[named(c) for c in kept])
 
 
 def count_rows(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Records of the file, header excluded, as one row; line breaks inside quotes do not count."""
-    records = spark.read.csv(path, header=True, multiLine=multi_line, quote='"', escape='"')
-    return records.agg(F.count("*").cast("bigint").alias("rows"))
+    """Records of the files, headers excluded, as one row; line breaks inside quotes do not count."""
+    _, splits = read_records(spark, path, multi_line)
+    per_file = splits.groupBy("file").agg(F.sum("records").alias("n"))
+    return per_file.agg(F.coalesce(F.sum(F.greatest(F.col("n") - 1, F.lit(0))), F.lit(0)).cast("bigint").alias("rows"))
 
 
 # Spark's CSV writer would otherwise strip values.

@@ -1,11 +1,13 @@
 """Import, export and progress of annotations."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from gradeflow.operators import annotations as oa
 from gradeflow.schemas import ANSWER
-from gradeflow.sources import label_csv
+from gradeflow.sources import csv_records, label_csv
 
 ROWS = "row_no bigint, image_filename string, annotation_value string"
 MARKS = f"image_id string, answer {ANSWER}, is_skipped boolean, is_flagged boolean, annotator_id string"
@@ -147,6 +149,57 @@ def test_csv_quotes_line_breaks_and_bom(spark, tmp_path):
         label_csv.read_import_rows(spark, str(bad))
 
 
+def plain_records(text):
+    """Records of a text by one automaton over its characters."""
+    out, own, inside, at_start, i = [], [], False, True, 0
+    while i < len(text):
+        c = text[i]
+        if inside:
+            if c == '"' and text[i + 1 : i + 2] == '"':
+                own.append('""')
+                i += 2
+                continue
+            inside = c != '"'
+        elif c == "\n":
+            out.append("".join(own).removesuffix("\r"))
+            own, at_start, i = [], True, i + 1
+            continue
+        elif c == '"' and at_start:
+            inside = True
+        at_start = not inside and c == ","
+        own.append(c)
+        i += 1
+    return [r for r in [*out, "".join(own).removesuffix("\n").removesuffix("\r")] if r]
+
+
+@pytest.mark.parametrize("seed", [1, 5])
+def test_csv_in_many_splits_equals_one_reading(spark, tmp_path, seed):
+    """Quoted breaks, doubled and stray quotes, empty lines, and a header that goes over several splits."""
+    rng = random.Random(seed)
+    bits = ["a", "b c", ",", ",", '"', '""', "\n", "\r\n", '"x\ny"', '"a ""q""\n\nb"', 'in"ch', "ü", "\n\n"]
+    head = 'image_filename,annotation_value,"a long\nname, with ""quotes""\n' + "z\n" * 30 + '"\n'
+    text = head + "".join(rng.choice(bits) for _ in range(1500))
+    (tmp_path / "f.csv").write_bytes(text.encode())
+    (tmp_path / "g.csv").write_bytes(("\ufeff" + "image_filename,annotation_value\r\n" + '"a","1\r\n2"\r\n' * 40).encode())
+    conf = {"spark.sql.files.maxPartitionBytes": "97", "spark.sql.files.openCostInBytes": "1"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for key, setting in conf.items():
+        spark.conf.set(key, setting)
+    try:
+        records, splits = csv_records.read_records(spark, str(tmp_path))
+        got = sorted((r["file"][-5:], r["record"], r["value"]) for r in records.collect())
+        assert splits.count() > 20
+        rows = label_csv.read_import_rows(spark, str(tmp_path / "g.csv")).collect()
+        assert sorted((r["row_no"], r["image_filename"], r["annotation_value"]) for r in rows) == [(i, "a", "1\r\n2") for i in range(2, 42)]
+        assert label_csv.count_rows(spark, str(tmp_path / "g.csv")).first()[0] == 40
+        assert label_csv.read_import_rows(spark, str(tmp_path / "f.csv")).columns == ["file", "row_no", "image_filename", "annotation_value"]
+    finally:
+        for key, setting in old.items():
+            spark.conf.set(key, setting)
+    assert [v for f, _, v in got if f == "f.csv"] == plain_records(text)
+    assert [(n, v) for f, n, v in got if f == "g.csv"] == list(enumerate(["image_filename,annotation_value"] + ['"a","1\r\n2"'] * 40, 1))
+
+
 def test_error_report(spark, tmp_path):
     errors = spark.createDataFrame([(3, 'Invalid "x", sorry')], "row_no bigint, error string")
     label_csv.write_error_report(errors, str(tmp_path / "report"))
