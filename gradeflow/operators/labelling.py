@@ -58,10 +58,15 @@ def take_up(files: DataFrame, images: DataFrame) -> DataFrame:
     known = first.join(taken, keys, "left").select(*keys, "_taken", F.col("_first.full_path").alias("_first_path"))
     marked = files.join(known, keys, "left")
     clash = F.col("_taken").isNotNull() | (F.col("full_path") != F.col("_first_path"))
+    return named_image(marked, clash).drop("_taken", "_first_path")
+
+
+def named_image(files: DataFrame, clash: Column) -> DataFrame:
+    """Image rows of files: original_name, the name with a mark from the path where it is taken, storage_path."""
     name = F.when(clash, clash_name("filename", "full_path")).otherwise(F.col("filename"))
-    return marked.withColumn("original_name", F.col("filename")).withColumn("filename", name).withColumn(
+    return files.withColumn("original_name", F.col("filename")).withColumn("filename", name).withColumn(
         "storage_path", destination_path("project_id", "dataset_id", "filename")
-    ).drop("_taken", "_first_path")
+    )
 
 
 def run_counters(

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import functools
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from gradeflow.functions.answers import parse_answer
+from gradeflow.functions.paths import basename
 from gradeflow.operators.inference import Predictor, Retry, run_inference
-from gradeflow.operators.labelling import high_water_mark, run_counters
+from gradeflow.operators.labelling import high_water_mark, named_image, run_counters
+from gradeflow.streaming.state import rocksdb_state
 
-RESULTS, RUNS, FILES = "results", "runs", "files"
+RESULTS, RUNS, FILES, IMAGES = "results", "runs", "files", "images"
 DEFAULT_INTERVAL = "15 minutes"
-RESULT_KEY = ("job_id", "full_path")
 
 
 def label_batch(
@@ -41,19 +44,96 @@ def label_batch(
     )
 
 
-def _existing(spark: SparkSession, path: str, columns: list[str]) -> DataFrame | None:
+def _existing(spark: SparkSession, path: str) -> DataFrame | None:
     """A table that no batch may have written yet."""
     try:
-        return spark.read.parquet(path).select(*columns)
+        return spark.read.parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def _stream_id(spark: SparkSession, checkpoint: str) -> str | None:
+    """The id Spark gave the stream of this checkpoint, the same after a restart; none before its first start."""
+    metadata = _existing_text(spark, f"{checkpoint}/metadata")
+    return metadata.select(F.get_json_object("value", "$.id")).first()[0] if metadata is not None else None
+
+
+def _existing_text(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.text(path)
     except AnalysisException as problem:
         if problem.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
 
 
-def _stream_id(spark: SparkSession, checkpoint: str) -> str:
-    """The id Spark gave the stream of this checkpoint; it is the same after a restart."""
-    return spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
+class _Known(StatefulProcessor):
+    """Per dataset and file name: whether the name is taken, and which paths of which jobs are known.
+
+    Beside an initial state Spark hands computed columns on without their names, so they go by their place.
+    """
+
+    def __init__(self, names: list[str]):
+        self.names = names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.taken = handle.getValueState("taken", "taken boolean")
+        self.paths = handle.getMapState("paths", "job string, path string", "seen boolean")
+
+    def handleInitialState(self, key, initial: pd.DataFrame, timer_values) -> None:
+        self.taken.update((True,))
+        for _, _, job, path in initial.itertuples(index=False, name=None):
+            if path is not None:
+                self.paths.updateValue((job, path), (True,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        parts = [part for part in rows if len(part)]  # a key of the initial state may have no rows
+        if not parts:
+            return
+        given = pd.concat([part.set_axis(self.names, axis=1) for part in parts], ignore_index=True).sort_values(["time_created", "full_path"], kind="stable")
+        taken, fresh, clash = self.taken.exists(), [], []
+        for place in zip(given["_job"], given["_path"]):
+            new = not self.paths.containsKey(place)
+            if new:
+                self.paths.updateValue(place, (True,))
+            fresh.append(new)
+            clash.append(new and taken)
+            if new and not taken:
+                self.taken.update((True,))
+                taken = True
+        yield given.assign(_fresh=fresh, _clash=clash)
+
+    def close(self) -> None:
+        pass
+
+
+def _keyed(rows: DataFrame, filename: Column) -> DataFrame:
+    """Keys of the state: the dataset (or, without one, the job) and the file name; the place that is known within."""
+    owner = F.col("dataset_id") if "dataset_id" in rows.columns else F.col("job_id")
+    return rows.select(
+        "*", F.coalesce(owner.cast("string"), F.lit("")).alias("_owner"), F.coalesce(filename, F.lit("")).alias("_name"),
+        F.coalesce(F.col("job_id").cast("string"), F.lit("")).alias("_job"), F.coalesce("full_path", F.lit("")).alias("_path"),
+    )
+
+
+def with_known(files: DataFrame, results: DataFrame | None = None, images: DataFrame | None = None) -> DataFrame:
+    """Streamed files with ``_fresh`` (a path new to its job) and ``_clash`` (fresh, but its name is taken).
+
+    What is known is keyed state, so a batch reads no earlier result.  ``results`` (job_id, full_path, the name in
+    ``original_name`` or the path) and ``images`` (dataset_id, filename) are the state that a new checkpoint begins with.
+    """
+    spark, names = files.sparkSession, ["_owner", "_name", "_job", "_path"]
+    known = []
+    if results is not None:
+        known.append(_keyed(results, basename("full_path")).select(*names))
+    if images is not None and "dataset_id" in files.columns:
+        known.append(images.select(F.col("dataset_id").cast("string").alias("_owner"), F.col("filename").alias("_name"), F.lit(None).cast("string").alias("_job"), F.lit(None).cast("string").alias("_path")))
+    rows = _keyed(files, basename("full_path"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("_fresh", T.BooleanType()), T.StructField("_clash", T.BooleanType())])
+    begins = functools.reduce(DataFrame.unionByName, known).groupBy("_owner", "_name") if known else None
+    return rows.groupBy("_owner", "_name").transformWithStateInPandas(_Known(rows.columns), schema, "Append", "None", initialState=begins).drop(*names)
 
 
 def label_stream(
@@ -67,8 +147,9 @@ def label_stream(
     retry: Retry = Retry(),
     every: str | None = None,
     parallel_calls: int | None = None,
+    images: DataFrame | None = None,
 ) -> StreamingQuery:
-    """Label every discovered file once and keep results and run counters under ``sink``.
+    """Label every discovered file once and keep results, image rows and run counters under ``sink``.
 
     ``files`` has job_id, full_path and time_created, one row per listing; repeats
     are left out here, after they were counted and the mark was taken, so the
@@ -76,29 +157,36 @@ def label_stream(
     is there and stops, to be started again by the scheduler at hand.  Each
     micro-batch is one run.  It overwrites its own folder, named by stream and
     batch, so a batch that is repeated after a failure leaves the same rows, and
-    a new checkpoint touches nothing that is there.  Files with a result in
-    another folder are left out by (job, path).
+    a new checkpoint touches nothing that is there.
+
+    Known paths are state of the stream: a batch costs what it brings, however
+    much was labelled before.  A new checkpoint begins with the results that other
+    streams left under ``sink``; one stream at a time writes there.  Where files have
+    dataset_id and project_id, every fresh file becomes an image row as
+    :func:`~gradeflow.operators.labelling.take_up` makes it, under a name that neither ``images``
+    (dataset_id, filename) nor an earlier file of the dataset has; the row is written before its file is labelled.
     """
     spark = files.sparkSession
     question_column, message = F.lit(question), F.lit(system_message).cast("string")
+    takes_up = {"dataset_id", "project_id"} <= set(files.columns)
+    own = _stream_id(spark, checkpoint)
+    results = _existing(spark, f"{sink}/{RESULTS}")
+    if results is not None and own:  # what batch 0 wrote before it failed isn't known to its repetition
+        results = results.filter(~F.col("batch").startswith(f"{own}-"))
 
     def one_run(batch: DataFrame, batch_id: int) -> None:
         # The stream is read once; everything after starts from the table written here.
         name = f"{_stream_id(spark, checkpoint)}-{batch_id}"
         seen = f"{sink}/{FILES}/batch={name}"
         batch.write.mode("overwrite").parquet(seen)
-        discovered = spark.read.schema(batch.schema).parquet(seen)
-        place = F.row_number().over(Window.partitionBy(*RESULT_KEY).orderBy("time_created"))
-        ranked = discovered.withColumn("_repeat", place > 1)
-        fresh = ranked.filter(~F.col("_repeat")).drop("_repeat")
-        known = ranked.filter("_repeat").select("job_id")
-        done = _existing(spark, f"{sink}/{RESULTS}", [*RESULT_KEY, "batch"])
-        if done is not None:
-            earlier = done.filter(F.col("batch") != name).select(*RESULT_KEY)
-            known = known.unionByName(fresh.join(earlier, list(RESULT_KEY), "left_semi").select("job_id"))
-            fresh = fresh.join(earlier, list(RESULT_KEY), "left_anti")
+        marked = spark.read.schema(batch.schema).parquet(seen)
+        discovered, fresh = marked.drop("_fresh", "_clash"), marked.filter("_fresh")
+        known = marked.filter("NOT _fresh").select("job_id")
+        if takes_up:
+            fresh = named_image(fresh.withColumn("filename", basename("full_path")), F.col("_clash"))
+            fresh.drop("_fresh", "_clash").write.mode("overwrite").parquet(f"{sink}/{IMAGES}/batch={name}")
         labelled = label_batch(
-            fresh, question_column, message, question_type, predictor, retry, parallel_calls
+            fresh.drop("_fresh", "_clash"), question_column, message, question_type, predictor, retry, parallel_calls
         )
         target = f"{sink}/{RESULTS}/batch={name}"
         labelled.write.mode("overwrite").parquet(target)
@@ -106,8 +194,9 @@ def label_stream(
         counters = run_counters(discovered, written, written, "job_id", known).join(high_water_mark(discovered), "job_id")
         counters.write.mode("overwrite").parquet(f"{sink}/{RUNS}/batch={name}")
 
-    writer = files.writeStream.foreachBatch(one_run).option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+    with rocksdb_state(spark):
+        writer = with_known(files, results, images).writeStream.foreachBatch(one_run).option("checkpointLocation", checkpoint)
+        return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
 def read_results(spark: SparkSession, sink: str) -> DataFrame:
@@ -116,3 +205,7 @@ def read_results(spark: SparkSession, sink: str) -> DataFrame:
 
 def read_runs(spark: SparkSession, sink: str) -> DataFrame:
     return spark.read.parquet(f"{sink}/{RUNS}")
+
+
+def read_images(spark: SparkSession, sink: str) -> DataFrame:
+    return spark.read.parquet(f"{sink}/{IMAGES}")

@@ -8,9 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from gradeflow.streaming.state import rocksdb_state
+
 #: Parts that the state of one dataset is spread over, so that no task holds all chunks of a large one.
 PARTS = 8
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PLACE = "at bigint, id string"
 _TOTALS = f"{_PLACE}, total_files bigint, uploaded_files bigint, chunks bigint"
 _OLDEST = (-(2**63), "")
@@ -75,17 +76,11 @@ def upload_totals_stream(chunks: DataFrame, checkpoint: str, parts: int = PARTS)
     state holds the chunks from the newest start on, spread over ``parts`` keys a
     dataset.  Missing numbers count as 0.  Chunk ids of no whole-number type compare as text.
     """
-    spark = chunks.sparkSession
-    setting = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, ROCKSDB)  # read when the stream starts
-    try:
+    with rocksdb_state(chunks.sparkSession):
         totals = _placed(chunks, parts).groupBy("dataset_id", "part").transformWithStateInPandas(
             _Uploads(), f"dataset_id string, part int, {_TOTALS}", "Update", "None"
         )
         return totals.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    finally:
-        spark.conf.set(setting, before)
 
 
 def read_totals(spark: SparkSession, checkpoint: str) -> DataFrame:

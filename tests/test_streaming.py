@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Observation, functions as F
 
 from gradeflow.operators.inference import Reply, Retry
-from gradeflow.operators.labelling import scan_files, upload_totals
+from gradeflow.operators.labelling import scan_files, take_up, upload_totals
 from gradeflow.streaming import discover as sd, labelling as sl, progress as sp, uploads as su
 
 START = dt.datetime(2024, 1, 1, 12, 0, 0)
@@ -112,6 +112,44 @@ def test_labelling_runs_are_idempotent(spark, tmp_path):
     assert fourth == second and count == 4
 
 
+def test_take_up_in_the_stream_reads_no_history(spark, tmp_path, monkeypatch):
+    """Image rows equal the batch rule, over batches and a lost checkpoint; a batch reads only its own tables."""
+    source, sink = str(tmp_path / "in"), str(tmp_path / "sink")
+    schema = FILES + ", dataset_id string, project_id string"
+    before = spark.createDataFrame([("d", "x.jpg"), ("e", "y.jpg")], "dataset_id string, filename string")
+    rows = [
+        [(1, "a/x.jpg", at(0), 1, "d", "p"), (1, "b/y.jpg", at(2), 1, "d", "p"), (1, "c/y.jpg", at(1), 1, "d", "p")],
+        [(1, "b/y.jpg", at(9), 1, "d", "p"), (2, "b/y.jpg", at(8), 1, "e", "p"), (3, "z/y.jpg", at(7), 1, "d", "p")],
+        [(3, "z/n.jpg", at(10), 1, "d", "p"), (2, "b/y.jpg", at(12), 1, "e", "p")],
+    ]
+    opened = []
+    whole = type(spark.read).parquet
+    monkeypatch.setattr(type(spark.read), "parquet", lambda self, *paths, **kw: opened.extend(paths) or whole(self, *paths, **kw))
+
+    def run(checkpoint):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        listing = scan_files(stream.withColumn("full_path", F.concat(F.lit("gs://b/"), F.col("object_name"))))
+        sl.label_stream(listing, "A dog?", "binary", model, sink, str(tmp_path / checkpoint), retry=Retry(max_attempts=1), images=before).awaitTermination()
+        return sorted((r["dataset_id"], r["full_path"], r["filename"], r["original_name"], r["storage_path"]) for r in whole(spark.read, f"{sink}/images").collect())
+
+    for part in rows[:2]:
+        put(spark, source, part, schema)
+    run("cp")
+    put(spark, source, rows[2], schema)
+    got = run("cp")
+    every = spark.createDataFrame([r for part in rows for r in part], schema).withColumn("full_path", F.concat(F.lit("gs://b/"), F.col("object_name")))
+    first = every.groupBy("job_id", "dataset_id", "project_id", "full_path").agg(F.min("time_created").alias("time_created"))
+    # The batch rule names by time over the whole listing, the stream batch by batch: here both have one order.
+    want = take_up(first.withColumn("filename", F.substring_index("full_path", "/", -1)), before)
+    assert got == sorted((r["dataset_id"], r["full_path"], r["filename"], r["original_name"], r["storage_path"]) for r in want.collect())
+    assert sl.read_results(spark, sink).count() == len(got) == 6
+    per_batch = [p for p in opened if "/batch=" in p]
+    batches = spark.read.parquet(f"{sink}/runs").select("batch").distinct().count()
+    assert batches == 3 and all(f"{sink}/{kind}/batch=" in p for p in per_batch for kind in [p.split("/")[-2]])
+    assert len(per_batch) == 2 * batches and len({p.split("batch=")[1] for p in per_batch}) == batches
+    assert run("lost") == got and sl.read_results(spark, sink).count() == 6
+
+
 def test_live_counters(spark, tmp_path):
     schema = "evaluation_id string, error string, is_correct boolean, latency_ms bigint"
     source = str(tmp_path / "in")
