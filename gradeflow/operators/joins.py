@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from gradeflow.session import freeze
+
 # So many of the most frequent keys are split: a list of fixed length at every size.
 SPLIT_KEYS = 256
 SALTS = 64
@@ -68,14 +71,59 @@ def delete_cascade(
 ) -> dict[str, DataFrame]:
     """Remove parents by key and, level by level, the rows that belong to them.
 
-    ``children`` lists (name, table, foreign key, own key) from the top down; a
-    child names its parent table through its position: each level belongs to
-    the one before it.  Returns the tables that remain, "parents" included.
+    ``children`` lists (name, table, foreign key, own key) from the top down; each belongs to the
+    one before it.  Several children of one parent, or references that go round, are
+    for :func:`cascade`.  Returns the tables that remain, "parents" included.
+    """
+    tables = {"parents": (parents, key)} | {name: (table, own) for name, table, _, own in children}
+    links = [(name, foreign, parent) for (name, _, foreign, _), parent in zip(children, tables)]
+    return cascade(tables, links, {"parents": doomed.select(key)})
+
+
+def cascade(
+    tables: Mapping[str, tuple[DataFrame, str]], references: Sequence[tuple[str, str, str]], doomed: Mapping[str, DataFrame]
+) -> dict[str, DataFrame]:
+    """Remove rows and all that refers to them, over any graph of foreign keys.
+
+    ``tables`` gives each table with its key column, ``references`` lists (child, foreign key, parent); a table
+    may have several children and several parents, refer to itself, or be part of a cycle.  ``doomed``
+    holds the keys to remove first, one column per table.  A NULL reference refers to nothing.  Tables go in the
+    order of the graph, with plain joins; only those on a cycle are repeated, until a
+    round finds no further row, and each round is a written table.
     """
-    gone = doomed.select(key).distinct()
-    out = {"parents": parents.join(gone, key, "left_anti")}
-    for name, table, foreign, own in children:
-        gone = gone.toDF(foreign)
-        out[name] = table.join(gone, foreign, "left_anti")
-        gone = table.join(gone, foreign, "left_semi").select(own)
-    return out
+    below = {name: {child for child, _, parent in references if parent == name} for name in tables}
+    for _ in tables:  # all that can be reached
+        below = {name: found.union(*(below[child] for child in found)) for name, found in below.items()}
+
+    def following(name: str, gone: Mapping[str, DataFrame]) -> list[DataFrame]:
+        """Keys of the rows of a table that refer to rows that are gone."""
+        table, key = tables[name]
+        return [
+            table.join(gone[parent].select(F.col("_key").alias(foreign)), foreign, "left_semi").select(F.col(key).alias("_key"))
+            for child, foreign, parent in references if child == name and parent in gone
+        ]
+
+    def together(parts: list[DataFrame]) -> DataFrame:
+        return functools.reduce(DataFrame.unionByName, parts).filter(F.col("_key").isNotNull()).distinct()
+
+    gone: dict[str, DataFrame] = {}
+    left = dict.fromkeys(tables)
+    while left:
+        # A table that no other one left stands above, and those on a cycle with it.
+        name = next(n for n in left if all(n not in below[m] or m in below[n] for m in left if m != n))
+        cycle = [n for n in left if n == name or (n in below[name] and name in below[n])]
+        begin = {n: ([doomed[n].toDF("_key")] if n in doomed else []) + following(n, gone) for n in cycle}
+        found = {n: together(parts) for n, parts in begin.items() if parts}
+        if found and name in below[name]:
+            found = {n: freeze(keys, "doomed") for n, keys in found.items()}
+            newest = found
+            while newest:
+                more = {n: following(n, newest) for n in cycle}
+                more = {n: together(parts) for n, parts in more.items() if parts}
+                more = {n: freeze(keys.join(found[n], "_key", "left_anti") if n in found else keys, "doomed") for n, keys in more.items()}
+                newest = {n: keys for n, keys in more.items() if not keys.isEmpty()}
+                found |= {n: found[n].unionByName(keys) if n in found else keys for n, keys in newest.items()}
+        gone |= found
+        for n in cycle:
+            del left[n]
+    return {n: table.join(gone[n].withColumnRenamed("_key", key), key, "left_anti") if n in gone else table for n, (table, key) in tables.items()}

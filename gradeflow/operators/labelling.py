@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gradeflow.functions.paths import SCAN_EXTENSIONS, clash_name, destination_path, is_scannable
 from gradeflow.functions.text import as_col
 from gradeflow.operators.joins import first_by, salted_lookup
+from gradeflow.operators.ordering import running_index
 
 OVERLAP = "INTERVAL 1 MINUTE"
 
@@ -31,9 +32,9 @@ def scan_files(
     return found
 
 
-def by_arrival(found: DataFrame) -> DataFrame:
-    """Found files in the order they came, oldest first."""
-    return found.orderBy("time_created", "full_path")
+def by_arrival(found: DataFrame, tie: str = "full_path") -> DataFrame:
+    """Found files with their ``position`` in the order they came, oldest first from 1; ``tie`` tells equal times apart."""
+    return running_index(found.withColumn("_scan", F.lit(0)), ["_scan"], ["time_created", tie]).drop("_scan")
 
 
 def new_paths_only(found: DataFrame, known_paths: DataFrame) -> DataFrame:

@@ -69,11 +69,11 @@ def take_up_files(t: Tables) -> DataFrame:
 
 @query(
     with_views("files")
-    + f"""SELECT file_id, object_name FROM files WHERE {_SCANNED}"""
+    + f"""SELECT file_id, object_name, row_number() OVER (ORDER BY time_created, file_id) AS position FROM files WHERE {_SCANNED}"""
 )
 def scan_oldest(t: Tables) -> DataFrame:
-    """All files after the mark, in the order they came."""
-    return labelling.by_arrival(_found(t)).select("file_id", "object_name")
+    """All files after the mark, with their place in the order they came."""
+    return labelling.by_arrival(_found(t), "file_id").select("file_id", "object_name", "position")
 
 
 _RUNS = """, per_run AS (

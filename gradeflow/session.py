@@ -33,6 +33,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra:
     return builder.getOrCreate()
 
 
+#: Temporary folder of each local application without a configured one.
+_LOCAL: dict[str, str] = {}
+
+
 def durable_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
@@ -44,9 +48,10 @@ def durable_dir(spark: SparkSession) -> str:
         return configured
     if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):  # local-cluster has executors of its own
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="gradeflow-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL:
+        _LOCAL[application] = tempfile.mkdtemp(prefix="gradeflow-")
+    return _LOCAL[application]
 
 
 def new_work_path(spark: SparkSession, name: str) -> str:

@@ -8,7 +8,7 @@ CATALOGUE = (
     "id string, provider string, model_name string, display_name string, description string, endpoint string,"
     " auth_type string, temperature double, max_tokens int, pricing_config struct<mode: string, input_price_per_1m: decimal(12,6),"
     " output_price_per_1m: decimal(12,6), image_price_mode: string, image_price_val: decimal(12,6),"
-    " image_token_calc: string, discount_percent: decimal(5,2)>"
+    " image_token_calc: string, discount_percent: decimal(5,2)>, _corrupt_record string"
 )
 CONFIGS = (
     "id string, name string, provider string, model_name string, api_key string, auth_type string,"
@@ -19,29 +19,36 @@ CONFIGS = (
 
 
 class CatalogueFormatError(ValueError):
-    """A catalogue whose root is no list of objects."""
+    """A file that is no JSON list of objects."""
+
+
+def _read_list(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Objects of JSON lists with their ``position``; a file with another root, or a broken one, is rejected whole."""
+    first = F.substring(F.ltrim("value", F.lit(" \t\r\n\ufeff")), 1, 1)
+    if not spark.read.text(path, wholetext=True).filter(first != "[").isEmpty():
+        raise CatalogueFormatError("JSON root must be a list of model objects")
+    items = spark.read.json(path, schema=schema, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
+    broken = items.select("id", "_corrupt_record").filter(F.col("_corrupt_record").isNotNull()).first()
+    if broken:
+        raise CatalogueFormatError(f"Invalid JSON: {broken['_corrupt_record'][:200]}")
+    return items.drop("_corrupt_record").withColumn("position", F.monotonically_increasing_id())
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     """Models of a catalogue file, a JSON list of objects; absent fields are NULL.
 
     ``position`` is the place in the list.  A catalogue is a small file and is
-    read as one.
+    read as one; a broken one, or one that is no list, raises CatalogueFormatError.
     """
-    models = spark.read.json(path, schema=CATALOGUE, multiLine=True)
-    return models.withColumn("position", F.monotonically_increasing_id()).withColumn("pricing", F.struct(*[
+    return _read_list(spark, path, CATALOGUE).withColumn("pricing", F.struct(*[
         F.col(f"pricing_config.{c}").alias(c)
         for c in ("input_price_per_1m", "output_price_per_1m", "image_price_mode", "image_price_val", "discount_percent")
     ]))
 
 
 def read_model_configs(spark: SparkSession, path: str) -> DataFrame:
-    """Items of a configuration export, ready for the import, with their ``position``."""
-    first = F.substring(F.ltrim("value", F.lit(" \t\r\n\ufeff")), 1, 1)
-    if spark.read.text(path, wholetext=True).filter(first != "[").limit(1).count():
-        raise CatalogueFormatError("JSON root must be a list of model objects")
-    items = spark.read.json(path, schema=CONFIGS, multiLine=True).drop("_corrupt_record")
-    return items.withColumn("position", F.monotonically_increasing_id()).withColumnsRenamed({"id": "model_config_id", "pricing_config": "pricing"})
+    """Items of a configuration export, ready for the import, with their ``position``; broken files raise CatalogueFormatError."""
+    return _read_list(spark, path, CONFIGS).withColumnsRenamed({"id": "model_config_id", "pricing_config": "pricing"})
 
 
 def write_model_configs(configs: DataFrame, path: str) -> None:

@@ -71,6 +71,14 @@ def test_config_import_and_export(spark, tmp_path):
         sc.read_model_configs(spark, write(tmp_path / "bad.json", {"a": 1}))
 
 
+@pytest.mark.parametrize("text", ['[{"id":"a","name":"n"}, {"id":', '[{"id":"a"}, {"id" "b"}]', '{"id":"a"}', "3", "nothing", "[{\"id\": \"a\"}"])
+@pytest.mark.parametrize("read", [sc.read_catalogue, sc.read_model_configs])
+def test_broken_files_are_rejected(spark, tmp_path, text, read):
+    (tmp_path / "x.json").write_text(text)
+    with pytest.raises(sc.CatalogueFormatError):
+        read(spark, str(tmp_path / "x.json"))
+
+
 def test_evaluation_list_and_stale_runs(spark):
     day = dt.datetime(2024, 1, 1)
     runs = spark.createDataFrame(

@@ -63,6 +63,34 @@ def test_merge_and_cascade(spark):
     assert [r["run"] for r in left["runs"].collect()] == [20] and [r["row"] for r in left["rows"].collect()] == [200]
 
 
+def test_cascade_over_siblings_cycles_and_self_references(spark):
+    jobs = spark.createDataFrame([(1,), (2,)], "job int")
+    runs = spark.createDataFrame([(10, 1), (11, 1), (20, 2)], "run int, job int")
+    results = spark.createDataFrame([(100, 1, 20), (101, 2, 10), (102, 2, 20), (103, None, None)], "result int, job int, run int")
+    tables = {"results": (results, "result"), "jobs": (jobs, "job"), "runs": (runs, "run")}
+    links = [("runs", "job", "jobs"), ("results", "job", "jobs"), ("results", "run", "runs")]
+    left = joins.cascade(tables, links, {"jobs": jobs.filter("job = 1")})
+    assert [sorted(r[0] for r in left[n].collect()) for n in ("jobs", "runs", "results")] == [[2], [20], [102, 103]]
+    assert list(left) == list(tables) and left["results"].columns[:1] == ["result"]
+
+    # A folder refers to its parent, and to a note that refers to a folder.
+    rng = random.Random(4)
+    folders = [(i, rng.randrange(i) if i and i % 7 else None, rng.choice([None, rng.randrange(40)])) for i in range(60)]
+    notes = [(i, rng.randrange(60)) for i in range(40)]
+    given = {"folders": (spark.createDataFrame(folders, "id int, parent int, note int"), "id"), "notes": (spark.createDataFrame(notes, "id int, folder int"), "id")}
+    graph = [("folders", "parent", "folders"), ("folders", "note", "notes"), ("notes", "folder", "folders")]
+    for seed in (3, 50):
+        gone = {("folders", seed)}
+        while True:
+            more = {("folders", i) for i, p, n in folders if ("folders", p) in gone or ("notes", n) in gone} | {("notes", i) for i, f in notes if ("folders", f) in gone}
+            if more <= gone:
+                break
+            gone |= more
+        left = joins.cascade(given, graph, {"folders": spark.createDataFrame([(seed,)], "k int")})
+        assert {r["id"] for r in left["folders"].collect()} == {i for i, _, _ in folders if ("folders", i) not in gone}
+        assert {r["id"] for r in left["notes"].collect()} == {i for i, _ in notes if ("notes", i) not in gone}
+
+
 def test_running_index_over_partitions(spark):
     rng = random.Random(1)
     rows = [(rng.choice(["hot", "hot", "a", "b"]), rng.randrange(100), i) for i in range(2000)]
