@@ -131,12 +131,12 @@ class Codec:
         self.source_width = np.array([1 if b else len(p.piece.encode()) - 2 * p.piece.count(MARK) for b, p in zip(byte, proto.pieces)], np.int64)
 
     def units(self, text: str) -> list[str]:
-        """Units of a text: a word after its blank, or (with a line break first) after a line break."""
+        """Units of a text: a word after its blank; a line break and the word after it; or, with a mark first, a blank before a line break."""
         if not text:
             return []
         if self.by_line and "  " not in text and MARK not in text and text[0] != " ":
             return text.replace("\n", " \n").split(" ")
-        return [u[1:].replace(MARK, " ") for u in self.split(MARK + text.replace(" ", MARK))]
+        return [u if u[1:2] == "\n" else u[1:].replace(MARK, " ") for u in self.split(MARK + text.replace(" ", MARK))]
 
     def _learn(self, new: set[str]) -> None:
         """Encode units not met before, in one call of the library."""
@@ -144,8 +144,8 @@ class Codec:
             self.known.clear()
         new = list(new)
         blank = np.array([self.lib.piece_to_id(MARK)], np.int32).tobytes()
-        for unit, ids in zip(new, self.lib.encode(new, num_threads=1)):
-            if unit[:1] == "\n" and self.by_line:
+        for unit, ids in zip(new, self.lib.encode([u[1:] if u[:1] == MARK else u for u in new], num_threads=1)):
+            if unit[:1] == "\n" and self.by_line:  # no blank before it
                 ids = ids[len(self.after_break) - 1 :]
             self.known[unit] = array("i", ids).tobytes() if unit else blank
 

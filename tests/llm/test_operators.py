@@ -157,6 +157,15 @@ def test_encoding_is_the_library_s(spark):
         assert all(b >= a for a, b in zip(r["ends"], r["starts"][1:]))
 
 
+def test_ids_of_blanks_breaks_and_marks_are_the_library_s():
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    lib, rng = sentencepiece.SentencePieceProcessor(model_proto=model), random.Random(8)
+    bits = ["a", "b", "the", "ing", " ", "  ", "   ", "\n", "\n\n", "\t", "▁", "é", "日本", "\x00", "\r\n", ".", "<0x0A>", "<s>", "</s>"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 14))) for _ in range(10_000)] + ["a  b \nc", " \n", "▁\n", "\n \n", "x \n\ny  z"]
+    assert [ids.tolist() for ids in sentencepiece_codec.Codec(model).encode(texts)] == lib.encode(texts)
+
+
 def test_character_map_takes_the_longest_prefix():
     # A double array for the single rule "ab" -> "x" beside "a" -> "yy".
     class Fixed(sentencepiece_codec.Normalizer):
