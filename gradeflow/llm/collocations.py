@@ -29,7 +29,7 @@ from gradeflow.llm.common import mix, steps, stored
 LEAST, MOST_WORDS, TOP = 100, 5, 2000
 #: Bits of the marks of words and of pairs that may be frequent: what tasks are sent has this bound.
 MARK_BITS = 1 << 24
-#: Words a task counts before it hands its counts on, and words whose pairs or suffixes it merges.
+#: Words a task counts before it hands its counts on, and words whose pairs it merges or whose suffixes it cuts at once.
 _WORDS, _CHUNK = 500_000, 3_000_000
 #: Distinct suffixes sorted by one task, on average.
 SORTED = 600_000
@@ -160,19 +160,6 @@ def _pairs(source: DataFrame, mark) -> DataFrame:
     return source.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def merged(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows of a table of small numbers, and how often each is there."""
-    wide = int(table.max()) + 1 if table.size else 1
-    keys = [table[:, k].astype(np.int64) * wide + (table[:, k + 1] if k + 1 < table.shape[1] else 0) for k in range(0, table.shape[1], 2)]
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for key in keys:
-        new[1:] |= key[order[1:]] != key[order[:-1]]
-    at = np.flatnonzero(new)
-    return table[order[at]], np.diff(np.r_[at, len(order)])
-
-
 def _suffixes(source: DataFrame, mark, pair_mark, depth: int) -> DataFrame:
     """(lang, suffix, n): the suffixes of two or more words, each cut before the first pair that is surely rare."""
 
@@ -187,14 +174,14 @@ def _suffixes(source: DataFrame, mark, pair_mark, depth: int) -> DataFrame:
             for k in range(1, depth):
                 alive &= goes_on[starts + k - 1]
                 table[:, k] = np.where(alive, ids[starts + k], 0)
-            rows, n = merged(table)
             text = pa.array([None, *(w if w != _BREAK else None for w in own.known)], pa.binary()).cast(pa.string())
-            for lo in range(0, len(rows), 50_000):
-                part = rows[lo : lo + 50_000]
+            for lo in range(0, len(table), 50_000):
+                part = table[lo : lo + 50_000]
                 joined = pc.binary_join_element_wise(*(text.take(pa.array(c)) for c in part.T), " ", null_handling="skip")
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), joined, pa.array(n[lo : lo + 50_000], pa.int64())], names=["lang", "suffix", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), joined], names=["lang", "suffix"])
 
-    return source.mapInArrow(run, "lang string, suffix string, n bigint")
+    # Counted in the tasks first; sampling and routing read these counts, so texts are cut once.
+    return source.mapInArrow(run, "lang string, suffix string").groupBy("lang", "suffix").agg(F.count("*").alias("n"))
 
 
 def frequent_beginnings(table: np.ndarray, n: np.ndarray, least: int) -> list[tuple[int, int, int]]:

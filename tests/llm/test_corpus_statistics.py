@@ -61,9 +61,8 @@ def test_beginnings_split_over_tasks_sum_to_the_counts():
         table = rng.integers(1, 4, (200, 5))
         for row in table:
             row[rng.integers(2, 6) :] = 0
-        rows, n = collocations.merged(table)
-        order = np.lexsort(rows.T[::-1])
-        rows, n, least = rows[order], n[order], int(rng.integers(1, 12))
+        rows, n = np.unique(table, axis=0, return_counts=True)
+        least = int(rng.integers(1, 12))
         cuts = np.sort(rng.integers(0, len(rows) + 1, rng.integers(0, 4)))
         found = collections.Counter()
         for own, times in zip(np.split(rows, cuts), np.split(n, cuts)):
@@ -263,13 +262,6 @@ def test_scores_without_training_texts(spark, tmp_path):
     assert lattice.score(empty, lattice.train(empty, str(path))).collect() == []
 
 
-def test_merged_counts_rows():
-    table = np.array([[1, 2, 0], [1, 2, 0], [3, 0, 0], [1, 2, 1]])
-    rows, n = collocations.merged(table)
-    assert dict(zip(map(tuple, rows.tolist()), n.tolist())) == {(1, 2, 0): 2, (3, 0, 0): 1, (1, 2, 1): 1}
-    assert [len(x) for x in collocations.merged(np.zeros((0, 5), np.int64))] == [0, 0]
-
-
 def test_whole_numbers_round_down():
     column = pa.chunked_array([pa.array([[0.0, -0.001, 0.0039, 0.00391]], pa.list_(pa.float64()))])
     assert hard_negatives._whole(column).tolist() == [[0.0, -1.0, 0.0, 1.0]]
