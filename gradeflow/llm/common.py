@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -105,4 +105,5 @@ def sieved(rows: DataFrame, key, ids: DataFrame, buckets: int = 1 << 20) -> Data
     return rows.withColumn("_bucket", hashed_bucket(key, buckets)).join(F.broadcast(used), "_bucket", "left_semi").drop("_bucket")
 
 
-HAS_LETTER = re.compile(r"[^\W\d_]")
+#: Letters by their category: other numerals are none.
+HAS_LETTER = regex.compile(r"\p{L}")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as spec
 
 from gradeflow.llm import ann, chat, decontaminate, html, language, line_dedup, secrets, sentencepiece_codec, toxicity, weighted_minhash
-from gradeflow.llm.common import mix
+from gradeflow.llm.common import HAS_LETTER, mix
 from gradeflow.llm.graph import components
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -157,6 +157,10 @@ def test_encoding_is_the_library_s(spark):
         assert all(b >= a for a, b in zip(r["ends"], r["starts"][1:]))
 
 
+def test_numerals_are_no_letters():
+    assert not any(map(HAS_LETTER.search, ["", "²", "½ 12", "Ⅷ", "१", "_", "!? \n"])) and all(map(HAS_LETTER.search, ["a²", "日", "é", "1st"]))
+
+
 def test_ids_of_blanks_breaks_and_marks_are_the_library_s():
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
         model = f.read()
