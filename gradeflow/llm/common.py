@@ -16,6 +16,8 @@ from gradeflow.session import new_work_path
 
 #: Bytes of text handled at once inside a task; one longer document is a step of its own.
 STEP_BYTES = 4 << 20
+#: The same for work that keeps many numbers per word.
+SMALL_STEP_BYTES = 1 << 20
 
 _KEEP = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
 _FOLD = bytes((b | 0x20 if 0x41 <= b <= 0x5A else b) if b in _KEEP or 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -37,13 +39,13 @@ def as_bytes(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key), F.col(text).cast("string").cast("binary").alias("text"))
 
 
-def steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches, cut where their texts pass ``STEP_BYTES``, so that a task's memory has a bound."""
+def steps(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches, cut where their texts pass ``most`` bytes, so that a task's memory has a bound."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = np.diff(np.frombuffer(batch.column(column).buffers()[1], np.int32)[batch.column(column).offset :][: batch.num_rows + 1]) if batch.column(column).type in (pa.binary(), pa.string()) else np.full(batch.num_rows, 1024)
-        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // STEP_BYTES)) + 1
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1
         for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
             yield batch.slice(lo, hi - lo)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeflow.llm.common import HAS_LETTER, as_bytes, held_out, steps, words
+from gradeflow.llm.common import HAS_LETTER, SMALL_STEP_BYTES, as_bytes, held_out, steps, words
 
 UNKNOWN = "und"
 ORDERS = (2, 3, 4)
@@ -28,7 +28,8 @@ BUCKETS = 1 << 16
 TRAINING_DOCS = 6000
 SWITCH = 16.0
 OUT_OF_SCRIPT = -25.0
-REMEMBERED = 400_000
+#: Words whose scores a task remembers, and their bytes, at most (the words of one step come on top).
+REMEMBERED, REMEMBERED_BYTES = 200_000, 8 << 20
 
 # First code points of script ranges and their scripts ("" for no letters of a script).
 _RANGES = (
@@ -204,16 +205,23 @@ def _labeller(model: Model, key: str, switch: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
-        table = np.zeros((0, len(langs)), np.float32)
-        for batch in steps(batches):
+        held = 0
+        table = np.zeros((1024, len(langs)), np.float32)
+        for batch in steps(batches, most=SMALL_STEP_BYTES):
             texts = batch.column("text").to_pylist()
             found = [words(t) for t in texts]
             new = {w for own in found for w in own if w not in known}
-            if len(known) + len(new) > REMEMBERED:
-                known, table, new = {}, table[:0], {w for own in found for w in own}
+            size = sum(map(len, new))
+            if known and (len(known) + len(new) > REMEMBERED or held + size > REMEMBERED_BYTES):
+                known, held, new = {}, 0, {w for own in found for w in own}
+                size = sum(map(len, new))
             if new and langs:
-                known.update(zip(new, range(len(known), len(known) + len(new))))
-                table = np.concatenate([table, model.score(list(new))])
+                first, last = len(known), len(known) + len(new)
+                if last > len(table):  # doubled, so that words are seldom copied
+                    table = np.concatenate([table[:first], np.zeros((2 * last - first, len(langs)), np.float32)])
+                table[first:last] = model.score(list(new))
+                known.update(zip(new, range(first, last)))
+                held += size
             rows = []
             for t, own in zip(texts, found):
                 whole = (t or b"").decode()

@@ -12,6 +12,7 @@ documents of different components that still meet in a band are all compared the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeflow.llm.common import Hashes, as_bytes, mix, sieved, steps, stored, words
+from gradeflow.llm.common import SMALL_STEP_BYTES, Hashes, as_bytes, mix, sieved, steps, stored, words
 from gradeflow.llm.graph import components
 
 SHINGLE = 5
@@ -33,6 +34,8 @@ RARITY = 0.1
 #: Documents of one band that meet in one cell; more are spread over pairs of blocks.
 BLOCK = 256
 _PLACES = 1 << 16
+#: Words whose hashes a task remembers at most.
+_REMEMBERED = 100_000
 #: What :func:`words` finds a word in.
 HAS_WORD = "[0-9A-Za-z]|[^\\x00-\\x7F]"
 
@@ -108,12 +111,18 @@ class Sampler:
         return out
 
 
+@cache
+def _sampler() -> Sampler:
+    """The variables of sampling, drawn once per Python worker."""
+    return Sampler()
+
+
 def _frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """Counters of document frequency over all documents, and the number of documents with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts, n = Hashes(), np.zeros(COUNTERS + 1, np.int64), 0
-        for batch in steps(batches):
+        hashes, counts = Hashes(_REMEMBERED), np.zeros(COUNTERS + 1, np.int64)
+        for batch in steps(batches, most=SMALL_STEP_BYTES):
             owner, code, _, _ = shingles(batch.column("text").to_pylist(), hashes)
             counts[:COUNTERS] += np.bincount((code % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
             counts[COUNTERS] += len(np.unique(owner))
@@ -130,8 +139,8 @@ def _signatures(docs: DataFrame, weights: Weights) -> DataFrame:
     """Per document: digest of its word sequence, total weight and band keys (none without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sampler = Hashes(), Sampler()
-        for batch in steps(batches):
+        hashes, sampler = Hashes(_REMEMBERED), _sampler()
+        for batch in steps(batches, most=SMALL_STEP_BYTES):
             owner, code, times, found = shingles(batch.column("text").to_pylist(), hashes)
             weight = weights(code, times)
             starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
@@ -171,7 +180,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, weights: Weights, threshold: fl
     joined = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
+        hashes = Hashes(_REMEMBERED)
         last, left = None, None
 
         def weighed(text: bytes) -> tuple:
@@ -207,7 +216,7 @@ def _across(placed: DataFrame, reps: DataFrame, docs: DataFrame, weights: Weight
     rows = rows.join(known.withColumnRenamed("id", "rep"), "rep").select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "root", "bands", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
+        hashes = Hashes(_REMEMBERED)
         cell, members, found = None, [], []
         for batch in batches:
             for row in zip(*(batch.column(c) for c in ("band", "low", "high", "own", "rep", "root", "bands", "text"))):

@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -434,3 +435,19 @@ def test_query_matches_sql(spark, name):
 
     sf_dir = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
     assert difference(queries.QUERIES[name](spark, sf_dir), connect(sf_dir), queries.ORACLE_SQL[name]) is None
+
+
+def test_forgotten_words_change_no_language(monkeypatch):
+    rng = np.random.default_rng(3)
+    model = language.Model(["de", "en"], -rng.random((len(language.ORDERS) * language.BUCKETS, 2)).astype(np.float32), np.ones((len(language.SCRIPTS), 2), bool))
+    texts = [b" ".join(b"w%d" % w for w in rng.integers(0, 3000, size)) for size in rng.integers(0, 200, 60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(texts, pa.binary())], names=["doc_id", "text"])
+
+    def labelled():
+        return [b.to_pydict() for b in language._labeller(model, "doc_id", 1.0)(iter([batch.slice(i, 7) for i in range(0, 60, 7)]))]
+
+    whole = labelled()
+    monkeypatch.setattr(language, "REMEMBERED", 50)
+    assert labelled() == whole
+    monkeypatch.setattr(language, "REMEMBERED_BYTES", 1)
+    assert labelled() == whole
