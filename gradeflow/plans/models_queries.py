@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from gradeflow.operators import annotations as oa, imaging, inference as inf, similarity as sim
+from gradeflow.operators import annotations as oa, evaluation, imaging, inference as inf, similarity as sim
 from gradeflow.plans.annotations_queries import _IMPORT_SQL, _UPSERT_SQL, _import, _truth_answers, _upserted
 from gradeflow.plans.catalog_queries import write_json_lists
 from gradeflow.plans.registry import query
 from gradeflow.plans.tables import Tables, with_views
+from gradeflow.schemas import ANSWER
 from gradeflow.session import new_work_path
 from gradeflow.sources import catalogue as sc, label_csv
 
@@ -60,6 +61,57 @@ def inference_chain(t: Tables) -> DataFrame:
     )
 
 
+def judging_model():
+    """An offline model by rule: step one names the length, step two judges it."""
+
+    def answer(requests):
+        replies = []
+        for request in requests:
+            size = int(request["n_chars"])
+            if request["prompt"].startswith("Describe"):
+                replies.append(ValueError("refused") if size % 11 == 0 else inf.Reply("long" if size > 1000 else "short", size, 2, 10))
+            elif size % 19 == 0:
+                replies.append(inf.ModelError("rate limited", 429))
+            elif size % 5 == 0:
+                replies.append(inf.Reply("unsure", 7, 3, 20))
+            else:
+                replies.append(inf.Reply("Yes, it is" if request["prompt"] == "Is long right?" else "No.", 7, 3, 20))
+        return replies
+
+    return answer
+
+
+@query("""
+SELECT *, CASE WHEN error IS NULL THEN coalesce(answered = truth, false) END AS is_correct
+FROM (SELECT doc_id AS image_id,
+        CASE WHEN n_chars % 11 = 0 THEN 'refused' WHEN n_chars % 19 = 0 THEN 'rate limited' END AS error,
+        CASE WHEN n_chars % 11 = 0 THEN 0 WHEN n_chars % 19 = 0 THEN 1 ELSE 2 END AS steps,
+        CASE WHEN n_chars % 11 = 0 OR n_chars % 19 = 0 OR n_chars % 5 = 0 THEN NULL ELSE n_chars > 1000 END AS answered,
+        quality = 1 AS truth
+      FROM documents JOIN labels USING (doc_id) WHERE n_chars >= 300) AS t""")
+def evaluation_run(t: Tables) -> DataFrame:
+    """A whole run: a third of the images first, then all of them, which asks for the others only."""
+    images = t.given("documents").selectExpr(
+        "doc_id AS image_id", "n_chars", "'binary' AS question_type",
+        "IF(n_chars < 300, 'failed', 'completed') AS processing_status",
+    )
+    truth = F.struct(F.expr("quality = 1 AS value_bool"), F.lit(None).alias("value_count"), F.lit(None).alias("value_str"))
+    truths = t.given("labels").select(F.col("doc_id").alias("image_id"), truth.cast(ANSWER).alias("ground_truth"))
+    log, retry = new_work_path(t.spark, "answers"), inf.Retry(max_attempts=2, sleep=lambda seconds: None)
+
+    def run(config: dict | None) -> DataFrame:
+        return evaluation.evaluate_run(
+            images, truths, _CHAIN, judging_model, ["n_chars"], log, "judging", config,
+            retry=retry, parallel_calls=8, at_risk=5000,
+        )
+
+    run({"mode": "random_percent", "percent": 33})
+    return run(None).select(
+        "image_id", "error", F.size("steps").alias("steps"), F.col("parsed.value_bool").alias("answered"),
+        F.col("ground_truth.value_bool").alias("truth"), "is_correct",
+    )
+
+
 def _providers():
     def upper(requests):
         return [inf.Reply(r["role"].upper()) for r in requests]
