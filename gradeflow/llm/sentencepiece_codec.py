@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as spec
 
-from gradeflow.llm.common import steps
+from gradeflow.llm.common import SMALL_STEP_BYTES, steps
 
 MARK = "▁"
 MARK_BYTES = MARK.encode()
 #: Units remembered by a task; the memory is emptied when full.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 
 
 class Normalizer:
@@ -210,7 +210,7 @@ def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
-        for batch in steps(batches):
+        for batch in steps(batches, most=SMALL_STEP_BYTES):
             rows = []
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for t, ids in zip(texts, own.encode(texts)):
