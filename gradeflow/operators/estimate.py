@@ -6,12 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gradeflow.functions.cost import estimate_cost, image_tokens, text_tokens
+from gradeflow.functions.cost import estimate_cost, image_tokens, rough_estimate, text_tokens
 from gradeflow.functions.text import as_col
 from gradeflow.operators.joins import first_by
 
 SAMPLE_SIZE = 5
 EXPECTED_OUTPUT_TOKENS = 100
+# Fixed value: the answer for a model without prices.
+NO_PRICING = "No pricing configuration available for this model"
 
 
 def chain_input_text(chain: Column | str, system_message: Column, question: Column) -> Column:
@@ -69,3 +71,38 @@ def estimate_against_actual(estimates: DataFrame, summaries: DataFrame, by: Sequ
     return estimates.join(actual, list(by), "left").withColumn(
         "difference", F.round(F.col("actual_cost") - F.col("estimated_cost"), 4)
     )
+
+
+def selected_counts(runs: DataFrame, images: DataFrame) -> DataFrame:
+    """Runs with ``image_count``, the images their selection takes.
+
+    ``runs`` has dataset_id, mode, limit and image_ids.  A manual choice counts
+    the ids it lists, a random one its limit but no more than the dataset holds;
+    anything else, or a choice without its list or limit, takes the whole dataset.
+    """
+    sizes = images.groupBy("dataset_id").agg(F.count("*").cast("bigint").alias("_held"))
+    held = F.coalesce("_held", F.lit(0).cast("bigint"))
+    chosen = (
+        F.when((F.col("mode") == "manual") & F.col("image_ids").isNotNull(), F.size("image_ids").cast("bigint"))
+        .when((F.col("mode") == "random") & F.col("limit").isNotNull(), F.least(F.col("limit").cast("bigint"), held))
+        .otherwise(held)
+    )
+    return runs.join(sizes, "dataset_id", "left").withColumn("image_count", chosen).drop("_held")
+
+
+def selection_estimates(runs: DataFrame, images: DataFrame) -> DataFrame:
+    """The fixed-size estimate of every run over the images it selects.
+
+    A run whose model has no ``pricing`` costs 0 for 0 images and says why in ``fault``.
+    """
+    counted = selected_counts(runs, images)
+    priced = F.col("pricing").isNotNull()
+    guess = rough_estimate("pricing", F.col("image_count"))
+    zero = F.lit(0)
+    return counted.withColumn("_guess", guess).select(
+        *runs.columns,
+        F.when(priced, F.col("image_count")).otherwise(zero).cast("bigint").alias("image_count"),
+        F.when(priced, F.col("_guess.estimated_cost")).otherwise(zero).alias("estimated_cost"),
+        F.when(priced, F.col("_guess.avg_cost_per_image")).otherwise(zero).alias("avg_cost_per_image"),
+        F.when(~priced, F.lit(NO_PRICING)).alias("fault"),
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gradeflow.functions.paths import SCAN_EXTENSIONS, clash_name, destination_path, is_scannable
 from gradeflow.functions.text import as_col
 from gradeflow.operators.joins import first_by, salted_lookup
-from gradeflow.operators.ordering import running_index
+from gradeflow.operators.ordering import page, running_index
 
 OVERLAP = "INTERVAL 1 MINUTE"
 
@@ -123,6 +123,40 @@ def duration_seconds(started: Column | str, completed: Column | str) -> Column:
     return F.timestamp_diff("SECOND", as_col(started), as_col(completed)).cast("bigint")
 
 
+def labelling_jobs(
+    jobs: DataFrame, datasets: DataFrame, results: DataFrame, images: DataFrame, project_id=None, time: str = "created_at"
+) -> DataFrame:
+    """Jobs with dataset name and the thumbnail of their latest result that has an image, newest first.
+
+    A result without an image is passed over; a job without any, or without a
+    dataset, keeps its row.  The latest result is an aggregate: a job with a third
+    of all results sends one row per task, and only these rows look their image up.
+    """
+    if project_id is not None:
+        jobs = jobs.filter(F.col("project_id") == project_id)
+    latest = results.filter(F.col("image_id").isNotNull()).groupBy("job_id").agg(
+        F.max(F.struct(time, "result_id", "image_id")).alias("_latest")
+    ).select("job_id", F.col("_latest.image_id").alias("latest_image_id"))
+    shown = jobs.select("job_id").join(latest, "job_id").join(
+        images.select(F.col("image_id").alias("latest_image_id"), "thumbnail"), "latest_image_id", "left"
+    )
+    named = jobs.join(datasets.select("dataset_id", F.col("name").alias("dataset_name")), "dataset_id", "left")
+    return named.join(shown, "job_id", "left").orderBy(F.col(time).desc(), "job_id")
+
+
+def runs_page(runs: DataFrame, job_id, skip: int = 0, limit: int = 50) -> DataFrame:
+    """Runs of one job with their length, newest first; filtered at the scan."""
+    mine = runs.filter(F.col("job_id") == job_id)
+    timed = mine.withColumn("duration_seconds", duration_seconds("started_at", "completed_at"))
+    return page(timed, [F.col("started_at").desc(), F.col("run_id")], skip, limit)
+
+
+def results_of(results: DataFrame, job_id, run_id=None) -> DataFrame:
+    """Results of one job, or of one of its runs; conditions reach the scan."""
+    mine = results.filter(F.col("job_id") == job_id)
+    return mine if run_id is None else mine.filter(F.col("run_id") == run_id)
+
+
 def upload_totals(chunks: DataFrame, by: str = "dataset_id", order: str = "uploaded_at", tie: str = "chunk_id") -> DataFrame:
     """Files announced and uploaded in the current upload of each dataset.
 

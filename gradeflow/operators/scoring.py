@@ -17,6 +17,9 @@ from gradeflow.operators.joins import first_by
 
 FAILURE_THRESHOLD_PERCENT = 50  # a run fails above this, not at it
 SHOWN_ERRORS = 3
+# Size of a quantile sketch (its rank error is 1 %) and the percentiles reported.
+SKETCH_K = 400
+PERCENTS = (5, 25, 50, 75, 95)
 
 
 def score(results: DataFrame, strict: bool = False) -> DataFrame:
@@ -173,31 +176,35 @@ def _usage(prompt: Column, completion: Column, cost: Column) -> list[Column]:
     ]
 
 
+def _first_errors(failed: DataFrame, by: Sequence[str], shown: int) -> DataFrame:
+    """The first ``shown`` messages per run as ``_head``."""
+    message = F.concat(F.lit("Image "), F.col("filename"), F.lit(": "), F.col("error")).alias("_message")
+    head = first_by(failed.select(*by, "image_id", message), by, ["image_id"], keep=shown)
+    return head.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("image_id", "_message"))).alias("_head"))
+
+
+def _joined_errors(count: Column, shown: int) -> Column:
+    text, more = F.array_join(F.col("_head._message"), "; "), count - shown
+    return F.when(
+        more > 0, F.concat(text, F.lit(" (and "), more.cast("string"), F.lit(" more errors)"))
+    ).otherwise(text)
+
+
 def first_errors(results: DataFrame, by: Sequence[str] = ("evaluation_id",), shown: int = SHOWN_ERRORS) -> DataFrame:
     """First error messages per run, joined by "; ", with the number left out."""
     by = list(by)
-    failed = results.filter(F.col("error").isNotNull()).select(
-        *by, "image_id", F.concat(F.lit("Image "), F.col("filename"), F.lit(": "), F.col("error")).alias("_message")
-    )
+    failed = results.filter(F.col("error").isNotNull())
     counts = failed.groupBy(*by).agg(F.count("*").cast("bigint").alias("error_count"))
-    head = (
-        first_by(failed, by, ["image_id"], keep=shown)
-        .groupBy(*by)
-        .agg(F.array_sort(F.collect_list(F.struct("image_id", "_message"))).alias("_head"))
-    )
-    more = F.col("error_count") - shown
-    text = F.array_join(F.col("_head._message"), "; ")
-    return counts.join(head, by).select(
-        *by,
-        "error_count",
-        F.when(
-            more > 0, F.concat(text, F.lit(" (and "), more.cast("string"), F.lit(" more errors)"))
-        ).otherwise(text).alias("errors"),
+    return counts.join(_first_errors(failed, by, shown), by).select(
+        *by, "error_count", _joined_errors(F.col("error_count"), shown).alias("errors")
     )
 
 
-def failure_messages(results: DataFrame, by: Sequence[str] = ("evaluation_id",)) -> DataFrame:
-    """Message of every run that failed: rate, counts and its first errors."""
+def failure_messages(results: DataFrame, by: Sequence[str] = ("evaluation_id",), shown: int = SHOWN_ERRORS) -> DataFrame:
+    """Message of every run that failed: rate, counts and its first errors.
+
+    Two readings of the results: one counts, one cuts every task's failures of a run to ``shown``.
+    """
     by = list(by)
     counts = results.groupBy(*by).agg(
         F.count("*").cast("bigint").alias("total"), F.count_if(F.col("error").isNotNull()).alias("failed")
@@ -207,9 +214,10 @@ def failure_messages(results: DataFrame, by: Sequence[str] = ("evaluation_id",))
     message = F.concat(
         F.lit("Evaluation failed: "), rate, F.lit("% of predictions failed ("),
         F.col("failed").cast("string"), F.lit("/"), F.col("total").cast("string"),
-        F.lit("). Errors: "), F.col("errors"),
+        F.lit("). Errors: "), _joined_errors(F.col("failed"), shown),
     )
-    return failed.join(first_errors(results, by), by).select(*by, "failed", "total", message.alias("error_message"))
+    heads = _first_errors(results.filter(F.col("error").isNotNull()), by, shown)
+    return failed.join(heads, by).select(*by, "failed", "total", message.alias("error_message"))
 
 
 def run_summary(summary: DataFrame, by: Sequence[str] = ("evaluation_id",)) -> DataFrame:
@@ -307,3 +315,69 @@ def confidence_histogram(results: DataFrame, confidence: str, bins: int = 10, by
         F.count_if(F.col("is_correct")).alias("correct"),
     )
     return counts.withColumn("accuracy_percent", percent_2dp("correct", "total"))
+
+
+def confidence_sketches(results: DataFrame, confidence: str, by: Sequence[str] = (), k: int = SKETCH_K) -> DataFrame:
+    """A KLL quantile sketch of the confidence per group, as ``sketch``; rows without one are left out.
+
+    A sketch has a bounded size whatever the group's, is built in every task
+    before the shuffle, and can be stored and merged later.
+    """
+    rows = results.filter(F.col(confidence).isNotNull() & ~F.isnan(F.col(confidence).cast("double")))
+    return rows.groupBy(*by).agg(
+        F.kll_sketch_agg_double(F.col(confidence).cast("double"), F.lit(k)).alias("sketch"), F.count("*").cast("bigint").alias("total")
+    )
+
+
+def percentiles(sketches: DataFrame, percents: Sequence[int] = PERCENTS, by: Sequence[str] = ()) -> DataFrame:
+    """Percentiles out of stored sketches, merged per ``by``: one row per group and percent.
+
+    A value's rank lies within :func:`sketch_rank_error` of the one asked for
+    (99 % of the time); up to about ``k`` values a group's percentiles are exact.
+    """
+    merged = sketches.groupBy(*by).agg(
+        F.kll_merge_agg_double("sketch").alias("sketch"), F.sum("total").cast("bigint").alias("total")
+    ).filter(F.col("total") > 0)
+    each = merged.withColumn("percent", F.explode(F.array(*[F.lit(p) for p in percents])))
+    # The rank is a literal, as the function asks for one.
+    value = F.coalesce(*[F.when(F.col("percent") == p, F.kll_sketch_get_quantile_double("sketch", F.lit(p / 100))) for p in percents])
+    return each.select(*by, "total", "percent", value.alias("value"))
+
+
+def sketch_rank_error(k: int = SKETCH_K) -> float:
+    """Rank error of one quantile at 99 % confidence, as a share of the rows (published fit for KLL sketches)."""
+    return 2.296 / k**0.9021
+
+
+def paired_outcomes(results: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Two runs over the same images, such as zero-shot against few-shot, compared image by image.
+
+    ``pairs`` has first_id and second_id; ``results`` has evaluation_id, image_id and
+    is_correct.  Only images that both runs answered count (a repeated image counts as
+    right if any of its answers is).  Returns counts, both accuracies in percent, their
+    difference, and McNemar's statistic with continuity correction, NULL where the runs
+    never differ; above 3.84 the difference is significant at 5 %.  Runs meet by
+    (pair, image), so a run with a third of all rows is spread by its images.
+    """
+    pair = F.struct("first_id", "second_id")
+    sides = pairs.select("first_id", "second_id").distinct().select(
+        pair.alias("_pair"), F.inline(F.array(*[F.struct(F.col(c).alias("evaluation_id"), F.lit(i).alias("_side")) for i, c in enumerate(("first_id", "second_id"))]))
+    )
+    answered = results.filter(F.col("is_correct").isNotNull()).select("evaluation_id", "image_id", "is_correct")
+    side = lambda i: F.max(F.when(F.col("_side") == i, F.col("is_correct")))
+    met = answered.join(sides, "evaluation_id").groupBy("_pair", "image_id").agg(side(0).alias("_a"), side(1).alias("_b"))
+    a, b = F.col("_a"), F.col("_b")
+    count = lambda c: F.count_if(c).cast("bigint")
+    counts = met.filter(a.isNotNull() & b.isNotNull()).groupBy("_pair").agg(
+        F.count("*").cast("bigint").alias("paired"), count(a & b).alias("both_right"), count(a & ~b).alias("only_first"),
+        count(~a & b).alias("only_second"), count(~a & ~b).alias("both_wrong"),
+    )
+    apart = F.col("only_first") + F.col("only_second")
+    off = F.greatest(F.abs(F.col("only_first") - F.col("only_second")) - 1, F.lit(0))
+    return counts.select(
+        F.col("_pair.first_id").alias("first_id"), F.col("_pair.second_id").alias("second_id"),
+        "paired", "both_right", "only_first", "only_second", "both_wrong",
+        percent_2dp(F.col("both_right") + F.col("only_first"), F.col("paired")).alias("first_percent"),
+        percent_2dp(F.col("both_right") + F.col("only_second"), F.col("paired")).alias("second_percent"),
+        F.try_divide((off * off).cast("double"), apart.cast("double")).alias("statistic"),
+    )

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from gradeflow.functions.paths import basename
-from gradeflow.operators import labelling, progress
+from gradeflow.operators import labelling, paging, progress
 from gradeflow.operators.catalog import latest_result_per_job
 from gradeflow.operators.inference import Reply, Retry
 from gradeflow.operators.joins import first_by
@@ -158,6 +158,66 @@ def job_result_page(t: Tables) -> DataFrame:
     return page(mine, [F.col("time_created").desc(), F.col("file_id")], 0, 50).select("file_id", "object_name")
 
 
+_JOBS = """, jobs AS (SELECT c_custkey AS job_id, CASE WHEN c_custkey % 5 <> 0 THEN 'd' || CAST(c_nationkey AS VARCHAR) END AS dataset_id, c_nationkey AS project_id FROM customer),
+latest AS (SELECT job_id, object_name AS image_id FROM files WHERE event_type <> 'error'
+  QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY time_created DESC, file_id DESC) = 1)
+SELECT jobs.job_id, n_name AS dataset_name, latest.image_id AS latest_image_id, CASE WHEN latest.image_id LIKE '%.jpg' THEN md5(latest.image_id) END AS thumbnail
+FROM jobs LEFT JOIN latest USING (job_id) LEFT JOIN nation ON 'd' || CAST(n_nationkey AS VARCHAR) = jobs.dataset_id"""
+
+
+@query(with_views("files") + _JOBS)
+def job_list(t: Tables) -> DataFrame:
+    """Jobs with dataset name and the thumbnail of their latest result that has an image; failed ones have none."""
+    jobs = t.given("customer").selectExpr(
+        "c_custkey AS job_id", "CASE WHEN c_custkey % 5 <> 0 THEN 'd' || c_nationkey END AS dataset_id", "c_nationkey AS project_id", "c_acctbal AS created_at",
+    )
+    datasets = t.given("nation").selectExpr("'d' || n_nationkey AS dataset_id", "n_name AS name")
+    results = t.view("files").selectExpr(
+        "job_id", "file_id AS result_id", "time_created AS created_at", "CASE WHEN event_type <> 'error' THEN object_name END AS image_id"
+    )
+    images = t.view("files").filter("object_name LIKE '%.jpg'").select(
+        F.col("object_name").alias("image_id"), F.md5("object_name").alias("thumbnail")
+    ).distinct()
+    return labelling.labelling_jobs(jobs, datasets, results, images).select("job_id", "dataset_name", "latest_image_id", "thumbnail")
+
+
+@query(
+    with_views("files")
+    + """SELECT date_trunc('day', time_created)::VARCHAR AS run_id, CAST(floor(epoch(max(time_created)) - epoch(min(time_created))) AS BIGINT) AS duration_seconds
+FROM files WHERE job_id = 7 GROUP BY 1 ORDER BY min(time_created) DESC, 1 LIMIT 5 OFFSET 2"""
+)
+def job_runs_page(t: Tables) -> DataFrame:
+    """A page of the runs of one job, newest first."""
+    day = F.date_trunc("day", "time_created").cast("timestamp_ntz").cast("string").alias("run_id")
+    runs = t.view("files").groupBy("job_id", day).agg(F.min("time_created").alias("started_at"), F.max("time_created").alias("completed_at"))
+    return labelling.runs_page(runs, 7, skip=2, limit=5).select("run_id", "duration_seconds")
+
+
+@query(with_views("files") + "SELECT file_id, object_name FROM files WHERE job_id = 7 AND date_trunc('day', time_created) = TIMESTAMP '2024-01-15'")
+def run_results(t: Tables) -> DataFrame:
+    """Results of one run of one job."""
+    rows = t.view("files").withColumn("run_id", F.to_date("time_created"))
+    return labelling.results_of(rows, 7, F.lit("2024-01-15").cast("date")).select("file_id", "object_name")
+
+
+@query(
+    with_views("files")
+    + """SELECT job_id, file_id, object_name, place FROM (
+  SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY time_created DESC, file_id) AS place FROM files WHERE job_id IN (7, 8)) AS f
+WHERE place BETWEEN 6 AND 30 AND job_id = 7 OR place BETWEEN 11 AND 15 AND job_id = 8"""
+)
+def job_result_pages(t: Tables) -> DataFrame:
+    """Pages far in, of two jobs, out of results that were written in order once."""
+    path = new_work_path(t.spark, "pages")
+    files = t.view("files").select("job_id", "time_created", "file_id", "object_name")
+    paging.write_pages(files, path, ["job_id"], [F.col("time_created").desc(), "file_id"], slice_rows=5_000)
+    pages = [paging.read_page(t.spark, path, skip, limit, {"job_id": job}) for job, skip, limit in ((7, 5, 25), (8, 10, 5))]
+    back = pages[0].unionByName(pages[1])
+    order = Window.partitionBy("job_id").orderBy(F.col("time_created").desc(), "file_id")
+    place = F.row_number().over(order) + F.when(F.col("job_id") == 7, 5).otherwise(10)  # at most 30 rows
+    return back.select("job_id", "file_id", "object_name", place.cast("bigint").alias("place"))
+
+
 # --- progress --------------------------------------------------------------
 
 _LOG = """, logged AS (

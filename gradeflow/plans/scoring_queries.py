@@ -8,7 +8,7 @@ from gradeflow.functions import answers as fa, cost as fc
 from gradeflow.operators import estimate, scoring
 from gradeflow.operators.ordering import page
 from gradeflow.plans.registry import query
-from gradeflow.plans.tables import Tables, with_views
+from gradeflow.plans.tables import MODELS, Tables, with_views
 from gradeflow.schemas import ANSWER, PRICING, STEPS
 from gradeflow.session import new_work_path
 from gradeflow.sources.label_csv import write_results
@@ -556,3 +556,72 @@ def confidence_histogram(t: Tables) -> DataFrame:
     """Results and accuracy per tenth of the confidence score."""
     rows = scored(t).withColumn("score", F.col("confidence") / 100.0)
     return scoring.confidence_histogram(rows, "score", 10, ["evaluation_id"])
+
+
+@query(
+    with_views("answers")
+    + """SELECT evaluation_id, count(*) AS total, unnest([5, 25, 50, 75, 95]) AS percent, TRUE AS within_error FROM answers GROUP BY evaluation_id"""
+)
+def confidence_percentiles(t: Tables) -> DataFrame:
+    """Percentiles of the confidence per run out of sketches merged from those per image source, each held against the exact ranks."""
+    rows = results(t).select("evaluation_id", "dataset_id", (F.col("confidence") / 100.0).alias("score"))
+    sketches = scoring.confidence_sketches(rows, "score", ["evaluation_id", "dataset_id"])
+    found = scoring.percentiles(sketches, by=["evaluation_id"])
+    asked = F.col("percent") / 100
+    ranks = rows.join(found, "evaluation_id").groupBy("evaluation_id", "total", "percent").agg(
+        (F.count_if(F.col("score") < F.col("value")) / F.col("total")).alias("below"),
+        (F.count_if(F.col("score") <= F.col("value")) / F.col("total")).alias("upto"),
+    )
+    # Several sketches were merged and many values are compared: twice the error of one.
+    error = F.lit(2 * scoring.sketch_rank_error())
+    within = (F.col("below") - error <= asked) & (asked <= F.col("upto") + error)
+    return ranks.select("evaluation_id", "total", "percent", within.alias("within_error"))
+
+
+@query(
+    with_views("answers") + PARSED_SQL
+    + f""", met AS (SELECT a.evaluation_id AS first_id, b.evaluation_id AS second_id, a.is_correct AS x, b.is_correct AS y
+  FROM judged AS a JOIN judged AS b ON a.image_id = b.image_id AND a.project_id = b.project_id AND a.idx = 0 AND b.idx > 0
+  WHERE a.is_correct IS NOT NULL AND b.is_correct IS NOT NULL),
+counted AS (SELECT first_id, second_id, count(*) AS paired, count(*) FILTER (x AND y) AS both_right, count(*) FILTER (x AND NOT y) AS only_first,
+  count(*) FILTER (NOT x AND y) AS only_second, count(*) FILTER (NOT x AND NOT y) AS both_wrong FROM met GROUP BY ALL)
+SELECT *, {percent_sql("both_right + only_first", "paired")} AS first_percent, {percent_sql("both_right + only_second", "paired")} AS second_percent,
+  CASE WHEN only_first + only_second > 0 THEN CAST(greatest(abs(only_first - only_second) - 1, 0) ** 2 AS DOUBLE) / CAST(only_first + only_second AS DOUBLE) END AS statistic
+FROM counted"""
+)
+def paired_runs(t: Tables) -> DataFrame:
+    """Every run against the run of the first model over the same images, as zero-shot against few-shot is compared."""
+    rows = scored(t).select("evaluation_id", "image_id", "is_correct")
+    projects = t.view("images").select("project_id").distinct()
+    pairs = t.per_model(projects).filter("idx > 0").select(
+        F.concat(F.lit(f"{MODELS[0][0]}@"), "project_id").alias("first_id"), F.concat_ws("@", "model_id", "project_id").alias("second_id")
+    )
+    return scoring.paired_outcomes(rows, pairs)
+
+
+_CHOICES = (
+    "CASE idx WHEN 0 THEN NULL WHEN 1 THEN 'manual' WHEN 2 THEN 'random' WHEN 3 THEN 'random' WHEN 4 THEN 'manual' ELSE 'all' END AS mode",
+    "CASE idx WHEN 2 THEN 5 WHEN 3 THEN 1000000 END AS {limit}",
+)
+
+
+@query(
+    with_views("images", "models")
+    + f""", chosen AS (SELECT dataset_id, model_id, idx, count(*) AS n, in_price, out_price, image_val, discount FROM images CROSS JOIN models GROUP BY ALL),
+counted AS (SELECT *, CASE idx WHEN 1 THEN 7 WHEN 2 THEN least(5, n) ELSE n END AS taken,
+    ((1000 * CAST(in_price * 1000000 AS HUGEINT) + 200 * CAST(out_price * 1000000 AS HUGEINT) + CAST(coalesce(image_val, 0) * 1000000 AS HUGEINT))
+      * (100 - CAST(discount AS HUGEINT)) * 2 + 100) // 200 AS units FROM chosen)
+SELECT dataset_id, model_id, CASE WHEN idx = 5 THEN 0 ELSE taken END AS image_count,
+  CASE WHEN idx = 5 THEN 0 ELSE (units * taken + 500000) // 1000000 END / CAST(1000000 AS DOUBLE) AS estimated_cost,
+  CASE WHEN idx = 5 THEN 'No pricing configuration available for this model' END AS fault FROM counted"""
+)
+def selection_estimates(t: Tables) -> DataFrame:
+    """The fixed-size estimate by selection mode; one model has no prices."""
+    images = t.view("images")
+    runs = t.per_model(images.select("dataset_id").distinct()).selectExpr("*", _CHOICES[0], _CHOICES[1].format(limit="`limit`"))
+    runs = runs.select(
+        "dataset_id", "model_id", "mode", "limit", F.when(F.col("idx") == 1, F.sequence(F.lit(1), F.lit(7))).alias("image_ids"),
+        F.when(F.col("idx") < 5, pricing_struct()).alias("pricing"),
+    )
+    priced = estimate.selection_estimates(runs, images)
+    return priced.select("dataset_id", "model_id", "image_count", F.col("estimated_cost").cast("double").alias("estimated_cost"), "fault")
