@@ -19,13 +19,16 @@ from pyspark.sql import functions as F
 
 TURN, END = "<|turn|>", "<|end|>"
 PLACEHOLDERS = {"image": "<|image|>", "audio": "<|audio|>", "document": "<|document|>"}
+OTHER = "<|attachment|>"  # a part of any other type
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 LEARNED_ROLE = "assistant"
+MOST_SECONDS = 1e9  # a longer recording (or an infinite one) has no known length
 
 # Control strings of this template and of common others: none survives in a text as it stands.
 _CONTROL = re.compile(r"\\|<(?=\||/?s>|</?SYS>>|/?SYS>)|\[(?=/?INST\])")
 _BREAK = re.compile(r"\\|<(?=\|)|\n")
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
+_PLACEHOLDER = re.compile("|".join(re.escape(p) for p in (*PLACEHOLDERS.values(), OTHER)))  # escaped texts hold none
 _HEADER = re.compile(r"((?:[^\\\n]|\\.)*)\n", re.DOTALL)
 
 
@@ -50,6 +53,7 @@ class Flattener:
         self.tile, self.audio_rate, self.page_tokens = tile, audio_rate, page_tokens
         self.out: list[str] = []
         self.at = 0
+        self.text: list[str] = []  # parts of a text that is not yet written
         self.loss: list[dict] = []
         self.attachments: list[dict] = []
 
@@ -57,34 +61,41 @@ class Flattener:
         self.out.append(text)
         self.at += len(text)
 
-    def visit(self, turn: int, k: int, part: dict) -> None:
-        kind = part["type"] or "text"
-        method = getattr(self, f"visit_{kind}", None)
-        if method is None:
-            raise ValueError(f"content part of unknown type {kind!r}")
-        method(turn, k, part)
+    def flush(self) -> None:
+        """Neighbouring texts are escaped as one, or a control string could be put together from them."""
+        if self.text:
+            self.write(escape("".join(self.text)))
+            self.text = []
 
-    def visit_text(self, turn: int, k: int, part: dict) -> None:
-        self.write(escape(part["text"] or ""))
+    def visit(self, turn: int, k: int, part: dict | None) -> None:
+        kind = (part or {}).get("type") or "text"
+        if kind == "text":
+            self.visit_text(part)
+        else:
+            self.flush()
+            tokens = getattr(self, f"tokens_of_{kind}")(part) if kind in PLACEHOLDERS else 0
+            self.attachments.append({"turn": turn, "part": k, "kind": kind, "ref": part["ref"], "start": self.at, "tokens": max(1, tokens)})
+            self.write(PLACEHOLDERS.get(kind, OTHER))
 
-    def visit_image(self, turn: int, k: int, part: dict) -> None:
-        self.attach("image", turn, k, part, math.ceil((part["width"] or 0) / self.tile) * math.ceil((part["height"] or 0) / self.tile))
+    def visit_text(self, part: dict | None) -> None:
+        self.text.append((part or {}).get("text") or "")
 
-    def visit_audio(self, turn: int, k: int, part: dict) -> None:
-        self.attach("audio", turn, k, part, math.ceil((part["seconds"] or 0) * self.audio_rate))
+    def tokens_of_image(self, part: dict) -> int:
+        return math.ceil(max(part["width"] or 0, 0) / self.tile) * math.ceil(max(part["height"] or 0, 0) / self.tile)
 
-    def visit_document(self, turn: int, k: int, part: dict) -> None:
-        self.attach("document", turn, k, part, (part["pages"] or 0) * self.page_tokens)
+    def tokens_of_audio(self, part: dict) -> int:
+        seconds = part["seconds"] or 0.0
+        return math.ceil(seconds * self.audio_rate) if 0 < seconds <= MOST_SECONDS else 0
 
-    def attach(self, kind: str, turn: int, k: int, part: dict, tokens: int) -> None:
-        self.attachments.append({"turn": turn, "part": k, "kind": kind, "ref": part["ref"], "start": self.at, "tokens": max(1, tokens)})
-        self.write(PLACEHOLDERS[kind])
+    def tokens_of_document(self, part: dict) -> int:
+        return (part["pages"] or 0) * self.page_tokens
 
-    def turn(self, number: int, role: str, parts: list[dict]) -> None:
+    def turn(self, number: int, role: str, parts: list[dict | None]) -> None:
         self.write(f"{TURN}{escape_role(role)}\n")
         start = self.at
         for k, part in enumerate(parts):
             self.visit(number, k, part)
+        self.flush()
         if role == LEARNED_ROLE:
             self.loss.append({"start": start, "end": self.at})
         self.write(f"{END}\n")
@@ -109,8 +120,11 @@ def format_chat(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role
     attachments array<struct<turn,part,kind,ref,start,tokens>> in order and
     attachment_tokens bigint.  Turns go by number, ties by role and parts, a
     null number first; equal rows stay as turns of their own.  Null parts and
-    null texts are empty, a null role is ''.  Rows of a null key form one
-    conversation.  An unknown type of part is an error.  A conversation is one
+    null texts are empty, a null role is '', a part without a type is a text.
+    Rows of a null key form one conversation.  A part of another type becomes
+    ``OTHER`` and an attachment of its kind.  An attachment has one token at
+    least, also where its size is null, negative, not a number or without end.
+    Neighbouring text parts are escaped together.  A conversation is one
     value of the result, so its turns meet in one task; nothing larger does.
     """
     kind = turns.schema[key].dataType.simpleString()
@@ -158,6 +172,19 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
+def read_parts(formatted: str) -> list[tuple[str, list[str | None]]]:
+    """The turns with their contents: texts, unescaped, and None for each placeholder in its place."""
+    turns = []
+    for piece in formatted.split(f"{END}\n")[:-1]:
+        header = _HEADER.match(piece, len(TURN))
+        body, parts, at = piece[header.end() :], [], 0
+        for m in _PLACEHOLDER.finditer(body):
+            parts += [unescape(body[at : m.start()]), None]
+            at = m.end()
+        turns.append((unescape(header[1]), [p for p in [*parts, unescape(body[at:])] if p != ""]))
+    return turns
+
+
 def read_back(formatted: DataFrame, key: str = "conv_id") -> DataFrame:
     """Digests read from the formatted text and its loss mask alone.
 
