@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -59,7 +60,8 @@ def linked_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     access = [(s, e) for s, k, e in base if k == 1]
     taken = sorted((s, e) for s, _, e in base)
     starts = [s for s, _ in taken]
-    free = lambda s, e: (i := bisect_left(starts, e)) == 0 or max(x for _, x in taken[max(0, i - 3) : i]) <= s
+    reach = list(accumulate((e for _, e in taken), max))  # the furthest end of the base spans so far
+    free = lambda s, e: (i := bisect_left(starts, e)) == 0 or reach[i - 1] <= s
     weak = [m.span() for m in WEAK.finditer(text) if _mixed(m.group()) and free(*m.span())]
     ends = [m.span() for m in ENDPOINT.finditer(text)] if "://" in text else []
     if not weak and not ends or not (access or ends) or not (secrets or access or weak):
