@@ -80,7 +80,10 @@ class Model:
     scripts: np.ndarray  # (scripts, languages), whether the language is written in it
 
     def score(self, found: list[bytes]) -> np.ndarray:
-        """Log probability of each word in each language, 0 where it tells nothing."""
+        """Log probability of each word in each language, 0 where it tells nothing.
+
+        One more column is 1 for a word in a script that no learned language is written in.
+        """
         place, owner = grams(found)
         out = np.zeros((len(found), len(self.langs)), np.float32)
         for k in range(len(self.langs)):
@@ -88,8 +91,9 @@ class Model:
         kinds = np.array([script(w.decode("utf-8", "replace")) for w in found])
         allowed = self.scripts[kinds]
         out += np.where(allowed, 0.0, OUT_OF_SCRIPT)
-        out[(kinds < 0) | ~allowed.any(1)] = 0.0
-        return out - out.max(1, keepdims=True)
+        strange = (kinds >= 0) & ~allowed.any(1)
+        out[(kinds < 0) | strange] = 0.0
+        return np.column_stack([out - out.max(1, keepdims=True), strange]).astype(np.float32)
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = TRAINING_DOCS) -> Model:
@@ -169,7 +173,8 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
 
     Returns ``key``, lang (the language of most words; 'und' for a null text, a
     text without letters, or an empty model), score (its share of the words, 0
-    for 'und') and spans array<struct<lang,start,end>> in code points.  Ties go
+    for 'und'; words in a script that no learned language is written in are no
+    evidence, so a text of such words alone scores 0) and spans array<struct<lang,start,end>> in code points.  Ties go
     to the language that is first in the alphabet; repeated rows repeat.
     """
     kind = docs.schema[key].dataType.simpleString()
@@ -206,7 +211,7 @@ def _labeller(model: Model, key: str, switch: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         held = 0
-        table = np.zeros((1024, len(langs)), np.float32)
+        table = np.zeros((1024, len(langs) + 1), np.float32)
         for batch in steps(batches, most=SMALL_STEP_BYTES):
             texts = batch.column("text").to_pylist()
             found = [words(t) for t in texts]
@@ -218,7 +223,7 @@ def _labeller(model: Model, key: str, switch: float):
             if new and langs:
                 first, last = len(known), len(known) + len(new)
                 if last > len(table):  # doubled, so that words are seldom copied
-                    table = np.concatenate([table[:first], np.zeros((2 * last - first, len(langs)), np.float32)])
+                    table = np.concatenate([table[:first], np.zeros((2 * last - first, len(langs) + 1), np.float32)])
                 table[first:last] = model.score(list(new))
                 known.update(zip(new, range(first, last)))
                 held += size
@@ -228,8 +233,9 @@ def _labeller(model: Model, key: str, switch: float):
                 if not langs or not own or not HAS_LETTER.search(whole):
                     rows.append((UNKNOWN, 0.0, []))
                     continue
-                path = best_path(table[np.fromiter(map(known.__getitem__, own), np.int64, len(own))], switch)
-                share = np.bincount(path, minlength=len(langs)) / len(path)
+                told = table[np.fromiter(map(known.__getitem__, own), np.int64, len(own))]
+                path = best_path(told[:, :-1], switch)
+                share = np.bincount(path, 1 - told[:, -1], len(langs)) / len(path)
                 rows.append((langs[share.argmax()], float(share.max()), spans(whole, path)))
             columns = list(zip(*rows))
             yield pa.RecordBatch.from_arrays(
