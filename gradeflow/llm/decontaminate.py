@@ -292,9 +292,12 @@ def cut(text: str, spans: list[dict]) -> str:
 def without_spans(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """The documents with their removal spans cut out; one whose every word is hit goes.
 
-    Columns stay; ``length`` (where it exists) becomes the new length of a cut text.
+    Columns stay, whatever their names (the row travels as one struct); ``length``
+    (where it exists) becomes the new length of a cut text.
     """
-    found = contamination(docs, benchmark, key, text, keep=[c for c in docs.columns if c != text])
+    others = [c for c in docs.columns if c != text]
+    packed = docs.select(F.col(key).alias("_key"), F.struct(*others).alias("_row"), F.col(text).alias("_text"))
+    found = contamination(packed, benchmark, "_key", "_text", keep=["_row"])
     hit = F.size("spans") > 0
     left = F.aggregate("spans", F.col("n_words"), lambda a, s: a - (s["end"] - s["start"]))
     found = found.where(~hit | (left > 0))
@@ -302,8 +305,9 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     def column(c: str) -> Column:
         if c == text:
             return F.col("_cut").alias(c)
+        own = F.col("_row").getField(c)
         if c == length:
-            return F.when(hit, F.length("_cut").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c)
-        return F.col(c)
+            return F.when(hit, F.length("_cut").cast(docs.schema[c].dataType)).otherwise(own).alias(c)
+        return own.alias(c)
 
     return found.select(*(column(c) for c in docs.columns))
