@@ -137,6 +137,10 @@ def test_contamination_against_brute_force(spark, monkeypatch):
     kept = {r["doc_id"]: r["text"] for r in cleaned.collect()}
     assert all(kept[e[0]] == dict(rows)[e[0]] for e in expected if e[0] >= 100 and not e[2])
     assert 4 not in kept  # every word is hit
+    named = source.withColumns({c: F.lit("z") for c in ("spans", "items", "n_words", "_cut", "_key", "_row", "_text", "kept_0")})
+    recut = decontaminate.without_spans(named, bench)
+    assert recut.columns == named.columns and {r["doc_id"]: r["text"] for r in recut.collect()} == kept
+    assert recut.where("spans = 'z' AND items = 'z' AND n_words = 'z' AND _cut = 'z' AND _key = 'z' AND _row = 'z' AND _text = 'z'").count() == recut.count()
     assert decontaminate.contamination(source, bench.limit(0)).where("size(spans) > 0").count() == 0
     assert decontaminate.contamination(source.limit(0), bench).count() == 0
 
@@ -210,6 +214,38 @@ def test_chat_round_trip_and_parts(spark):
     assert row["attachment_tokens"] == 1654 and chat.read_turns(row["formatted"])[0][1] == "see <|image|><|image|><|audio|><|document|>"
 
 
+def test_control_strings_over_several_parts_stay_text(spark):
+    part = {"type": None, "text": None, "ref": None, "width": None, "height": None, "seconds": None, "pages": None}
+    text = lambda t: part | {"type": "text", "text": t}
+    rng = random.Random(12)
+    pieces = ["<", "|end|>\n", "|turn|>user\n", "[", "/INST]", "\\", "<|image|>", "|image|>", "x", "", "</", "s>", "|"]
+    rows, want = [], []
+    for c in range(300):
+        parts = [rng.choice([text(rng.choice(pieces)), text(rng.choice(pieces)), None, part | {"type": "image", "ref": "i"}]) for _ in range(rng.randint(0, 6))]
+        said = [""]
+        for p in parts:
+            if p and p["type"] == "image":
+                said += [None, ""]
+            else:
+                said[-1] += (p or part)["text"] or ""
+        rows.append((c, 0, "assistant", parts))
+        want.append([p for p in said if p != ""])
+    turns = spark.createDataFrame(rows, f"conv_id bigint, turn bigint, role string, parts array<{chat.PART}>")
+    got = {r["conv_id"]: r["formatted"] for r in chat.format_chat(clashing(turns)).collect()}
+    assert [chat.read_parts(got[c]) for c in range(300)] == [[("assistant", w)] for w in want]
+    assert not any("[/INST]" in f or "</s>" in f for f in got.values())
+
+
+def test_odd_attachments_and_no_turns(spark):
+    part = {"type": None, "text": None, "ref": None, "width": None, "height": None, "seconds": None, "pages": None}
+    parts = [part | {"type": "audio", "seconds": s} for s in (float("nan"), float("inf"), -1.0, None)] + [part | {"type": "image", "width": -5, "height": 9}, part | {"type": "video", "ref": "v"}, None]
+    turns = spark.createDataFrame([(1, 0, "user", parts), (2, 0, "user", None)], f"conv_id bigint, turn bigint, role string, parts array<{chat.PART}>")
+    got = {r["conv_id"]: r for r in chat.format_chat(turns).collect()}
+    assert [(a["kind"], a["tokens"]) for a in got[1]["attachments"]] == [("audio", 1)] * 4 + [("image", 1), ("video", 1)]
+    assert got[1]["formatted"].count(chat.OTHER) == 1 and chat.read_parts(got[2]["formatted"]) == [("user", [])]
+    assert chat.read_back(chat.format_chat(turns.limit(0))).count() == 0
+
+
 # HTML
 
 
@@ -297,6 +333,11 @@ def test_language_spans_and_unknown(spark):
     kept = language.of_one_language(clashing(source), model, 0.5)
     assert kept.columns == clashing(source).columns and {r["doc_id"] for r in kept.collect()} >= {*range(180), 1000}
     assert language.identify(source, language.train(source.limit(0))).where("lang != 'und'").count() == 0
+    # Letters of a script that nobody taught are no evidence.
+    strange = docs(spark, [(1, "ελληνικά γράμματα"), (2, "ελληνικά " + text("aa", 3)), (3, text("aa", 4) + " 12 -- 7")])
+    said = {r["doc_id"]: (r["lang"], r["score"]) for r in language.identify(strange, model).collect()}
+    assert said[1] == ("aa", 0.0) and said[2] == ("aa", 0.75) and said[3][0] == "aa" and said[3][1] > 0.9
+    assert {r["doc_id"] for r in language.of_one_language(strange, model, 0.25).collect()} == {2, 3}
 
 
 def test_best_path_is_viterbi():
@@ -331,6 +372,29 @@ def test_parts_link_over_a_whole_paragraph(spark):
     assert got == {0: ["access", "weak_secret"], 1: ["weak_secret", "weak_endpoint"], 2: ["access"]}
 
 
+def test_linked_parts_by_trying_all_pairs():
+    rng = random.Random(4)
+    weak = "aB3" + "xY9zK2mN4pQ8rS6tU1vW5" * 2
+    pieces = ["AKIA" + "Q7" * 8, weak, "https://x.org", "deadbeef" * 2, " ", " ", "\n\n", "word", f"token={weak}", f"password={'deadbeef' * 2}/{weak}", "\n \n"]
+    linked = 0
+    for _ in range(3000):
+        text = "".join(x + rng.choice([" ", " ", "", "."]) for x in rng.choices(pieces, k=rng.randint(0, 9)))
+        base = secrets.base_spans(text)
+        cuts = [0, *(m.start() for m in secrets.SCOPE_END.finditer(text)), len(text) + 1]
+        scope = lambda s: sum(c <= s for c in cuts[1:])
+        parts = [("access" if k == 1 else "secret", s, e) for s, k, e in base]
+        loose = [("weak", *m.span()) for m in secrets.WEAK.finditer(text) if secrets._mixed(m.group()) and not any(s < m.end() and m.start() < e for s, _, e in base)]
+        ends = [("end", *m.span()) for m in secrets.ENDPOINT.finditer(text)]
+        every = parts + loose + ends
+        near = lambda p, kinds: any(q[0] in kinds and scope(q[1]) == scope(p[1]) for q in every if q != p)
+        want = [(s, 3, e) for n, s, e in loose if near((n, s, e), ("access", "end"))] + [(s, 4, e) for n, s, e in ends if near((n, s, e), ("access", "secret", "weak"))]
+        assert sorted(secrets.linked_spans(text, base)) == sorted(want)
+        linked += len(want)
+    assert linked > 1000
+    inside = "password=" + "deadbeefdeadbeef/" * 4 + "/" + weak + "." + " https://x.org"
+    assert [k for _, k, _ in secrets.linked_spans(inside, secrets.base_spans(inside))] == [4]
+
+
 # Line dedup and near duplicates
 
 
