@@ -14,7 +14,7 @@ from gradeflow.functions.answers import parse_answer
 from gradeflow.functions.paths import basename
 from gradeflow.operators.inference import Predictor, Retry, run_inference
 from gradeflow.operators.labelling import high_water_mark, named_image, run_counters
-from gradeflow.streaming.state import rocksdb_state
+from gradeflow.streaming.state import GROUPS, rocksdb_state
 
 RESULTS, RUNS, FILES, IMAGES = "results", "runs", "files", "images"
 DEFAULT_INTERVAL = "15 minutes"
@@ -70,7 +70,10 @@ def _existing_text(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 class _Known(StatefulProcessor):
-    """Per dataset and file name: whether the name is taken, and which paths of which jobs are known.
+    """Of a group of names: the place that took each name first, and the further places known.
+
+    A name belongs to its dataset (or job), a place is a path of a job.  A name that an image has is taken by
+    no place.  Most names have one place, which then costs one look-up and one update.
 
     Beside an initial state Spark hands computed columns on without their names, so they go by their place.
     """
@@ -79,30 +82,39 @@ class _Known(StatefulProcessor):
         self.names = names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.taken = handle.getValueState("taken", "taken boolean")
-        self.paths = handle.getMapState("paths", "job string, path string", "seen boolean")
+        self.first = handle.getMapState("first", "owner string, name string", "job string, path string")
+        self.further = handle.getMapState("further", "owner string, job string, path string", "seen boolean")
+
+    def _take(self, name: tuple[str, str], place: tuple[str, str]) -> tuple[bool, bool]:
+        """Whether the place is new, and whether another has its name; from now on it is known."""
+        first = self.first.getValue(name)
+        if first is None:
+            self.first.updateValue(name, place)
+            return True, False
+        if tuple(first) == place or self.further.containsKey((name[0], *place)):
+            return False, False
+        self.further.updateValue((name[0], *place), (True,))
+        return True, True
 
     def handleInitialState(self, key, initial: pd.DataFrame, timer_values) -> None:
-        self.taken.update((True,))
-        for _, _, job, path in initial.itertuples(index=False, name=None):
+        for _, owner, name, job, path in initial.itertuples(index=False, name=None):
             if path is not None:
-                self.paths.updateValue((job, path), (True,))
+                self._take((owner, name), (job, path))
+            elif self.first.getValue((owner, name)) is None:
+                self.first.updateValue((owner, name), (None, None))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         parts = [part for part in rows if len(part)]  # a key of the initial state may have no rows
         if not parts:
             return
         given = pd.concat([part.set_axis(self.names, axis=1) for part in parts], ignore_index=True).sort_values(["time_created", "full_path"], kind="stable")
-        taken, fresh, clash = self.taken.exists(), [], []
-        for place in zip(given["_job"], given["_path"]):
-            new = not self.paths.containsKey(place)
-            if new:
-                self.paths.updateValue(place, (True,))
+        seen, fresh, clash = set(), [], []
+        for owner, name, *place in zip(given["_owner"], given["_name"], given["_job"], given["_path"]):
+            known = (owner, *place)
+            new, taken = (False, False) if known in seen else self._take((owner, name), tuple(place))
+            seen.add(known)
             fresh.append(new)
-            clash.append(new and taken)
-            if new and not taken:
-                self.taken.update((True,))
-                taken = True
+            clash.append(taken)
         yield given.assign(_fresh=fresh, _clash=clash)
 
     def close(self) -> None:
@@ -110,12 +122,17 @@ class _Known(StatefulProcessor):
 
 
 def _keyed(rows: DataFrame, filename: Column) -> DataFrame:
-    """Keys of the state: the dataset (or, without one, the job) and the file name; the place that is known within."""
+    """Keys of the state: the dataset (or, without one, the job) and the file name, in groups; the place that is known within."""
     owner = F.col("dataset_id") if "dataset_id" in rows.columns else F.col("job_id")
-    return rows.select(
+    named = rows.select(
         "*", F.coalesce(owner.cast("string"), F.lit("")).alias("_owner"), F.coalesce(filename, F.lit("")).alias("_name"),
         F.coalesce(F.col("job_id").cast("string"), F.lit("")).alias("_job"), F.coalesce("full_path", F.lit("")).alias("_path"),
     )
+    return named.select("*", _group())
+
+
+def _group() -> Column:
+    return F.pmod(F.xxhash64("_owner", "_name"), F.lit(GROUPS)).cast("int").alias("_group")
 
 
 def with_known(files: DataFrame, results: DataFrame | None = None, images: DataFrame | None = None) -> DataFrame:
@@ -124,16 +141,20 @@ def with_known(files: DataFrame, results: DataFrame | None = None, images: DataF
     What is known is keyed state, so a batch reads no earlier result.  ``results`` (job_id, full_path, the name in
     ``original_name`` or the path) and ``images`` (dataset_id, filename) are the state that a new checkpoint begins with.
     """
-    spark, names = files.sparkSession, ["_owner", "_name", "_job", "_path"]
+    names = ["_group", "_owner", "_name", "_job", "_path"]
     known = []
     if results is not None:
         known.append(_keyed(results, basename("full_path")).select(*names))
     if images is not None and "dataset_id" in files.columns:
-        known.append(images.select(F.col("dataset_id").cast("string").alias("_owner"), F.col("filename").alias("_name"), F.lit(None).cast("string").alias("_job"), F.lit(None).cast("string").alias("_path")))
+        held = images.select(
+            F.coalesce(F.col("dataset_id").cast("string"), F.lit("")).alias("_owner"), F.coalesce("filename", F.lit("")).alias("_name"),
+            F.lit(None).cast("string").alias("_job"), F.lit(None).cast("string").alias("_path"),
+        )
+        known.append(held.select(_group(), *names[1:]))
     rows = _keyed(files, basename("full_path"))
     schema = T.StructType([*rows.schema.fields, T.StructField("_fresh", T.BooleanType()), T.StructField("_clash", T.BooleanType())])
-    begins = functools.reduce(DataFrame.unionByName, known).groupBy("_owner", "_name") if known else None
-    return rows.groupBy("_owner", "_name").transformWithStateInPandas(_Known(rows.columns), schema, "Append", "None", initialState=begins).drop(*names)
+    begins = functools.reduce(DataFrame.unionByName, known).groupBy("_group") if known else None
+    return rows.groupBy("_group").transformWithStateInPandas(_Known(rows.columns), schema, "Append", "None", initialState=begins).drop(*names)
 
 
 def label_stream(

@@ -7,6 +7,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
+#: Groups that the keys of a stream's state are dealt into by their hash.  A group costs some
+#: milliseconds a batch, a key inside it one or two look-ups, so many small keys share one.
+GROUPS = 1024
 _SETTING = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 

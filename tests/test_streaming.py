@@ -225,3 +225,27 @@ def test_uploads_in_any_order(spark, tmp_path, cuts):
         want = sorted(tuple(r[n] for n in names) for r in upload_totals(spark.createDataFrame(LATE, CHUNKS)).collect())
         assert sorted(tuple(r[n] for n in names) for r in su.read_totals(spark, checkpoint).collect()) == want
         assert not list((tmp_path / f"cp{trial}").glob("totals*"))
+
+
+def test_names_share_groups_of_state(spark, tmp_path, monkeypatch):
+    """A batch calls the state once a group of names, not once a name; names in one group don't meet."""
+    monkeypatch.setattr(sl, "GROUPS", 2)
+    source, sink = str(tmp_path / "in"), str(tmp_path / "sink")
+    schema = FILES + ", dataset_id string, project_id string"
+    images = spark.createDataFrame([("d", "f3.jpg"), ("d", None)], "dataset_id string, filename string")
+
+    def run(checkpoint):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        listing = scan_files(stream.withColumn("full_path", F.concat(F.lit("gs://b/"), F.col("object_name"))))
+        sl.label_stream(listing, "A dog?", "binary", model, sink, str(tmp_path / checkpoint), retry=Retry(max_attempts=1), images=images).awaitTermination()
+        return sorted((r["full_path"], r["filename"] == r["original_name"]) for r in sl.read_images(spark, sink).collect())
+
+    first = [(1, f"a/f{i}.jpg", at(i), 1, "d", "p") for i in range(40)]
+    again = [(1, f"{folder}/f{i}.jpg", at(100 + i), 1, "d", "p") for i in range(0, 40, 4) for folder in "ab"]
+    put(spark, source, first + first[:5], schema)
+    put(spark, source, again, schema)
+    want = sorted([(f"gs://b/a/f{i}.jpg", i != 3) for i in range(40)] + [(f"gs://b/b/f{i}.jpg", False) for i in range(0, 40, 4)])
+    assert run("cp") == want
+    state = spark.read.format("statestore").option("stateVarName", "first").load(str(tmp_path / "cp"))
+    assert state.select("key").distinct().count() == 2 and state.count() == 41
+    assert run("lost") == want
