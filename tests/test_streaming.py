@@ -249,3 +249,22 @@ def test_names_share_groups_of_state(spark, tmp_path, monkeypatch):
     state = spark.read.format("statestore").option("stateVarName", "first").load(str(tmp_path / "cp"))
     assert state.select("key").distinct().count() == 2 and state.count() == 41
     assert run("lost") == want
+
+
+def test_parts_share_groups_of_state(spark, tmp_path, monkeypatch):
+    """Many datasets in two groups of state, their chunks in pieces of two, in an order that makes late starts take chunks over."""
+    monkeypatch.setattr(su, "GROUPS", 2)
+    monkeypatch.setattr(su, "PIECE", 2)
+    rng = random.Random(3)
+    story = [(c, f"d{rng.randrange(5)}", at(c // 2), rng.choice(["processing"] * 9 + ["ready"]), c, c // 2) for c in range(150)] + [(900, None, at(1), "processing", 4, 3)]
+    rng.shuffle(story)
+    source, checkpoint = str(tmp_path / "in"), str(tmp_path / "cp")
+    for begin in range(0, len(story), 60):
+        put(spark, source, story[begin : begin + 60], CHUNKS)
+    stream = spark.readStream.schema(CHUNKS).option("maxFilesPerTrigger", 1).parquet(source)
+    su.upload_totals_stream(stream, checkpoint, parts=2).awaitTermination()
+    names = ("dataset_id", "total_files", "uploaded_files", "chunks")
+    rows = lambda df: {tuple(r[n] for n in names) for r in df.where("dataset_id IS NOT NULL").collect()}
+    assert rows(su.read_totals(spark, checkpoint)) == rows(upload_totals(spark.createDataFrame(story, CHUNKS)))
+    state = spark.read.format("statestore").option("stateVarName", "totals").load(checkpoint)
+    assert state.select("key").distinct().count() == 2 and state.count() == 11
