@@ -4,6 +4,10 @@ Angles between unit vectors obey the triangle inequality.  Items are put into
 cells by their nearest pivot and their angle to it; a query then needs only the
 cells that can hold one of its K nearest.  Queries and items meet in bounded
 blocks of a cell, and every block passes on K rows per query.
+
+A block is an eighth of the items, within bounds: what is shuffled is in
+proportion to the items until a block has ``MAX_BLOCK`` of them.  Where angles
+tell nothing the comparisons themselves are all pairs.
 """
 
 from __future__ import annotations
@@ -19,7 +23,9 @@ from gradeflow.session import freeze
 
 MAX_PIVOTS = 64
 RING = 0.05  # width of the rings angles are counted in, in radians
-BLOCK = 1024  # items, and queries, that meet in one group
+BLOCK, MAX_BLOCK = 256, 65_536  # items, and queries, that meet in one group: at least and at most
+BLOCKS = 8  # that the items are cut into between these bounds
+TILE = 512  # queries, and so many items, that are compared at once inside a group
 _SLACK = 1e-6
 
 
@@ -62,12 +68,44 @@ def _wanted_cells(angles: np.ndarray, cells: np.ndarray, k: int) -> np.ndarray:
     return near <= bound[:, None] + _SLACK
 
 
+def _best(asked: np.ndarray, query_ids: np.ndarray, items: np.ndarray, item_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and similarities of the ``k`` nearest items per query, smaller places first among equals.
+
+    Items are met in tiles.  Of a tile only those go on that reach the query's K-th best so far;
+    they replace it at once, so that most of the later ones are passed over by one comparison.
+    """
+    place = np.zeros((len(asked), k), np.int64)
+    value = np.full((len(asked), k), -np.inf)
+    for at in range(0, len(items), TILE):
+        similarity = asked @ items[at : at + TILE].T
+        similarity[query_ids[:, None] == item_ids[None, at : at + TILE]] = -np.inf
+        least = value[:, -1]
+        if not at and similarity.shape[1] > k:  # none is kept yet: the K-th best of the tile itself
+            least = np.partition(np.where(np.isnan(similarity), -np.inf, similarity), -k, axis=1)[:, -k]
+        # Rounding moves a value by half a unit of the ninth decimal at most; equal ones of later places lose.
+        rows, columns = np.nonzero(similarity > least[:, None] - 1e-9)
+        if not len(rows):
+            continue
+        rounded = np.round(similarity[rows, columns], 9)
+        live = np.unique(rows)
+        # The kept ones come first, so that a stable order by row and value keeps smaller places before larger.
+        row = np.concatenate([np.repeat(live, k), rows])
+        held = np.concatenate([value[live].ravel(), rounded])
+        where = np.concatenate([place[live].ravel(), columns + at])
+        order = np.lexsort((-held, row))
+        row, held, where = row[order], held[order], where[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        top = rank < k
+        value[row[top], rank[top]], place[row[top], rank[top]] = held[top], where[top]
+    return place, value
+
+
 def nearest_items(
     queries: DataFrame,
     items: DataFrame,
     k: int,
     pivot_count: int | None = None,
-    block: int = BLOCK,
+    block: int | None = None,
 ) -> DataFrame:
     """The ``k`` nearest other items per query: query_id, item_id, similarity, place.
 
@@ -77,7 +115,9 @@ def nearest_items(
     """
     spark = items.sparkSession
     id_type = items.schema["item_id"].dataType
-    wanted_pivots = pivot_count or max(1, min(MAX_PIVOTS, items.count() // block))
+    count = items.count()
+    block = block or min(MAX_BLOCK, max(BLOCK, -(-count // BLOCKS)))
+    wanted_pivots = pivot_count or max(1, min(MAX_PIVOTS, count // block))
     chosen = items.orderBy(F.md5(F.col("item_id").cast("string")), "item_id").limit(wanted_pivots)
     picked = [row["embedding"] for row in chosen.select("embedding").collect()]  # at most MAX_PIVOTS vectors
     if not picked:
@@ -137,16 +177,15 @@ def nearest_items(
     def best(asking: pd.DataFrame, offered: pd.DataFrame) -> pd.DataFrame:
         if not len(asking) or not len(offered):
             return pd.DataFrame({"query_id": [], "item_id": [], "similarity": []})
-        offered = offered.sort_values("item_id")  # a stable sort by similarity then breaks ties by id
+        offered = offered.sort_values("item_id")  # places are then in the order of the ids, which breaks ties
         item_ids, query_ids = offered["item_id"].to_numpy(), asking["query_id"].to_numpy()
-        similarity = np.round(_unit(asking["embedding"]) @ _unit(offered["embedding"]).T, 9)
-        similarity[query_ids[:, None] == item_ids[None, :]] = -np.inf
-        top = np.argsort(-similarity, axis=1, kind="stable")[:, :k]
-        values = np.take_along_axis(similarity, top, axis=1)
+        asked, items = _unit(asking["embedding"]), _unit(offered["embedding"])
+        places, values = zip(*(_best(asked[i : i + TILE], query_ids[i : i + TILE], items, item_ids, k) for i in range(0, len(asked), TILE)))
+        places, values = np.concatenate(places), np.concatenate(values)
         found = pd.DataFrame(
             {
-                "query_id": np.repeat(query_ids, top.shape[1]),
-                "item_id": item_ids[top].ravel(),
+                "query_id": np.repeat(query_ids, places.shape[1]),
+                "item_id": item_ids[places.ravel()],
                 "similarity": values.ravel(),
             }
         )

@@ -195,3 +195,32 @@ def test_few_items(spark):
     labels = spark.createDataFrame([(2, "cat")], "item_id bigint, label string")
     got = {r["query_id"]: r["prompt"] for r in sim.few_shot_prompts(prompts, nearest, labels).collect()}
     assert got == {1: "Example 1: cat\nQ?", 7: "Z?"}
+
+
+def test_what_meets_grows_with_the_items(spark, monkeypatch):
+    """Blocks are a share of the items, so every item is sent to about as many blocks at each size; ties go by id."""
+    monkeypatch.setattr(sim, "BLOCK", 8)
+    sent, rng = {}, np.random.default_rng(5)
+    best = sim._best
+    for tile in (3, 512):
+        monkeypatch.setattr(sim, "TILE", tile)
+        vectors = rng.integers(-1, 2, size=(200, 4)).astype(float)  # many equal angles, and zeros
+        unit = sim._unit(list(vectors))
+        exact = np.round(unit @ unit.T, 9)
+        places, _ = best(unit, np.arange(200), unit, np.arange(200), 3)
+        for q in range(200):
+            assert places[q].tolist() == sorted((j for j in range(200) if j != q), key=lambda j: (-exact[q, j], j))[:3]
+    for count in (160, 640):
+        vectors = rng.normal(size=(count, 16))
+        frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "item_id bigint, embedding array<double>")
+        met = spark.sparkContext.accumulator(0)
+
+        def counted(asked, query_ids, items, item_ids, k):
+            met.add(len(asked))
+            return best(asked, query_ids, items, item_ids, k)
+
+        monkeypatch.setattr(sim, "_best", counted)
+        assert sim.nearest_items(frame.withColumnRenamed("item_id", "query_id"), frame, 3).count() == 3 * count
+        sent[count] = met.value / count
+        monkeypatch.setattr(sim, "_best", best)
+    assert sent[640] <= 2 * max(sent[160], 8)
