@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gradeflow.session import freeze
+
 _HEAD_DIGITS = 3
 _SLICES = 16**_HEAD_DIGITS  # of the hash range
 
@@ -31,6 +33,11 @@ def sample_exact(
     tell in which slice that is; only this slice is ranked; then one filter
     takes the images up to the threshold.  No group is sorted as a whole, and
     at most ``_SLICES`` counts of a group meet in a window.
+
+    Slices and thresholds, one row a group, are written as tables.  Spark then knows
+    their size before it plans the joins: few groups are broadcast and no image is
+    shuffled by its group.  Where they are too many for that, no group is a large
+    part of the images, or adaptive execution splits it.
     """
     # A struct key also holds groups whose name is NULL.  Without groups the key is
     # empty text, but no literal: a constant key would turn the join into a product.
@@ -43,16 +50,14 @@ def sample_exact(
     placed = counts.withColumn("_total", F.sum("_n").over(whole)).withColumn("_upto", F.sum("_n").over(upto))
     # The slice in which the quota ends; a quota of the whole group or more ends in its last one.
     wanted = F.least(quota, F.col("_total"))
-    ends = placed.filter((F.col("_upto") >= wanted) & (F.col("_upto") - F.col("_n") < wanted)).select(
+    ends = freeze(placed.filter((F.col("_upto") >= wanted) & (F.col("_upto") - F.col("_n") < wanted)).select(
         "_group", "_slice", (wanted - F.col("_upto") + F.col("_n")).alias("_take")
-    )
+    ), "slices")
     edge = keyed.select("_group", head.alias("_slice"), "_hash", F.col(image_id).alias("_id")).join(ends, ["_group", "_slice"])
     rank = F.row_number().over(Window.partitionBy("_group").orderBy("_hash", "_id"))
-    last = edge.withColumn("_rank", rank).filter(F.col("_rank") == F.col("_take")).select(
+    last = freeze(edge.withColumn("_rank", rank).filter(F.col("_rank") == F.col("_take")).select(
         "_group", F.struct("_hash", "_id").alias("_last")
-    )
-    # One row per group; where groups are many, adaptive execution splits the rows of a hot one.
-    last = last if by else F.broadcast(last)  # a single row
+    ), "thresholds")
     chosen = keyed.join(last, "_group").filter(F.struct(F.col("_hash"), F.col(image_id).alias("_id")) <= F.col("_last"))
     return chosen.select(*images.columns)
 

@@ -181,3 +181,12 @@ def test_quotas_at_and_beyond_the_ends(spark, images):
     assert sel.sample_exact(images, F.lit(everyone), 1).count() == everyone
     assert sel.sample_exact(images, F.lit(everyone + 5), 1).count() == everyone
     assert sel.sample_exact(images.limit(0), F.lit(3), 1).count() == 0
+
+
+def test_few_groups_are_sampled_without_a_shuffle_of_the_images(spark):
+    """A group with a third of all images must not meet in one task; its threshold goes to the images."""
+    images = spark.range(9000).select(F.col("id").alias("image_id"), F.when(F.col("id") % 3 < 2, F.col("id") % 3).alias("kind"))
+    got = sel.select_random_percent(images, 10, by=["kind"])
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text
+    assert {r["kind"]: r["count"] for r in got.groupBy("kind").count().collect()} == {0: 300, 1: 300, None: 300}
