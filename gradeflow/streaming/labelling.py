@@ -146,11 +146,8 @@ def with_known(files: DataFrame, results: DataFrame | None = None, images: DataF
     if results is not None:
         known.append(_keyed(results, basename("full_path")).select(*names))
     if images is not None and "dataset_id" in files.columns:
-        held = images.select(
-            F.coalesce(F.col("dataset_id").cast("string"), F.lit("")).alias("_owner"), F.coalesce("filename", F.lit("")).alias("_name"),
-            F.lit(None).cast("string").alias("_job"), F.lit(None).cast("string").alias("_path"),
-        )
-        known.append(held.select(_group(), *names[1:]))
+        held = images.select(F.col("dataset_id").cast("string").alias("_owner"), F.col("filename").alias("_name")).dropna()  # others take no name
+        known.append(held.select(_group(), "*", F.lit(None).cast("string").alias("_job"), F.lit(None).cast("string").alias("_path")))
     rows = _keyed(files, basename("full_path"))
     schema = T.StructType([*rows.schema.fields, T.StructField("_fresh", T.BooleanType()), T.StructField("_clash", T.BooleanType())])
     begins = functools.reduce(DataFrame.unionByName, known).groupBy("_group") if known else None
