@@ -29,9 +29,9 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(_FOLD).split() if text else []
 
 
-def folded_lines(text: bytes | None) -> list[bytes]:
-    """The lines of a text with its words separated by single-byte blanks, for ``bytes.split``."""
-    return text.translate(_LINE_FOLD).split(b"\n") if text is not None else []
+def folded(text: bytes | None) -> bytes:
+    """A text whose words are separated by single-byte blanks and line breaks, for :func:`word_hashes`."""
+    return text.translate(_LINE_FOLD) if text else b""
 
 
 def as_bytes(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -70,6 +70,32 @@ class Hashes:
             return np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
 
 
+def word_hashes(folded: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and 64-bit hashes of all words of a folded text, found in whole arrays.
+
+    Words are runs of bytes above the blank.  Eight bytes at a time go into a
+    word's hash; words beyond 64 bytes are hashed one by one.
+    """
+    inside = np.frombuffer(folded, np.uint8) > 0x20
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    padded = folded + bytes(8)
+    eights = np.ndarray(len(folded) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    sizes = ends - starts
+    found = sizes.astype(np.uint64)
+    rest = np.flatnonzero(sizes <= 64)
+    done = 0
+    while len(rest):
+        left = np.minimum(sizes[rest] - done, 8).astype(np.uint64)
+        piece = eights[starts[rest] + done] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> ((np.uint64(8) - left) * np.uint64(8)))
+        found[rest] = mix(found[rest] * np.uint64(0x9E3779B97F4A7C15) ^ piece)
+        done += 8
+        rest = rest[sizes[rest] > done]
+    for k in np.flatnonzero(sizes > 64).tolist():
+        found[k] = xxhash.xxh3_64_intdigest(folded[starts[k] : ends[k]])
+    return starts, ends, found
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values over all their bits (a multiply-xorshift step)."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)

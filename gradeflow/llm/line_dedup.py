@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeflow.llm.common import Hashes, as_bytes, folded_lines, hashed_bucket, mix, sieved, steps, stored
+from gradeflow.llm.common import SMALL_STEP_BYTES, as_bytes, folded, hashed_bucket, mix, sieved, steps, stored, word_hashes
 from gradeflow.llm.graph import components
 
 SIMILARITY = 0.8
@@ -26,9 +26,17 @@ SIMILARITY = 0.8
 WORD_BITS = (1 << 48) - 1
 #: Hashed counters of word frequency: the order of words needs no more than a fixed table.
 COUNTERS = 1 << 18
+_HIGH_BITS = 48 - 18
+_PIECES = 64
 #: Lines of one prefix word that meet in one cell; more are spread over pairs of blocks.
 BLOCK = 512
 _COLUMNS = 4096
+#: Marks beside a position: the line's block is the lower or the upper of a cell of two.
+_LOW, _UP = 1 << 30, 1 << 31
+#: Lines sorted at once: their number takes the 16 bits beside a word's 48.
+_ROWS = 1 << 16
+#: Rows of cells compared at once, if the cells are small.
+_MEETING = 1 << 16
 _LOWEST = -(1 << 63)
 
 
@@ -36,40 +44,45 @@ def _lines(docs: DataFrame) -> DataFrame:
     """Every line with words: document (id and tag), number, class (digest of its word set) and, once per task, the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, told = Hashes(), set()
-        for batch in steps(batches):
-            numbers, ids, tags, found = [], [], [], []
-            for key, tag, text in zip(*(batch.column(c).to_pylist() for c in ("id", "tag", "text"))):
-                for k, line in enumerate(folded_lines(text)):
-                    own = line.split()
-                    if own:
-                        numbers.append(k)
-                        ids.append(key)
-                        tags.append(tag)
-                        found.append(own)
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            flat = hashes([w for own in found for w in own]) & np.uint64(WORD_BITS)
-            owner = np.repeat(np.arange(len(found)), sizes)
-            order = np.lexsort((flat, owner))
-            flat, owner = flat[order], owner[order]
-            new = np.r_[True, (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])] if len(flat) else np.zeros(0, bool)
-            flat, owner = flat[new], owner[new]
-            ends = np.cumsum(np.bincount(owner, minlength=len(found)))
-            raw, at = flat.tobytes(), 0
-            same, first = [], np.zeros(len(found), bool)
-            for k, end in enumerate(ends.tolist()):
-                digest = xxhash.xxh3_128_digest(raw[8 * at : 8 * end])
-                at = end
-                same.append(digest)
-                if digest not in told:
-                    if len(told) > 500_000:
-                        told.clear()
-                    told.add(digest)
-                    first[k] = True
-            counts = np.diff(np.r_[0, ends])
-            offsets = np.r_[0, np.cumsum(np.where(first, counts, 0))]
-            sets = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[first[owner]].view(np.int64)), mask=pa.array(~first)) if len(found) else pa.array([], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(numbers, pa.int32()), pa.array(same, pa.binary()), sets], names=["id", "tag", "line", "same", "words"])
+        told: set[bytes] = set()
+        for batch in steps(batches, most=SMALL_STEP_BYTES):
+            texts = [folded(t) for t in batch.column("text").to_pylist()]
+            opens = np.cumsum([0, *(t.count(b"\n") + 1 for t in texts)])  # number of each text's first line in the step
+            joined = b"\n".join(texts)
+            starts, _, flat = word_hashes(joined)
+            flat &= np.uint64(WORD_BITS)
+            line = np.searchsorted(np.flatnonzero(np.frombuffer(joined, np.uint8) == 10), starts)
+            used, owner = np.unique(line, return_inverse=True)
+            for lo in range(0, len(used), _ROWS):
+                hi = min(lo + _ROWS, len(used))
+                own = slice(*np.searchsorted(owner, [lo, hi]))
+                yield told_lines(batch, opens, used[lo:hi], owner[own] - lo, flat[own], told)
+
+    def told_lines(batch: pa.RecordBatch, opens: np.ndarray, used: np.ndarray, owner: np.ndarray, flat: np.ndarray, told: set[bytes]) -> pa.RecordBatch:
+        """Rows of the step's lines ``used``, given their words."""
+        both = np.sort(owner.astype(np.uint64) << np.uint64(48) | flat)
+        both = both[np.r_[True, both[1:] != both[:-1]]]
+        owner, flat = (both >> np.uint64(48)).astype(np.int64), both & np.uint64(WORD_BITS)
+        counts = np.bincount(owner, minlength=len(used))
+        raw, at = flat.tobytes(), 0
+        same, first = [], np.zeros(len(used), bool)
+        for k, end in enumerate((8 * np.cumsum(counts)).tolist()):
+            digest = xxhash.xxh3_128_digest(raw[at:end])
+            at = end
+            same.append(digest)
+            if digest not in told:
+                if len(told) > 500_000:
+                    told.clear()
+                told.add(digest)
+                first[k] = True
+        doc = np.searchsorted(opens, used, "right") - 1
+        offsets = np.r_[0, np.cumsum(np.where(first, counts, 0))]
+        sets = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[first[owner]].view(np.int64)), mask=pa.array(~first))
+        taken = pa.array(doc)
+        return pa.RecordBatch.from_arrays(
+            [batch.column("id").take(taken), batch.column("tag").take(taken), pa.array((used - opens[doc]).astype(np.int32)), pa.array(same, pa.binary()), sets],
+            names=["id", "tag", "line", "same", "words"],
+        )
 
     return docs.mapInArrow(run, "id bigint, tag bigint, line int, same binary, words array<bigint>")
 
@@ -81,19 +94,31 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(rows: DataFrame, places) -> np.ndarray:
-    """Sum the counters that a task gives for its batches; their table has a fixed size."""
+    """Sum the counters that a task gives for its batches; their table has a fixed size and travels in pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             counts += np.bincount(places(batch), minlength=COUNTERS)
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], names=["place", "n"])
+        yield told({k: own for k, own in enumerate(counts.reshape(_PIECES, -1)) if own.any()})
 
-    found = rows.mapInArrow(run, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(COUNTERS, np.int64)
-    counts[found["place"].to_numpy()] = found["n"].to_numpy()
-    return counts
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, n in zip(batch.column("piece").to_pylist(), batch.column("n")):
+                own = n.values.to_numpy()
+                sums[piece] = sums[piece] + own if piece in sums else own
+        yield told(sums)
+
+    def told(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+        lists = pa.array([own for own in sums.values()], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), lists], names=["piece", "n"])
+
+    schema = "piece int, n array<bigint>"
+    counts = np.zeros((_PIECES, COUNTERS // _PIECES), np.int64)
+    for piece, n in rows.mapInArrow(run, schema).repartition("piece").mapInArrow(add, schema).collect():
+        counts[piece] = n
+    return counts.ravel()
 
 
 def _place(word: np.ndarray) -> np.ndarray:
@@ -104,7 +129,10 @@ class Rule:
     """The threshold and the global order of words."""
 
     def __init__(self, threshold: float, frequency: np.ndarray):
-        self.threshold, self.frequency = threshold, np.minimum(frequency, (1 << 31) - 1).astype(np.int32)
+        self.threshold = threshold
+        self.place = np.lexsort((np.arange(COUNTERS), frequency)).astype(np.uint64)  # counters from rare to frequent
+        self.rank = np.empty(COUNTERS, np.uint64)
+        self.rank[self.place.astype(np.int64)] = np.arange(COUNTERS, dtype=np.uint64)
         self.crowd, self.usual = np.zeros(COUNTERS, np.int32), 0
 
     def gather(self, crowd: np.ndarray) -> None:
@@ -115,8 +143,12 @@ class Rule:
         """Per prefix word: the row of its line, the word, its position, and per line its size."""
         sizes, flat = _flat(column)
         owner = np.repeat(np.arange(len(sizes)), sizes)
-        order = np.lexsort((flat, self.frequency[_place(flat)], owner))
-        flat = flat[order]
+        key = self.rank[_place(flat)] << np.uint64(_HIGH_BITS) | flat // np.uint64(COUNTERS)  # the words' order in 48 bits
+        if len(sizes) <= _ROWS:
+            key = np.sort(owner.astype(np.uint64) << np.uint64(48) | key) & np.uint64(WORD_BITS)
+        else:
+            key = key[np.lexsort((key, owner))]
+        flat = (key & np.uint64((1 << _HIGH_BITS) - 1)) * np.uint64(COUNTERS) + self.place[(key >> np.uint64(_HIGH_BITS)).astype(np.int64)]
         position = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         length = sizes - np.ceil(self.threshold * sizes - 1e-9).astype(np.int64) + 1
         inside = position < length[owner]
@@ -148,7 +180,9 @@ def _parities(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _short(column: pa.Array) -> np.ndarray:
     """64-bit class numbers from digests."""
-    return np.frombuffer(b"".join(x.as_py()[:8] for x in column), np.uint64)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset :][: len(column) + 1]
+    digests = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(column) else np.zeros(0, np.uint8)
+    return digests.reshape(-1, 16)[:, :8].copy().view(">u8").astype(np.uint64).ravel()
 
 
 def _pairs_of_blocks(blocks: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -162,7 +196,8 @@ def _pairs_of_blocks(blocks: np.ndarray, short: np.ndarray) -> tuple[np.ndarray,
 def _candidates(sets: DataFrame, rule: Rule) -> DataFrame:
     """Links (a, b) of class numbers that join all lines that may be similar: at most one per line and cell.
 
-    Lines meet in the cells of their prefix words.  Which pairs pass the filters
+    Lines meet in the cells of their prefix words, known by 48 bits, and lie there by
+    size; cells that clash only bring more lines together.  Which pairs pass the filters
     is seen in the cell alone; what leaves it is a link from each line to the
     smallest line it is joined with there.
     """
@@ -176,50 +211,54 @@ def _candidates(sets: DataFrame, rule: Rule) -> DataFrame:
                 low, high = _parities(part.column("words"))
                 paired = rule.crowd[_place(word)] > 1
                 owner, word, position = owner[paired], word[paired], position[paired]
-                row, _, a, b = _pairs_of_blocks(rule.blocks(word), short[owner])
+                row, block, a, b = _pairs_of_blocks(rule.blocks(word), short[owner])
                 own = owner[row]
+                cell = np.where(b > 0, mix(word[row] ^ mix((a << 32 | b).view(np.uint64))), word[row]) << np.uint64(16)
+                key = cell | np.minimum(sizes[own], 65535).astype(np.uint64)
+                side = np.where(a == b, 0, np.where(block == a, _LOW, _UP))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (word[row].view(np.int64), a << 32 | b, short[own].view(np.int64), sizes[own] << 32 | position[row], low[own].view(np.int64), high[own].view(np.int64))],
-                    names=["word", "pair", "short", "shape", "low", "high"],
+                    [pa.array(x) for x in (key.view(np.int64), sizes[own] << 32 | side | position[row], short[own].view(np.int64), low[own].view(np.int64), high[own].view(np.int64))],
+                    names=["key", "shape", "short", "low", "high"],
                 )
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = None
+        waiting, n = [], 0
         for batch in batches:
-            now = [batch.column(c).to_numpy() for c in ("word", "pair", "short", "shape", "low", "high")]
-            if not len(now[0]):
+            if not batch.num_rows:
                 continue
-            if left is not None:
-                now = [np.concatenate(x) for x in zip(left, now)]
-            cut = int(np.argmax((now[0] == now[0][-1]) & (now[1] == now[1][-1])))  # the last cell may go on in the next batch
-            left = [x[cut:] for x in now]
+            waiting.append([batch.column(c).to_numpy() for c in ("key", "shape", "short", "low", "high")])
+            n += batch.num_rows
+            if n < _MEETING:
+                continue
+            now = [np.concatenate(x) for x in zip(*waiting)]
+            cut = int(np.argmax(now[0] >> 16 == now[0][-1] >> 16))  # the last cell may go on in the next batch
+            waiting, n = [[x[cut:] for x in now]], len(now[0]) - cut
             if cut:
                 yield found(*(x[:cut] for x in now))
-        if left is not None:
-            yield found(*left)
-
-    def found(word, pair, short, shape, low, high) -> pa.RecordBatch:
-        once = np.r_[True, (short[1:] != short[:-1]) | (pair[1:] != pair[:-1]) | (word[1:] != word[:-1])]
-        word, pair, short, shape, low, high = (x[once] for x in (word, pair, short, shape, low, high))
-        cell = np.cumsum(np.r_[0, (pair[1:] != pair[:-1]) | (word[1:] != word[:-1])])
-        size, position = shape >> 32, shape & 0xFFFFFFFF
-        across = pair >> 32 != pair & 0xFFFFFFFF
-        own = (mix(short.view(np.uint64)) % np.maximum(rule.blocks(word.view(np.uint64)), 1).astype(np.uint64)).astype(np.int64)
-        at, step, root = np.arange(len(word)), 1, np.arange(len(word))
+        if waiting:
+            yield found(*(np.concatenate(x) for x in zip(*waiting)))
+
+    def found(key, shape, short, low, high) -> pa.RecordBatch:
+        once = np.r_[True, (short[1:] != short[:-1]) | (key[1:] != key[:-1])]
+        key, shape, short, low, high = (x[once] for x in (key, shape, short, low, high))
+        cell, size, position, side = key >> 16, shape >> 32, shape & (_LOW - 1), shape & (_LOW | _UP)
+        at, step, root = np.arange(len(cell)), 1, np.arange(len(cell))
         pairs, waiting = [], 0
         while True:
-            at = at[at + step < len(word)]
+            at = at[at + step < len(cell)]
             at = at[cell[at] == cell[at + step]]
             if not len(at):
                 break
+            need = rule.least(size[at] + size[at + step])
+            able = need <= size[at] - position[at]  # the shared word and what follows it
+            at, need = at[able], need[able]  # the lines further on are longer still
             to = at + step
-            total = size[at] + size[to]
-            need = rule.least(total)
-            ok = need <= np.minimum(size[at] - position[at], size[to] - position[to])  # the shared word and what follows it
-            ok &= ~across[at] | (own[at] != own[to])
-            apart = sum(np.bitwise_count((x[at] ^ x[to]).view(np.uint64)).astype(np.int64) for x in (low, high))
-            ok &= apart <= total - 2 * need
-            pairs.append((at[ok], to[ok]))
+            ok = need <= size[to] - position[to]
+            ok &= (side[at] == 0) | (side[at] != side[to])  # lines of one block meet in a cell of their own
+            one, two, need = at[ok], to[ok], need[ok]
+            apart = sum(np.bitwise_count((x[one] ^ x[two]).view(np.uint64)).astype(np.int64) for x in (low, high))
+            ok = apart <= size[one] + size[two] - 2 * need
+            pairs.append((one[ok], two[ok]))
             waiting += len(pairs[-1][0])
             if waiting > 1 << 19:
                 _join(root, *map(np.concatenate, zip(*pairs)))
@@ -231,8 +270,8 @@ def _candidates(sets: DataFrame, rule: Rule) -> DataFrame:
         linked = np.flatnonzero(root != np.arange(len(root)))
         return pa.RecordBatch.from_arrays([pa.array(short[linked]), pa.array(short[root[linked]])], names=["a", "b"])
 
-    rows = sets.select("same", "words").mapInArrow(emit, "word bigint, pair bigint, short bigint, shape bigint, low bigint, high bigint")
-    cells = rows.repartition("word", "pair").sortWithinPartitions("word", "pair", "short")
+    rows = sets.select("same", "words").mapInArrow(emit, "key bigint, shape bigint, short bigint, low bigint, high bigint")
+    cells = rows.repartition(F.shiftrightunsigned("key", 16)).sortWithinPartitions("key", "shape", "short")  # by cell and size
     return cells.mapInArrow(meet, "a bigint, b bigint").distinct()
 
 
@@ -378,7 +417,8 @@ def _links(source: DataFrame, threshold: float) -> DataFrame:
     similar = stored(_linked(near, rule), "line_links")
 
     place = F.struct("id", "line", "tag")
-    joined = lines.select("id", "line", "tag", "same").join(grouped.join(similar, "same", "left"), "same")
+    classes = grouped.join(similar.hint("shuffle_hash"), "same", "left")  # each class once: no key is hot on this side
+    joined = lines.select("id", "line", "tag", "same").join(classes.hint("shuffle_hash"), "same")
     return joined.select(
         "id", "tag", "line", "first", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
         ((F.col("first") < place) | F.coalesce(F.col("partner") < place, F.lit(False))).alias("later"),
@@ -386,10 +426,8 @@ def _links(source: DataFrame, threshold: float) -> DataFrame:
 
 
 def _short_column(same: str) -> F.Column:
-    """The first eight bytes of a digest as a little-endian bigint, as :func:`_short` reads them."""
-    digits = F.hex(F.col(same))
-    turned = F.concat(*(F.substring(digits, 2 * k + 1, 2) for k in range(7, -1, -1)))
-    return F.conv(turned, 16, -10).cast("long")
+    """The first eight bytes of a digest as a bigint, as :func:`_short` reads them."""
+    return F.conv(F.hex(F.substring(F.col(same), 1, 8)), 16, -10).cast("long")
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = "n_chars", threshold: float = SIMILARITY) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as spec
 
 from gradeflow.llm import ann, chat, decontaminate, html, language, line_dedup, secrets, sentencepiece_codec, toxicity, weighted_minhash
-from gradeflow.llm.common import HAS_LETTER, mix
+from gradeflow.llm.common import HAS_LETTER, folded, mix, word_hashes
 from gradeflow.llm.graph import components
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -423,6 +423,34 @@ def test_line_links_against_brute_force(spark, monkeypatch):
     assert line_dedup.links(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_words_are_hashed_in_whole_arrays():
+    rng = random.Random(21)
+    alphabet = [b"a", b"B", b"7", b" ", b" ", b"\n", b".", "é".encode(), b"\x00"]
+    texts = [None, b"", b"x", b" ", b"w" * 500 + b" " + b"w" * 64 + b" " + b"w" * 65] + [b"".join(rng.choices(alphabet, k=rng.randint(1, 60))) for _ in range(300)]
+    known = {}
+    for t in texts:
+        starts, ends, found = word_hashes(folded(t))
+        own = [folded(t)[a:b] for a, b in zip(starts, ends)]
+        assert own == [w.encode() for w in split((t or b"").decode())]
+        for w, h in zip(own, found.tolist()):
+            assert known.setdefault(w, h) == h
+    assert len({h & line_dedup.WORD_BITS for h in known.values()}) == len(known) > 200
+
+
+def test_prefixes_have_one_order(monkeypatch):
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 48, n) if k % 2 else rng.integers(0, 60, n)) for k, n in enumerate(rng.integers(1, 40, 200))]
+    frequency = rng.integers(0, 5, line_dedup.COUNTERS)
+    rule = line_dedup.Rule(0.8, frequency)
+    column = pa.array([s.tolist() for s in sets], pa.list_(pa.int64()))
+    row, word, position, sizes = rule.prefixes(column)
+    monkeypatch.setattr(line_dedup, "_ROWS", 10)  # too many lines for one number a word
+    assert all((a == b).all() for a, b in zip(rule.prefixes(column), (row, word, position, sizes)))
+    for k, s in enumerate(sets):
+        order = sorted(s.tolist(), key=lambda w: (frequency[w % line_dedup.COUNTERS], w % line_dedup.COUNTERS, w))
+        assert word[row == k].tolist() == order[: len(s) - -(-4 * len(s) // 5) + 1]
+
+
 def test_near_duplicates(spark, monkeypatch):
     monkeypatch.setattr(weighted_minhash, "BLOCK", 4)
     rng = random.Random(13)
