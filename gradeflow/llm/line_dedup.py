@@ -336,26 +336,29 @@ def _linked(met: DataFrame, rule: Rule) -> DataFrame:
             rest = list(zip(*(batch.column(c).to_pylist() for c in ("same", "n", "id", "line", "tag", "block"))))
             for k, key in enumerate(keys):
                 if key != cell:
-                    out += compare(rows)
+                    out += compare(rows, cell)
                     cell, rows = key, []
                     if len(out) > 20_000:
                         yield told(out)
                         out = []
                 if not rows or rows[-1][1][0] != rest[k][0]:
                     rows.append((flat[ends[k] - sizes[k] : ends[k]], rest[k]))
-        out += compare(rows)
+        out += compare(rows, cell)
         yield told(out)
 
     def told(out: list[tuple]) -> pa.RecordBatch:
         kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["same", "links", "id", "line", "tag"])
 
-    def compare(rows: list) -> list[tuple]:
-        """Links of a cell's lines, from their whole word sets."""
+    def compare(rows: list, cell: tuple | None) -> list[tuple]:
+        """Links of a cell's lines, from their whole word sets; lines of one block meet in that block's own cell only."""
         if len(rows) < 2:
             return []
+        across = cell[1] >> 32 != cell[1] & 0xFFFFFFFF
         if len(rows) == 2:
             (one, a), (two, b) = rows
+            if across and a[5] == b[5]:
+                return []
             overlap = len(set(one.tolist()) & set(two.tolist()))
             similar = overlap >= rule.least(len(one) + len(two))
             return [(a[0], *b[1:5]), (b[0], *a[1:5])] if similar else []
@@ -370,8 +373,8 @@ def _linked(met: DataFrame, rule: Rule) -> DataFrame:
             overlap += table @ table.T
         similar = overlap >= rule.least(sizes[:, None] + sizes[None, :])
         np.fill_diagonal(similar, False)
-        block = np.array([r[1][5] for r in rows])
-        if len(set(block.tolist())) > 1:
+        if across:
+            block = np.array([r[1][5] for r in rows])
             similar &= block[:, None] != block[None, :]
         counts = np.array([r[1][1] for r in rows])
         order = sorted(range(len(rows)), key=lambda k: rows[k][1][2:5])
