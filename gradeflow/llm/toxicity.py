@@ -170,6 +170,19 @@ def _totals(docs: DataFrame, models: dict[int | None, Model], carry: list[str])
     return docs.select(*carry, "text").mapInArrow(run, schema)
 
 
+def _labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> DataFrame:
+    """Training rows: id, text, toxic and fold.
+
+    Labels grow with the documents, so the two meet by a shuffle of the sieved
+    texts at every size; a broadcast while the labels are few would make the cost
+    jump where they no longer are.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max(F.col(label).cast("int")).alias("toxic")).where(~held_out("id"))
+    source = as_bytes(docs, key, text).withColumnRenamed(key, "id")
+    joined = sieved(source, "id", known.select("id")).join(known.hint("shuffle_hash"), "id")
+    return joined.withColumn("fold", F.crc32(F.col("id").cast("string").cast("binary")) % 4)
+
+
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Fit on all labelled documents outside the held-out fold.
 
@@ -178,9 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     folds (by the crc32 of the id) than its own.  A document labelled more
     than once counts once, by its largest label; null labels and ids are ignored.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max(F.col(label).cast("int")).alias("toxic")).where(~held_out("id"))
-    source = as_bytes(docs, key, text).withColumnRenamed(key, "id")
-    labelled = sieved(source, "id", known.select("id")).join(known, "id").withColumn("fold", F.crc32(F.col("id").cast("string").cast("binary")) % 4)
+    labelled = _labelled(docs, labels, key, text, label)
     model, *others = _fit(_counts(labelled))
     sample = labelled.withColumn("h", F.xxhash64("id"))
     last = sample.select("h").orderBy("h").limit(CALIBRATION_DOCS).agg(F.max("h")).first()[0]

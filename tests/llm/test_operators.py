@@ -316,6 +316,17 @@ def test_toxic_words_count_each_for_itself_and_in_every_fold(spark):
     assert other > none + 0.2 and late > none + 0.2 and vile > none + 0.2
 
 
+def test_labels_meet_texts_by_one_kind_of_join(spark):
+    rows = [(i, t) for i, t in enumerate(made_texts(40, 6))]
+    known = spark.createDataFrame([(i, 1, i % 2) for i in range(0, 40, 3)], "doc_id bigint, quality int, toxic int")
+    got = toxicity._labelled(docs(spark, rows), known, "doc_id", "text", "toxic")
+    found = got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and plan.count("BroadcastHashJoin") <= plan.count("LeftSemi")  # few labels, yet only the sieve is broadcast
+    expected = {(i, rows[i][1].encode(), i % 2, zlib.crc32(str(i).encode()) % 4) for i in range(0, 40, 3) if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert {(r["id"], bytes(r["text"]), r["toxic"], r["fold"]) for r in found} == expected and len(found) == len(expected)
+
+
 def test_language_spans_and_unknown(spark):
     rng = random.Random(6)
     stems = {"aa": ["thing", "the", "ough", "wha"], "bb": ["zció", "ñado", "que", "llo"], "cc": ["ждеш", "при", "вет"]}
