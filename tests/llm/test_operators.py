@@ -327,6 +327,83 @@ def test_labels_meet_texts_by_one_kind_of_join(spark):
     assert {(r["id"], bytes(r["text"]), r["toxic"], r["fold"]) for r in found} == expected and len(found) == len(expected)
 
 
+def kneser_ney(texts, slots, model):
+    """Log ratios by word and by pair of one model, from plain dictionaries."""
+    runs = [["<s>", *split(t), "</s>"] if split(t) else [] for t in texts]
+    learned = [(r, s % 2) for r, s in zip(runs, slots) if s is not None and s // 2 != model - 1]
+    d, n, met, after = 0.75, ({}, {}), ({}, {}), {}
+    for r, c in learned:
+        for pair in itertools.pairwise(r):
+            n[c][pair] = n[c].get(pair, 0) + 1
+    everywhere = {p for r, s in zip(runs, slots) if s is not None for p in itertools.pairwise(r)}
+    for u, v in everywhere:
+        after.setdefault(v, set()).add(u)
+    for c in (0, 1):
+        for (_, v), k in n[c].items():
+            met[c][v] = met[c].get(v, 0) + k
+    shared = lambda v: (len(after.get(v, ())) + 0.5) / (len(everywhere) + 0.5 * (len(after) + 1))
+    both = {p: n[0].get(p, 0) + n[1].get(p, 0) for p in n[0].keys() | n[1].keys()}
+    discounted = lambda table, u, v, lower: (lambda own: (max(table.get((u, v), 0) - d, 0) + d * len(own) * lower) / sum(own) if own else lower)([k for (left, _), k in table.items() if left == u])
+
+    def by_word(w, c):
+        total, taken = sum(met[c].values()), sum(min(k, d) for k in met[c].values())
+        return (max(met[c].get(w, 0) - d, 0) + taken * shared(w)) / total if total else shared(w)
+
+    def by_pair(u, v, c):
+        return discounted(n[c], u, v, discounted(both, u, v, shared(v)) if (u, v) in both else 1.0)
+
+    mixed = lambda p1, p0: math.log(1 - toxicity.TOXIC_SHARE + toxicity.TOXIC_SHARE * p1 / p0)
+    words = lambda r: sum(mixed(by_word(w, 1), by_word(w, 0)) if w in after else 0.0 for w in r[1:-1])
+    pairs = lambda r: sum(mixed(by_pair(u, v, 1), by_pair(u, v, 0)) for u, v in itertools.pairwise(r))
+    return [(words(r), pairs(r), max(len(r) - 2, 0)) for r in runs]
+
+
+def test_toxicity_ratios_are_those_of_kneser_ney(spark, monkeypatch):
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(25)]
+    texts = [" ".join(rng.choices(vocabulary, range(25, 0, -1), k=rng.randint(0, 30))) for _ in range(120)] + ["new new w1 words w2", None, "W3-w3"]
+    folds = [zlib.crc32(str(i).encode()) % 4 for i in range(len(texts))]
+    toxic = [rng.random() < 0.3 for _ in texts]
+    slots = [toxicity.FOLDS.index(f) * 2 + int(y) if f != 2 and i < 110 else None for i, (f, y) in enumerate(zip(folds, toxic))]
+    known = spark.createDataFrame([(i, 1, int(toxic[i])) for i in range(110)], "doc_id bigint, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "BLOCK_DOCS", 16)  # many small blocks
+    source = docs(spark, list(enumerate(texts)))
+    model = toxicity.train(source, known)
+    rows = toxicity.as_bytes(source, "doc_id", "text").withColumn("mark", F.lit(-1))
+    got = {r["doc_id"]: r for r in toxicity._ratios(rows, "doc_id", model.counts, model.parts).collect()}
+    expected = kneser_ney(texts, slots, 0)
+    assert len(got) == len(texts)
+    for i, (by_word, by_pair, size) in enumerate(expected):
+        assert (got[i]["by_word"], got[i]["by_pair"], got[i]["size"]) == (pytest.approx(by_word, abs=1e-5), pytest.approx(by_pair, abs=1e-5), size)
+    crossed = model.calibration.withColumn("doc_id", F.lit(0).cast("long"))
+    found = sorted((r["mark"], r["size"], r["by_word"], r["by_pair"]) for r in toxicity._ratios(crossed, "doc_id", model.counts, model.parts).collect())
+    by_model = {k: kneser_ney(texts, slots, k) for k in (1, 2, 3)}
+    others = sorted((s, by_model[s // 2 + 1][i][2], *by_model[s // 2 + 1][i][:2]) for i, s in enumerate(slots) if s is not None)
+    assert [r[:2] for r in found] == [r[:2] for r in others]
+    assert np.allclose([r[2:] for r in sorted(found, key=lambda r: (r[0], r[1], round(r[2], 4)))], [r[2:] for r in sorted(others, key=lambda r: (r[0], r[1], round(r[2], 4)))], atol=1e-4)
+
+
+def test_toxic_phrase_of_common_words(spark):
+    rng = random.Random(9)
+    common = [f"word{k}" for k in range(30)]
+    rows, labels = [], []
+    for i in range(1200):
+        bad = i % 8 == 0
+        text = rng.choices(common, k=20)
+        if bad:
+            text[5:5], text[15:15] = ["word3", "word4", "word5"], ["word3", "word4", "word5"]
+        else:
+            text[5:5], text[10:10], text[15:15] = (rng.sample(["word3", "word4", "word5"], 1) * 2 for _ in range(3))
+            text = [w for k, w in enumerate(text) if not (k and text[k - 1] + w in ("word3word4", "word4word5"))]
+        rows.append((i, " ".join(text)))
+        labels.append((i, 1, int(bad)))
+    source = docs(spark, rows)
+    got = toxicity.score(source, toxicity.train(source, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))).collect()
+    held = {r["doc_id"]: r["predicted"] for r in got if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2}
+    assert sum(held[i] for i in held if i % 8 == 0) >= 0.9 * sum(i % 8 == 0 for i in held)
+    assert sum(p == int(i % 8 == 0) for i, p in held.items()) >= 0.95 * len(held)
+
+
 def test_language_spans_and_unknown(spark):
     rng = random.Random(6)
     stems = {"aa": ["thing", "the", "ough", "wha"], "bb": ["zció", "ñado", "que", "llo"], "cc": ["ждеш", "при", "вет"]}
