@@ -43,8 +43,7 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents")
-    found = toxicity.score(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
+    found = toxicity.train_and_score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 

@@ -16,6 +16,8 @@ regression on both differences and the length gives the score.
 Counts are exact and cover all labelled texts outside the held-out fold.  They
 are dealt out by the hash of the left word; pairs of the texts to be scored are
 packed by blocks of texts and sent to the counts, and sums per text come back.
+Where the texts to be scored are those learned from, the same packed pairs give
+the counts too (:func:`train_and_score`).
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +52,8 @@ BLOCK_BYTES, BLOCK_DOCS = 28 << 20, 1 << 15
 BITS = 48
 #: Bytes of text per part of the counts, and limits of the number of parts.
 PART_BYTES, FEWEST, MOST = 64 << 20, 16, 256
+#: A text's mark by its block: its slot, so much more if it is also scored by the other folds, or none.
+_CROSSED, _NONE = 8, 255
 _START, _END = np.uint64(1), np.uint64(2)
 _SUMS = [f"s{i}" for i in range(4 * MODELS + 2)]
 
@@ -256,23 +261,29 @@ def _discounted(count: np.ndarray, total: np.ndarray, kinds: np.ndarray, lower:
 class Table:
     """The counts of one part, as log ratios by word and by pair."""
 
-    def __init__(self, rows: pa.Table):
-        found = [Packed.read(b) for b in rows.column("pairs").to_pylist() if b is not None]
-        some = [_unpack(b) for b in rows.column("words").to_pylist() if b is not None]
+    def __init__(self, words: list[bytes], totals: list[float] | None, left: np.ndarray, right: np.ndarray, follows: np.ndarray, table: np.ndarray):
+        """``follows`` tells per pair how many distinct left words its right word follows, ``table`` its counts by slot."""
+        some = [_unpack(b) for b in words]
         self.word, number, *met = (np.concatenate(x) for x in zip(*some)) if some else (np.zeros(0, np.uint64), np.zeros(0), *[np.zeros(0)] * (2 * MODELS))
-        sums = np.array([rows.column("totals")[0].as_py()], float).ravel() if rows.num_rows else np.ones(len(_SUMS))
-        self.met, self.number, self.sums = [x.astype(float) for x in met], number.astype(float), sums
-        cat = lambda xs, kind: np.concatenate([np.zeros(0, kind), *xs])
-        left, self.right = cat([f.left[f.at] for f in found], np.uint64), cat([f.right for f in found], np.uint64)
-        self.follows = cat([f.more[0] for f in found], np.int64).astype(float)
-        before = np.cumsum([0, *(len(f.at) for f in found)])
-        self.table = _dense(cat([f.pair + b for f, b in zip(found, before)], np.int64), cat([f.owner for f in found], np.int64), cat([f.times for f in found], np.int64), len(left))
+        self.met, self.number, self.sums = [x.astype(float) for x in met], number.astype(float), np.ones(len(_SUMS)) if totals is None else np.array(totals, float)
+        self.right, self.follows, self.table = right, follows.astype(float), table
         self.left, self.at = np.unique(left, return_inverse=True)
         key = _key(left, self.right)
         self.order = np.argsort(key)
         self.key = key[self.order]
         self.known: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
+    @staticmethod
+    def read(rows: pa.Table) -> Table:
+        """From rows of :func:`_counts` with the totals."""
+        found = [Packed.read(b) for b in rows.column("pairs").to_pylist() if b is not None]
+        cat = lambda xs, kind: np.concatenate([np.zeros(0, kind), *xs])
+        left, right = cat([f.left[f.at] for f in found], np.uint64), cat([f.right for f in found], np.uint64)
+        before = np.cumsum([0, *(len(f.at) for f in found)])
+        table = _dense(cat([f.pair + b for f, b in zip(found, before)], np.int64), cat([f.owner for f in found], np.int64), cat([f.times for f in found], np.int64), len(left))
+        words = [b for b in rows.column("words").to_pylist() if b is not None]
+        return Table(words, rows.column("totals")[0].as_py() if rows.num_rows else None, left, right, cat([f.more[0] for f in found], np.int64), table)
+
     def values(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """By model ``k``: of the words, of the pairs, and of unknown pairs by their left word."""
         if k not in self.known:
@@ -292,19 +303,20 @@ class Table:
             self.known[k] = tuple(_mixed(np.log(x[1]) - np.log(x[0])) for x in (by_word, by_pair, new))
         return self.known[k]
 
-    def sums_of(self, packed: Packed, model: np.ndarray) -> np.ndarray:
-        """Of the texts of a block: the part's share of the ratios by word and by pair."""
-        out = np.zeros((2, len(model)))
+    def sums_of(self, packed: Packed, *models: np.ndarray) -> list[np.ndarray]:
+        """Of the texts of a block, by each array of models: the part's share of the ratios by word and by pair; 0 by model -1."""
+        outs = [np.zeros((2, len(model))) for model in models]
         if not len(self.key):
-            return out
+            return outs
         word, left, pair = _found(self.word, packed.left), _found(self.left, packed.left), _found(self.key, _key(packed.left[packed.at], packed.right))
-        for k in np.unique(model).tolist():
-            by_word, by_pair, new = (np.r_[x, 0.0] for x in self.values(k))
-            here = slice(None) if (model == k).all() else model[packed.owner] == k
-            owner, times, cell = packed.owner[here], packed.times[here], packed.pair[here]
-            of_pair = np.where(pair >= 0, by_pair[self.order[pair]], new[left][packed.at])
-            out += [np.bincount(owner, x[cell] * times, len(model)) for x in (by_word[word][packed.at], of_pair)]
-        return out
+        for out, model in zip(outs, models):
+            for k in np.unique(model[model >= 0]).tolist():
+                by_word, by_pair, new = (np.r_[x, 0.0] for x in self.values(k))
+                here = slice(None) if (model == k).all() else model[packed.owner] == k
+                owner, times, cell = packed.owner[here], packed.times[here], packed.pair[here]
+                of_pair = np.where(pair >= 0, by_pair[self.order[pair]], new[left][packed.at])
+                out += [np.bincount(owner, x[cell] * times, len(model)) for x in (by_word[word][packed.at], of_pair)]
+        return outs
 
 
 def _key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -319,14 +331,12 @@ def _found(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(known[at] == wanted, at, -1)
 
 
-def _ratios(docs: DataFrame, key: str, counts: DataFrame, parts: int) -> DataFrame:
-    """Per row: key, mark, its ratios by word and by pair, and its number of words.
+_LISTS = "ids array<{0}>, marks array<int>, sizes array<int>"
 
-    ``mark`` is -1 for a text scored by all counts, or the slot of a training text, scored by the other folds.
-    """
-    kind = docs.schema[key].dataType.simpleString()
-    lists = f"ids array<{kind}>, marks array<int>, sizes array<int>"
-    names = ["part", "block", "packed", "ids", "marks", "sizes"]
+
+def _asked(docs: DataFrame, key: str, parts: int) -> DataFrame:
+    """Rows by part: the packed pairs of each block of texts and, once a block, its keys, marks and numbers of words."""
+    names = ["part", "block", "packed", "ids", "marks", "sizes", "models"]
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
@@ -337,30 +347,168 @@ def _ratios(docs: DataFrame, key: str, counts: DataFrame, parts: int) -> DataFra
             ids = pa.concat_arrays([b.column(key) for b in held])
             model = _pack(np.where(mark < 0, 0, mark // 2 + 1).astype(np.uint8))
             n = len(found)
+            # known by its rows, so that a block dealt out anew in another order fails to meet what the first one sent
+            block = xxhash.xxh3_64_intdigest(repr((task, i, ids.to_pylist()))) - (1 << 63)
             one = lambda x: pa.ListArray.from_arrays([0, len(x)], x)
-            yield pa.RecordBatch.from_arrays([pa.array([task % parts], pa.int32()), pa.array([task << 32 | i]), pa.array([None], pa.binary()), one(ids), one(pa.array(mark.astype(np.int32))), one(pa.array(sizes.astype(np.int32))), pa.array([None], pa.binary())], names=[*names, "models"])
+            yield pa.RecordBatch.from_arrays([pa.array([task % parts], pa.int32()), pa.array([block]), pa.array([None], pa.binary()), one(ids), one(pa.array(mark.astype(np.int32))), one(pa.array(sizes.astype(np.int32))), pa.array([None], pa.binary())], names=names)
             if n:
                 none = [pa.nulls(n, pa.list_(t)) for t in (ids.type, pa.int32(), pa.int32())]
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int32()), pa.array([task << 32 | i] * n), pa.array([b for _, b in found], pa.binary()), *none, pa.array([model] * n, pa.binary())], names=[*names, "models"])
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int32()), pa.array([block] * n), pa.array([b for _, b in found], pa.binary()), *none, pa.array([model] * n, pa.binary())], names=names)
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, "text", "mark").mapInArrow(asked, f"part int, block bigint, packed binary, {_LISTS.format(kind)}, models binary")
+
+
+def _ratios(docs: DataFrame, key: str, counts: DataFrame, parts: int) -> DataFrame:
+    """Per row: key, mark, its ratios by word and by pair, and its number of words.
+
+    ``mark`` is -1 for a text scored by all counts, or the slot of a training text, scored by the other folds.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+    lists, names = _LISTS.format(kind), ["ids", "marks", "sizes"]
 
     def answered(left: pa.Table, right: pa.Table) -> pa.Table:
-        table = Table(left)
-        sums = [None if b is None else table.sums_of(Packed.read(b), _unpack(m)[0]).astype(np.float32).tobytes() for b, m in zip(right.column("packed").to_pylist(), right.column("models").to_pylist())]
-        return pa.Table.from_arrays([right.column("block"), pa.array(sums, pa.binary()), *(right.column(c) for c in names[3:])], names=["block", "sums", *names[3:]])
+        table = Table.read(left)
+        sums = [None if b is None else table.sums_of(Packed.read(b), _unpack(m)[0].astype(np.int64))[0].astype(np.float32).tobytes() for b, m in zip(right.column("packed").to_pylist(), right.column("models").to_pylist())]
+        return pa.Table.from_arrays([right.column("block"), pa.array(sums, pa.binary()), *(right.column(c) for c in names)], names=["block", "sums", *names])
 
     def added(rows: pa.Table) -> pa.Table:
         head = next(i for i, s in enumerate(rows.column("sizes").is_valid().to_pylist()) if s)
-        ids, marks, sizes = (rows.column(c)[head].values for c in names[3:])
+        ids, marks, sizes = (rows.column(c)[head].values for c in names)
         total = sum((np.frombuffer(s, np.float32).astype(float) for s in rows.column("sums").to_pylist() if s is not None), np.zeros(2 * len(sizes))).reshape(2, -1)
         return pa.Table.from_arrays([ids, marks, *map(pa.array, total), sizes], names=[key, "mark", "by_word", "by_pair", "size"])
 
     totals = counts.agg(F.array(*(F.sum(s) for s in _SUMS)).alias("totals"))
     known = counts.select("part", "pairs", "words").crossJoin(F.broadcast(totals))
-    wanted = docs.select(key, "text", "mark").mapInArrow(asked, f"part int, block bigint, packed binary, {lists}, models binary")
-    met = known.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(answered, f"block bigint, sums binary, {lists}")
+    met = known.groupBy("part").cogroup(_asked(docs, key, parts).groupBy("part")).applyInArrow(answered, f"block bigint, sums binary, {lists}")
     return met.groupBy("block").applyInArrow(added, f"`{key}` {kind}, mark int, by_word double, by_pair double, size int")
 
 
+# Counts and likelihoods of one table
+
+
+def _own_ratios(docs: DataFrame, key: str, marks: DataFrame, parts: int) -> DataFrame:
+    """The rows of :func:`_ratios` for all texts, by the counts of the marked ones among them.
+
+    ``marks`` holds id, the slot of a training text and whether it is also scored
+    by the other folds.  The pairs of a training text are among those that all
+    texts send by their left word, so they travel once, for counts and for
+    ratios; only marks follow them, by block.  The left words' parts tell those
+    of the right words what they met, and get the numbers of left words back.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+    sums = ", ".join(f"{s} double" for s in _SUMS)
+    asked = _asked(docs.withColumn("mark", F.lit(-1)), key, parts).repartition("part")
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, ids in zip(b.column("block"), b.column("ids")):
+                if ids.is_valid:
+                    n = len(ids)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block.as_py())), pa.array(np.arange(n, dtype=np.int32)), ids.values], names=["block", "place", "id"])
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, found in zip(b.column("block").to_pylist(), b.column("found")):
+                packed = _pack(found.values.to_numpy().astype(np.uint8))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), pa.array(["marks"] * parts), pa.array([block] * parts, pa.int64()), pa.array([packed] * parts, pa.binary())], names=["part", "what", "origin", "packed"])
+
+    def learned(rows: pa.Table, others: pa.Table) -> pa.Table:
+        found = Learned(rows, _of(others, "marks"))
+        number, met = np.bincount(found.second, minlength=len(found.vocab)), [np.bincount(found.second, x, len(found.vocab)) for x in found.table.T]
+        part = others.column("part")[0].as_py() if others.num_rows else 0
+        told = [(q, part, _pack(_steps_of(found.vocab[own]), number[own].astype(np.uint32), *(m[own].astype(np.uint32) for m in met))) for q, own in found.rights(parts)]
+        return pa.Table.from_arrays([pa.array([t[k] for t in told], t_) for k, t_ in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["to", "part", "packed"])
+
+    def followed(rows: pa.Table) -> pa.Table:
+        found = [_unpack(b) for b in rows.column("packed").to_pylist()]
+        vocab, at = np.unique(np.concatenate([np.cumsum(f[0], dtype=np.uint64) for f in found]), return_inverse=True)
+        number, *slots = (np.bincount(at, np.concatenate([f[k] for f in found])) for k in range(1, SLOTS + 2))
+        met = np.stack([n for k in range(MODELS) for n in _classes(np.stack(slots, 1), k)])
+        to = rows.column("to")[0].as_py()
+        totals = [*met.sum(1), *np.minimum(met, DISCOUNT).sum(1), number.sum(), len(vocab)]
+        told = [(to, "words", to, _pack(vocab, number.astype(np.uint32), *met.astype(np.uint32)), *map(float, totals))]
+        back = np.split(number[at].astype(np.uint32), np.cumsum([len(f[0]) for f in found])[:-1])
+        told += [(part, "numbers", to, _pack(n), *([0.0] * len(totals))) for part, n in zip(rows.column("part").to_pylist(), back)]
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*told), [pa.int32(), pa.string(), pa.int64(), pa.binary(), *([pa.float64()] * len(totals))])], names=["part", "what", "origin", "packed", *_SUMS])
+
+    def answered(rows: pa.Table, others: pa.Table) -> pa.Table:
+        mark = _of(others, "marks")
+        totals = next((t for t in others.column("totals").to_pylist() if t is not None), None)
+        table = Learned(rows, mark).counted([b for _, b in sorted(_of(others, "numbers").items())], list(_of(others, "words").values()), totals, parts)
+        blocks, out = rows.column("block").to_pylist(), []
+        for block, packed in zip(blocks, rows.column("packed").to_pylist()):
+            if packed is None:
+                out.append(None)
+                continue
+            of = _unpack(mark[block])[0].astype(np.int64)
+            crossed = (of != _NONE) & (of >= _CROSSED)
+            every, other = table.sums_of(Packed.read(packed), np.zeros(len(of), np.int64), np.where(crossed, of % _CROSSED // 2 + 1, -1))
+            out.append(np.concatenate([every.ravel(), other[:, crossed].ravel()]).astype(np.float32).tobytes())
+        ids = rows.column("ids")
+        known = [mark[b] if i else None for b, i in zip(blocks, ids.is_valid().to_pylist())]
+        return pa.Table.from_arrays([rows.column("block"), pa.array(out, pa.binary()), ids, pa.array(known, pa.binary()), rows.column("sizes")], names=["block", "sums", "ids", "marks", "sizes"])
+
+    def added(rows: pa.Table) -> pa.Table:
+        head = next(i for i, s in enumerate(rows.column("sizes").is_valid().to_pylist()) if s)
+        ids, sizes, of = rows.column("ids")[head].values, rows.column("sizes")[head].values, _unpack(rows.column("marks")[head].as_py())[0]
+        n, crossed = len(of), np.flatnonzero((of != _NONE) & (of >= _CROSSED))
+        total = sum((np.frombuffer(s, np.float32).astype(float) for s in rows.column("sums").to_pylist() if s is not None), np.zeros(2 * (n + len(crossed))))
+        both = np.concatenate([total[: 2 * n].reshape(2, -1), total[2 * n :].reshape(2, -1)], 1)
+        at = pa.array(np.r_[np.arange(n), crossed])
+        mark = np.r_[np.full(n, -1), of[crossed] % _CROSSED].astype(np.int32)
+        return pa.Table.from_arrays([ids.take(at), pa.array(mark), *map(pa.array, both), sizes.take(at)], names=[key, "mark", "by_word", "by_pair", "size"])
+
+    code = F.coalesce(F.col("slot") + F.when(F.col("crossed"), _CROSSED).otherwise(0), F.lit(_NONE))
+    marked = asked.mapInArrow(heads, f"block bigint, place int, id {kind}").join(marks, "id", "left").select("block", F.struct("place", code.cast("int").alias("mark")).alias("found"))
+    told = marked.groupBy("block").agg(F.array_sort(F.collect_list("found")).alias("found")).select("block", F.col("found.mark").alias("found"))
+    told = told.mapInArrow(dealt, "part int, what string, origin bigint, packed binary")
+    met = asked.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(learned, "to int, part int, packed binary")
+    counts = met.groupBy("to").applyInArrow(followed, f"part int, what string, origin bigint, packed binary, {sums}")
+    totals = counts.agg(F.array(*(F.sum(s) for s in _SUMS)).alias("totals"))
+    others = counts.select("part", "what", "origin", "packed").crossJoin(F.broadcast(totals)).unionByName(told.withColumn("totals", F.lit(None).cast("array<double>")))
+    back = asked.groupBy("part").cogroup(others.groupBy("part")).applyInArrow(answered, f"block bigint, sums binary, ids array<{kind}>, marks binary, sizes array<int>")
+    return back.groupBy("block").applyInArrow(added, f"`{key}` {kind}, mark int, by_word double, by_pair double, size int")
+
+
+def _of(rows: pa.Table, what: str) -> dict[int, bytes]:
+    """What is told to a part, by its origin."""
+    return {o: b for w, o, b in zip(*(rows.column(c).to_pylist() for c in ("what", "origin", "packed"))) if w == what}
+
+
+class Learned:
+    """The pairs of the training texts whose left word is of one part, with their counts by slot; words are places in ``vocab``."""
+
+    def __init__(self, rows: pa.Table, marks: dict[int, bytes]):
+        found = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for block, packed in zip(rows.column("block").to_pylist(), rows.column("packed").to_pylist()):
+            if packed is not None:
+                f, of = Packed.read(packed), _unpack(marks[block])[0]
+                mark = of[f.owner]
+                here = mark != _NONE
+                pair = f.pair[here]
+                found.append((f.left[f.at[pair]], f.right[pair], mark[here].astype(np.int64) % _CROSSED, f.times[here]))
+        left, right, slot, times = map(np.concatenate, zip(*found))
+        self.vocab, at = np.unique(np.concatenate([left, right]), return_inverse=True)
+        cells = Cells.summed(self.vocab, at[: len(left)], at[len(left) :], slot, SLOTS, times)
+        pair, sizes = _runs(cells.pair())
+        self.first, self.second = cells.first[pair], cells.second[pair]
+        self.table = _dense(np.repeat(np.arange(len(pair)), sizes), cells.owner, cells.times, len(pair))
+
+    def rights(self, parts: int) -> list[tuple[int, np.ndarray]]:
+        """The distinct right words by their part."""
+        own = np.unique(self.second)
+        ends = np.searchsorted(_part(self.vocab[own], parts), np.arange(parts + 1))
+        return [(q, own[ends[q] : ends[q + 1]]) for q in range(parts) if ends[q] < ends[q + 1]]
+
+    def counted(self, numbers: list[bytes], words: list[bytes], totals: list[float] | None, parts: int) -> Table:
+        """With the numbers of left words that the right words follow, in the order of their parts."""
+        number = np.zeros(len(self.vocab))
+        for (_, own), packed in zip(self.rights(parts), numbers, strict=True):
+            number[own] = _unpack(packed)[0]
+        return Table(words, totals, self.vocab[self.first], self.vocab[self.second], number[self.second], self.table)
+
+
 # Score
 
 
@@ -422,14 +570,26 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     own.  A document labelled more than once counts once, by its largest label;
     null labels and ids are ignored.
     """
-    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
-    parts = min(max(1 << (size // PART_BYTES).bit_length(), FEWEST), MOST)
-    chosen = _known(labels, key, label).join(docs.select(F.col(key).alias("id")).distinct(), "id").orderBy(F.xxhash64("id"), "id").limit(CALIBRATION_DOCS)
-    slot = (F.lit(2) * sum((F.when(F.crc32(F.col("id").cast("string").cast("binary")) % 4 == f, i).otherwise(0) for i, f in enumerate(FOLDS)), F.lit(0)) + F.when(F.col("toxic") != 0, 1).otherwise(0)).cast("int")
-    fitted_on = as_bytes(docs, key, text).withColumnRenamed(key, "id").join(F.broadcast(chosen), "id").select("text", slot.alias("mark"))
+    parts = _parts(docs, text)
+    fitted_on = as_bytes(docs, key, text).withColumnRenamed(key, "id").join(F.broadcast(_chosen(docs, labels, key, label)), "id").select("text", _slot().alias("mark"))
     return Model(_counts(_labelled(docs, labels, key, text, label), parts), parts, fitted_on)
 
 
+def _parts(docs: DataFrame, text: str) -> int:
+    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    return min(max(1 << (size // PART_BYTES).bit_length(), FEWEST), MOST)
+
+
+def _chosen(docs: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
+    """What the regression is fitted on: id and toxic."""
+    return _known(labels, key, label).join(docs.select(F.col(key).alias("id")).distinct(), "id").orderBy(F.xxhash64("id"), "id").limit(CALIBRATION_DOCS)
+
+
+def _slot() -> F.Column:
+    """The slot of a row with id and toxic."""
+    return (F.lit(2) * sum((F.when(F.crc32(F.col("id").cast("string").cast("binary")) % 4 == f, i).otherwise(0) for i, f in enumerate(FOLDS)), F.lit(0)) + F.when(F.col("toxic") != 0, 1).otherwise(0)).cast("int")
+
+
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Toxicity of every document, by its whole text.
 
@@ -439,7 +599,19 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     """
     given = as_bytes(docs, key, text).withColumn("mark", F.lit(-1))
     fitted_on = model.calibration.select(F.lit(None).cast(docs.schema[key].dataType).alias(key), "text", "mark")
-    rows = stored(_ratios(given.unionByName(fitted_on), key, model.counts, model.parts), "toxic_ratios")
+    return _calibrated(_ratios(given.unionByName(fitted_on), key, model.counts, model.parts), key)
+
+
+def train_and_score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+    """What ``score(docs, train(docs, labels))`` gives, with each text read and its pairs sent once for both."""
+    chosen = _chosen(docs, labels, key, label).select("id", F.lit(True).alias("crossed"))
+    marks = _known(labels, key, label).select("id", _slot().alias("slot")).join(F.broadcast(chosen), "id", "left").select("id", "slot", F.coalesce("crossed", F.lit(False)).alias("crossed"))
+    return _calibrated(_own_ratios(as_bytes(docs, key, text), key, marks, _parts(docs, text)), key)
+
+
+def _calibrated(ratios: DataFrame, key: str) -> DataFrame:
+    """Scores of the rows of mark -1 by a regression on the others."""
+    rows = stored(ratios, "toxic_ratios")
     fitted = rows.where("mark >= 0").select("mark", "by_word", "by_pair", "size").limit(CALIBRATION_DOCS).toPandas()
     toxic = fitted["mark"].to_numpy(np.int64) % 2
     weights = [5.0 if toxic.any() else -5.0, *[0.0] * 5]

@@ -383,6 +383,48 @@ def test_toxicity_ratios_are_those_of_kneser_ney(spark, monkeypatch):
     assert np.allclose([r[2:] for r in sorted(found, key=lambda r: (r[0], r[1], round(r[2], 4)))], [r[2:] for r in sorted(others, key=lambda r: (r[0], r[1], round(r[2], 4)))], atol=1e-4)
 
 
+def test_toxicity_of_one_table_sends_its_pairs_once(spark, monkeypatch):
+    rng = random.Random(10)
+    vocabulary = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join(rng.choices(vocabulary, range(60, 0, -1), k=rng.randint(0, 40)) + ["bad"] * (i % 7 == 0))) for i in range(300)]
+    rows += [(None, "w1 w2"), (301, None), (302, ""), (302, "w3 bad"), (3, "w4 w5 bad")]  # ids may be null or repeat
+    labels = [(i, 1, int(i % 7 == 0)) for i in range(0, 310, 2)] + [(3, 1, None), (3, 1, 0), (3, 1, 1), (None, 1, 1)]
+    source, known = docs(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "BLOCK_DOCS", 64)  # many small blocks
+    kept = []
+    monkeypatch.setattr(toxicity, "stored", lambda df, name: kept.append(df.cache()) or kept[-1])
+    order = lambda df: sorted((r["doc_id"] is None, r["doc_id"] or 0, r["score"], r["predicted"]) for r in df.collect())
+    for most, taught in ((20_000, known), (50, known), (50, known.limit(0))):
+        kept.clear()
+        monkeypatch.setattr(toxicity, "CALIBRATION_DOCS", most)
+        together, apart = order(toxicity.train_and_score(source, taught)), order(toxicity.score(source, toxicity.train(source, taught)))
+        ratios = [sorted((r["mark"], r["size"], round(r["by_word"], 3), round(r["by_pair"], 3), r["by_word"], r["by_pair"]) for r in df.collect()) for df in kept]
+        assert len(together) == len(rows) and [r[:2] for r in ratios[0]] == [r[:2] for r in ratios[1]]
+        assert np.allclose(*([r[4:] for r in x] for x in ratios), atol=2e-3)
+        if most > 50:  # else it's open which rows of a repeated id are the last to be fitted on
+            assert np.allclose([r[2] for r in together], [r[2] for r in apart], atol=1e-4)
+        for df in kept:
+            df.unpersist()
+
+
+def test_op6_reads_and_packs_texts_once(spark, tmp_path, monkeypatch):
+    from gradeflow.llm import queries
+
+    docs(spark, list(enumerate(made_texts(120, 4)))).withColumn("lang", F.lit("en")).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, i % 2) for i in range(0, 120, 3)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    plans = []
+
+    def stored(df, name):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(toxicity, "stored", stored)
+    queries.QUERIES["op6_toxicity"](spark, str(tmp_path))
+    final = plans[0].split("== Initial Plan ==")[0]
+    assert sum("ReadSchema" in x and "text" in x.split("ReadSchema")[1] for x in final.splitlines()) == 1
+
+
 def test_toxic_phrase_of_common_words(spark):
     rng = random.Random(9)
     common = [f"word{k}" for k in range(30)]
